@@ -46,11 +46,11 @@ def _block_range(cidr: str) -> tuple[int, int]:
 def ip_to_long(c: Column | str) -> Column:
     """Dotted text to uint32; anything that is not four octets in 0..255 is NULL."""
     text = F.trim(as_col(c))
-    ok = text.rlike(r"^(\d{1,3}\.){3}\d{1,3}$")
     parts = F.split(text, r"\.")
-    octet = [F.try_element_at(parts, F.lit(i)).try_cast("bigint") for i in range(1, 5)]
+    octet = [F.get(parts, i).try_cast("bigint") for i in range(4)]
     value = octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
-    return F.when(ok & (F.greatest(*octet) <= 255), value)
+    only_digits = F.translate(text, "0123456789.", "") == ""
+    return F.when(only_digits & (F.size(parts) == 4) & (F.greatest(*octet) <= 255), value)
 
 
 def format_ip(c: Column | str) -> Column:

@@ -30,10 +30,13 @@ def lpm_table(
     routes = prefixes.filter(F.col("prefix_len").between(min_len, max_len)).select(
         "network", "prefix_len", "asn"
     )
+    # Length and 32-bit ASN packed into one bigint keep this a hash aggregation.
+    best = F.max(F.shiftleft(F.col("prefix_len").cast("bigint"), 32).bitwiseOR(F.col("asn")))
     return (
         candidates.join(routes, ["prefix_len", "network"])
         .groupBy("_net")
-        .agg(F.max_by("asn", F.struct("prefix_len", "asn")).alias("asn"))
+        .agg(best.alias("_best"))
+        .select("_net", F.col("_best").bitwiseAND(F.lit(0xFFFFFFFF)).alias("asn"))
     )
 
 

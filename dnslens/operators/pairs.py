@@ -11,6 +11,8 @@ a task is already summed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -24,28 +26,39 @@ CELLS_PER_TASK = 400_000
 _CHUNK = 4096
 
 
-def _block_of(domain: str, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(domain), blocks).cast("int")
+@dataclass(frozen=True)
+class Grid:
+    """Numbers of domain blocks and entity buckets a table of cells is cut into."""
 
+    blocks: int
+    buckets: int
 
-def _grid(cells: DataFrame, block: int, cells_per_task: int) -> tuple[Column, Column]:
-    """Numbers of domain blocks and entity buckets, as scalar subqueries."""
-    domains = cells.agg(F.count_distinct("domain").alias("d")).scalar()
-    rows = cells.agg(F.count(F.lit(1)).alias("c")).scalar()
-    blocks = F.greatest(F.lit(1), F.ceil(domains / block)).cast("bigint")
-    buckets = F.greatest(F.lit(1), F.ceil(2 * rows / (cells_per_task * (blocks + 1)))).cast("bigint")
-    return blocks, buckets
+
+def grid_for(
+    cells: DataFrame, block: int = BLOCK, cells_per_task: int = CELLS_PER_TASK
+) -> Grid:
+    """Grid for a stored table of cells; counting it is one small aggregation."""
+    size = cells.agg(
+        F.count_distinct("domain").alias("domains"), F.count(F.lit(1)).alias("cells")
+    ).first()
+    blocks = max(1, ceil(size["domains"] / block))
+    # Every cell is sent to `blocks` of the blocks * (blocks + 1) / 2 block pairs.
+    return Grid(blocks, max(1, ceil(2 * size["cells"] / (cells_per_task * (blocks + 1)))))
+
+
+def _block_of(domain: str, grid: Grid) -> Column:
+    return F.pmod(F.xxhash64(domain), F.lit(grid.blocks)).cast("int")
 
 
-def _spread(cells: DataFrame, blocks: Column, buckets: Column) -> DataFrame:
+def _spread(cells: DataFrame, grid: Grid) -> DataFrame:
     """Send every cell to the block pairs its domain takes part in."""
-    own = cells.withColumn("blk", _block_of("domain", blocks)).withColumn(
-        "bucket", F.pmod(F.xxhash64("e", F.lit(1)), buckets)
+    own = cells.withColumn("blk", _block_of("domain", grid)).withColumn(
+        "bucket", F.pmod(F.xxhash64("e", F.lit(1)), F.lit(grid.buckets))
     )
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("o")
+    other = F.explode(F.sequence(F.lit(0), F.lit(grid.blocks - 1))).alias("o")
     return own.select("*", other).select(
-        F.least("blk", "o").cast("int").alias("bi"),
-        F.greatest("blk", "o").cast("int").alias("bj"),
+        F.least("blk", "o").alias("bi"),
+        F.greatest("blk", "o").alias("bj"),
         "bucket",
         "blk",
         "domain",
@@ -101,16 +114,13 @@ def _dot_block(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def pair_dots(
-    cells: DataFrame, block: int = BLOCK, cells_per_task: int = CELLS_PER_TASK
-) -> DataFrame:
+def pair_dots(cells: DataFrame, grid: Grid) -> DataFrame:
     """For domains sharing an entity: ``a, b, dot`` (sum of products) and ``shared`` entities.
 
     ``cells`` holds ``domain, e (bigint), y (double, not 0)``, one row per domain and entity.
     """
-    blocks, buckets = _grid(cells, block, cells_per_task)
     partial = (
-        _spread(cells, blocks, buckets)
+        _spread(cells, grid)
         .groupBy("bi", "bj", "bucket")
         .applyInPandas(_dot_block, "a string, b string, dot double, shared bigint")
     )
@@ -119,9 +129,10 @@ def pair_dots(
 
 def _mass_block(kind: str):
     def run(cells: pd.DataFrame, sims: pd.DataFrame) -> pd.DataFrame:
-        columns = ["domain", "e", "num", "den"]
         if cells.empty:
-            return pd.DataFrame({"domain": [], "e": [], "num": [], "den": []}, columns=columns)
+            return pd.DataFrame(
+                {"domain": np.empty(0, object), "e": np.empty(0, np.int64), "num": np.empty(0), "den": np.empty(0)}
+            )
         dom, ent, y, names, entities, blk = _prepare(cells)
         same_block = bool(cells["bi"].iloc[0] == cells["bj"].iloc[0])
         s = np.zeros((len(names), len(names)))
@@ -159,26 +170,21 @@ def _mass_block(kind: str):
 
 
 def neighbour_mass(
-    cells: DataFrame,
-    sim: DataFrame,
-    kind: str,
-    block: int = BLOCK,
-    cells_per_task: int = CELLS_PER_TASK,
+    cells: DataFrame, sim: DataFrame, kind: str, grid: Grid
 ) -> DataFrame:
     """What the other domains on an entity contribute to each cell: ``domain, e, num, den``.
 
     ``kind='product'``: ``num`` = sum of similarity x count of the others (``den`` unused).
     ``kind='overlap'``: ``num`` = sum of similarity x min(counts), ``den`` = sum of min(counts).
     """
-    blocks, buckets = _grid(cells, block, cells_per_task)
-    a, b = _block_of("a", blocks), _block_of("b", blocks)
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), buckets - 1)).alias("bucket")
+    a, b = _block_of("a", grid), _block_of("b", grid)
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid.buckets - 1).cast("bigint")))
     keyed = sim.select(
         F.least(a, b).alias("bi"), F.greatest(a, b).alias("bj"), "a", "b", "sim"
-    ).select("*", copies)
+    ).select("*", copies.alias("bucket"))
     keys = ["bi", "bj", "bucket"]
     partial = (
-        _spread(cells, blocks, buckets)
+        _spread(cells, grid)
         .groupBy(*keys)
         .cogroup(keyed.groupBy(*keys))
         .applyInPandas(_mass_block(kind), "domain string, e bigint, num double, den double")
@@ -186,12 +192,15 @@ def neighbour_mass(
     return partial.groupBy("domain", "e").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
-def self_pair_join(net_domain: DataFrame, entity: str = "net") -> DataFrame:
+def self_pair_join(
+    net_domain: DataFrame, entity: str = "net", grid: Grid | None = None
+) -> DataFrame:
     """Domain pairs that meet on at least one network, with the number of networks."""
+    grid = grid or grid_for(net_domain)
     cells = net_domain.select(
         "domain", F.col(entity).cast("bigint").alias("e"), F.lit(1.0).alias("y")
     ).distinct()
-    return pair_dots(cells).select("a", "b", "shared")
+    return pair_dots(cells, grid).select("a", "b", "shared")
 
 
 def pair_similarity_lookup(pairs: DataFrame, sim: DataFrame) -> DataFrame:

@@ -10,24 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dns import decode_dns_responses
-from ..functions.ip import class_c, ip_to_long
+from ..functions.ip import class_c, format_ip, ip_to_long
 from .filters import usable_answers
 from .joins import country_of_asn, lpm_join
 
 
 def with_resolver_asn(scan: DataFrame, prefixes: DataFrame, whitelist: DataFrame | None = None):
-    """Resolve ``resolver_ip`` to an address and its ASN, keeping listed resolvers only.
+    """Add the ASN of ``resolver_ip`` (dotted text), keeping listed resolvers only.
 
-    With a whitelist the ASN is looked up for the listed resolvers and one join both
-    filters and enriches the far larger scan; this happens before packets are decoded.
+    With a whitelist (``ip``) the ASN is looked up for the listed resolvers, and one join on
+    the text both filters and enriches the far larger scan, before any packet is decoded.
     """
-    scan = scan.withColumn("resolver", ip_to_long("resolver_ip"))
     if whitelist is None:
-        return lpm_join(scan, prefixes, "resolver", "resolver_asn")
-    listed = lpm_join(
-        whitelist.select(F.col("ip").alias("resolver")).distinct(), prefixes, "resolver", "resolver_asn"
-    )
-    return scan.join(listed, "resolver")
+        parsed = scan.withColumn("_resolver", ip_to_long("resolver_ip"))
+        return lpm_join(parsed, prefixes, "_resolver", "resolver_asn").drop("_resolver")
+    listed = lpm_join(whitelist.select("ip").distinct(), prefixes, "ip", "resolver_asn")
+    return scan.join(listed.select(format_ip("ip").alias("resolver_ip"), "resolver_asn"), "resolver_ip")
 
 
 def aggregate_responses(scan: DataFrame, shard_domains: DataFrame) -> DataFrame:

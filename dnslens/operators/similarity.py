@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.ip import is_reserved
 from ..session import materialize
-from .pairs import neighbour_mass, pair_dots
+from .pairs import Grid, grid_for, neighbour_mass, pair_dots
 
 
-def domain_similarity(net_domain: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def domain_similarity(
+    net_domain: DataFrame, weights: DataFrame | None = None, grid: Grid | None = None
+) -> DataFrame:
     """Similarity of domains as ``a, b, sim`` with a < b; pairs not listed have 0.
 
     A cell counts as ``n * (1 + w)``; without weights ``w`` is 0. Reserved networks always
     have weight -1, so they add nothing, but they still count in a domain's norm.
     """
+    grid = grid or grid_for(net_domain)
     weighted = net_domain
     if weights is None:
         weighted = weighted.withColumn("w", F.lit(0.0))
@@ -33,22 +36,25 @@ def domain_similarity(net_domain: DataFrame, weights: DataFrame | None = None) -
     right = norms.select(F.col("domain").alias("b"), F.col("norm").alias("nb"))
     cosine = F.col("dot") / (F.col("na") * F.col("nb"))
     return (
-        pair_dots(cells)
+        pair_dots(cells, grid)
         .join(left, "a")
         .join(right, "b")
         .select("a", "b", F.least(F.lit(1.0), cosine).alias("sim"))
     )
 
 
-def reweight_networks(net_domain: DataFrame, sim: DataFrame) -> DataFrame:
+def reweight_networks(
+    net_domain: DataFrame, sim: DataFrame, grid: Grid | None = None
+) -> DataFrame:
     """Weight in [-1, 1] of each cell: how similar the other domains on its network are.
 
     Twice the count-weighted mean similarity minus one; 0 where a domain is alone.
     """
+    grid = grid or grid_for(net_domain)
     reserved = net_domain.filter(is_reserved("net")).select("domain", "net", F.lit(-1.0).alias("w"))
     public = net_domain.filter(~is_reserved("net"))
     cells = public.select("domain", F.col("net").alias("e"), F.col("n").cast("double").alias("y"))
-    mass = neighbour_mass(cells, sim, "product").select(
+    mass = neighbour_mass(cells, sim, "product", grid).select(
         "domain", F.col("e").alias("net"), "num"
     )
     totals = public.groupBy("net").agg(F.sum("n").alias("total"))
@@ -67,13 +73,15 @@ def iterate_similarity(
 ) -> tuple[DataFrame, DataFrame | None]:
     """First similarity, then ``rounds`` times reweight and recompute.
 
-    Every round is written to the shared folder, so the plan does not grow with rounds and
-    a lost executor only repeats the current one. Returns similarity and last weights.
+    Every round is one job whose result is written to the shared folder, so the plan does
+    not grow with rounds and a lost executor only repeats the current one. Returns the last
+    similarity and the weights it was computed with.
     """
     cells = materialize(net_domain.select("domain", "net", "n"), "cells")
-    sim = materialize(domain_similarity(cells), "similarity-0")
+    grid = grid_for(cells)
+    sim = materialize(domain_similarity(cells, grid=grid), "similarity-0")
     weights = None
     for r in range(1, rounds + 1):
-        weights = materialize(reweight_networks(cells, sim), f"weights-{r}")
-        sim = materialize(domain_similarity(cells, weights), f"similarity-{r}")
+        weights = reweight_networks(cells, sim, grid)
+        sim = materialize(domain_similarity(cells, weights, grid), f"similarity-{r}")
     return sim, weights

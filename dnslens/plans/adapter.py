@@ -55,12 +55,19 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _spread(self, df: DataFrame, key: str) -> DataFrame:
+        """Spread an input with fewer splits than cores; a large one is left as it is."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
 
     @cached_property
     def obs_raw(self) -> DataFrame:
-        line = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+        line = self._spread(
+            self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey"
+        )
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         customer = self.table("customer").select("c_custkey", "c_nationkey")
         part = self.table("part").select("p_partkey", "p_brand")
@@ -184,8 +191,10 @@ class Inputs:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        """Domains grouped by planted hosting style."""
-        return self.domain_keys.select("domain", (F.col("k") % 4).cast("int").alias("cluster_id"))
+        """Shared-hosting domains grouped by their planted network, the others alone."""
+        k = F.col("k")
+        group = F.when(k % 4 == 2, k % 3).otherwise(100 + k).cast("int")
+        return self.domain_keys.select("domain", group.alias("cluster_id"))
 
     @cached_property
     def shards(self) -> DataFrame:
@@ -195,13 +204,17 @@ class Inputs:
     def resolvers(self) -> DataFrame:
         return self.obs_raw.select(F.col("resolver_ip").alias("ip")).distinct()
 
+    @cached_property
+    def stored_resolvers(self) -> DataFrame:
+        return materialize(self.resolvers, "resolvers")
+
     @cached_property
     def resolver_prefixes(self) -> DataFrame:
         """Routes for the resolvers: /12 blocks, a third of them missing."""
-        ip = F.col("resolver_ip")
+        ip = F.col("ip")
         block = F.shiftright(ip, 20)
         return (
-            self.obs_raw.select((ip - ip % 1048576).alias("network"), block.alias("block"))
+            self.stored_resolvers.select((ip - ip % 1048576).alias("network"), block.alias("block"))
             .distinct()
             .filter("block % 3 <> 0")
             .select("network", F.lit(12).alias("prefix_len"), (100 + F.col("block") % 50).alias("asn"))
@@ -212,43 +225,44 @@ class Inputs:
         """Each observation as a DNS response packet in hex, some of them damaged."""
         r, k, ip = F.col("r"), F.col("k"), F.col("answer_ip")
         asked_k = F.when(r == 42, F.lit(0).cast("bigint")).when(r == 43, k - k % 10 + 1).otherwise(k)
-        label = F.concat(F.lit("d"), asked_k.cast("string"))
-        name = F.concat(
-            F.lpad(F.hex(F.length(label)), 2, "0"), F.hex(label), F.lit("07"), F.hex(F.lit("example")), F.lit("00")
+        label = F.col("label")
+        # Values used several times become columns of their own, so they are computed once.
+        named = (
+            self.obs_raw.withColumn("label", F.concat(F.lit("d"), asked_k.cast("string")))
+            .withColumn(
+                "name",
+                F.concat(F.lpad(F.hex(F.length(label)), 2, "0"), F.hex(label), F.lit("076578616d706c6500")),
+            )
+            .withColumn("owner", F.when(r % 2 == 1, F.col("name")).otherwise("c00c"))
+            .withColumn("rr", F.concat("owner", F.lit("000100010000003c0004")))
         )
         records = F.when(ip.isNull(), 0).otherwise(
             1 + (r % 10 == 4).cast("int") + (k % 4 == 1).cast("int")
         )
-        flags = (
-            F.when(r == 9, 0x0180).when(r == 7, 0x8100).otherwise(0x8180)
-            + F.when(ip.isNull(), 3).otherwise(0)
-        )
-        owner = F.when(r % 2 == 1, name).otherwise("c00c")
-        rr = F.concat(owner, F.lit("000100010000003c0004"))
-        alias = F.concat(owner, F.lit("000500010000003c0002c00c"))
-        answer = F.concat(
-            F.when(k % 4 == 1, alias).otherwise(""),
-            rr,
-            F.lpad(F.hex(ip), 8, "0"),
-            F.when(r % 10 == 4, F.concat(rr, F.lpad(F.hex(ip + 1), 8, "0"))).otherwise(""),
-        )
+        flags = F.when(r == 9, 0x0180).when(r == 7, 0x8100).otherwise(0x8180)
         packet = F.concat(
             F.lpad(F.hex(F.col("seq") % 65536), 4, "0"),
-            F.lpad(F.hex(flags), 4, "0"),
+            F.lpad(F.hex(flags + F.when(ip.isNull(), 3).otherwise(0)), 4, "0"),
             F.lit("0001"),
             F.lpad(F.hex(records), 4, "0"),
             F.lit("00000000"),
-            name,
+            F.col("name"),
             F.lit("00010001"),
-            F.when(ip.isNull(), "").otherwise(answer),
+            F.when(ip.isNotNull() & (k % 4 == 1), F.concat("owner", F.lit("000500010000003c0002c00c"))).otherwise(""),
+            F.when(ip.isNotNull(), F.concat("rr", F.lpad(F.hex(ip), 8, "0"))).otherwise(""),
+            F.when(
+                ip.isNotNull() & (r % 10 == 4), F.concat("rr", F.lpad(F.hex(ip + 1), 8, "0"))
+            ).otherwise(""),
         )
+        whole = named.withColumn("packet", packet)
+        size = F.length("packet")
         sent = (
-            F.when(r == 5, F.substring(packet, F.lit(1), F.length(packet) - 4))
-            .when(r == 6, F.substring(packet, F.lit(1), F.length(packet) - 1))
-            .when(r == 8, F.substring(packet, 1, 10))
-            .otherwise(packet)
+            F.when(r == 5, F.substring("packet", F.lit(1), size - 4))
+            .when(r == 6, F.substring("packet", F.lit(1), size - 1))
+            .when(r == 8, F.substring("packet", 1, 10))
+            .otherwise(F.col("packet"))
         )
-        return self.obs_raw.select(
+        return whole.select(
             "seq", "domain", "r", "resolver_ip", "resolver_asn", sent.alias("data_hex")
         )
 

@@ -92,7 +92,7 @@ net_domain AS (
 SELECT ip - ip % 256 AS net, domain, CAST(sum(n) AS BIGINT) AS n FROM ip_domain GROUP BY 1, 2
 ),
 domain_keys AS (SELECT DISTINCT domain, k FROM obs_raw),
-clusters AS (SELECT domain, CAST(k % 4 AS INTEGER) AS cluster_id FROM domain_keys),
+clusters AS (SELECT domain, CAST(CASE WHEN k % 4 = 2 THEN k % 3 ELSE 100 + k END AS INTEGER) AS cluster_id FROM domain_keys),
 shard_pos AS (
 SELECT domain, CAST(floor((row_number() OVER (ORDER BY k) - 1) / 10) AS BIGINT) AS s,
        CAST((row_number() OVER (ORDER BY k) - 1) % 10 AS INTEGER) AS idx FROM domain_keys
@@ -261,4 +261,4 @@ def with_common(select: str, rounds: int = 0, extra: str = "") -> str:
     """A full statement: the shared steps, ``rounds`` similarity rounds, then ``select``."""
     steps = "".join(_round(i) for i in range(rounds + 1))
     tail = f",\n{extra}" if extra else ""
-    return f"WITH {COMMON.strip()}{steps}{scores_cte()}{tail}\n{select}"
+    return f"WITH RECURSIVE {COMMON.strip()}{steps}{scores_cte()}{tail}\n{select}"

@@ -212,11 +212,11 @@ def _(i: Inputs):
     return readers.read_resolver_list(i.spark, path)
 
 
-@query("write_resolver_list", f"SELECT {dotted('ip')} AS ip, true AS listed FROM resolvers")
+@query("write_resolver_list", "SELECT ip FROM resolvers")
 def _(i: Inputs):
     path = i.scratch("resolvers-json")
     sinks.write_resolver_list(i.resolvers, path, fmt="json")
-    return i.spark.read.schema("ip string, listed boolean").json(path)
+    return readers.read_resolver_list(i.spark, path, fmt="json")
 
 
 @query(
@@ -558,7 +558,7 @@ def _(i: Inputs):
     "WHERE failed OR (shard, domain) IN (SELECT shard, domain FROM shards) GROUP BY 1, 2, 3, 4",
 )
 def _(i: Inputs):
-    whitelist = i.resolvers.filter("ip % 5 <> 0")
+    whitelist = i.stored_resolvers.filter("ip % 5 <> 0")
     scan = rollups.with_resolver_asn(_domain_scan(i), i.resolver_prefixes, whitelist)
     return rollups.aggregate_responses(scan, i.shards)
 
@@ -644,7 +644,7 @@ def _(i: Inputs):
 
 @query("ips_per_asn", "SELECT asn, count(*) AS n FROM resolver_asn GROUP BY 1")
 def _(i: Inputs):
-    return rollups.ips_per_asn(i.resolvers, i.resolver_prefixes)
+    return rollups.ips_per_asn(i.stored_resolvers, i.resolver_prefixes)
 
 
 _ASN_MEASURES = (
@@ -711,7 +711,7 @@ _SIZES = "sizes AS (SELECT shard, count(*) AS size FROM shards GROUP BY 1)"
     extra=_SIZES,
 )
 def _(i: Inputs):
-    located = joins.lpm_join(i.resolvers, i.resolver_prefixes)
+    located = joins.lpm_join(i.stored_resolvers, i.resolver_prefixes)
     return rollups.expected_queries_by_asn(located, materialize(i.shards, "shards"))
 
 
@@ -722,7 +722,7 @@ def _(i: Inputs):
     extra=_SIZES,
 )
 def _(i: Inputs):
-    located = joins.lpm_join(i.resolvers, i.resolver_prefixes)
+    located = joins.lpm_join(i.stored_resolvers, i.resolver_prefixes)
     placed = joins.country_of_asn(located, i.asn_country).select("ip", "country")
     return rollups.expected_queries_by_country(placed, materialize(i.shards, "shards"))
 
@@ -815,7 +815,36 @@ def _(i: Inputs):
     return sim.withColumn("sim", _r6("sim"))
 
 
-@query("correlation_cluster")
+# VOTE run over all domains in name order, the list of leaders growing by one per step.
+_VOTE = """
+names AS MATERIALIZED (SELECT list(domain ORDER BY domain) AS d FROM (SELECT DISTINCT domain FROM cells) t),
+odds AS MATERIALIZED (
+SELECT a, b, ln(p / (1 - p)) AS w FROM (
+  SELECT x.domain AS a, y.domain AS b, least(greatest(coalesce(s.sim, 0), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p
+  FROM (SELECT DISTINCT domain FROM cells) x JOIN (SELECT DISTINCT domain FROM cells) y ON x.domain <> y.domain
+  LEFT JOIN full1 s ON s.a = x.domain AND s.b = y.domain) t
+),
+vote AS (
+SELECT 0 AS i, CAST([] AS VARCHAR[]) AS leader
+UNION ALL
+SELECT v.i + 1, list_append(v.leader, coalesce((
+  SELECT m FROM (SELECT v.leader[g.j] AS m, sum(o.w) AS pull FROM generate_series(1, len(n.d)) g(j)
+                 JOIN odds o ON o.a = n.d[v.i + 1] AND o.b = n.d[g.j] WHERE g.j <= v.i GROUP BY 1) q
+  WHERE pull > 0 ORDER BY pull DESC, m LIMIT 1), n.d[v.i + 1]))
+FROM vote v, names n WHERE v.i < len(n.d)
+),
+voted AS (SELECT unnest(n.d) AS domain, unnest(v.leader) AS leader FROM vote v, names n WHERE v.i = len(n.d)),
+numbered AS (
+SELECT leader, row_number() OVER (ORDER BY count(*) DESC, min(domain)) - 1 AS cluster_id FROM voted GROUP BY leader
+)"""
+
+
+@query(
+    "correlation_cluster",
+    "SELECT domain, CAST(cluster_id AS INTEGER) AS cluster_id FROM voted JOIN numbered USING (leader)",
+    rounds=1,
+    extra=_VOTE.strip(),
+)
 def _(i: Inputs):
     cells = _cells(i)
     sim, _ = similarity.iterate_similarity(cells, 1)
@@ -889,7 +918,8 @@ def _(i: Inputs):
 
 @query("domain_cluster_map", "SELECT domain, cluster_id FROM clusters")
 def _(i: Inputs):
-    lists = i.clusters.groupBy("cluster_id").agg(F.collect_list("domain").alias("domains"))
+    piece = F.pmod(F.xxhash64("domain"), F.lit(64))
+    lists = i.clusters.groupBy("cluster_id", piece).agg(F.collect_list("domain").alias("domains"))
     return clusters.domain_cluster_map(lists)
 
 

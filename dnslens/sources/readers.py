@@ -80,16 +80,16 @@ def read_domain_scan(
     ``shard=<shard>`` folders. Files without a domain list and probes outside it fall away
     in the join.
     """
-    text = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(scans)
-        .select("value", _shard_name("csv").alias("shard"))
-    )
-    rows = _csv_fields(text, ["resolver_ip", "probe", "ts", "data_hex"])
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(scans)
+    return domain_scan_rows(text, read_shard_domains(spark, shards or scans, shard_pattern))
+
+
+def domain_scan_rows(text: DataFrame, shard_domains: DataFrame) -> DataFrame:
+    """Parse scan lines of a batch or streaming text source and attach the asked domain."""
+    lines = text.select("value", _shard_name("csv").alias("shard"))
+    rows = _csv_fields(lines, ["resolver_ip", "probe", "ts", "data_hex"])
     rows = rows.withColumn("probe", F.col("probe").try_cast("int"))
-    domains = read_shard_domains(spark, shards or scans, shard_pattern).withColumnRenamed("idx", "probe")
-    return rows.join(domains, ["shard", "probe"]).select(
+    return rows.join(shard_domains.withColumnRenamed("idx", "probe"), ["shard", "probe"]).select(
         "shard", "resolver_ip", "probe", "ts", "domain", "data_hex"
     )
 
@@ -212,10 +212,20 @@ def read_asn_country_report(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("asn is not null").groupBy("asn").agg(F.max_by("country", "seq").alias("country"))
 
 
-def read_resolver_list(spark: SparkSession, path: str) -> DataFrame:
-    """``ip/32`` lines; blank lines are dropped."""
+def read_resolver_list(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
+    """``ip/32`` lines, or with ``fmt="json"`` objects ``{ip: true}``; other keys are dropped."""
+    lines = spark.read.text(path)
+    if fmt == "json":
+        lines = lines.select(F.explode(F.from_json("value", "map<string,boolean>")).alias("value", "listed"))
+        lines = lines.filter("listed")
     ip = ip_to_long(F.split_part("value", F.lit("/"), F.lit(1)))
-    return spark.read.text(path).select(ip.alias("ip")).filter("ip is not null")
+    return lines.select(ip.alias("ip")).filter("ip is not null")
+
+
+def read_expected_ip(spark: SparkSession, path: str) -> int | None:
+    """Address a probe should be answered with, from the one-line file beside its scan."""
+    row = spark.read.text(path).select(ip_to_long("value").alias("ip")).filter("ip is not null").first()
+    return row and row["ip"]
 
 
 class HttpScans:

@@ -23,7 +23,7 @@ def _chunked(df: DataFrame, key: str, parts: list[str], limit: int) -> DataFrame
 
 
 def observation_lines(
-    obs: DataFrame, failures: DataFrame, domains: DataFrame, max_entries: int = 1_000_000
+    obs: DataFrame, failures: DataFrame, domains: DataFrame, max_entries: int = 100_000
 ) -> DataFrame:
     """``{name, failed, asn: {ip: n}}`` lines, also for domains without answers.
 
@@ -58,12 +58,12 @@ def observation_lines(
     return lines.select(F.concat(opened, body, F.lit("}")).alias("value"))
 
 
-def write_observations(obs, failures, domains, path: str, max_entries: int = 1_000_000) -> None:
+def write_observations(obs, failures, domains, path: str, max_entries: int = 100_000) -> None:
     observation_lines(obs, failures, domains, max_entries).write.text(path)
 
 
 def write_count_map(
-    df: DataFrame, k1: str, k2: str, value: str, path: str, max_entries: int = 1_000_000
+    df: DataFrame, k1: str, k2: str, value: str, path: str, max_entries: int = 100_000
 ) -> None:
     """``{k1: {k2: value}}`` lines; a key with more than ``max_entries`` gets several lines."""
     rows = df.select(
@@ -174,11 +174,9 @@ def split_by_asn(ips: DataFrame, prefixes: DataFrame, path: str) -> None:
 
 
 def write_resolver_list(df: DataFrame, path: str, fmt: str = "text", ip: str = "ip") -> None:
-    """Selected resolvers as ``ip/32`` lines, or as JSON rows ``{ip, listed}``."""
+    """Selected resolvers as ``ip/32`` lines, or with ``fmt="json"`` as ``{ip: true}`` lines."""
     dotted = format_ip(ip)
-    if fmt == "text":
-        df.select(F.concat(dotted, F.lit("/32")).alias("value")).write.text(path)
-    elif fmt == "json":
-        df.select(dotted.alias("ip"), F.lit(True).alias("listed")).write.json(path)
-    else:
+    line = {"text": F.concat(dotted, F.lit("/32")), "json": F.to_json(F.create_map(dotted, F.lit(True)))}
+    if fmt not in line:
         raise ValueError(f"unknown format {fmt!r}")
+    df.select(line[fmt].alias("value")).write.text(path)
