@@ -3,9 +3,9 @@
 Domains that share a network (or an address) interact pairwise, and a network of a large
 host carries very many domains. Instead of joining the table to itself on the network,
 domains are hashed into blocks and entities (networks, addresses) into buckets: a task
-gets the cells of two blocks in one bucket and combines them with matrix operations. An
-entity adds at most two blocks of cells to any task, however popular it is, and what leaves
-a task is already summed.
+gets the cells of two blocks in one bucket and combines them as arrays. An entity adds at
+most two blocks of cells to any task, however popular it is, and what leaves a task is
+already summed.
 """
 
 from __future__ import annotations
@@ -15,15 +15,20 @@ from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 256
+BLOCK = 512
 """Domains per block (on average; blocks are filled by hash)."""
 
-CELLS_PER_TASK = 400_000
-_CHUNK = 4096
+CELLS_PER_TASK = 800_000
+
+_CROWD = 48
+"""Entities with more domains in a task than this go through matrix products."""
+
+_CHUNK = 2048
+_FLUSH = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -33,6 +38,14 @@ class Grid:
     blocks: int
     buckets: int
 
+    def key(self, bi: Column, bj: Column, bucket: Column) -> Column:
+        """One number for a block pair and a bucket."""
+        return ((bi * self.blocks + bj) * self.buckets + bucket).cast("bigint")
+
+    def one_block(self, key: int) -> bool:
+        bi, bj = divmod(key // self.buckets, self.blocks)
+        return bi == bj
+
 
 def grid_for(
     cells: DataFrame, block: int = BLOCK, cells_per_task: int = CELLS_PER_TASK
@@ -51,67 +64,121 @@ def _block_of(domain: str, grid: Grid) -> Column:
 
 
 def _spread(cells: DataFrame, grid: Grid) -> DataFrame:
-    """Send every cell to the block pairs its domain takes part in."""
+    """Send every cell to the block pairs that meet on its entity.
+
+    A cell is copied once per block present on its entity, which for the many entities
+    with few domains is far less than the number of blocks; an entity with a single domain
+    has no pairs and goes nowhere.
+    """
     own = cells.withColumn("blk", _block_of("domain", grid)).withColumn(
         "bucket", F.pmod(F.xxhash64("e", F.lit(1)), F.lit(grid.buckets))
     )
-    other = F.explode(F.sequence(F.lit(0), F.lit(grid.blocks - 1))).alias("o")
-    return own.select("*", other).select(
-        F.least("blk", "o").alias("bi"),
-        F.greatest("blk", "o").alias("bj"),
-        "bucket",
-        "blk",
+    if grid.blocks == 1:
+        met = own.withColumn("o", F.col("blk"))
+    else:
+        present = own.groupBy("e").agg(
+            F.collect_set("blk").alias("present"), F.count(F.lit(1)).alias("domains")
+        )
+        shared = present.filter("domains > 1").select("e", "present")
+        met = own.join(shared, "e").withColumn("o", F.explode("present"))
+    return met.select(
+        grid.key(F.least("blk", "o"), F.greatest("blk", "o"), F.col("bucket")).alias("g"),
+        (F.col("blk") > F.col("o")).alias("second"),
         "domain",
         "e",
         "y",
     )
 
 
-def _chunks(ent: np.ndarray) -> Iterator[tuple[slice, int]]:
-    """Slices of cells sorted by entity code, each covering a bounded range of codes."""
-    last = int(ent[-1]) + 1 if ent.size else 0
-    for base in range(0, last, _CHUNK):
-        lo, hi = np.searchsorted(ent, [base, base + _CHUNK])
-        if hi > lo:
-            yield slice(lo, hi), base
-
-
-def _prepare(pdf: pd.DataFrame):
-    dom, names = pd.factorize(pdf["domain"], sort=True)
-    ent, entities = pd.factorize(pdf["e"])
-    order = np.argsort(ent, kind="stable")
-    blk_of = np.zeros(len(names), dtype=np.int64)
-    blk_of[dom] = pdf["blk"].to_numpy()
-    return dom[order], ent[order], pdf["y"].to_numpy()[order], np.asarray(names), entities, blk_of
-
-
-def _dot_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-    dom, ent, y, names, _, blk = _prepare(pdf)
-    left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-    total = np.zeros((left.size, right.size))
-    shared = np.zeros((left.size, right.size))
-    for part, base in _chunks(ent):
-        width = int(ent[part][-1]) - base + 1
-        x = np.zeros((len(names), width))
-        x[dom[part], ent[part] - base] = y[part]
-        total += x[left] @ x[right].T
-        hit = (x != 0).astype(np.float64)
-        shared += hit[left] @ hit[right].T
-    r, c = np.nonzero(shared)
-    a, b = left[r], right[c]
-    if bi == bj:
-        once = a < b
-        r, c, a, b = r[once], c[once], a[once], b[once]
-    first, second = np.minimum(a, b), np.maximum(a, b)
-    return pd.DataFrame(
-        {
-            "a": names[first],
-            "b": names[second],
-            "dot": total[r, c],
-            "shared": shared[r, c].astype(np.int64),
-        }
-    )
+class _Group:
+    """Cells of one task as codes: domains in name order, entities grouped together."""
+
+    def __init__(self, cells: pa.Table, grid: Grid):
+        names, code = _codes(cells["domain"])
+        ent_values, ent = np.unique(cells["e"].to_numpy(), return_inverse=True)
+        order = np.argsort(ent, kind="stable")
+        self.names, self.entities = names, ent_values
+        self.dom, self.ent = code[order], ent[order]
+        self.y = cells["y"].to_numpy()[order]
+        self.one_block = grid.one_block(cells["g"][0].as_py())
+        self.second = np.zeros(len(names), dtype=bool)
+        self.second[code] = cells["second"].to_numpy()
+        crowd = np.bincount(ent)[self.ent] > _CROWD
+        self.few, self.many = np.flatnonzero(~crowd), np.flatnonzero(crowd)
+
+    def neighbours(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of cells meeting on a small entity, one distance at a time."""
+        for step in range(1, _CROWD):
+            at, to = self.few[:-step], self.few[step:]
+            same = self.ent[at] == self.ent[to]
+            if not same.any():
+                return
+            yield at[same], to[same]
+
+    def matrices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Cells on crowded entities as dense domain x entity matrices, in bounded slices."""
+        ent = np.unique(self.ent[self.many], return_inverse=True)[1]
+        for base in range(0, int(ent[-1]) + 1 if ent.size else 0, _CHUNK):
+            lo, hi = np.searchsorted(ent, [base, base + _CHUNK])
+            rows, col = self.many[lo:hi], ent[lo:hi] - base
+            x = np.zeros((len(self.names), int(col[-1]) + 1))
+            x[self.dom[rows], col] = self.y[rows]
+            yield rows, col, x
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings in order, and the position of every value among them."""
+    encoded = column.combine_chunks().dictionary_encode()
+    if isinstance(encoded, pa.ChunkedArray):
+        encoded = encoded.combine_chunks()
+    names = np.array(encoded.dictionary.to_pylist(), dtype=object)
+    order = np.argsort(names)
+    place = np.empty(len(names), dtype=np.int64)
+    place[order] = np.arange(len(names))
+    return names[order], place[encoded.indices.to_numpy()]
+
+
+def _dot_block(grid: Grid):
+    def run(cells: pa.Table) -> pa.Table:
+        g = _Group(cells, grid)
+        size = len(g.names)
+        total, shared = np.zeros(size * size), np.zeros(size * size)
+        place, product = [], []
+
+        def flush() -> None:
+            if place:
+                at = np.concatenate(place)
+                np.add(total, np.bincount(at, np.concatenate(product), size * size), out=total)
+                np.add(shared, np.bincount(at, minlength=size * size), out=shared)
+                place.clear()
+                product.clear()
+
+        for at, to in g.neighbours():
+            place.append(np.minimum(g.dom[at], g.dom[to]) * size + np.maximum(g.dom[at], g.dom[to]))
+            product.append(g.y[at] * g.y[to])
+            if sum(map(len, place)) > _FLUSH:
+                flush()
+        flush()
+        total, shared = total.reshape(size, size), shared.reshape(size, size)
+        for _, _, x in g.matrices():
+            hit = (x != 0).astype(np.float64)
+            total += x @ x.T
+            shared += hit @ hit.T
+        upper = np.triu(shared > 0, 1)
+        if not g.one_block:
+            upper &= g.second[:, None] != g.second[None, :]
+        a, b = np.nonzero(upper)
+        names = pa.array(g.names, pa.string())
+        return pa.table(
+            {
+                "a": names.take(pa.array(a)),
+                "b": names.take(pa.array(b)),
+                "dot": total[a, b],
+                "shared": shared[a, b].astype(np.int64),
+            }
+        )
+
+    return run
 
 
 def pair_dots(cells: DataFrame, grid: Grid) -> DataFrame:
@@ -121,49 +188,69 @@ def pair_dots(cells: DataFrame, grid: Grid) -> DataFrame:
     """
     partial = (
         _spread(cells, grid)
-        .groupBy("bi", "bj", "bucket")
-        .applyInPandas(_dot_block, "a string, b string, dot double, shared bigint")
+        .groupBy("g")
+        .applyInArrow(_dot_block(grid), "a string, b string, dot double, shared bigint")
     )
     return partial.groupBy("a", "b").agg(F.sum("dot").alias("dot"), F.sum("shared").alias("shared"))
 
 
-def _mass_block(kind: str):
-    def run(cells: pd.DataFrame, sims: pd.DataFrame) -> pd.DataFrame:
-        if cells.empty:
-            return pd.DataFrame(
-                {"domain": np.empty(0, object), "e": np.empty(0, np.int64), "num": np.empty(0), "den": np.empty(0)}
+def _similarity_matrix(names: np.ndarray, sims: pa.Table) -> np.ndarray:
+    """Dense symmetric similarities of the named domains, 0 on the diagonal."""
+    s = np.zeros((len(names), len(names)))
+    code = {name: i for i, name in enumerate(names)}
+    known_a, a = _codes(sims["a"])
+    known_b, b = _codes(sims["b"])
+    a = np.array([code.get(n, -1) for n in known_a], dtype=np.int64)[a]
+    b = np.array([code.get(n, -1) for n in known_b], dtype=np.int64)[b]
+    keep = (a >= 0) & (b >= 0)
+    s[a[keep], b[keep]] = s[b[keep], a[keep]] = sims["sim"].to_numpy()[keep]
+    return s
+
+
+def _mass_block(kind: str, grid: Grid):
+    def run(cells: pa.Table, sims: pa.Table) -> pa.Table:
+        if cells.num_rows == 0:
+            return pa.table(
+                {"domain": pa.array([], pa.string()), "e": pa.array([], pa.int64()), "num": np.empty(0), "den": np.empty(0)}
             )
-        dom, ent, y, names, entities, blk = _prepare(cells)
-        same_block = bool(cells["bi"].iloc[0] == cells["bj"].iloc[0])
-        s = np.zeros((len(names), len(names)))
-        code = {name: i for i, name in enumerate(names)}
-        a = sims["a"].map(code).to_numpy(dtype=np.float64, na_value=np.nan)
-        b = sims["b"].map(code).to_numpy(dtype=np.float64, na_value=np.nan)
-        known = ~(np.isnan(a) | np.isnan(b))
-        ai, bi = a[known].astype(np.int64), b[known].astype(np.int64)
-        value = sims["sim"].to_numpy()[known]
-        s[ai, bi] = value
-        s[bi, ai] = value
-        num, den = np.zeros(len(y)), np.zeros(len(y))
-        if kind == "product":
-            for part, base in _chunks(ent):
-                width = int(ent[part][-1]) - base + 1
-                x = np.zeros((len(names), width))
-                x[dom[part], ent[part] - base] = y[part]
-                num[part] = (s @ x)[dom[part], ent[part] - base]
-        else:
-            edges = np.flatnonzero(np.diff(ent)) + 1
-            for rows in np.split(np.arange(len(ent)), edges):
-                d, c = dom[rows], y[rows]
+        g = _Group(cells, grid)
+        s = _similarity_matrix(g.names, sims)
+        num, den = np.zeros(len(g.y)), np.zeros(len(g.y))
+        # A distance visits every position once per side, so plain indexed adds are safe.
+        for at, to in g.neighbours():
+            like = s[g.dom[at], g.dom[to]]
+            if kind == "product":
+                num[at] += like * g.y[to]
+                num[to] += like * g.y[at]
+            else:
+                overlap = np.minimum(g.y[at], g.y[to])
+                if not g.one_block:
+                    overlap = np.where(g.second[g.dom[at]] != g.second[g.dom[to]], overlap, 0.0)
+                num[at] += like * overlap
+                num[to] += like * overlap
+                den[at] += overlap
+                den[to] += overlap
+        for rows, col, x in g.matrices():
+            if kind == "product":
+                num[rows] += (s @ x)[g.dom[rows], col]
+                continue
+            for one in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(col)) + 1):
+                at = rows[one]
+                d, c = g.dom[at], g.y[at]
                 overlap = np.minimum.outer(c, c)
-                if same_block:
+                if g.one_block:
                     np.fill_diagonal(overlap, 0.0)
                 else:
-                    overlap[blk[d][:, None] == blk[d][None, :]] = 0.0
-                num[rows] = (s[np.ix_(d, d)] * overlap).sum(axis=1)
-                den[rows] = overlap.sum(axis=1)
-        return pd.DataFrame(
-            {"domain": names[dom], "e": np.asarray(entities)[ent], "num": num, "den": den}
+                    overlap[g.second[d][:, None] == g.second[d][None, :]] = 0.0
+                num[at] += (s[np.ix_(d, d)] * overlap).sum(axis=1)
+                den[at] += overlap.sum(axis=1)
+        return pa.table(
+            {
+                "domain": pa.array(g.names, pa.string()).take(pa.array(g.dom)),
+                "e": g.entities[g.ent],
+                "num": num,
+                "den": den,
+            }
         )
 
     return run
@@ -176,18 +263,17 @@ def neighbour_mass(
 
     ``kind='product'``: ``num`` = sum of similarity x count of the others (``den`` unused).
     ``kind='overlap'``: ``num`` = sum of similarity x min(counts), ``den`` = sum of min(counts).
+    Cells alone on their entity may be missing from the result.
     """
     a, b = _block_of("a", grid), _block_of("b", grid)
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid.buckets - 1).cast("bigint")))
-    keyed = sim.select(
-        F.least(a, b).alias("bi"), F.greatest(a, b).alias("bj"), "a", "b", "sim"
-    ).select("*", copies.alias("bucket"))
-    keys = ["bi", "bj", "bucket"]
+    copies = F.explode(F.sequence(F.lit(0), F.lit(grid.buckets - 1))).alias("bucket")
+    copied = sim.select("a", "b", "sim", F.least(a, b).alias("bi"), F.greatest(a, b).alias("bj"), copies)
+    key = grid.key(F.col("bi"), F.col("bj"), F.col("bucket"))
     partial = (
         _spread(cells, grid)
-        .groupBy(*keys)
-        .cogroup(keyed.groupBy(*keys))
-        .applyInPandas(_mass_block(kind), "domain string, e bigint, num double, den double")
+        .groupBy("g")
+        .cogroup(copied.select(key.alias("g"), "a", "b", "sim").groupBy("g"))
+        .applyInArrow(_mass_block(kind, grid), "domain string, e bigint, num double, den double")
     )
     return partial.groupBy("domain", "e").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 

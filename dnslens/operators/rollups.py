@@ -14,6 +14,8 @@ from ..functions.ip import class_c, format_ip, ip_to_long
 from .filters import usable_answers
 from .joins import country_of_asn, lpm_join
 
+_SALTS = 16
+
 
 def with_resolver_asn(scan: DataFrame, prefixes: DataFrame, whitelist: DataFrame | None = None):
     """Add the ASN of ``resolver_ip`` (dotted text), keeping listed resolvers only.
@@ -216,8 +218,12 @@ def _expected_queries(resolvers: DataFrame, shard_domains: DataFrame, group: str
     asked = spread.groupBy(group, "size", (F.col("ip") % F.col("size")).alias("idx")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    placed = shard_domains.join(sizes, "shard")
-    return placed.join(asked, ["size", "idx"])
+    # There are only as many (size, idx) keys as positions in a shard: salt them by group,
+    # so the product of domains and groups is made by many tasks.
+    salt = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    placed = shard_domains.join(sizes, "shard").select("*", salt)
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64(group), F.lit(_SALTS)).cast("int"))
+    return placed.join(asked, ["size", "idx", "salt"])
 
 
 def expected_queries_by_asn(resolvers: DataFrame, shard_domains: DataFrame) -> DataFrame:

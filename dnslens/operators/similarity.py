@@ -10,8 +10,22 @@ from ..session import materialize
 from .pairs import Grid, grid_for, neighbour_mass, pair_dots
 
 
+def domain_norms(net_domain: DataFrame) -> DataFrame:
+    """Length of each domain's count vector, stored: one small row per domain.
+
+    Read back with its true size, it joins the far larger pair table without a shuffle
+    as long as it fits the planner's broadcast threshold.
+    """
+    square = F.col("n").cast("double") * F.col("n")
+    norms = net_domain.groupBy("domain").agg(F.sqrt(F.sum(square)).alias("norm"))
+    return materialize(norms, "norms")
+
+
 def domain_similarity(
-    net_domain: DataFrame, weights: DataFrame | None = None, grid: Grid | None = None
+    net_domain: DataFrame,
+    weights: DataFrame | None = None,
+    grid: Grid | None = None,
+    norms: DataFrame | None = None,
 ) -> DataFrame:
     """Similarity of domains as ``a, b, sim`` with a < b; pairs not listed have 0.
 
@@ -30,8 +44,7 @@ def domain_similarity(
         .select("domain", F.col("net").alias("e"), (F.col("n") * (1 + weight)).alias("y"))
         .filter("y <> 0")
     )
-    square = F.col("n").cast("double") * F.col("n")
-    norms = net_domain.groupBy("domain").agg(F.sqrt(F.sum(square)).alias("norm"))
+    norms = norms or domain_norms(net_domain)
     left = norms.select(F.col("domain").alias("a"), F.col("norm").alias("na"))
     right = norms.select(F.col("domain").alias("b"), F.col("norm").alias("nb"))
     cosine = F.col("dot") / (F.col("na") * F.col("nb"))
@@ -78,10 +91,10 @@ def iterate_similarity(
     similarity and the weights it was computed with.
     """
     cells = materialize(net_domain.select("domain", "net", "n"), "cells")
-    grid = grid_for(cells)
-    sim = materialize(domain_similarity(cells, grid=grid), "similarity-0")
+    grid, norms = grid_for(cells), domain_norms(cells)
+    sim = materialize(domain_similarity(cells, None, grid, norms), "similarity-0")
     weights = None
     for r in range(1, rounds + 1):
         weights = reweight_networks(cells, sim, grid)
-        sim = materialize(domain_similarity(cells, weights, grid), f"similarity-{r}")
+        sim = materialize(domain_similarity(cells, weights, grid, norms), f"similarity-{r}")
     return sim, weights

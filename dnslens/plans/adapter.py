@@ -82,7 +82,10 @@ class Inputs:
             F.substring("p_brand", 7, 9).cast("bigint").alias("k"),
             F.col("c_nationkey").cast("bigint").alias("nat"),
             ((key * 31 + num * 17 + F.col("l_partkey") * 7) % 100).alias("r"),
-            ((key * F.lit(2654435761) + num) % F.lit(4294967296)).alias("resolver_ip"),
+            # key * 2654435761 modulo 2**32, with factors small enough for any key.
+            F.pmod(
+                (key % 4294967296) * F.lit(2654435761 - 4294967296) + num, F.lit(4294967296)
+            ).alias("resolver_ip"),
             "c_custkey",
         )
         asn = F.when(F.col("c_custkey") % 50 == 0, None).otherwise(
