@@ -1,4 +1,4 @@
-from .dns import decode_dns_responses, response_fields
+from .dns import answered_recursively, decode_dns_responses, response_fields
 from .ip import class_c, format_ip, ip_to_long, is_reserved, prefix
 from .text import (
     asn_or_unknown,
@@ -10,6 +10,7 @@ from .text import (
 )
 
 __all__ = [
+    "answered_recursively",
     "asn_or_unknown",
     "class_c",
     "clean_metadata_tag",

@@ -403,7 +403,10 @@ _VALID = f"ok AND qr = 1 AND ra = 1 AND ancount > 0 AND list_contains(a_records,
     f"SELECT resolver_ip - resolver_ip % 256 AS net, arg_min(resolver_ip, seq) AS ip FROM responses WHERE {_VALID} GROUP BY 1",
 )
 def _(i: Inputs):
-    return filters.select_resolvers(_decoded_probe(i), EXPECTED_IP)
+    # Only responses whose header can pass are decoded at all.
+    possible = i.responses.filter(dns.answered_recursively("data_hex"))
+    decoded = dns.response_fields(possible).withColumnRenamed("resolver_ip", "ip")
+    return filters.select_resolvers(decoded, EXPECTED_IP)
 
 
 @query(

@@ -102,6 +102,16 @@ def test_decode_answers(spark):
     assert [r.ancount for r in rows] == [1, 3, 0, 1]
 
 
+def test_header_test_agrees_with_the_decoder(spark):
+    rng = random.Random(3)
+    packets = [packet(*[a_record("08080808")] * rng.randrange(3), header=f"abcd{rng.randrange(65536):04x}0001{{an:04x}}00000000") for _ in range(200)]
+    packets += ["", None, "abcd", "zz" * 30]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(packets)], "i int, data_hex string")
+    quick = {r.i for r in df.filter(fn.answered_recursively("data_hex")).collect()}
+    decoded = fn.response_fields(df).filter("ok and qr = 1 and ra = 1 and ancount > 0").collect()
+    assert quick == {r.i for r in decoded} and len(quick) > 20
+
+
 def test_decode_flags_and_case(spark):
     query = packet(header="abcd03030001{an:04x}00000000")
     upper = packet(a_record("08080808"), question=QUESTION.replace("6431", "4431"))
