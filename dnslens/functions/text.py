@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .ip import as_col
 
+# Fixed value: the host part of a redirect target.
+REDIRECT_HOST = r"https?://([a-zA-Z0-9.-]*)"
+
 # Result codes of an icon fetch and their descriptions.
 FAVICON_STATUS = {
     -1: "Could not connect to the server",
@@ -53,7 +56,7 @@ def whois_org(c: Column | str) -> Column:
 
 def redirect_host(status: Column | str, location: Column | str) -> Column:
     """Host a 3xx response points to, NULL if there is none."""
-    host = F.regexp_extract(as_col(location), r"https?://([a-zA-Z0-9.-]*)", 1)
+    host = F.regexp_extract(as_col(location), REDIRECT_HOST, 1)
     is_redirect = F.floor(as_col(status) / 100) == 3
     return F.when(is_redirect & (host != ""), host)
 

@@ -55,19 +55,17 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _spread(self, df: DataFrame, key: str) -> DataFrame:
-        """Spread an input with fewer splits than cores; a large one is left as it is."""
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Spread an input with fewer splits than cores evenly; a large one is left as it is."""
         cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
 
     @cached_property
     def obs_raw(self) -> DataFrame:
-        line = self._spread(
-            self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey"
-        )
+        line = self._spread(self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         customer = self.table("customer").select("c_custkey", "c_nationkey")
         part = self.table("part").select("p_partkey", "p_brand")
@@ -201,7 +199,9 @@ class Inputs:
 
     @cached_property
     def shards(self) -> DataFrame:
-        return shard_domains(self.domain_keys.withColumnRenamed("k", "rank"), 10)
+        return materialize(
+            shard_domains(self.domain_keys.withColumnRenamed("k", "rank"), 10), "shards"
+        )
 
     @cached_property
     def resolvers(self) -> DataFrame:
@@ -285,7 +285,7 @@ class Inputs:
     def domain_scan_files(self) -> tuple[str, str]:
         """Domain scan as one folder per shard, and the domain lists beside it."""
         scans, lists = self.scratch("domain-scan"), self.scratch("shard-domains")
-        shards = materialize(self.shards, "shards")
+        shards = self.shards
         rows = self.responses.join(shards, "domain")
         probe = F.when(F.col("r") == 44, F.lit(99)).otherwise(F.col("idx"))
         line = F.concat_ws(

@@ -400,13 +400,15 @@ _VALID = f"ok AND qr = 1 AND ra = 1 AND ancount > 0 AND list_contains(a_records,
 
 @query(
     "select_resolvers",
-    f"SELECT resolver_ip - resolver_ip % 256 AS net, arg_min(resolver_ip, seq) AS ip FROM responses WHERE {_VALID} GROUP BY 1",
+    f"SELECT resolver_ip - resolver_ip % 256 AS net, arg_min(resolver_ip, seq) AS ip FROM responses WHERE r <> 1 AND {_VALID} GROUP BY 1",
 )
 def _(i: Inputs):
     # Only responses whose header can pass are decoded at all.
-    possible = i.responses.filter(dns.answered_recursively("data_hex"))
-    decoded = dns.response_fields(possible).withColumnRenamed("resolver_ip", "ip")
-    return filters.select_resolvers(decoded, EXPECTED_IP)
+    raw = readers.read_probe_scan_raw(i.spark, i.probe_scan_files())
+    possible = raw.filter(dns.answered_recursively("data_hex")).select(
+        ip.ip_to_long("resolver_ip").alias("ip"), F.col("ts").cast("bigint").alias("seq"), "data_hex"
+    )
+    return filters.select_resolvers(dns.response_fields(possible), EXPECTED_IP)
 
 
 @query(
@@ -715,7 +717,7 @@ _SIZES = "sizes AS (SELECT shard, count(*) AS size FROM shards GROUP BY 1)"
 )
 def _(i: Inputs):
     located = joins.lpm_join(i.stored_resolvers, i.resolver_prefixes)
-    return rollups.expected_queries_by_asn(located, materialize(i.shards, "shards"))
+    return rollups.expected_queries_by_asn(located, i.shards)
 
 
 @query(
@@ -727,7 +729,7 @@ def _(i: Inputs):
 def _(i: Inputs):
     located = joins.lpm_join(i.stored_resolvers, i.resolver_prefixes)
     placed = joins.country_of_asn(located, i.asn_country).select("ip", "country")
-    return rollups.expected_queries_by_country(placed, materialize(i.shards, "shards"))
+    return rollups.expected_queries_by_country(placed, i.shards)
 
 
 @query(

@@ -10,6 +10,9 @@ from ..operators.joins import lpm_join
 from ..operators.ranking import row_numbers
 from ..schema import EMPTY, UNKNOWN
 
+# Fixed value: how a report spells the question of a query.
+OONI_QUERY = "[Query('<%s>',1,1)]"
+
 # Fixed value: a report entry is closed once it holds more than this many queries.
 OONI_ENTRY_LIMIT = 10_000
 
@@ -98,7 +101,7 @@ def ooni_records(
         F.col("resolver_ip"),
         F.lit(53).alias("resolver_port"),
         F.lit("A").alias("query_type"),
-        F.concat(F.lit("[Query('<"), "domain", F.lit(">',1,1)]")).alias("query"),
+        F.format_string(OONI_QUERY, "domain").alias("query"),
         F.col("addrs"),
     )
     chunk = F.floor((F.col("rn") - 1) / size)
