@@ -202,6 +202,24 @@ def read_origin_prefixes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_prefix_map(spark: SparkSession, path: str) -> DataFrame:
+    """Stored prefix table ``{start: {length: asn}}``; starts written as signed are unwrapped."""
+    rows = read_count_map(spark, path, ("network", "prefix_len", "asn"))
+    return rows.select(
+        F.pmod(F.col("network").cast("bigint"), F.lit(4294967296)).alias("network"),
+        F.col("prefix_len").cast("int"),
+        "asn",
+    )
+
+
+def read_country_asns(spark: SparkSession, path: str) -> DataFrame:
+    """``{country: [asn]}`` to ``asn, country``; an ASN may be listed under several countries."""
+    lists = spark.read.text(path).select(
+        F.explode(F.from_json("value", "map<string,array<bigint>>")).alias("country", "asns")
+    )
+    return lists.select(F.explode("asns").alias("asn"), "country").distinct()
+
+
 def read_asn_country_report(spark: SparkSession, path: str) -> DataFrame:
     """AS report lines ending in a country code; the last line of an AS wins."""
     rows = _lines(spark, path).select(
