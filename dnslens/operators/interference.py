@@ -164,9 +164,10 @@ def block_page_candidates(
     local = observations_by_country(answers, asn_country)
     local = local.groupBy("country", "domain", "answer_ip").agg(F.sum("n").alias("c"))
     totals = local.groupBy("country", "domain").agg(F.sum("c").alias("c_total"))
-    # c/g > (g_total/g_max) * (c_total/g_total), kept in whole numbers.
+    # c/g > (g_total/g_max) * (c_total/g_total), kept in whole numbers too wide to overflow.
+    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("c", "c_total", "g", "g_max")}
     head = F.col("c") * 10 >= F.col("c_total")
-    over = F.col("c") * F.col("g_max") > F.col("g") * F.col("c_total")
+    over = wide["c"] * wide["g_max"] > wide["g"] * wide["c_total"]
     suspects = (
         local.join(totals, ["country", "domain"])
         .filter(head)

@@ -11,11 +11,10 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators import clusters, interference, rollups, scoring, similarity
-from ..session import materialize
-from ..sources import readers, sinks
+from dnslens.operators import clusters, interference, rollups, scoring, similarity
+from dnslens.session import materialize
+from dnslens.sources import readers, sinks
 
 MERGE_CONFIDENCE = 0.8
 ROUNDS = 6

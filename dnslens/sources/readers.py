@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dns import response_fields
 from ..functions.ip import class_c, ip_to_long
-from ..schema import EMPTY, UNKNOWN
+from ..functions.text import asn_or_unknown
+from ..schema import EMPTY
 
 # Patterns of the two routing sources.
 ORIGIN_PREFIX = r'IN TXT\s+"(\d+)" "(\d+\.\d+\.\d+\.\d+)" "(\d+)"'
@@ -49,11 +50,21 @@ def read_probe_scan(spark: SparkSession, path: str) -> DataFrame:
     return response_fields(raw).filter("ok").drop("ok")
 
 
-def _shard_name(extension: str) -> Column:
+def _file_or_folder(marker: str) -> tuple[Column, Column]:
+    """Name of a line's file, and the value of its ``marker=value`` folder or NULL.
+
+    Runs for every line, so it keeps to plain substring operations.
+    """
     path = F.col("_metadata.file_path")
-    in_folder = F.regexp_extract(path, r"/shard=([^/.]+)(?:\.[a-z]+)?/", 1)
-    in_name = F.regexp_extract(path, r"([^/]+)\." + extension + "$", 1)
-    return F.when(in_folder != "", in_folder).otherwise(in_name)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    value = F.when(folder.startswith(f"{marker}="), F.substring(folder, len(marker) + 2, 1 << 20))
+    return F.substring_index(path, "/", -1), value
+
+
+def _shard_name(extension: str) -> Column:
+    file, folder = _file_or_folder("shard")
+    in_name = F.substring(file, F.lit(1), F.length(file) - len(extension) - 1)
+    return F.coalesce(F.substring_index(folder, ".", 1), in_name)
 
 
 def read_shard_domains(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
@@ -105,7 +116,7 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     entries = _observation_entries(spark, path).filter(~F.col("key").isin("name", "failed"))
     answers = entries.select(
         "domain",
-        F.when(F.col("key") != UNKNOWN, F.col("key")).cast("bigint").alias("resolver_asn"),
+        asn_or_unknown("key").alias("resolver_asn"),
         F.explode(F.from_json("body", "map<string,bigint>")).alias("answer", "n"),
     )
     ip = ip_to_long("answer")
@@ -120,7 +131,7 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
     """Failed responses per domain; a domain listed without failures has 0."""
     entries = _observation_entries(spark, path)
-    failed = F.when(F.col("key") == "failed", F.col("body").cast("bigint"))
+    failed = F.when(F.col("key") == "failed", F.col("body").try_cast("bigint"))
     return entries.groupBy("domain").agg(F.coalesce(F.sum(failed), F.lit(0)).alias("failed"))
 
 
@@ -158,7 +169,7 @@ def read_keyed_jsonlines(
     payload = []
     for i, (col, dtype) in enumerate(_KEYED[kind]):
         raw = F.try_element_at("a", F.lit(i + 2))
-        payload.append((F.from_json(raw, dtype) if dtype.startswith("array") else raw.cast(dtype)).alias(col))
+        payload.append((F.from_json(raw, dtype) if dtype.startswith("array") else raw.try_cast(dtype)).alias(col))
     rows = lines.select(key.alias(name), F.struct(*payload).alias("p"), "seq")
     last = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.max_by("p", "seq").alias("p"))
     return last.select(name, "p.*")
@@ -179,8 +190,8 @@ def read_favicons(spark: SparkSession, path: str) -> DataFrame:
     return hosts.join(newest, ["ip", "seq"]).select(
         "ip",
         "host",
-        item[0].cast("int").alias("status"),
-        item[1].cast("bigint").alias("length"),
+        item[0].try_cast("int").alias("status"),
+        item[1].try_cast("bigint").alias("length"),
         item[2].alias("hash"),
         item[3].alias("ctype"),
     )
@@ -206,10 +217,10 @@ def read_prefix_map(spark: SparkSession, path: str) -> DataFrame:
     """Stored prefix table ``{start: {length: asn}}``; starts written as signed are unwrapped."""
     rows = read_count_map(spark, path, ("network", "prefix_len", "asn"))
     return rows.select(
-        F.pmod(F.col("network").cast("bigint"), F.lit(4294967296)).alias("network"),
-        F.col("prefix_len").cast("int"),
+        F.pmod(F.col("network").try_cast("bigint"), F.lit(4294967296)).alias("network"),
+        F.col("prefix_len").try_cast("int").alias("prefix_len"),
         "asn",
-    )
+    ).filter("network is not null and prefix_len is not null")
 
 
 def read_country_asns(spark: SparkSession, path: str) -> DataFrame:
@@ -256,9 +267,7 @@ class HttpScans:
             .json(manifest)
         )
         base_name = F.regexp_extract("name", r"([^/]+)$", 1)
-        path = F.col("_metadata.file_path")
-        folder = F.regexp_extract(path, r"/scan=([^/]+)/", 1)
-        scan = F.when(folder != "", folder).otherwise(F.regexp_extract(path, r"([^/]+)$", 1))
+        scan = F.coalesce(*reversed(_file_or_folder("scan")))
         rows = spark.read.option("recursiveFileLookup", True).text(base).select(
             scan.alias("scan"), ip_to_long("value").alias("ip")
         )

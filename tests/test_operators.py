@@ -242,6 +242,13 @@ def test_block_page_candidates_skip_foreign_hosts(spark):
     assert rows(got.filter("country = 'AA'"), "ip", "domain") == sorted([(page, "a"), (reserved, "c")])
 
 
+def test_block_page_candidates_with_huge_counts(spark):
+    obs = frame(spark, [("a", 1, 7, 10**12), ("a", 2, 8, 10**15)], OBS)
+    none = frame(spark, [], PREFIXES)
+    got = interference.block_page_candidates(obs, none, frame(spark, [(1, "AA"), (2, "BB")], COUNTRY))
+    assert rows(got, "country", "ip") == [("AA", 7)]
+
+
 def test_local_resolutions(spark):
     obs = frame(spark, [("a", 1, ip("10.0.0.1"), 2), ("a", 1, 99999999, 7), ("b", 1, ip("10.0.0.1"), 1), ("b", 1, 99999999, 4), ("c", 1, None, 9)], OBS)
     got = interference.local_resolutions(obs, frame(spark, [(1, "AA"), (1, "AA")], COUNTRY), "AA")

@@ -53,7 +53,7 @@ def test_observations_and_failures(spark, tmp_path):
         tmp_path, "asn.json",
         '{"name":"a.example","failed":2,"3356":{"20.0.0.10":5,"empty":2},"unknown":{"20.0.0.10":1}}',
         '{"name":"a.example","failed":1,"3356":{"20.0.0.10":1,"2001:db8::1":4,"undefined":3}}',
-        '{"name":"b.example","failed":0}', "undefined", "", '{"name":"c.example","failed":0,"33',
+        '{"name":"b.example","failed":0,"ZZ":{}}', '{"name":"b.example","failed":"x","other":3}', "undefined", "", '{"name":"c.example","failed":0,"33',
     )
     got = rows(readers.read_observations(spark, path).na.fill(-1), "domain", "resolver_asn", "answer_ip", "n")
     assert got == [("a.example", -1, ip("20.0.0.10"), 1), ("a.example", 3356, -1, 2), ("a.example", 3356, ip("20.0.0.10"), 6)]
@@ -86,9 +86,9 @@ def test_count_map_reads_one_object_or_many_lines(spark, tmp_path):
 
 
 def test_keyed_lines_last_wins(spark, tmp_path):
-    servers = write(tmp_path, "s.json", '["20.0.0.10",500,"old"]', "junk", '["20.0.0.10",200,"nginx"]', '["20.0.0.11",404,""]')
+    servers = write(tmp_path, "s.json", '["20.0.0.10",500,"old"]', "junk", '["20.0.0.12","up","x"]', '["20.0.0.10",200,"nginx"]', '["20.0.0.11",404,""]')
     assert rows(readers.read_keyed_jsonlines(spark, servers, "servers"), "ip", "status", "server") == [
-        (ip("20.0.0.10"), 200, "nginx"), (ip("20.0.0.11"), 404, "")
+        (ip("20.0.0.10"), 200, "nginx"), (ip("20.0.0.11"), 404, ""), (ip("20.0.0.12"), None, "x")
     ]
     ptrs = write(tmp_path, "p.json", '["20.0.0.10",["h1.cdn4.net","x"]]', '["20.0.0.99",["late.net"]]')
     assert readers.read_keyed_jsonlines(spark, ptrs, "ptrs").filter(F.col("ip") == ip("20.0.0.10")).first()["names"] == ["h1.cdn4.net", "x"]
