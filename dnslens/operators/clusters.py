@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .joins import country_of_asn, lpm_join
 from .pairs import Grid, grid_for, neighbour_mass
-from .ranking import heaviest
+from .ranking import heaviest, row_numbers
 
 # Fixed value: probabilities are clipped this far from 0 and 1 before taking log odds.
 CLIP = 1e-6
@@ -105,8 +105,7 @@ def number_clusters(members: DataFrame) -> DataFrame:
     larger = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     sizes = clusters.groupBy("size").agg(F.count(F.lit(1)).alias("k"))
     offsets = sizes.select("size", F.coalesce(F.sum("k").over(larger), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("size").orderBy("first"))
-    ids = clusters.select("leader", "size", within.alias("pos")).join(offsets, "size")
+    ids = row_numbers(clusters, "first", ["size"], out="pos").join(offsets, "size")
     ids = ids.select("leader", (F.col("offset") + F.col("pos") - 1).cast("int").alias("cluster_id"))
     return members.join(ids, "leader").select("domain", "cluster_id")
 

@@ -6,40 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ip import as_col
+from ..session import materialize
 
 
 def row_numbers(
     df: DataFrame,
     order: str,
     keys: list[str] | None = None,
-    slice_rows: int = 1_000_000,
     out: str = "rn",
+    slices: int | None = None,
 ) -> DataFrame:
-    """Exact ``row_number`` by ``order`` (a bigint such as a file position) inside ``keys``.
+    """Exact ``row_number`` by ``order`` (unique, such as a file position) inside ``keys``.
 
-    The range of order values is cut into equal slices of about ``slice_rows`` rows of the
-    whole table, so even one huge group is sorted by many tasks. Each slice is numbered on
-    its own and shifted by the number of rows of its group in earlier slices.
+    Rows are range partitioned by key and order, so a huge group is cut into many evenly
+    filled slices. Sorted slices are stored with their row positions; a number is then the
+    position in the slice plus the rows of the group in earlier slices, taken from one
+    small row per group and slice.
     """
     keys = keys or []
-    span = F.max(order) - F.min(order) + 1
-    width = df.agg(
-        F.greatest(F.lit(1), F.floor(span / F.count(F.lit(1)) * slice_rows)).alias("w")
-    ).scalar()
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / width))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    by = [*keys, order]
+    ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
+    placed = ranged.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    # The upper bits of the position are the number of the slice.
+    stored = materialize(placed, "numbered").withColumn("_slice", F.shiftright("_at", 33))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
+        stored.groupBy(*keys, "_slice")
+        .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .drop("_rows")
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(order)
-    local = sliced.withColumn(out, F.row_number().over(inside).cast("bigint"))
-    numbered = _null_safe_join(local, offsets, [*keys, "_slice"])
-    return numbered.withColumn(out, F.col(out) + F.col("_offset")).drop("_slice", "_offset")
+    numbered = _null_safe_join(stored, runs, [*keys, "_slice"])
+    number = F.col("_at") - F.col("_first") + F.col("_before") + 1
+    return numbered.withColumn(out, number).drop("_at", "_slice", "_first", "_before")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"):

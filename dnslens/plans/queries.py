@@ -1255,4 +1255,4 @@ def _(i: Inputs):
 @query("row_numbers", "SELECT domain, seq, row_number() OVER (PARTITION BY domain ORDER BY seq) AS rn FROM obs_raw")
 def _(i: Inputs):
     rows = i.obs_raw.select("domain", "seq")
-    return ranking.row_numbers(rows, "seq", ["domain"], slice_rows=10_000).select("domain", "seq", "rn")
+    return ranking.row_numbers(rows, "seq", ["domain"]).select("domain", "seq", "rn")

@@ -158,14 +158,15 @@ def test_cumulative_cliff(spark, counts, head):
 
 def test_row_numbers_over_many_slices(spark):
     rng = random.Random(9)
-    data = [("hot" if rng.random() < 0.6 else rng.choice("abc"), s) for s in rng.sample(range(100000), 500)]
+    data = [("hot" if rng.random() < 0.6 else rng.choice(["a", "b", None]), s) for s in rng.sample(range(100000), 500)]
     df = frame(spark, data, "k string, seq bigint")
-    got = ranking.row_numbers(df, "seq", ["k"], slice_rows=20).collect()
+    got = ranking.row_numbers(df, "seq", ["k"], slices=9).collect()
     want = {}
     for k, s in sorted(data, key=lambda t: t[1]):
         want.setdefault(k, []).append(s)
-    assert sorted((r.k, r.seq, r.rn) for r in got) == sorted((k, s, i + 1) for k, ss in want.items() for i, s in enumerate(ss))
-    overall = ranking.row_numbers(df, "seq", slice_rows=50).collect()
+    assert {(r.k, r.seq, r.rn) for r in got} == {(k, s, i + 1) for k, ss in want.items() for i, s in enumerate(ss)}
+    assert len(got) == 500
+    overall = ranking.row_numbers(df, "seq", slices=7).collect()
     assert sorted(r.rn for r in overall) == list(range(1, 501))
     assert [r.seq for r in sorted(overall, key=lambda r: r.rn)] == sorted(s for _, s in data)
 

@@ -25,7 +25,7 @@ def plans(monkeypatch):
         return original(df, name)
 
     original = session.materialize
-    for module in ("plans.adapter", "plans.queries", "operators.similarity", "operators.clusters", "operators.interference"):
+    for module in ("plans.adapter", "plans.queries", "operators.similarity", "operators.clusters", "operators.interference", "operators.ranking"):
         monkeypatch.setattr(f"dnslens.{module}.materialize", record)
     return seen
 
