@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, language
+from . import fingerprints, host_rules, language, mixing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.quality(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -62,9 +66,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.Mix(table(spark, sf_dir, "documents"))
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_fingerprints": op2_fingerprints,
     "op3_host_rules": op3_host_rules,
     "op8_language": op8_language,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_host_rules": OP3_SQL}
