@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, host_rules, language, mixing
+from . import fingerprints, host_rules, language, mixing, packing, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +63,23 @@ FROM based JOIN rates ON based.source IS NOT DISTINCT FROM rates.source
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS digest FROM pages
+), grouped AS (
+  SELECT page_id, octet_length(body) AS n, digest, max(page_id) OVER (PARTITION BY digest) AS winner FROM payloads
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> winner THEN winner END AS refers_to
+FROM grouped
+"""
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -71,11 +89,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.window_pieces(table(spark, sf_dir, "documents"))
+    placed = packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_host_rules": op3_host_rules,
+    "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_host_rules": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_host_rules": OP3_SQL, "op7_warc": OP7_SQL}
