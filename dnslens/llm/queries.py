@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, host_rules, language, mixing, packing, warc
+from . import fingerprints, host_rules, language, lm_scoring, mixing, packing, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,37 @@ FROM based JOIN rates ON based.source IS NOT DISTINCT FROM rates.source
 """
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return scored.withColumn("log_score", F.round("log_score", 4))
+
+
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), tokens AS (
+  SELECT doc_id, i, w[i] AS w, w[i - 1] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)
+), counted AS (
+  SELECT doc_id, i, w, c,
+         count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS f_w,
+         CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY c, w) - count(*) OVER (PARTITION BY doc_id, c, w)
+              ELSE 0 END AS f_cw
+  FROM tokens
+), sizes AS (
+  SELECT doc_id, len(w) AS n, sum(len(w)) OVER () AS total FROM words
+), scored AS (
+  SELECT doc_id, f_cw = 0 AND i > 1 AS back,
+         CASE WHEN f_cw > 0 THEN ln(f_cw / lag(f_w) OVER (PARTITION BY doc_id ORDER BY i))
+              WHEN f_w > 0 THEN ln(0.4) + ln(f_w / (total - n))
+              ELSE 2 * ln(0.4) - ln(total - n + 1.0) END AS score
+  FROM counted JOIN sizes USING (doc_id)
+)
+SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_words, CAST(coalesce(sum(back::INT), 0) AS BIGINT) AS n_backed_off,
+       round(coalesce(sum(score), 0), 4) AS log_score
+FROM sizes LEFT JOIN scored USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -98,10 +129,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_host_rules": op3_host_rules,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_host_rules": OP3_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_host_rules": OP3_SQL, "op5_lm_scoring": OP5_SQL, "op7_warc": OP7_SQL}
