@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, host_rules, language, lm_scoring, mixing, packing, warc
+from . import (
+    fingerprints,
+    fuzzy_lines,
+    host_rules,
+    language,
+    lm_scoring,
+    mixing,
+    packing,
+    shingle_join,
+    warc,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +73,12 @@ FROM based JOIN rates ON based.source IS NOT DISTINCT FROM rates.source
 """
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fuzzy_lines.without_repeated_lines(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return cut.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_removed", kept)
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.score(table(spark, sf_dir, "documents"))
     return scored.withColumn("log_score", F.round("log_score", 4))
@@ -94,6 +110,11 @@ FROM sizes LEFT JOIN scored USING (doc_id) GROUP BY doc_id
 """
 
 
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -129,7 +150,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_host_rules": op3_host_rules,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_shingle_join": op6_shingle_join,
     "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
