@@ -16,6 +16,7 @@ from . import (
     mixing,
     packing,
     shingle_join,
+    suffix_dedup,
     warc,
 )
 from .common import table
@@ -23,6 +24,10 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
@@ -148,6 +153,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_fingerprints": op2_fingerprints,
     "op3_host_rules": op3_host_rules,
     "op4_fuzzy_lines": op4_fuzzy_lines,
