@@ -34,12 +34,15 @@ def _exact_lane(digest: Column, i: int) -> Column:
     return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
 
 
-def shingles(paragraph: Column) -> Column:
-    """Hashes of all runs of five words in a paragraph; fewer words count as one run."""
-    words = F.filter(F.split(paragraph, BLANKS), lambda w: w != "")
-    last = F.greatest(F.size(words) - SHINGLE + 1, F.least(F.size(words), F.lit(1)))
-    starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+def shingles(words: str) -> Column:
+    """Hashes of all runs of five in a column of word hashes; fewer words count as one run.
+
+    The column must be one of a projection of its own: an expression would be made anew for every run.
+    """
+    run = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)])
+    last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), run)).otherwise(none)
 
 
 def lane_sums() -> list[Column]:
@@ -98,7 +101,9 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     words: its lanes come from one empty paragraph. Shingles are made and counted where the texts lie.
     """
     lines = texts.select(*keys, F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line"))
-    hashed = lines.select(*keys, F.sha2("line", 512).alias("digest"), shingles(F.col("line")).alias("found"))
+    words = F.transform(F.filter(F.split("line", BLANKS), lambda w: w != ""), lambda w: F.xxhash64(w))
+    hashed = lines.select(*keys, F.sha2("line", 512).alias("digest"), words.alias("words"))
+    hashed = hashed.select(*keys, "digest", shingles("words").alias("found"))
     rows = hashed.select(*keys, "digest", F.posexplode_outer("found").alias("at", "shingle"))
     first = F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, F.col("digest"))
     sums = rows.select(*keys, first.alias("digest"), "shingle").groupBy(*keys).agg(*lane_sums())
@@ -163,11 +168,14 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     text counts as empty; an only document is its own next. An empty table gives an empty result.
     """
     beside = with_next(docs)
-    row = ["slice", "guard", "key", "tie", "doc_id", "n_chars", "edited_sha256", "turn"]
+    digest = [f"sha{i}" for i in range(4)]  # as numbers, which are cheaper to group by than text
+    row = ["slice", "guard", "turn", "doc_id", "n_chars", *digest]
     edited = edited_text(F.col("text"), F.coalesce("next_text", F.lit("")))
     order = Window.partitionBy("slice").orderBy("guard", F.desc("key"), "tie")
     both = beside.withColumn("turn", F.row_number().over(order)).withColumn("edited", edited)
-    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
+    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("sha", F.sha2("edited", 256))
+    parts = {c: F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long") for i, c in enumerate(digest)}
+    both = both.withColumns(parts)
     kinds = F.array(
         F.struct(F.lit(False).alias("changed"), F.col("text").alias("body")),
         F.struct(F.lit(True).alias("changed"), F.col("edited").alias("body")),
@@ -183,7 +191,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     by_turn = Window.partitionBy("slice").orderBy("turn")
     lanes = lanes.withColumn("next", F.lead("own").over(by_turn)).withColumn("next_n", F.lead("own_n").over(by_turn))
     return lanes.filter("not guard").select(
-        "doc_id", "n_chars", "edited_sha256",
+        "doc_id", "n_chars", F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in digest]).alias("edited_sha256"),
         as_text(F.col("own")).alias("fingerprint"), as_text(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("own_n"), F.col("new"), F.col("new_n")).alias("near_edited"),
         likeness(F.col("own"), F.col("own_n"), F.col("next"), F.col("next_n")).alias("near_next"),

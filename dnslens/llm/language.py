@@ -30,6 +30,7 @@ LANDMARKS = 256
 RIDGE = 0.1
 ROWS = 64
 UNKNOWN = "und"
+MIN_SCORE = 0.1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +91,10 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int
     """
     able = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     keyed = able.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(8)).alias("pick"))
+    # First thin every language to a few times its part, so that the ranking below sorts as little at any size.
+    sizes = stored(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    draw = F.pmod("pick", F.lit(1 << 32)) / float(1 << 32)
+    keyed = keyed.join(sizes, "lang").filter(draw * F.col("n") <= 4 * per_language + 100).drop("n")
     first = Window.partitionBy("lang").orderBy("pick", "doc_id")
     ranked = keyed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language)
     chosen = stored(ranked.orderBy("rank", "lang").limit(rows).select("doc_id", "rank"), "lang-sample")
@@ -107,6 +112,27 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int
     return packed.orderBy("rank", "lang", "bits").limit(rows)
 
 
+class Model:
+    """A fitted table; ``None`` names nothing."""
+
+    def __init__(self, sample: list):
+        self.names, self.weights = fit([bytes(r.bits) for r in sample], [r.lang for r in sample]) if sample else ([], None)
+
+    def classify(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of each text, in matrix products of ``ROWS`` texts."""
+        label, best = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+        able = [i for i, t in enumerate(texts) if self.names and has_letter(t)]
+        flags = np.empty((min(ROWS, len(able)), PLACES), dtype=np.uint8)
+        for i in range(0, len(able), ROWS):
+            rows = able[i : i + ROWS]
+            flags[:] = 0
+            seen = presence([texts[r] for r in rows], flags[: len(rows)]).astype(np.float32)
+            value = (seen @ self.weights) / np.sqrt(seen.sum(axis=1))[:, None]
+            label[rows] = np.array(self.names, dtype=object)[value.argmax(axis=1)]
+            best[rows] = np.clip(value.max(axis=1), 0, 1)
+        return label, best
+
+
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``, a row for each input row; texts are scored whole.
 
@@ -116,22 +142,11 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMP
     size (``training_sample``) whose bitmaps, 8 KB a row, come to the driver. An empty table
     gives an empty result; columns other than ``doc_id, text, lang`` are not read.
     """
-    sample = training_sample(docs, per_language, rows).collect()
-    names, weights = fit([bytes(r.bits) for r in sample], [r.lang for r in sample]) if sample else ([], None)
+    model = Model(training_sample(docs, per_language, rows).collect())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros((ROWS, PLACES), dtype=np.uint8)
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            texts = batch.column("text").to_pylist()
-            able = np.array([bool(names) and has_letter(t) for t in texts], dtype=bool)
-            label, best = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
-            if able.any():
-                flags[:] = 0
-                seen = presence([t for t, a in zip(texts, able) if a], flags[: able.sum()])
-                seen = seen.astype(np.float32)
-                value = (seen @ weights) / np.sqrt(seen.sum(axis=1))[:, None]
-                label[able] = np.array(names, dtype=object)[value.argmax(axis=1)]
-                best[able] = np.clip(value.max(axis=1), 0, 1)
+        for batch in batches:
+            label, best = model.classify(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(label, pa.string()), pa.array(best)],
                 names=["doc_id", "held_out", "lang_pred", "score"],
@@ -139,3 +154,20 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMP
 
     rows_in = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     return rows_in.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` in a language that was recognised, all columns as they are.
+
+    Rejected are texts without a letter and those that fit no language (a score under ``min_score``);
+    a short clean text scores well above it.
+    """
+    model = Model(training_sample(docs).collect())
+    text = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, best = model.classify(batch.column(text).to_pylist())
+            yield batch.filter(pa.array((label != UNKNOWN) & (best >= min_score)))
+
+    return docs.mapInArrow(keep, docs.schema)
