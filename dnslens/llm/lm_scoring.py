@@ -41,11 +41,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Small numbers in few bytes: their bytes place by place, compressed."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+
+
 def blocks(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """One row for up to ``rows`` documents: ids, sizes, word numbers, hashes of the words."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
         number = TaskContext.get().partitionId() << 32
         for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
             seen: dict[bytes, int] = {}
@@ -58,7 +69,7 @@ def blocks(docs: DataFrame, rows: int = ROWS) -> DataFrame:
             words = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
             cells = [
                 [number], [len(words)], [batch.column("doc_id").to_pylist()], [np.array(sizes, np.int64).tobytes()],
-                [packer.compress(words.tobytes())], [hashes.tobytes()],
+                [packed(words)], [hashes.tobytes()],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, BLOCK)], schema=BLOCK)
             number += 1
@@ -72,7 +83,7 @@ class Grams:
 
     def __init__(self, sizes: bytes, words: bytes, vocabulary: bytes, order: int):
         self.sizes = np.frombuffer(sizes, np.int64)
-        self.words = np.frombuffer(zstandard.ZstdDecompressor().decompress(words), np.uint32).astype(np.int64)
+        self.words = unpacked(words, np.uint32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         starts = np.cumsum(self.sizes) - self.sizes
         self.at = np.arange(len(self.words)) - starts[self.doc]  # place of a word in its document
@@ -96,9 +107,10 @@ class Grams:
         self.all_counts = np.concatenate(self.counts).astype(np.uint32)
 
     def parts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the distinct keys by partition of the count table, and where each partition ends."""
-        part = ((self.all_keys >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
-        return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=n))
+        """Ascending order of the distinct keys, and where each of ``n`` ranges of them ends."""
+        places = np.argsort(self.all_keys)
+        part = ((self.all_keys[places] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        return places, np.cumsum(np.bincount(part, minlength=n))
 
     def own(self, n: int) -> np.ndarray:
         """For each place, how often its document has the n-gram that ends there."""
@@ -162,16 +174,17 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 cut = [slice(a, b) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
                 yield pd.DataFrame({
                     "part": np.arange(parts, dtype=np.int32), "block": row.block,
-                    "keys": [keys[c].tobytes() for c in cut], "counts": [counts[c].tobytes() for c in cut],
+                    "keys": [packed(np.diff(keys[c], prepend=np.uint64(0))) for c in cut],
+                    "counts": [packed(counts[c]) for c in cut],
                 })
 
     def add_up(asked: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(asked["keys"]), np.uint64)
-        counts = np.frombuffer(b"".join(asked["counts"]), np.uint32)
-        _, inverse = np.unique(keys, return_inverse=True)
-        totals = np.bincount(inverse, counts)[inverse].astype(np.uint64) if len(keys) else np.zeros(0, np.uint64)
-        ends = np.cumsum([len(k) // 8 for k in asked["keys"]])
-        answers = [totals[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
+        every = [np.cumsum(unpacked(k, np.uint64), dtype=np.uint64) for k in asked["keys"]]
+        counts = np.concatenate([unpacked(c, np.uint32) for c in asked["counts"]])
+        _, inverse = np.unique(np.concatenate(every), return_inverse=True)
+        totals = np.bincount(inverse, counts)[inverse].astype(np.uint64) if len(counts) else np.zeros(0, np.uint64)
+        ends = np.cumsum([len(k) for k in every])
+        answers = [packed(totals[a:b]) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
         return pd.DataFrame({"block": asked["block"], "part": asked["part"], "totals": answers})
 
     def answer(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +193,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         places, _ = grams.parts(parts)
         totals = np.empty(len(places), np.int64)
         ordered = answers.sort_values("part")["totals"]
-        totals[places] = np.frombuffer(b"".join(ordered), np.uint64).astype(np.int64)
+        totals[places] = np.concatenate([unpacked(t, np.uint64) for t in ordered]).astype(np.int64)
         logs, back = score_block(grams, totals, n_tokens, order)
         return pd.DataFrame({
             "doc_id": pd.array([None if pd.isna(x) else int(x) for x in row.doc_ids], dtype="Int64"),
