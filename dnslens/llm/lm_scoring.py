@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, stored
+from .common import n_words, spread
 
 ORDER = 2
 BACKOFF = 0.4
@@ -30,8 +30,8 @@ ROWS = 2000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCK = pa.schema(
-    [("block", pa.int64()), ("tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()),
-     ("words", pa.binary()), ("vocabulary", pa.binary())]
+    [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()),
+     ("vocabulary", pa.binary())]
 )
 SCORE = "doc_id long, n_words long, n_backed_off long, log_score double"
 
@@ -68,13 +68,13 @@ def blocks(docs: DataFrame, rows: int = ROWS) -> DataFrame:
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in seen], dtype=np.uint64)
             words = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
             cells = [
-                [number], [len(words)], [batch.column("doc_id").to_pylist()], [np.array(sizes, np.int64).tobytes()],
+                [number], [batch.column("doc_id").to_pylist()], [np.array(sizes, np.int64).tobytes()],
                 [packed(words)], [hashes.tobytes()],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, BLOCK)], schema=BLOCK)
             number += 1
 
-    schema = "block long, tokens long, doc_ids array<long>, sizes binary, words binary, vocabulary binary"
+    schema = "block long, doc_ids array<long>, sizes binary, words binary, vocabulary binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema)
 
 
@@ -162,8 +162,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = spread(spark, 2)
-    held = stored(blocks(docs), "blocks")
-    n_tokens = held.agg(F.sum("tokens").alias("n")).first().n or 0
+    n_tokens = docs.agg(F.sum(n_words("text")).alias("n")).first().n or 0
+    # Both readers take all columns, so that the blocks are made and dealt out once.
+    held = blocks(docs).repartition(spread(spark), "block")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,8 +201,6 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             "n_words": grams.sizes, "n_backed_off": back, "log_score": logs,
         })
 
-    asked = held.select("block", "sizes", "words", "vocabulary").mapInPandas(
-        ask, "part int, block long, keys binary, counts binary"
-    )
+    asked = held.mapInPandas(ask, "part int, block long, keys binary, counts binary")
     answers = asked.groupBy("part").applyInPandas(add_up, "block long, part int, totals binary")
     return held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(answer, SCORE)
