@@ -29,6 +29,7 @@ WINDOW = 100
 GRAM = 40
 SPAN = WINDOW - GRAM  # a window's anchor is 0 to SPAN bytes after its start
 SEGMENT = 1 << 20
+NO_ID = (1 << 63) - 1  # stands for a null id
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
@@ -322,22 +323,23 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     of the same id and text are one document and have the same result; of the same id and different
     texts, they are ordered by a hash of the text. An empty table gives an empty result.
     """
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), F.xxhash64("text").alias("tie"), "text")
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select(did.alias("did"), F.xxhash64("text").alias("tie"), "text")
     hashes = stored(rows.select("did", "tie", F.xxhash64(F.lit(1), "text").alias("more"), F.octet_length("text").alias("size")), "hashes")
     text = ["tie", "more", "size"]
     first = hashes.groupBy(*text).agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     copies = hashes.join(first, text).filter(f"did > first and size >= {WINDOW}").select("did", "tie").distinct()
     copies = stored(copies, "copies")
 
-    alone = rows.select("did", "tie", "text").join(bounded(copies), ["did", "tie"], "left_anti")
+    alone = rows.join(bounded(copies), ["did", "tie"], "left_anti")
     anchors = alone.mapInArrow(_anchors, "gram long, did long, tie long, place long")
     often = anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("n > 1").drop("n")
     often = stored(often, "anchors")
 
+    # Read twice with the same columns, so that texts are dealt out once.
     dealt = rows.repartition(spread(docs.sparkSession), "did", "tie")
     runs = often.groupBy("did", "tie").agg(F.collect_list(F.struct("gram", "place")).alias("runs"))
-    near = dealt.select("did", "tie", "text").join(runs, ["did", "tie"]).mapInArrow(
+    near = dealt.join(runs, ["did", "tie"]).mapInArrow(
         _contexts, "gram long, did long, tie long, at long, left int, right int, around binary"
     )
     deal = F.pmod("gram", F.lit(spread(docs.sparkSession, 4))).alias("deal")
@@ -347,4 +349,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spans = spans.groupBy("did", "tie").agg(F.collect_set(F.struct("span_from", "span_to")).alias("spans"))
     copied = copies.withColumn("is_copy", F.lit(True))
     joined = dealt.join(spans, ["did", "tie"], "left").join(copied, ["did", "tie"], "left")
-    return joined.select("doc_id", "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "spans").mapInArrow(_cut, KEPT)
+    doc_id = F.nullif(F.col("did"), F.lit(NO_ID)).alias("doc_id")
+    return joined.select(doc_id, "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "spans").mapInArrow(_cut, KEPT)
