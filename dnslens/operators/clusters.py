@@ -72,7 +72,7 @@ def pivot_clusters(domains: DataFrame, edges: DataFrame, seed: int = 0) -> DataF
     linked to a pivot follow it. This equals visiting the domains one by one in priority
     order, in about log(n) rounds.
     """
-    prio = F.struct(F.xxhash64("domain", F.lit(seed)).alias("h"), F.col("domain").alias("d"))
+    prio = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), "domain")).alias("h"), F.col("domain").alias("d"))
     links = materialize(_both_ways(edges), "links")
     open_ = materialize(domains.select("domain", prio.alias("prio")).distinct(), "open")
     pivots = None
@@ -111,39 +111,30 @@ def number_clusters(members: DataFrame) -> DataFrame:
 
 
 def correlation_cluster(
-    domains: DataFrame, sim: DataFrame, max_component: int = 2000, seed: int = 0
+    domains: DataFrame, sim: DataFrame, method: str = "pivot", seed: int = 0
 ) -> DataFrame:
     """Correlation clustering with log-odds weights: ``domain, cluster_id``.
 
-    Domains of different positive-edge components repel each other, so each component is
-    clustered alone: by VOTE up to ``max_component`` domains (its pairwise weights fit one
-    task), and by distributed pivot rounds beyond. Every domain ends in one cluster.
+    ``pivot`` (seeded, distributed) takes any size. ``vote`` weighs all pairs of a component of
+    positive edges, which then has to fit one task; components repel each other, so each
+    is clustered alone. The caller chooses; sizes never do. Every domain ends in one cluster.
     """
+    if method not in ("pivot", "vote"):
+        raise ValueError(f"method is pivot or vote, not {method!r}")
     sim = materialize(sim.select("a", "b", "sim"), "sim")
-    attract = sim.filter("sim > 0.5")
-    state = connected_components(domains, attract)
-    sizes = state.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    state = materialize(state.join(sizes, "component"), "sized")
-    small = state.filter((F.col("size") > 1) & (F.col("size") <= max_component))
-    large = state.filter(F.col("size") > max_component)
-    alone = state.filter("size = 1").select("domain", F.col("domain").alias("leader"))
-
-    def inside(pairs: DataFrame, part: DataFrame) -> DataFrame:
-        left = part.select(F.col("domain").alias("a"), F.col("component").alias("ca"))
-        right = part.select(F.col("domain").alias("b"), F.col("component").alias("cb"))
-        return pairs.join(left, "a").join(right, "b").filter("ca = cb").drop("cb")
-
+    attract = sim.filter("sim > 0.5").select("a", "b")
+    if method == "pivot":
+        return number_clusters(materialize(pivot_clusters(domains, attract, seed), "members"))
+    state = materialize(connected_components(domains, attract), "components")
+    left = state.select(F.col("domain").alias("a"), F.col("component").alias("ca"))
+    right = state.select(F.col("domain").alias("b"), F.col("component").alias("cb"))
+    inside = sim.join(left, "a").join(right, "b").filter("ca = cb").drop("cb")
     voted = (
-        small.groupBy("component")
-        .cogroup(inside(sim, small).groupBy("ca"))
+        state.groupBy("component")
+        .cogroup(inside.groupBy("ca"))
         .applyInPandas(_vote, "domain string, leader string")
     )
-    members = alone.unionByName(voted)
-    if large.take(1):
-        members = members.unionByName(
-            pivot_clusters(large, inside(attract, large).select("a", "b"), seed)
-        )
-    return number_clusters(materialize(members, "members"))
+    return number_clusters(materialize(voted, "members"))
 
 
 def domain_cluster_map(clusters: DataFrame) -> DataFrame:

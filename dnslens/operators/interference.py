@@ -226,13 +226,14 @@ def local_resolutions(obs: DataFrame, asn_country: DataFrame, country: str) -> D
     return sums.filter(F.col("reserved") * 4 > F.col("public"))
 
 
-def resolution_underflow(obs: DataFrame, asn_country: DataFrame) -> DataFrame:
+def resolution_underflow(obs: DataFrame, asn_country: DataFrame, domains: DataFrame) -> DataFrame:
     """Domains a country answers mostly empty and less often than its average domain.
 
-    The average runs over all domains of the run. A domain a country never saw adds nothing
-    to it and cannot be reported, so only the seen ones are held.
+    The average runs over all ``domains`` of the run, also those that nobody answered for. A
+    domain a country never saw adds nothing to it and cannot be reported, so only the seen
+    ones are held.
     """
-    domains = obs.agg(F.count_distinct("domain").alias("d")).scalar()
+    domains = domains.agg(F.count_distinct("domain").alias("d")).scalar()
     empty = F.col("answer_ip").isNull()
     sums = (
         observations_by_country(obs, asn_country)

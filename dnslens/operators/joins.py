@@ -22,14 +22,15 @@ def lpm_table(
     networks (at most 2**24 by default) and is an equi-join on (length, base).
     """
     nets = ips.select(prefix(ip, max_len).alias("_net")).filter("_net is not null").distinct()
-    lengths = F.explode(F.sequence(F.lit(min_len), F.lit(max_len))).alias("prefix_len")
-    size = F.lit(2).cast("bigint") ** (32 - F.col("prefix_len"))
-    candidates = nets.select("_net", lengths).withColumn(
-        "network", F.col("_net") - F.col("_net") % size.cast("bigint")
-    )
     routes = prefixes.filter(F.col("prefix_len").between(min_len, max_len)).select(
         "network", "prefix_len", "asn"
     )
+    # Only lengths that occur are tried.
+    lengths = routes.agg(F.array_sort(F.collect_set("prefix_len")).alias("l")).scalar()
+    size = F.lit(2).cast("bigint") ** (32 - F.col("prefix_len"))
+    candidates = nets.select("_net", F.explode(lengths).alias("prefix_len")).withColumn(
+        "network", F.col("_net") - F.col("_net") % size.cast("bigint")
+    )
     # Length and 32-bit ASN packed into one bigint keep this a hash aggregation.
     best = F.max(F.shiftleft(F.col("prefix_len").cast("bigint"), 32).bitwiseOR(F.col("asn")))
     return (
@@ -48,9 +49,13 @@ def lpm_join(
     min_len: int = 9,
     max_len: int = 24,
 ) -> DataFrame:
-    """Add the ASN announcing ``ip``; NULL where no prefix covers it."""
+    """Add the ASN announcing ``ip``; NULL where no prefix covers it.
+
+    Rows without an address match nothing; they get negative keys that spread them out.
+    """
     table = lpm_table(df, prefixes, ip, min_len, max_len).withColumnRenamed("asn", out)
-    keyed = df.withColumn("_net", prefix(ip, max_len))
+    nowhere = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
+    keyed = df.withColumn("_net", F.coalesce(prefix(ip, max_len), nowhere))
     return keyed.join(table, "_net", "left").drop("_net")
 
 

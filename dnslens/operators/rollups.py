@@ -10,33 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dns import decode_dns_responses
-from ..functions.ip import class_c, format_ip, ip_to_long
+from ..functions.ip import class_c, ip_to_long
+from ..session import materialize
 from .filters import usable_answers
 from .joins import country_of_asn, lpm_join
 
 _SALTS = 16
+_BROADCAST_RESOLVERS = 4_000_000  # two bigints each, some 100 MB as a hash table
 
 
 def with_resolver_asn(scan: DataFrame, prefixes: DataFrame, whitelist: DataFrame | None = None):
-    """Add the ASN of ``resolver_ip`` (dotted text), keeping listed resolvers only.
-
-    With a whitelist (``ip``) the ASN is looked up for the listed resolvers, and one join on
-    the text both filters and enriches the far larger scan, before any packet is decoded.
-    """
+    """Add the ASN of ``resolver_ip`` (dotted text), keeping listed resolvers (``ip``) only."""
+    parsed = scan.withColumn("_resolver", ip_to_long("resolver_ip"))
     if whitelist is None:
-        parsed = scan.withColumn("_resolver", ip_to_long("resolver_ip"))
         return lpm_join(parsed, prefixes, "_resolver", "resolver_asn").drop("_resolver")
+    return parsed.join(_listed(prefixes, whitelist), "_resolver").drop("_resolver")
+
+
+def _listed(prefixes: DataFrame, whitelist: DataFrame) -> DataFrame:
     listed = lpm_join(whitelist.select("ip").distinct(), prefixes, "ip", "resolver_asn")
-    return scan.join(listed.select(format_ip("ip").alias("resolver_ip"), "resolver_asn"), "resolver_ip")
+    return listed.select(F.col("ip").alias("_resolver"), "resolver_asn")
 
 
-def aggregate_responses(scan: DataFrame, shard_domains: DataFrame) -> DataFrame:
-    """Responses to counts: ``failed, domain, resolver_asn, answer_ip, n``.
+def _decoded(scan: DataFrame, origin: str) -> DataFrame:
+    """Packets to ``shard, failed, domain, <origin>, answer_ip, n``, added up map-side first.
 
-    ``scan`` holds ``shard, domain (asked), resolver_asn, data_hex``. Every A record
-    counts once for the name in the packet, if that name belongs to the shard; a response
-    without A records counts as empty; an undecodable one as failed for the asked domain.
-    Decoding and counting happen once for both kinds of row.
+    Every A record counts once for the name in the packet; a response without A records counts
+    as empty; an undecodable one as failed for the asked domain.
     """
     d = scan.withColumn("d", decode_dns_responses("data_hex"))
     bad = ~F.col("d.ok") | F.col("d.qname").isNull()
@@ -44,20 +44,49 @@ def aggregate_responses(scan: DataFrame, shard_domains: DataFrame) -> DataFrame:
         "shard",
         bad.alias("failed"),
         F.when(bad, F.lower("domain")).otherwise(F.col("d.qname")).alias("domain"),
-        F.when(~bad, F.col("resolver_asn")).alias("resolver_asn"),
+        origin,
         F.explode_outer(F.when(~bad, F.col("d.a_records"))).alias("answer_ip"),
     )
-    counts = rows.groupBy("shard", "failed", "domain", "resolver_asn", "answer_ip").agg(
+    return rows.groupBy("shard", "failed", "domain", origin, "answer_ip").agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+def _of_shards(counts: DataFrame, shard_domains: DataFrame) -> DataFrame:
     names = shard_domains.select("shard", F.lower("domain").alias("domain")).distinct()
+    asn = F.when(~F.col("failed"), F.col("resolver_asn")).alias("resolver_asn")
     return (
         counts.join(names, ["shard", "domain"], "left_semi")
-        .groupBy("failed", "domain", "resolver_asn", "answer_ip")
+        .groupBy("failed", "domain", asn, "answer_ip")
         .agg(F.sum("n").alias("n"))
     )
 
 
+def aggregate_responses(scan: DataFrame, shard_domains: DataFrame) -> DataFrame:
+    """Responses to counts: ``failed, domain, resolver_asn, answer_ip, n``.
+
+    ``scan`` holds ``shard, domain (asked), resolver_asn, data_hex``. Names outside the
+    shard's list fall away. Decoding and counting happen once for both kinds of row.
+    """
+    return _of_shards(_decoded(scan, "resolver_asn"), shard_domains)
+
+
+def aggregate_listed_responses(
+    scan: DataFrame, shard_domains: DataFrame, prefixes: DataFrame, whitelist: DataFrame
+) -> DataFrame:
+    """``aggregate_responses`` over the responses of listed resolvers (``ip``, uint32).
+
+    Packets never move. A list of proven size is broadcast with its ASNs, two numbers a
+    resolver, and filters the scan before anything is decoded. Beyond that size the packets are decoded
+    and added up by resolver where they lie, and only the counts meet the list.
+    """
+    listed = materialize(_listed(prefixes, whitelist), "listed")
+    keyed = scan.withColumn("_resolver", ip_to_long("resolver_ip"))
+    if listed.count() <= _BROADCAST_RESOLVERS:
+        return aggregate_responses(keyed.join(F.broadcast(listed), "_resolver"), shard_domains)
+    return _of_shards(_decoded(keyed, "_resolver").join(listed, "_resolver"), shard_domains)
+
+
 def observations_of(counts: DataFrame) -> DataFrame:
     return counts.filter(~F.col("failed")).drop("failed")
 

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.ip import is_reserved
 from .pairs import Grid, grid_for, neighbour_mass
 
-_ALLOWED = re.compile(r"^(?:\s|\d+(?:\.\d+)?|\bn\b|\bm\b|[-+*/%(),])*$")
+# Possessive, so that a text that does not fit is refused in one pass.
+_ALLOWED = re.compile(r"(?:\s|\d++(?:\.\d++)?+|\bn\b|\bm\b|[-+*/%(),])*+")
 
 
 def user_threshold_expression(text: str) -> Column:
     """Arithmetic over ``n`` and ``m`` given by a user, e.g. ``n / 2`` or ``(n + m) * 0.1``."""
-    if not text.strip() or not _ALLOWED.match(text):
+    if not text.strip() or not _ALLOWED.fullmatch(text):
         raise ValueError(f"only numbers, n, m, + - * / % and parentheses are allowed: {text!r}")
     return F.expr(text)
 

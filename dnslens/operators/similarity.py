@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,20 +83,26 @@ def reweight_networks(
     return scored.unionByName(reserved)
 
 
-def iterate_similarity(
+def similarity_rounds(
     net_domain: DataFrame, rounds: int = 6
-) -> tuple[DataFrame, DataFrame | None]:
-    """First similarity, then ``rounds`` times reweight and recompute.
+) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """The first similarity, then that of each round with the weights it was computed with.
 
     Every round is one job whose result is written to the shared folder, so the plan does
-    not grow with rounds and a lost executor only repeats the current one. Returns the last
-    similarity and the weights it was computed with.
+    not grow with rounds and a lost executor only repeats the current one.
     """
     cells = materialize(net_domain.select("domain", "net", "n"), "cells")
     grid, norms = grid_for(cells), domain_norms(cells)
     sim = materialize(domain_similarity(cells, None, grid, norms), "similarity-0")
-    weights = None
+    yield sim, None
     for r in range(1, rounds + 1):
-        weights = reweight_networks(cells, sim, grid)
+        weights = materialize(reweight_networks(cells, sim, grid), f"weights-{r}")
         sim = materialize(domain_similarity(cells, weights, grid, norms), f"similarity-{r}")
-    return sim, weights
+        yield sim, weights
+
+
+def iterate_similarity(
+    net_domain: DataFrame, rounds: int = 6
+) -> tuple[DataFrame, DataFrame | None]:
+    """The last of ``similarity_rounds``."""
+    return list(similarity_rounds(net_domain, rounds))[-1]

@@ -182,7 +182,7 @@ def _(i: Inputs):
     rows = i.prefixes.select("network", "prefix_len", "asn", F.explode(F.array(F.lit(1), F.lit(0))).alias("old"))
     line = F.concat(
         F.lit('x IN TXT  "'), (F.col("asn") + F.col("old")).cast("string"), F.lit('" "'),
-        ip.format_ip("network"), F.lit('" "'), F.col("prefix_len").cast("string"), F.lit('"'),
+        ip.format_ip(F.col("network") + F.col("asn") % 256), F.lit('" "'), F.col("prefix_len").cast("string"), F.lit('"'),
     )
     ordered = rows.repartition("network", "prefix_len").sortWithinPartitions(
         "network", "prefix_len", F.desc("old")
@@ -564,8 +564,7 @@ def _(i: Inputs):
 )
 def _(i: Inputs):
     whitelist = i.stored_resolvers.filter("ip % 5 <> 0")
-    scan = rollups.with_resolver_asn(_domain_scan(i), i.resolver_prefixes, whitelist)
-    return rollups.aggregate_responses(scan, i.shards)
+    return rollups.aggregate_listed_responses(_domain_scan(i), i.shards, i.resolver_prefixes, whitelist)
 
 
 @query(
@@ -820,35 +819,33 @@ def _(i: Inputs):
     return sim.withColumn("sim", _r6("sim"))
 
 
-# VOTE run over all domains in name order, the list of leaders growing by one per step.
-_VOTE = """
-names AS MATERIALIZED (SELECT list(domain ORDER BY domain) AS d FROM (SELECT DISTINCT domain FROM cells) t),
-odds AS MATERIALIZED (
-SELECT a, b, ln(p / (1 - p)) AS w FROM (
-  SELECT x.domain AS a, y.domain AS b, least(greatest(coalesce(s.sim, 0), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p
-  FROM (SELECT DISTINCT domain FROM cells) x JOIN (SELECT DISTINCT domain FROM cells) y ON x.domain <> y.domain
-  LEFT JOIN full1 s ON s.a = x.domain AND s.b = y.domain) t
+# Pivots one by one in the order of their hashes: a domain linked to no earlier pivot is one.
+_PIVOT = """
+turn AS MATERIALIZED (
+SELECT domain, row_number() OVER (ORDER BY md5('0:' || domain), domain) AS i FROM (SELECT DISTINCT domain FROM cells) t
 ),
-vote AS (
-SELECT 0 AS i, CAST([] AS VARCHAR[]) AS leader
+near AS MATERIALIZED (SELECT a, b FROM full1 WHERE sim > 0.5 UNION ALL SELECT domain, domain FROM turn),
+picked AS (
+SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS pivots
 UNION ALL
-SELECT v.i + 1, list_append(v.leader, coalesce((
-  SELECT m FROM (SELECT v.leader[g.j] AS m, sum(o.w) AS pull FROM generate_series(1, len(n.d)) g(j)
-                 JOIN odds o ON o.a = n.d[v.i + 1] AND o.b = n.d[g.j] WHERE g.j <= v.i GROUP BY 1) q
-  WHERE pull > 0 ORDER BY pull DESC, m LIMIT 1), n.d[v.i + 1]))
-FROM vote v, names n WHERE v.i < len(n.d)
+SELECT v.i + 1, CASE WHEN (SELECT count(*) FROM near WHERE a = t.domain AND list_contains(v.pivots, b)) > 0
+  THEN v.pivots ELSE list_append(v.pivots, t.domain) END
+FROM picked v JOIN turn t ON t.i = v.i + 1
+),
+pivots AS (SELECT unnest(pivots) AS pivot FROM picked WHERE i = (SELECT max(i) FROM turn)),
+placed AS (
+SELECT n.a AS domain, arg_min(n.b, t.i) AS leader FROM near n JOIN pivots p ON p.pivot = n.b JOIN turn t ON t.domain = n.b GROUP BY 1
 ),
-voted AS (SELECT unnest(n.d) AS domain, unnest(v.leader) AS leader FROM vote v, names n WHERE v.i = len(n.d)),
 numbered AS (
-SELECT leader, row_number() OVER (ORDER BY count(*) DESC, min(domain)) - 1 AS cluster_id FROM voted GROUP BY leader
+SELECT leader, row_number() OVER (ORDER BY count(*) DESC, min(domain)) - 1 AS cluster_id FROM placed GROUP BY leader
 )"""
 
 
 @query(
     "correlation_cluster",
-    "SELECT domain, CAST(cluster_id AS INTEGER) AS cluster_id FROM voted JOIN numbered USING (leader)",
+    "SELECT domain, CAST(cluster_id AS INTEGER) AS cluster_id FROM placed JOIN numbered USING (leader)",
     rounds=1,
-    extra=_VOTE.strip(),
+    extra=_PIVOT.strip(),
 )
 def _(i: Inputs):
     cells = _cells(i)
@@ -1111,12 +1108,15 @@ def _(i: Inputs):
 
 @query(
     "resolution_underflow",
-    "SELECT country, domain, answered, empty, round(average, 6) AS average FROM (SELECT *, sum(answered + empty) OVER (PARTITION BY country) / (SELECT count(DISTINCT domain) FROM observations) AS average FROM ("
+    "SELECT country, domain, answered, empty, round(average, 6) AS average FROM (SELECT *, sum(answered + empty) OVER (PARTITION BY country) / (SELECT count(DISTINCT domain) + (SELECT count(DISTINCT p_brand) FROM part) FROM observations) AS average FROM ("
     "SELECT country, domain, CAST(coalesce(sum(n) FILTER (answer_ip IS NOT NULL), 0) AS BIGINT) AS answered, CAST(coalesce(sum(n) FILTER (answer_ip IS NULL), 0) AS BIGINT) AS empty FROM by_country GROUP BY 1, 2) t) u "
     "WHERE answered < average AND empty > answered",
 )
 def _(i: Inputs):
-    return interference.resolution_underflow(i.obs, i.asn_country).withColumn("average", _r6("average"))
+    silent = i.table("part").select(F.concat(F.lit("silent."), "p_brand").alias("domain")).distinct()
+    domains = i.domain_keys.select("domain").unionByName(silent)
+    found = interference.resolution_underflow(i.obs, i.asn_country, domains)
+    return found.withColumn("average", _r6("average"))
 
 
 @query(

@@ -52,10 +52,10 @@ def aggregate(run: Run) -> None:
     """Scans to observations, and those to counts per address and per network."""
     shards = readers.read_shard_domains(run.spark, run.path("zmap"))
     whitelist = readers.read_resolver_list(run.spark, run.path("whitelist.json"), "json")
-    scan = rollups.with_resolver_asn(
-        readers.read_domain_scan(run.spark, run.path("zmap")), run.prefixes(), whitelist
+    scan = readers.read_domain_scan(run.spark, run.path("zmap"))
+    counts = materialize(
+        rollups.aggregate_listed_responses(scan, shards, run.prefixes(), whitelist), "counts"
     )
-    counts = materialize(rollups.aggregate_responses(scan, shards), "counts")
     sinks.write_observations(
         rollups.observations_of(counts), rollups.failures_of(counts), shards, run.path("asn.json")
     )
@@ -73,10 +73,12 @@ def list_addresses(run: Run) -> None:
 def group_domains(run: Run) -> None:
     """Similarity, clusters with their networks, merged clusters, answer scores, country flow."""
     cells = run.stored("net-domain")
-    sim, weights = similarity.iterate_similarity(cells, ROUNDS)
+    rounds = list(similarity.similarity_rounds(cells, ROUNDS))
+    sim, weights = rounds[-1]
     run.store(sim, "similarity")
     run.store(weights, "weights")
-    members = clusters.correlation_cluster(cells.select("domain").distinct(), sim)
+    # Clusters come from the similarity before the last reweighting.
+    members = clusters.correlation_cluster(cells.select("domain").distinct(), rounds[-2][0])
     run.store(members, "clusters")
     members = run.stored("clusters")
     run.store(clusters.cluster_footprint_majority(cells, members), "footprint")
@@ -101,7 +103,8 @@ def find_anomalies(run: Run) -> None:
     interference.drop_ubiquitous_anomalies(found).write.json(run.path("anomalies.json"))
     candidates = interference.block_page_candidates(obs, prefixes, countries)
     run.store(interference.block_page_ips(candidates, obs), "block-pages")
-    run.store(interference.resolution_underflow(obs, countries), "underflow")
+    domains = readers.read_shard_domains(run.spark, run.path("zmap"))
+    run.store(interference.resolution_underflow(obs, countries, domains), "underflow")
 
 
 STAGES = {

@@ -68,14 +68,15 @@ def _shard_name(extension: str) -> Column:
 
 
 def read_shard_domains(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """Domain list of every shard: one JSON array per ``<shard>.json``."""
+    """Domain list of every shard: one JSON array per ``<shard>.json``, names in lower case."""
     text = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .text(path)
         .select(_shard_name("json").alias("shard"), F.from_json("value", "array<string>").alias("d"))
     )
-    return text.select("shard", F.posexplode("d").alias("idx", "domain"))
+    listed = text.select("shard", F.posexplode("d").alias("idx", "domain"))
+    return listed.withColumn("domain", F.lower("domain"))
 
 
 def read_domain_scan(
@@ -198,10 +199,13 @@ def read_favicons(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_origin_prefixes(spark: SparkSession, path: str) -> DataFrame:
-    """BGP origin zone lines to the prefix table; a repeated prefix keeps its last line."""
+    """BGP origin zone lines to the prefix table; a repeated prefix keeps its last line.
+
+    A base inside a /24 stands for that /24.
+    """
     part = [F.regexp_extract("value", ORIGIN_PREFIX, i) for i in (1, 2, 3)]
     rows = _lines(spark, path).select(
-        ip_to_long(part[1]).alias("network"),
+        class_c(ip_to_long(part[1])).alias("network"),
         part[2].try_cast("int").alias("prefix_len"),
         part[0].try_cast("bigint").alias("asn"),
         "seq",

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 from math import log
 
@@ -84,7 +85,8 @@ def test_components_of_a_long_chain(spark):
 @pytest.mark.parametrize("seed", [3, 4])
 def test_vote_in_components_equals_a_global_run(spark, seed):
     names, sim = random_graph(seed)
-    got = clusters.correlation_cluster(domains_frame(spark, names), sim_frame(spark, sim)).collect()
+    df = domains_frame(spark, names)
+    got = clusters.correlation_cluster(df, sim_frame(spark, sim), "vote").collect()
     assert groups(got, "cluster_id") == sequential_vote(names, sim)
     sizes = {}
     for r in got:
@@ -101,7 +103,7 @@ def test_pivot_rounds_equal_a_sequential_run(spark):
         near[a].add(b)
         near[b].add(a)
     df = domains_frame(spark, names)
-    prio = {r.domain: r.h for r in df.selectExpr("domain", "xxhash64(domain, 5) as h").collect()}
+    prio = {n: hashlib.md5(f"5:{n}".encode()).hexdigest() for n in names}
     leader = {}
     for n in sorted(names, key=lambda n: (prio[n], n)):
         if n not in leader:
@@ -112,10 +114,24 @@ def test_pivot_rounds_equal_a_sequential_run(spark):
     assert {r.domain: r.leader for r in got.collect()} == leader
 
 
-def test_large_components_still_place_every_domain(spark):
-    names, sim = random_graph(8, n=40, p=0.15)
-    got = clusters.correlation_cluster(domains_frame(spark, names), sim_frame(spark, sim), max_component=5).collect()
-    assert sorted(r.domain for r in got) == names
+def test_the_method_does_not_depend_on_the_size(spark):
+    """A chain of 2,500 domains in one component gives the clusters of its pivots, as a short one does."""
+    for n in (6, 2500):
+        names = [f"n{i:04}" for i in range(n)]
+        chain = {(a, b): 0.9 for a, b in zip(names, names[1:])}
+        leader = {}
+        for d in sorted(names, key=lambda d: (hashlib.md5(f"0:{d}".encode()).hexdigest(), d)):
+            if d not in leader:
+                at = names.index(d)
+                for m in names[max(0, at - 1) : at + 2]:
+                    leader.setdefault(m, d)
+        got = clusters.correlation_cluster(domains_frame(spark, names), sim_frame(spark, chain)).collect()
+        wanted = {}
+        for d, m in leader.items():
+            wanted.setdefault(m, set()).add(d)
+        assert groups(got, "cluster_id") == sorted(sorted(g) for g in wanted.values())
+    with pytest.raises(ValueError):
+        clusters.correlation_cluster(domains_frame(spark, ["a"]), sim_frame(spark, {("a", "b"): 1.0}), "best")
 
 
 def test_footprints(spark):

@@ -218,8 +218,14 @@ def test_underflow(spark):
     data = []
     for d, n, m in (("a", 1, 9), ("b", 8, 2), ("c", 6, 4)):
         data += [(d, 1, 5, n), (d, 1, None, m)]
-    got = interference.resolution_underflow(frame(spark, data, OBS), frame(spark, [(1, "AA")], COUNTRY))
-    assert rows(got, "country", "domain", "answered", "empty", "average") == [("AA", "a", 1, 9, 10.0)]
+    names = frame(spark, [(d,) for d in "abc"], "domain string")
+    found = lambda names: interference.resolution_underflow(
+        frame(spark, data, OBS), frame(spark, [(1, "AA")], COUNTRY), names
+    )
+    got = rows(found(names), "country", "domain", "answered", "empty", "average")
+    assert got == [("AA", "a", 1, 9, 10.0)]
+    silent = names.unionByName(frame(spark, [(f"silent{i}",) for i in range(27)], "domain string"))
+    assert rows(found(silent), "country", "domain") == []
 
 
 @pytest.mark.parametrize(("tops", "kept"), [("aaabcd", True), ("aaaabc", False)])
