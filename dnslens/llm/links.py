@@ -100,6 +100,8 @@ def spanning(pairs: np.ndarray) -> np.ndarray:
 class Relation:
     """When two bodies are linked. ``prepare`` reads bodies once; ``matches`` compares one with others."""
 
+    tile = TILE  # members a tile
+
     def prepare(self, bodies: list[bytes]):
         raise NotImplementedError
 
@@ -150,7 +152,7 @@ def connect(members: DataFrame, payload: DataFrame, relation: Relation) -> DataF
     differ = star.join(known.filter("not linked"), ["hub", "id"], "left_semi")
     differ = differ.select("group", "id", F.lit(True).alias("flagged"))
     marked = members.join(differ, ["group", "id"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
-    tiled = tiles(stored(marked, "marked"), "group", F.xxhash64("id")).join(payload, "id")
+    tiled = tiles(stored(marked, "marked"), "group", F.xxhash64("id"), relation.tile).join(payload, "id")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["id"].to_numpy()

@@ -63,62 +63,77 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def linked_sizes(common: int, a: int, b: int) -> bool:
+def linked_sizes(common, a, b):
     return 100 * common >= PERCENT * (a + b - common)
 
 
-def bitmap(found: np.ndarray) -> tuple[int, int]:
+def bitmap(found: np.ndarray) -> tuple[int, bytes]:
     """Number of bits, a power of two no less than the set, and the bits of the hashed shingles."""
     bits = max(64, 1 << (len(found) - 1).bit_length())
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(found >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
-    return bits, int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
-
-
-def most_common(a: tuple[int, int, int], b: tuple[int, int, int]) -> int:
-    """Upper bound of the overlap of two sets given as size, number of bits, bits.
-
-    Each bit that only one of them sets is a shingle that the other lacks; a longer bitmap is folded first.
-    """
-    (size_a, bits_a, map_a), (size_b, bits_b, map_b) = a, b
-    while bits_a > bits_b:
-        bits_a //= 2
-        map_a = (map_a >> bits_a) | (map_a & ((1 << bits_a) - 1))
-    while bits_b > bits_a:
-        bits_b //= 2
-        map_b = (map_b >> bits_b) | (map_b & ((1 << bits_b) - 1))
-    both = map_a & map_b
-    return min(size_a - (map_a ^ both).bit_count(), size_b - (map_b ^ both).bit_count())
+    return bits, np.packbits(flags, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of several sets, folded to every length among them, and the bits set in each."""
+
+    def __init__(self, sizes: list[int], bits: list[int], maps: list[bytes]):
+        self.sizes, self.bits = np.array(sizes), np.array(bits)
+        self.words: dict[int, np.ndarray] = {}
+        self.counts: dict[int, np.ndarray] = {}
+        for length in sorted(set(bits)):
+            words = np.zeros((len(maps), length // 64), dtype=np.uint64)
+            for row, (own, data) in enumerate(zip(bits, maps)):
+                if own >= length:  # a longer bitmap is folded: bits at the same place modulo the length meet
+                    words[row] = np.bitwise_or.reduce(np.frombuffer(data, np.uint64).reshape(-1, length // 64), axis=0)
+            self.words[length] = words
+            self.counts[length] = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+    def most_common(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlaps: each bit that only one sets is a shingle that the other lacks."""
+        most = np.zeros(len(others), dtype=np.int64)
+        length = np.minimum(self.bits[one], self.bits[others])
+        for own in np.unique(length):
+            at = np.flatnonzero(length == own)
+            rows, count = others[at], self.counts[own]
+            both = np.bitwise_count(self.words[own][rows] & self.words[own][one]).sum(axis=1, dtype=np.int64)
+            lacked = self.sizes[one] - (count[one] - both)
+            most[at] = np.minimum(lacked, self.sizes[rows] - (count[rows] - both))
+        return most
+
+    def may_link(self, one: int, others: np.ndarray) -> np.ndarray:
+        return linked_sizes(self.most_common(one, others), self.sizes[one], self.sizes[others])
 
 
 class BitmapBound(Relation):
     """Pairs that the bitmaps alone can't rule out. A body is the size, then the bits."""
 
-    def prepare(self, bodies: list[bytes]) -> list[tuple[int, int, int]]:
-        return [
-            (int.from_bytes(b[:8], "little"), 8 * (len(b) - 8), int.from_bytes(b[8:], "little")) for b in map(bytes, bodies)
-        ]
+    tile = 2048
+
+    def prepare(self, bodies: list[bytes]) -> Bitmaps:
+        sizes = [int.from_bytes(b[:8], "little") for b in bodies]
+        return Bitmaps(sizes, [8 * (len(b) - 8) for b in bodies], [bytes(b[8:]) for b in bodies])
 
-    def matches(self, prepared: list, one: int, others: np.ndarray) -> np.ndarray:
-        own = prepared[one]
-        return np.array([linked_sizes(most_common(own, prepared[o]), own[0], prepared[o][0]) for o in others], dtype=bool)
+    def matches(self, prepared: Bitmaps, one: int, others: np.ndarray) -> np.ndarray:
+        return prepared.may_link(one, others)
 
 
 class AlikeSets(Relation):
     """Exact similarity of sorted arrays, after the same bound."""
 
-    def prepare(self, bodies: list[bytes]) -> list[tuple]:
+    def prepare(self, bodies: list[bytes]) -> tuple[Bitmaps, list[np.ndarray]]:
         sets = [np.frombuffer(b, dtype=np.uint64) for b in map(bytes, bodies)]
-        return [(len(s), *bitmap(s), s) for s in sets]
-
-    def matches(self, prepared: list, one: int, others: np.ndarray) -> np.ndarray:
-        *own, found = prepared[one]
-        linked = np.zeros(len(others), dtype=bool)
-        for at, o in enumerate(others):
-            *other, theirs = prepared[o]
-            if linked_sizes(most_common(own, other), own[0], other[0]):
-                common = len(np.intersect1d(found, theirs, assume_unique=True))
-                linked[at] = linked_sizes(common, own[0], other[0])
+        bits, maps = zip(*map(bitmap, sets))
+        return Bitmaps([len(s) for s in sets], list(bits), list(maps)), sets
+
+    def matches(self, prepared: tuple, one: int, others: np.ndarray) -> np.ndarray:
+        bound, sets = prepared
+        linked = bound.may_link(one, others)
+        for at in np.flatnonzero(linked):
+            found, theirs = sets[one], sets[others[at]]
+            common = len(np.intersect1d(found, theirs, assume_unique=True))
+            linked[at] = linked_sizes(common, len(found), len(theirs))
         return linked
 
 
@@ -190,8 +205,7 @@ def bodies(docs: DataFrame, sets: DataFrame, wanted: DataFrame, kind: str) -> Da
             if kind == "set":
                 cells = [s.tobytes() for s in found]
             else:
-                maps = [bitmap(s) for s in found]
-                cells = [len(s).to_bytes(8, "little") + m.to_bytes(b // 8, "little") for s, (b, m) in zip(found, maps)]
+                cells = [len(s).to_bytes(8, "little") + bitmap(s)[1] for s in found]
             ids = pa.array([signature(s) for s in found], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(cells, pa.binary())], names=["id", "body"])
 
