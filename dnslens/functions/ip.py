@@ -8,24 +8,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Address ranges that are never public, as CIDR blocks.
-RESERVED_BLOCKS = """
-224.0.0.0/4
-240.0.0.0/4
-0.0.0.0/8
-10.0.0.0/8
-127.0.0.0/8
-100.64.0.0/10
-172.16.0.0/12
-198.18.0.0/15
-169.254.0.0/16
-192.168.0.0/16
-192.0.0.0/24
-192.0.2.0/24
-192.88.99.0/24
-198.51.100.0/24
-203.0.113.0/24
-255.255.255.255/32
-""".split()
+RESERVED_BLOCKS = (
+    "224.0.0.0/4",
+    "240.0.0.0/4",
+    "0.0.0.0/8",
+    "10.0.0.0/8",
+    "127.0.0.0/8",
+    "100.64.0.0/10",
+    "172.16.0.0/12",
+    "198.18.0.0/15",
+    "169.254.0.0/16",
+    "192.168.0.0/16",
+    "192.0.0.0/24",
+    "192.0.2.0/24",
+    "192.88.99.0/24",
+    "198.51.100.0/24",
+    "203.0.113.0/24",
+    "255.255.255.255/32",
+)
 
 
 def as_col(c: Column | str) -> Column:

@@ -84,7 +84,7 @@ def reweight_networks(
 
 
 def similarity_rounds(
-    net_domain: DataFrame, rounds: int = 6
+    net_domain: DataFrame, rounds: int = 6, grid: Grid | None = None
 ) -> Iterator[tuple[DataFrame, DataFrame | None]]:
     """The first similarity, then that of each round with the weights it was computed with.
 
@@ -92,7 +92,7 @@ def similarity_rounds(
     not grow with rounds and a lost executor only repeats the current one.
     """
     cells = materialize(net_domain.select("domain", "net", "n"), "cells")
-    grid, norms = grid_for(cells), domain_norms(cells)
+    grid, norms = grid or grid_for(cells), domain_norms(cells)
     sim = materialize(domain_similarity(cells, None, grid, norms), "similarity-0")
     yield sim, None
     for r in range(1, rounds + 1):
@@ -102,7 +102,7 @@ def similarity_rounds(
 
 
 def iterate_similarity(
-    net_domain: DataFrame, rounds: int = 6
+    net_domain: DataFrame, rounds: int = 6, grid: Grid | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """The last of ``similarity_rounds``."""
-    return list(similarity_rounds(net_domain, rounds))[-1]
+    return list(similarity_rounds(net_domain, rounds, grid))[-1]

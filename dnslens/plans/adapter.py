@@ -304,7 +304,8 @@ class Inputs:
     def favicons(self) -> DataFrame:
         """Icon fetches: one per address and domain, some refused, missing or wrong."""
         ip, k = F.col("ip"), F.col("k")
-        status = F.when((ip + k) % 17 == 0, -1).when((ip + k) % 19 == 0, 404).otherwise(200)
+        failed = (-1 - ip % 5).cast("int")
+        status = F.when((ip + k) % 17 == 0, failed).when((ip + k) % 19 == 0, 404).otherwise(200)
         served = F.when(ip % 5 == 0, F.concat(F.lit("x"), F.col("host"))).otherwise(F.col("host"))
         pairs = self.obs.filter("answer_ip is not null").select(
             F.col("answer_ip").alias("ip"), F.col("domain").alias("host")

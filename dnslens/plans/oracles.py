@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from ..functions.ip import RESERVED_BLOCKS, _block_range
+# First and last address of the reserved blocks, written out apart from the operator's list.
+RESERVED_RANGES = (
+    (0, 16777215),  # 0.0.0.0/8
+    (167772160, 184549375),  # 10.0.0.0/8
+    (1681915904, 1686110207),  # 100.64.0.0/10
+    (2130706432, 2147483647),  # 127.0.0.0/8
+    (2851995648, 2852061183),  # 169.254.0.0/16
+    (2886729728, 2887778303),  # 172.16.0.0/12
+    (3221225472, 3221225727),  # 192.0.0.0/24
+    (3221225984, 3221226239),  # 192.0.2.0/24
+    (3227017984, 3227018239),  # 192.88.99.0/24
+    (3232235520, 3232301055),  # 192.168.0.0/16
+    (3323068416, 3323199487),  # 198.18.0.0/15
+    (3325256704, 3325256959),  # 198.51.100.0/24
+    (3405803776, 3405804031),  # 203.0.113.0/24
+    (3758096384, 4294967295),  # 224.0.0.0/4 and 240.0.0.0/4
+)
 
 
 def reserved(ip: str) -> str:
     """SQL predicate: address in a reserved block."""
-    tests = (f"{ip} BETWEEN {lo} AND {hi}" for lo, hi in map(_block_range, RESERVED_BLOCKS))
-    return "(" + " OR ".join(tests) + ")"
+    return "(" + " OR ".join(f"{ip} BETWEEN {lo} AND {hi}" for lo, hi in RESERVED_RANGES) + ")"
 
 
 def dotted(ip: str) -> str:
@@ -124,7 +139,7 @@ FROM obs_raw
 favicons AS (
 SELECT ip, host, status, length, CASE WHEN status = 200 THEN md5(CASE WHEN ip % 5 = 0 THEN 'x' || host ELSE host END) ELSE '' END AS hash, 'image/x-icon' AS ctype, seq
 FROM (SELECT DISTINCT answer_ip AS ip, domain AS host, k AS seq, 1000 + k AS length,
-             CASE WHEN (answer_ip + k) % 17 = 0 THEN -1 WHEN (answer_ip + k) % 19 = 0 THEN 404 ELSE 200 END AS status
+             CASE WHEN (answer_ip + k) % 17 = 0 THEN CAST(-1 - answer_ip % 5 AS INTEGER) WHEN (answer_ip + k) % 19 = 0 THEN 404 ELSE 200 END AS status
       FROM obs_raw WHERE answer_ip IS NOT NULL) t
 ),
 favicon_fetches AS (

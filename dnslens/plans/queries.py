@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ REPORT_META = {
     "report_id": "run",
 }
 REPORT_LIMIT = 100
+# The derived domains are few; a fixed grid still takes them through several blocks and buckets.
+GRID = pairs.Grid(blocks=3, buckets=2)
 
 
 def query(name: str, sql: str | None = None, rounds: int = 0, extra: str = ""):
@@ -221,7 +224,8 @@ def _(i: Inputs):
 
 @query(
     "read_http_scans",
-    "SELECT port, mode, count(*) AS n, count(DISTINCT ip) AS ips FROM http_scans WHERE port = 80 GROUP BY 1, 2",
+    "SELECT 'port' AS side, port, mode, count(*) AS n, count(DISTINCT ip) AS ips FROM http_scans GROUP BY 1, 2, 3 "
+    "UNION ALL SELECT 'mode', port, mode, count(*), count(DISTINCT ip) FROM http_scans GROUP BY 1, 2, 3",
 )
 def _(i: Inputs):
     base, manifest = i.scratch("http"), i.scratch("manifest")
@@ -230,8 +234,12 @@ def _(i: Inputs):
     scans.select(name.alias("scan"), ip.format_ip("ip").alias("value")).write.partitionBy("scan").text(base)
     listed = scans.select(F.concat(F.lit("run/"), name).alias("name"), "port", "mode").distinct()
     listed.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(manifest)
-    rows = readers.read_http_scans(i.spark, manifest, base).with_port(80)
-    return rows.groupBy("port", "mode").agg(
+    found = readers.read_http_scans(i.spark, manifest, base)
+    ports = sorted({port for port, _ in HTTP_SCANS})
+    modes = sorted({mode for _, mode in HTTP_SCANS})
+    sides = [found.with_port(p).withColumn("side", F.lit("port")) for p in ports]
+    sides += [found.with_mode(m).withColumn("side", F.lit("mode")) for m in modes]
+    return reduce(DataFrame.unionByName, sides).groupBy("side", "port", "mode").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("ip").alias("ips")
     )
 
@@ -370,7 +378,8 @@ def _(i: Inputs):
 
 @query(
     "favicon_status_label",
-    "SELECT status, CASE WHEN status = -1 THEN 'Could not connect to the server' END AS label, count(*) AS n FROM favicons GROUP BY 1, 2",
+    "SELECT status, CASE status WHEN -1 THEN 'Could not connect to the server' WHEN -2 THEN 'Server refused the connection' "
+    "WHEN -3 THEN 'Connection was reset by peer' WHEN -4 THEN 'Response is not valid HTTP' WHEN -5 THEN 'Unknown error occured' END AS label, count(*) AS n FROM favicons GROUP BY 1, 2",
 )
 def _(i: Inputs):
     return (
@@ -536,7 +545,7 @@ def _(i: Inputs):
     "SELECT a.domain AS a, b.domain AS b, count(*) AS shared FROM cells a JOIN cells b ON a.net = b.net AND a.domain < b.domain GROUP BY 1, 2",
 )
 def _(i: Inputs):
-    return pairs.self_pair_join(materialize(i.net_domain, "cells"))
+    return pairs.self_pair_join(materialize(i.net_domain, "cells"), grid=GRID)
 
 
 @query(
@@ -794,19 +803,19 @@ def _cells(i: Inputs) -> DataFrame:
 
 
 def _similarity(i: Inputs) -> DataFrame:
-    return materialize(similarity.domain_similarity(_cells(i)), "similarity")
+    return materialize(similarity.domain_similarity(_cells(i), grid=GRID), "similarity")
 
 
 @query("domain_similarity", "SELECT a, b, round(sim, 6) AS sim FROM sim0 WHERE sim > 0")
 def _(i: Inputs):
-    return similarity.domain_similarity(_cells(i)).withColumn("sim", _r6("sim"))
+    return similarity.domain_similarity(_cells(i), grid=GRID).withColumn("sim", _r6("sim"))
 
 
 @query("reweight_networks", "SELECT domain, net, round(w, 6) AS w FROM weights1")
 def _(i: Inputs):
     cells = _cells(i)
-    sim = materialize(similarity.domain_similarity(cells), "similarity")
-    return similarity.reweight_networks(cells, sim).withColumn("w", _r6("w"))
+    sim = materialize(similarity.domain_similarity(cells, grid=GRID), "similarity")
+    return similarity.reweight_networks(cells, sim, GRID).withColumn("w", _r6("w"))
 
 
 @query(
@@ -815,7 +824,7 @@ def _(i: Inputs):
     rounds=SIMILARITY_ROUNDS,
 )
 def _(i: Inputs):
-    sim, _ = similarity.iterate_similarity(i.net_domain, SIMILARITY_ROUNDS)
+    sim, _ = similarity.iterate_similarity(i.net_domain, SIMILARITY_ROUNDS, GRID)
     return sim.withColumn("sim", _r6("sim"))
 
 
@@ -875,8 +884,8 @@ def _(i: Inputs):
 )
 def _(i: Inputs):
     cells = _cells(i)
-    sim = materialize(similarity.domain_similarity(cells), "similarity")
-    best = clusters.cluster_footprint_similarity(cells, i.clusters, sim)
+    sim = materialize(similarity.domain_similarity(cells, grid=GRID), "similarity")
+    best = clusters.cluster_footprint_similarity(cells, i.clusters, sim, GRID)
     return best.withColumn("weight", _r6("weight"))
 
 
@@ -942,13 +951,13 @@ def _(i: Inputs):
 
 def _scores(i: Inputs) -> DataFrame:
     ip_domain = materialize(i.ip_domain, "ip-domain")
-    return materialize(scoring.score_resolutions(ip_domain, _similarity(i)), "scores")
+    return materialize(scoring.score_resolutions(ip_domain, _similarity(i), GRID), "scores")
 
 
 @query("score_resolutions", "SELECT domain, ip, round(score, 6) AS score FROM scores")
 def _(i: Inputs):
     ip_domain = materialize(i.ip_domain, "ip-domain")
-    return scoring.score_resolutions(ip_domain, _similarity(i)).withColumn("score", _r6("score"))
+    return scoring.score_resolutions(ip_domain, _similarity(i), GRID).withColumn("score", _r6("score"))
 
 
 @query(
@@ -1009,7 +1018,7 @@ _ASN_IPS = (
 
 @query("score_asn_ips", "SELECT * FROM asn_ips", extra=_ASN_IPS)
 def _(i: Inputs):
-    return scoring.score_asn_ips(_asn_cells(i), _similarity(i), 0.9).withColumn("score", _r6("score"))
+    return scoring.score_asn_ips(_asn_cells(i), _similarity(i), 0.9, GRID).withColumn("score", _r6("score"))
 
 
 def _asn_cells(i: Inputs) -> DataFrame:
@@ -1022,7 +1031,7 @@ def _asn_cells(i: Inputs) -> DataFrame:
     extra=_ASN_IPS,
 )
 def _(i: Inputs):
-    asn_ips = scoring.score_asn_ips(_asn_cells(i), _similarity(i), 0.9)
+    asn_ips = scoring.score_asn_ips(_asn_cells(i), _similarity(i), 0.9, GRID)
     return scoring.score_country_asn_ips(asn_ips, i.asn_country).withColumn("score", _r6("score"))
 
 
@@ -1172,33 +1181,42 @@ def _(i: Inputs):
     return both.withColumn("accuracy", _r6("accuracy"))
 
 
-def _two_lists(i: Inputs) -> tuple[DataFrame, DataFrame]:
-    scans = i.http_scans
-    first, second = (
-        scans.filter((F.col("port") == port) & (F.col("mode") == mode)).select("ip")
-        for port, mode in HTTP_SCANS[:2]
+def _every_pair(i: Inputs, compare: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``compare`` over all scan pairs, with the number of the pair."""
+    scans = materialize(i.http_scans, "http-scans")
+    one = lambda port, mode: scans.filter((F.col("port") == port) & (F.col("mode") == mode)).select("ip")
+    found = [
+        compare(one(*a), one(*b)).withColumn("pair", F.lit(at)) for at, (a, b) in enumerate(SCAN_PAIRS)
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _pair_counts() -> str:
+    test = "count(*) FILTER (port = {} AND mode = '{}')"
+    return " UNION ALL ".join(
+        f"SELECT {at} AS pair, ip, {test.format(*a)} AS ca, {test.format(*b)} AS cb FROM http_scans GROUP BY ip"
+        for at, (a, b) in enumerate(SCAN_PAIRS)
     )
-    return first, second
 
 
 _DIFF = (
-    "diff AS (SELECT ip, count(*) FILTER (mode = 'tcp_synscan') AS ca, count(*) FILTER (mode = 'tcp_ackscan') AS cb FROM http_scans WHERE port = 80 GROUP BY 1), "
-    "sides AS (SELECT ip, 'both' AS side, least(ca, cb) AS n FROM diff UNION ALL SELECT ip, 'a-b', ca - cb FROM diff UNION ALL SELECT ip, 'b-a', cb - ca FROM diff)"
+    f"diff AS ({_pair_counts()}), "
+    "sides AS (SELECT pair, ip, 'both' AS side, least(ca, cb) AS n FROM diff UNION ALL SELECT pair, ip, 'a-b', ca - cb FROM diff UNION ALL SELECT pair, ip, 'b-a', cb - ca FROM diff)"
 )
 
 
-@query("ip_list_diff", "SELECT ip, side, n FROM sides WHERE n > 0", extra=_DIFF)
+@query("ip_list_diff", "SELECT pair, ip, side, n FROM sides WHERE n > 0", extra=_DIFF)
 def _(i: Inputs):
-    return setops.ip_list_diff(*_two_lists(i))
+    return _every_pair(i, setops.ip_list_diff)
 
 
 @query(
     "ip_list_diff_by_asn",
-    "SELECT asn, ip, side, n FROM sides LEFT JOIN lpm USING (ip) WHERE n > 0",
+    "SELECT pair, asn, ip, side, n FROM sides LEFT JOIN lpm USING (ip) WHERE n > 0",
     extra=_DIFF,
 )
 def _(i: Inputs):
-    return setops.ip_list_diff_by_asn(*_two_lists(i), i.prefixes)
+    return _every_pair(i, lambda a, b: setops.ip_list_diff_by_asn(a, b, i.prefixes))
 
 
 @query(
