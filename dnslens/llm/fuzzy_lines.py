@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spread, stored
-from .links import Relation, bounded, components, connect
+from .links import AlikeSets, bounded, components, connect
 
 SHINGLE = 8
-PERCENT = 80
 BANDS = 16
 BAND_ROWS = 5
 ROWS = 512
@@ -35,8 +34,11 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return factors, draw.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
-    """Lines by bands: hashes of ``rows`` minima each. A line under eight characters is one shingle."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the eight-character runs of all lines, and each line's number of them.
+
+    A line under eight characters is one run.
+    """
     codes = [np.frombuffer((line + "\0" * (SHINGLE - 1)).encode("utf-32-le", "surrogatepass"), "<u4") for line in lines]
     sizes = np.array([len(c) for c in codes])
     counts = np.maximum(sizes - 2 * (SHINGLE - 1), 1)
@@ -45,9 +47,15 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np
     for k in range(SHINGLE):
         gram = (gram + every[k : k + len(gram)]) * _MIX
         gram ^= gram >> np.uint64(31)
+    places = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(counts) + counts, counts)
+    return gram[places], counts
+
+
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """Lines by bands: hashes of ``rows`` minima each."""
+    gram, counts = shingle_hashes(lines)
     first = np.cumsum(counts) - counts
-    places = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - first, counts)
-    seen = (gram[places] >> np.uint64(32)).astype(np.uint32)
+    seen = (gram >> np.uint64(32)).astype(np.uint32)
     factors, masks = permutations(bands * rows)
     keys = np.empty((len(lines), bands), dtype=np.uint64)
     for band in range(bands):
@@ -60,21 +68,12 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np
     return keys
 
 
-class AlikeLines(Relation):
-    """Exact Jaccard similarity of the sets of eight-character runs, at least ``PERCENT`` of 100."""
-
-    def prepare(self, bodies: list[str]) -> list[set[str]]:
-        return [{b[i : i + SHINGLE] for i in range(max(1, len(b) - SHINGLE + 1))} for b in bodies]
+class AlikeLines(AlikeSets):
+    """Exact Jaccard similarity of the sets of eight-character runs. A body is the line."""
 
-    def matches(self, prepared: list[set[str]], one: int, others: np.ndarray) -> np.ndarray:
-        own = prepared[one]
-        linked = np.zeros(len(others), dtype=bool)
-        for at, other in enumerate(others):
-            both = prepared[other]
-            if 100 * min(len(own), len(both)) >= PERCENT * max(len(own), len(both)):
-                common = len(own & both)
-                linked[at] = 100 * common >= PERCENT * (len(own) + len(both) - common)
-        return linked
+    def sets(self, bodies: list[str]) -> list[np.ndarray]:
+        gram, counts = shingle_hashes(bodies)
+        return [np.unique(g) for g in np.split(gram, np.cumsum(counts)[:-1])]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-TILE = 256
+TILE = 1024
+PERCENT = 80  # of the union of two sets, in common
 BROADCAST_ROWS = 1_000_000
 
 
@@ -109,6 +110,71 @@ class Relation:
         raise NotImplementedError
 
 
+def linked_sizes(common, a, b):
+    return 100 * common >= PERCENT * (a + b - common)
+
+
+def bitmap(found: np.ndarray) -> tuple[int, bytes]:
+    """Number of bits, a power of two no less than the set, and the bits of the hashed shingles."""
+    bits = max(64, 1 << (len(found) - 1).bit_length())
+    flags = np.zeros(bits, dtype=np.uint8)
+    flags[(found >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
+    return bits, np.packbits(flags, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of several sets, folded to every length among them, and the bits set in each."""
+
+    def __init__(self, sizes: list[int], bits: list[int], maps: list[bytes]):
+        self.sizes, self.bits = np.array(sizes), np.array(bits)
+        self.words: dict[int, np.ndarray] = {}
+        self.counts: dict[int, np.ndarray] = {}
+        for length in sorted(set(bits)):
+            words = np.zeros((len(maps), length // 64), dtype=np.uint64)
+            for row, (own, data) in enumerate(zip(bits, maps)):
+                if own >= length:  # a longer bitmap is folded: bits at the same place modulo the length meet
+                    words[row] = np.bitwise_or.reduce(np.frombuffer(data, np.uint64).reshape(-1, length // 64), axis=0)
+            self.words[length] = words
+            self.counts[length] = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+    def most_common(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlaps: each bit that only one sets is a shingle that the other lacks."""
+        most = np.zeros(len(others), dtype=np.int64)
+        length = np.minimum(self.bits[one], self.bits[others])
+        for own in np.unique(length):
+            at = np.flatnonzero(length == own)
+            rows, count = others[at], self.counts[own]
+            both = np.bitwise_count(self.words[own][rows] & self.words[own][one]).sum(axis=1, dtype=np.int64)
+            lacked = self.sizes[one] - (count[one] - both)
+            most[at] = np.minimum(lacked, self.sizes[rows] - (count[rows] - both))
+        return most
+
+    def may_link(self, one: int, others: np.ndarray) -> np.ndarray:
+        return linked_sizes(self.most_common(one, others), self.sizes[one], self.sizes[others])
+
+
+class AlikeSets(Relation):
+    """Exact similarity of sets of hashes, after the bound by bitmaps."""
+
+    def sets(self, bodies: list) -> list[np.ndarray]:
+        """The sorted distinct hashes of each body."""
+        raise NotImplementedError
+
+    def prepare(self, bodies: list) -> tuple[Bitmaps, list[np.ndarray]]:
+        sets = self.sets(bodies)
+        bits, maps = zip(*map(bitmap, sets))
+        return Bitmaps([len(s) for s in sets], list(bits), list(maps)), sets
+
+    def matches(self, prepared: tuple, one: int, others: np.ndarray) -> np.ndarray:
+        bound, sets = prepared
+        linked = bound.may_link(one, others)
+        for at in np.flatnonzero(linked):
+            found, theirs = sets[one], sets[others[at]]
+            common = len(np.intersect1d(found, theirs, assume_unique=True))
+            linked[at] = linked_sizes(common, len(found), len(theirs))
+        return linked
+
+
 def distinct_groups(members: DataFrame) -> DataFrame:
     """``group, id`` of groups of two or more ids, each set of ids under one group only."""
     signs = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("sign"))

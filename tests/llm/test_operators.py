@@ -214,10 +214,10 @@ def test_quality_takes_odd_rows(odd, nothing):
 
 def kept_by_force(texts: dict) -> dict:
     places = [(i, n, line) for i, t in texts.items() for n, line in enumerate((t or "").split("\n")) if line.encode().split()]
-    runs = fuzzy_lines.AlikeLines()
     lines = sorted({line for _, _, line in places})
-    sets = runs.prepare(lines)
-    pairs = [(lines[a], lines[b]) for a in range(len(lines)) for b in np.flatnonzero(runs.matches(sets, a, np.arange(a))).tolist()]
+    runs = {x: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines}
+    near = lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(a, b) for a in lines for b in lines if b < a and near(runs[a], runs[b])]
     root = united(lines, pairs)
     first = {}
     for i, n, line in places:
@@ -362,7 +362,7 @@ def test_shingle_join_takes_repeated_and_null_rows(odd, nothing):
 
 def test_bitmaps_never_exclude_a_link():
     draw = np.random.default_rng(6)
-    bound, exact = shingle_join.BitmapBound(), shingle_join.AlikeSets()
+    bound, exact = shingle_join.BitmapBound(), shingle_join.AlikeDocuments()
     for _ in range(100):
         whole = draw.integers(0, 1 << 63, int(draw.integers(5, 900)), dtype=np.uint64)
         sets = [np.unique(draw.choice(whole, int(len(whole) * draw.uniform(0.8, 1)) or 1, replace=False)) for _ in range(2)]
