@@ -15,7 +15,7 @@ from ..session import materialize
 from .filters import usable_answers
 from .joins import country_of_asn, lpm_join
 
-_SALTS = 16
+_GROUPS_PER_SALT = 64
 _BROADCAST_RESOLVERS = 4_000_000  # two bigints each, some 100 MB as a hash table
 
 
@@ -235,26 +235,40 @@ def underrepresented_countries(base: DataFrame, test: DataFrame) -> DataFrame:
     )
 
 
-def _expected_queries(resolvers: DataFrame, shard_domains: DataFrame, group: str) -> DataFrame:
-    """Queries per (group, shard size, position); resolver ``r`` asks position ``r mod size``.
+def expected_query_counts(resolvers: DataFrame, shard_domains: DataFrame, group: str) -> DataFrame:
+    """``size, idx, <group>, n``: queries per shard size and position; resolver ``r`` asks ``r mod size``.
 
-    Shard sizes are few (their sum is the number of domains), so they ride along as one
-    array instead of a join.
+    This is the compact form: domains of equal position share a row. Shard sizes are few (their
+    sum is the number of domains), so they ride along as one array instead of a join.
     """
     sizes = shard_domains.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
     every_size = sizes.agg(F.collect_set("size").alias("sizes")).scalar()
     spread = resolvers.select(group, "ip", F.explode(every_size).alias("size"))
-    asked = spread.groupBy(group, "size", (F.col("ip") % F.col("size")).alias("idx")).agg(
+    return spread.groupBy("size", (F.col("ip") % F.col("size")).alias("idx"), group).agg(
         F.count(F.lit(1)).alias("n")
     )
-    # There are only as many (size, idx) keys as positions in a shard: salt them by group,
-    # so the product of domains and groups is made by many tasks.
-    salt = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+
+
+def expand_expected(counts: DataFrame, shard_domains: DataFrame, group: str) -> DataFrame:
+    """The compact counts for every domain of a shard, to be written out.
+
+    There are only as many (size, idx) keys as positions in a shard; they are salted by group, with as many
+    salts as keep about ``_GROUPS_PER_SALT`` groups together.
+    """
+    sizes = shard_domains.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
+    counts = materialize(counts, "expected")
+    groups = counts.agg(F.count_distinct(group).alias("n")).first().n
+    salts = max(1, -(-groups // _GROUPS_PER_SALT))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     placed = shard_domains.join(sizes, "shard").select("*", salt)
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64(group), F.lit(_SALTS)).cast("int"))
+    asked = counts.withColumn("salt", F.pmod(F.xxhash64(group), F.lit(salts)).cast("int"))
     return placed.join(asked, ["size", "idx", "salt"])
 
 
+def _expected_queries(resolvers: DataFrame, shard_domains: DataFrame, group: str) -> DataFrame:
+    return expand_expected(expected_query_counts(resolvers, shard_domains, group), shard_domains, group)
+
+
 def expected_queries_by_asn(resolvers: DataFrame, shard_domains: DataFrame) -> DataFrame:
     """How many queries each domain should have received from each ASN.
 
