@@ -205,14 +205,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     keyed = numbered_rows(keyed)
     same = [F.col(c).eqNullSafe(F.col(f"u_{c}")) for c in ROW]
     joined = keyed.join(parts, same[0] & same[1] & same[2] & same[3])
+    whole = F.col("mix_taken") == F.col("mix_size")
     words = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)  # blanks before the first word
-    ranges = F.transform(
-        "mix_ranges",
-        lambda r: F.slice(words, (r.word_from + lead + 1).cast("int"), (r.word_to - r.word_from).cast("int")),
-    )
-    cut = F.array_join(F.flatten(ranges), "")
-    text = F.when(F.col("mix_taken") == F.col("mix_size"), F.col("text")).otherwise(cut)
+    # A column of its own, and used twice below: inlined, the text would be split for every range.
+    joined = joined.withColumn("mix_words", F.when(~whole, words)).withColumn("mix_lead", lead)
+    most = F.size("mix_words")
+
+    def cut(r: Column) -> Column:
+        first, last = r.word_from + F.col("mix_lead"), F.least(r.word_to + F.col("mix_lead"), most)
+        return F.slice("mix_words", (first + 1).cast("int"), (last - first).cast("int"))
+
+    part = F.array_join(F.flatten(F.transform("mix_ranges", cut)), "")
+    text = F.when(whole, F.col("text")).otherwise(part)
     joined = joined.withColumn("mix_text", text)
     out = {c: F.col(n) for c, n in names.items()} | {"text": F.col("mix_text")}
     if "n_chars" in columns:
