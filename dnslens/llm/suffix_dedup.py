@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _CHECK = 1 << 17
+REMEMBERED = 200_000
 
 
 class Powers:
@@ -239,15 +241,17 @@ def covered_windows(group: np.ndarray, left: np.ndarray, right: np.ndarray, arou
 
 def earlier_spans(rows: pd.DataFrame) -> pd.DataFrame:
     """``did, tie, span_from, span_to`` of the windows of one deal of contexts that occur earlier."""
-    rows = rows.drop_duplicates(["did", "tie", "at", "left"]).sort_values(["did", "tie", "at", "left"], ignore_index=True)
-    whole = rows.duplicated(["gram", "left", "around"]).to_numpy()
+    rows = rows.sort_values(["did", "tie", "at", "left"], ignore_index=True)
+    known = rows["around"].isna().to_numpy()
+    whole = known | rows.duplicated(["gram", "left", "around"]).to_numpy()
     left, right, at = (rows[c].to_numpy(np.int64) for c in ("left", "right", "at"))
     found = np.zeros((len(rows), SPAN + 1), dtype=bool)
     offsets = np.arange(SPAN + 1)
     found[whole] = (right[whole, None] <= offsets) & (offsets <= left[whole, None])
     rest = np.flatnonzero(~whole)
     _, group = np.unique(rows["gram"].to_numpy()[rest], return_inverse=True)
-    found[rest] = covered_windows(group, left[rest], right[rest], list(rows["around"].to_numpy()[rest]))
+    if len(rest):
+        found[rest] = covered_windows(group, left[rest], right[rest], list(rows["around"].to_numpy()[rest]))
     edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, low = np.nonzero(edges == 1)
     _, high = np.nonzero(edges == -1)
@@ -278,17 +282,29 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of the anchors, texts coming in order. ``around`` is null where this task had the same
+    before: such windows are known to be repeated and need no search, so a string that very many
+    texts share leaves a task once."""
     names = ["gram", "did", "tie", "at", "left", "right", "around"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    seen: set[tuple] = set()
+    last = None
     for batch in _small(batches):
+        if len(seen) > REMEMBERED:
+            seen.clear()  # costs a search, no result
         cells: list[list] = [[] for _ in names]
         for did, tie, text, runs in zip(*(batch.column(c).to_pylist() for c in ("did", "tie", "text", "runs"))):
+            if last == (last := (did, tie)):
+                continue  # a row that is there twice
             body = (text or "").encode()
-            for run in runs:
+            for run in sorted(runs, key=lambda r: r["place"]):
                 at, left, right = run["place"] >> 12, run["place"] >> 6 & 63, run["place"] & 63
                 around = body[at - left : at - right + WINDOW]
-                for cell, value in zip(cells, (run["gram"], did, tie, at, left, right, around)):
+                key = (left, xxhash.xxh3_128_digest(around))
+                known = key in seen
+                seen.add(key)
+                for cell, value in zip(cells, (run["gram"], did, tie, at, left, right, None if known else around)):
                     cell.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=names)
 
 
@@ -338,11 +354,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     # Read twice with the same columns, so that texts are dealt out once.
     dealt = rows.repartition(spread(docs.sparkSession), "did", "tie")
-    runs = often.groupBy("did", "tie").agg(F.collect_list(F.struct("gram", "place")).alias("runs"))
-    near = dealt.join(runs, ["did", "tie"]).mapInArrow(
+    runs = often.groupBy("did", "tie").agg(F.collect_set(F.struct("gram", "place")).alias("runs"))
+    near = dealt.join(runs, ["did", "tie"]).sortWithinPartitions("did", "tie").mapInArrow(
         _contexts, "gram long, did long, tie long, at long, left int, right int, around binary"
     )
-    deal = F.pmod("gram", F.lit(spread(docs.sparkSession, 4))).alias("deal")
+    # What needs no search is dealt by document, so that a frequent gram stays small.
+    by = F.when(F.col("around").isNull(), F.xxhash64("did", "at")).otherwise(F.col("gram"))
+    deal = F.pmod(by, F.lit(spread(docs.sparkSession, 4)))
     spans = near.withColumn("deal", deal).groupBy("deal").applyInPandas(
         earlier_spans, "did long, tie long, span_from long, span_to long"
     )
