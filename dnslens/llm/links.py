@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread, stored
 
 TILE = 1024
+ROWS = 256  # of a tile, compared at once
 PERCENT = 80  # of the union of two sets, in common
 BROADCAST_ROWS = 1_000_000
 
@@ -109,6 +110,10 @@ class Relation:
     def matches(self, prepared, one: int, others: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def table(self, prepared, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """``matches`` for each of ``some``, a row each."""
+        return np.array([self.matches(prepared, one, others) for one in some], dtype=bool).reshape(len(some), len(others))
+
 
 def linked_sizes(common, a, b):
     return 100 * common >= PERCENT * (a + b - common)
@@ -152,6 +157,20 @@ class Bitmaps:
     def may_link(self, one: int, others: np.ndarray) -> np.ndarray:
         return linked_sizes(self.most_common(one, others), self.sizes[one], self.sizes[others])
 
+    def table(self, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """``may_link`` for each of ``some``: bits in common are counted by matrix products."""
+        most = np.zeros((len(some), len(others)))
+        flags = lambda rows, own: np.unpackbits(self.words[own][rows].view(np.uint8), axis=1).astype(np.float32)
+        for a in np.unique(self.bits[some]):
+            for b in np.unique(self.bits[others]):
+                own = min(a, b)
+                i, j = np.flatnonzero(self.bits[some] == a), np.flatnonzero(self.bits[others] == b)
+                left, right, count = some[i], others[j], self.counts[own]
+                both = flags(left, own) @ flags(right, own).T
+                lacked = (self.sizes[left] - count[left])[:, None] + both
+                most[np.ix_(i, j)] = np.minimum(lacked, (self.sizes[right] - count[right])[None, :] + both)
+        return linked_sizes(most, self.sizes[some][:, None], self.sizes[others][None, :])
+
 
 class AlikeSets(Relation):
     """Exact similarity of sets of hashes, after the bound by bitmaps."""
@@ -174,6 +193,15 @@ class AlikeSets(Relation):
             linked[at] = linked_sizes(common, len(found), len(theirs))
         return linked
 
+    def table(self, prepared: tuple, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        bound, sets = prepared
+        linked = bound.table(some, others)
+        for i, j in np.argwhere(linked):
+            found, theirs = sets[some[i]], sets[others[j]]
+            common = len(np.intersect1d(found, theirs, assume_unique=True))
+            linked[i, j] = linked_sizes(common, len(found), len(theirs))
+        return linked
+
 
 def distinct_groups(members: DataFrame) -> DataFrame:
     """``group, id`` of groups of two or more ids, each set of ids under one group only."""
@@ -220,20 +248,32 @@ def connect(members: DataFrame, payload: DataFrame, relation: Relation) -> DataF
     marked = members.join(differ, ["group", "id"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
     tiled = tiles(stored(marked, "marked"), "group", F.xxhash64("id"), relation.tile).join(payload, "id")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["id"].to_numpy()
-        flagged = rows["as_flagged"].to_numpy(dtype=bool)
-        held = relation.prepare(list(rows["body"]))
-        others = np.flatnonzero(~flagged)
+    def compare(ids: np.ndarray, flagged: np.ndarray, bodies: list) -> np.ndarray:
+        held = relation.prepare(bodies)
+        others, asked = np.flatnonzero(~flagged), np.flatnonzero(flagged)
+        found = []
+        for part in (asked[i : i + ROWS] for i in range(0, len(asked), ROWS)):
+            i, j = np.nonzero(relation.table(held, part, others))
+            pairs = np.stack([ids[part[i]], ids[others[j]]], axis=1)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            found.append(pairs[spanning(pairs)])
+        return np.concatenate(found)
+
+    def compare_tiles(rows: pd.DataFrame) -> pd.DataFrame:
+        """All tiles of one deal, one after the other; most groups are too small for a call each."""
+        rows = rows.sort_values(["group", "i", "j"], ignore_index=True)
+        place = rows[["group", "i", "j"]].to_numpy()
+        ids, flagged, bodies = rows["id"].to_numpy(), rows["as_flagged"].to_numpy(dtype=bool), list(rows["body"])
+        cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
         found = [np.zeros((0, 2), dtype=np.int64)]
-        for one in np.flatnonzero(flagged):
-            near = others[ids[others] != ids[one]]
-            near = near[relation.matches(held, one, near)]
-            found.append(np.stack([np.full(len(near), ids[one]), ids[near]], axis=1))
+        for first, last in zip([0, *cuts], [*cuts, len(rows)]):
+            if flagged[first:last].any():
+                found.append(compare(ids[first:last], flagged[first:last], bodies[first:last]))
         pairs = np.concatenate(found)
         return pd.DataFrame(pairs[spanning(pairs)], columns=["a", "b"])
 
-    tiled = tiled.select("group", "i", "j", "id", "as_flagged", "body")
-    inside = tiled.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+    deal = F.pmod(F.xxhash64("group", "i", "j"), F.lit(spread(members.sparkSession, 4))).alias("deal")
+    tiled = tiled.select(deal, "group", "i", "j", "id", "as_flagged", "body")
+    inside = tiled.groupBy("deal").applyInPandas(compare_tiles, "a long, b long")
     direct = known.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     return direct.unionByName(inside)

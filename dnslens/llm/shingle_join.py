@@ -74,6 +74,9 @@ class BitmapBound(Relation):
     def matches(self, prepared: Bitmaps, one: int, others: np.ndarray) -> np.ndarray:
         return prepared.may_link(one, others)
 
+    def table(self, prepared: Bitmaps, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return prepared.table(some, others)
+
 
 class AlikeDocuments(AlikeSets):
     """A body is the sorted array itself."""
