@@ -4,10 +4,11 @@ import pytest
 from check import compare, duck
 
 import __spark_entry__ as entry
+from dnslens.plans import queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = queries.registered()
+SQL = queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +29,7 @@ def test_every_query_has_sql():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
