@@ -2,7 +2,8 @@
 
 Every window of 100 bytes has a leading 40-byte gram, the one of least hash in it, so equal windows have the same
 one at the same place. The windows of a text fall into runs with the same leading gram (its anchor). Only
-anchors that occur twice matter; the bytes around them are dealt out by the gram. There the suffixes
+anchors that occur twice matter; the bytes around them are dealt out by the gram, or by more of
+the bytes that windows share where very many surround one gram. There the suffixes
 from the anchors on, and the reversed ones before them, are sorted by mergesort. Two are compared through their longest
 common extension, which a binary search over prefix polynomial hashes finds in a few steps;
 the order is then verified byte by byte. Windows are equal where both extensions reach far enough, and
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _CHECK = 1 << 17
 REMEMBERED = 200_000
+CROWD = 10_000  # contexts of one gram that are searched in one task
 
 
 class Powers:
@@ -308,6 +311,55 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=names)
 
 
+def _halved(rows: DataFrame, width: int) -> DataFrame:
+    """Contexts cut to windows that start in one range of ``width`` offsets; ``gram`` names the bytes such windows share."""
+    rows = rows.withColumn("part", F.explode(F.sequence(F.floor(F.col("right") / width), F.floor(F.col("left") / width))))
+    low = (F.col("part") * width).cast("int")
+    rows = rows.withColumn("low", low).withColumn("high", F.least(F.col("low") + width - 1, F.lit(SPAN)))
+    rows = rows.withColumn("was", F.col("left")).withColumn("left", F.least("left", "high")).withColumn("right", F.greatest("right", "low"))
+    rows = rows.withColumn("around", F.expr(f"substring(around, was - left + 1, left - right + {WINDOW})"))
+    core = F.expr(f"substring(around, left - low + 1, {WINDOW} - high + low)")
+    return rows.withColumn("gram", F.xxhash64("low", "high", core)).drop("part", "low", "high", "was")
+
+
+def uncrowded(near: DataFrame, often: DataFrame) -> DataFrame:
+    """The contexts ``near``, with no more than CROWD different ones left under any gram.
+
+    Contexts of a crowded gram are cut in two by the offsets of their windows, again and again. Those
+    that are equal are settled at each step (``around`` null but for the first): this leaves one of all
+    parts inside a shared passage. Windows of the other parts share more bytes than the gram, by which they are
+    dealt instead. Parts of one window are equal if they share their bytes, so no crowd is left at the end.
+    """
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        return stored(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {CROWD}").select("gram"), "crowded")
+
+    hot = crowded(often)
+    if not hot.take(1):
+        return near
+    near = stored(near, "contexts")
+    parts = [near.filter("around is null"), near.filter("around is not null").join(bounded(hot), "gram", "left_anti")]
+    rest = near.filter("around is not null").join(bounded(hot), "gram", "left_semi")
+    columns, place = near.columns, ["did", "tie", "at"]
+    salt = F.pmod(F.xxhash64("did"), F.lit(spread(near.sparkSession, 4)))
+    for width in (64, 32, 16, 8, 4, 2, 1):
+        rest = rest if width > SPAN else _halved(rest, width)
+        # First of the equal ones with one salt, then of those that are left: a passage that all texts share is dealt too.
+        nth = F.row_number().over(Window.partitionBy("left", "around", "salt").orderBy(*place))
+        rest = stored(rest.withColumn("salt", salt).withColumn("nth", nth), "parts")
+        again = F.row_number().over(Window.partitionBy("left", "around").orderBy(*place))
+        firsts = stored(rest.filter("nth = 1").withColumn("nth", again), "firsts")
+        for settled in (rest, firsts):
+            parts.append(settled.filter("nth > 1").withColumn("around", F.lit(None).cast("binary")))
+        firsts = firsts.filter("nth = 1")
+        hot = crowded(firsts)
+        parts.append(firsts.join(bounded(hot), "gram", "left_anti"))
+        if not hot.take(1):
+            break
+        rest = firsts.join(bounded(hot), "gram", "left_semi")
+    return reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
+
+
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -358,6 +410,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     near = dealt.join(runs, ["did", "tie"]).sortWithinPartitions("did", "tie").mapInArrow(
         _contexts, "gram long, did long, tie long, at long, left int, right int, around binary"
     )
+    near = uncrowded(near, often)
     # What needs no search is dealt by document, so that a frequent gram stays small.
     by = F.when(F.col("around").isNull(), F.xxhash64("did", "at")).otherwise(F.col("gram"))
     deal = F.pmod(by, F.lit(spread(docs.sparkSession, 4)))

@@ -105,6 +105,31 @@ def test_suffix_order_sorts_and_survives_collisions():
     assert order.tolist() == [0, 1] and common.tolist() == [-1, 0]
 
 
+def embedded(n: int) -> list[tuple]:
+    """A passage, and in every third text another one, inside texts that otherwise differ."""
+    draw = np.random.default_rng(5)
+    letters = lambda size: bytes(draw.integers(97, 123, size).astype(np.uint8)).decode()
+    passage, other = letters(260), letters(130)
+    return [(i, letters(20 + i % 90) + passage[i % 4 :] + letters(i % 70) + other * (i % 3 == 0) + letters(80)) for i in range(n)]
+
+
+def test_a_passage_in_many_texts_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 8)
+    most = []
+
+    def watched(near, often, uncrowded=suffix_dedup.uncrowded):
+        out = uncrowded(near, often)
+        n = out.filter("around is not null").distinct().groupBy("gram").count().agg(F.max("count")).first()[0]
+        most.append(n)
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "uncrowded", watched)
+    df = spark.createDataFrame(embedded(60), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in suffix_dedup.without_repeats(df).collect()}
+    assert got == removed_by_force(texts_of(df))
+    assert most[0] <= 8
+
+
 def test_long_texts_are_searched_across_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
     draw = np.random.default_rng(1)
