@@ -1,7 +1,9 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines get signatures over their runs of eight characters. Bands of the signatures bring lines together that may
-be alike, at a recall of over 0.998 for a Jaccard similarity of 0.8 and more above. Candidates are verified
+Lines get signatures over their runs of eight characters, and lines of up to 100 characters also over their runs of
+four, as a single change spoils eight of the longer runs and leaves a short line too few. Lines are alike if the
+Jaccard similarity of either is 0.8. Bands of the signatures bring lines together that may
+be alike, at a recall of over 0.998 for a similarity of 0.8 and more above. Candidates are verified
 by the exact similarity, distributed union-find makes components of the links, and of all
 occurrences of a component's lines the first stays.
 """
@@ -18,9 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spread, stored
-from .links import AlikeSets, bounded, components, connect
+from .links import AlikeSets, Relation, bounded, components, connect
 
 SHINGLE = 8
+SHORT = 100  # characters of a line that is compared by short runs too
+SHORT_SHINGLE = 4
 BANDS = 16
 BAND_ROWS = 5
 ROWS = 512
@@ -34,32 +38,32 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return factors, draw.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the eight-character runs of all lines, and each line's number of them.
+def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``size`` characters of all lines, and each line's number of them.
 
-    A line under eight characters is one run.
+    A line under ``size`` characters is one run.
     """
-    codes = [np.frombuffer((line + "\0" * (SHINGLE - 1)).encode("utf-32-le", "surrogatepass"), "<u4") for line in lines]
-    sizes = np.array([len(c) for c in codes])
-    counts = np.maximum(sizes - 2 * (SHINGLE - 1), 1)
+    codes = [np.frombuffer((line + "\0" * (size - 1)).encode("utf-32-le", "surrogatepass"), "<u4") for line in lines]
+    lengths = np.array([len(c) for c in codes])
+    counts = np.maximum(lengths - 2 * (size - 1), 1)
     every = np.concatenate(codes).astype(np.uint64)
-    gram = np.zeros(len(every) - SHINGLE + 1, dtype=np.uint64)
-    for k in range(SHINGLE):
+    gram = np.zeros(len(every) - size + 1, dtype=np.uint64)
+    for k in range(size):
         gram = (gram + every[k : k + len(gram)]) * _MIX
         gram ^= gram >> np.uint64(31)
-    places = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(counts) + counts, counts)
+    places = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - np.cumsum(counts) + counts, counts)
     return gram[places], counts
 
 
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE) -> np.ndarray:
     """Lines by bands: hashes of ``rows`` minima each."""
-    gram, counts = shingle_hashes(lines)
+    gram, counts = shingle_hashes(lines, size)
     first = np.cumsum(counts) - counts
     seen = (gram >> np.uint64(32)).astype(np.uint32)
     factors, masks = permutations(bands * rows)
     keys = np.empty((len(lines), bands), dtype=np.uint64)
     for band in range(bands):
-        key = np.full(len(lines), band + 1, dtype=np.uint64)
+        key = np.full(len(lines), band + 1 + bands * (SHINGLE - size), dtype=np.uint64)
         for at in range(band * rows, (band + 1) * rows):
             least = np.minimum.reduceat((seen ^ masks[at]) * factors[at], first)
             key = (key ^ least) * _MIX
@@ -68,14 +72,42 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np
     return keys
 
 
-class AlikeLines(AlikeSets):
-    """Exact Jaccard similarity of the sets of eight-character runs. A body is the line."""
+class AlikeRuns(AlikeSets):
+    """Exact Jaccard similarity of the sets of runs of ``size`` characters. A body is the line."""
+
+    def __init__(self, size: int):
+        self.size = size
 
     def sets(self, bodies: list[str]) -> list[np.ndarray]:
-        gram, counts = shingle_hashes(bodies)
+        gram, counts = shingle_hashes(bodies, self.size)
         return [np.unique(g) for g in np.split(gram, np.cumsum(counts)[:-1])]
 
 
+class AlikeLines(Relation):
+    """Alike by runs of eight characters, or by runs of four where both lines are short."""
+
+    whole, fine = AlikeRuns(SHINGLE), AlikeRuns(SHORT_SHINGLE)
+
+    def prepare(self, bodies: list[str]) -> tuple:
+        short = np.array([len(b) <= SHORT for b in bodies])
+        return short, self.whole.prepare(bodies), self.fine.prepare([b if s else " " for b, s in zip(bodies, short)])
+
+    def matches(self, prepared: tuple, one: int, others: np.ndarray) -> np.ndarray:
+        short, whole, fine = prepared
+        linked = self.whole.matches(whole, one, others)
+        if short[one] and len(at := np.flatnonzero(short[others] & ~linked)):
+            linked[at] = self.fine.matches(fine, one, others[at])
+        return linked
+
+    def table(self, prepared: tuple, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        short, whole, fine = prepared
+        linked = self.whole.table(whole, some, others)
+        i, j = np.flatnonzero(short[some]), np.flatnonzero(short[others])
+        if len(i) and len(j):
+            linked[np.ix_(i, j)] |= self.fine.table(fine, some[i], others[j])
+        return linked
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, line, id`` of the lines with a word; equal lines have equal ids."""
     split = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -91,9 +123,14 @@ def candidates(lines: DataFrame) -> DataFrame:
             ids, first = np.unique(batch.column("id").to_numpy(), return_index=True)
             texts = batch.column("line").take(pa.array(first)).to_pylist()
             for i in range(0, len(ids), ROWS):
-                keys = band_keys(texts[i : i + ROWS])
-                cells = [keys.astype(np.int64).ravel(), np.repeat(ids[i : i + ROWS], keys.shape[1])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["group", "id"])
+                some, part = ids[i : i + ROWS], texts[i : i + ROWS]
+                short = [k for k, line in enumerate(part) if len(line) <= SHORT]
+                found = [(some, band_keys(part))]
+                if short:
+                    found.append((some[short], band_keys([part[k] for k in short], size=SHORT_SHINGLE)))
+                for own, keys in found:
+                    cells = [keys.astype(np.int64).ravel(), np.repeat(own, keys.shape[1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["group", "id"])
 
     rows = lines.select("id", "line").mapInArrow(bands, "group long, id long")
     rows = rows.repartition(spread(lines.sparkSession), "group").groupBy("group", "id").agg(F.lit(1).alias("one"))

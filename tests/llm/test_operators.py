@@ -280,6 +280,19 @@ def test_bands_find_alike_lines():
     assert found >= 198
 
 
+def test_one_changed_character_in_a_short_line_is_found(spark):
+    draw = np.random.default_rng(8)
+    rows, other = [], {"a": "b"}
+    for i in range(60):
+        line = "".join(map(chr, draw.integers(97, 123, 50 + i // 2)))
+        at = 20 + i % 20
+        rows += [(i, line), (100 + i, line[:at] + other.get(line[at], "a") + line[at + 1 :])]
+    df = spark.createDataFrame(rows + [(300, "short"), (301, "shirt")], "doc_id long, text string")
+    found = {r.doc.doc_id: r.n_removed for r in fuzzy_lines.without_repeated_lines(df).collect()}
+    assert [i for i in found if i < 100 and found[i]] == [] and found[300] == found[301] == 0
+    assert sum(found[100 + i] for i in range(60)) == 60
+
+
 # --- links -----------------------------------------------------------------------------
 
 
