@@ -166,9 +166,11 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
     rows = []
     for text, removed in zip(texts, gone):
         lines = (text or "").split("\n")
-        marks = {r["line_no"]: r["id"] for r in removed} if removed is not None else {}
+        # Rows of one id and different texts have different lines at one place.
+        marks = {(r["line_no"], r["id"] % (1 << 64)) for r in removed} if removed is not None else set()
+        places = {line_no for line_no, _ in marks}
         unsigned = lambda line: xxhash.xxh64_intdigest(line.encode(), seed=42)  # noqa: E731  as Spark's xxhash64
-        kept = [x for i, x in enumerate(lines) if i not in marks or marks[i] % (1 << 64) != unsigned(x)]
+        kept = [x for i, x in enumerate(lines) if i not in places or (i, unsigned(x)) not in marks]
         worded = sum(1 for x in lines if x.encode().split())
         rows.append((None if text is None else "\n".join(kept), worded, len(lines) - len(kept)))
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])

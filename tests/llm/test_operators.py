@@ -280,6 +280,13 @@ def test_bands_find_alike_lines():
     assert found >= 198
 
 
+def test_rows_of_one_id_lose_different_lines_at_one_place(spark):
+    one, two = ("".join(c * 3 for c in x) for x in ("abcdefghijklmnop", "qrstuvwxyzabdfhj"))
+    rows = [(1, one), (2, two), (5, one + "\nfirst of the two"), (5, two + "\nsecond text, other words")]
+    kept = fuzzy_lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept if r.doc.doc_id == 5) == ["first of the two", "second text, other words"]
+
+
 def test_one_changed_character_in_a_short_line_is_found(spark):
     draw = np.random.default_rng(8)
     rows, other = [], {"a": "b"}
