@@ -9,6 +9,7 @@ of tasks of a fixed size. Token ids stay where they were made; only places of wi
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from array import array
@@ -28,6 +29,7 @@ WINDOW = 1024
 OPEN = 64
 END_OF_DOCUMENT = 0
 TOKENIZER = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks: the same ids
+ADDED = "byte_bpe_50k.json"  # has the added tokens, which the ranks lack
 CACHED = 300_000
 ROWS = 256
 TASKS_MERGED = 64
@@ -42,15 +44,20 @@ class Encoder:
 
     Such a tokenizer splits a text before every space between two non-blanks anyway, and never looks
     across. So texts are cut there, and ids of frequent parts are remembered (a bounded number).
-    Strings that name special tokens are ordinary text.
+    Strings that name added tokens are cut out first and have the tokens' ids, as by that tokenizer's default.
     """
 
-    def __init__(self, tokenizer: str = TOKENIZER):
+    def __init__(self, tokenizer: str = TOKENIZER, added: str = ADDED):
         import public_tokenizers
         import tiktoken
 
-        path = tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer)
-        with open(path, "rb") as lines:
+        path = lambda name: name if os.path.isabs(name) else public_tokenizers.path(name)
+        with open(path(added), encoding="utf-8") as file:
+            found = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self.added = {content: array("I", [number]).tobytes() for content, number in found.items()}
+        longest = sorted(found, key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, longest))})") if found else None
+        with open(path(tokenizer), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.model = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
@@ -61,6 +68,13 @@ class Encoder:
         return array("I", self.model.encode_ordinary(part)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.at_added is None or not any(map(self.at_added.search, texts)):
+            return self._ordinary(texts)
+        split = [self.at_added.split(t) for t in texts]  # every second part is an added token
+        ids = iter(self._ordinary([p for parts in split for p in parts[::2]]))
+        return [b"".join(self.added[p] if i % 2 else next(ids) for i, p in enumerate(parts)) for parts in split]
+
+    def _ordinary(self, texts: list[str]) -> list[bytes]:
         split = [_CUT.split(t) if _BESIDE_BLANK.search(t) else t.split(" ") for t in texts]
         table, encode = self.known, self._encode
         new = {p: encode(" " + p) for p in set().union(*split).difference(table)}

@@ -590,3 +590,16 @@ def test_windows_are_bounded_and_best_fit():
     assert windows.place(3) == (1, 7)  # exactly full: closed
     assert windows.place(5) == (2, 0) and windows.place(6) == (3, 0)  # the fullest, 0, went
     assert windows.place(4) == (3, 6) and len(windows.spaces) == 1
+
+
+def test_added_tokens_have_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [
+        "end of page<|endoftext|>next page", "<|endoftext|>", "a <|endoftext|> b  c", "<|endoftext|><|endoftext|>\n d",
+        "plain text", "", "<|endoftext| >", " é<|endoftext|>é ",
+    ]
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in packing.Encoder().encode(texts)] == want
