@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_language": "doc_id held_out lang_pred score",
     "op9_mixing": "doc_id size source_size target taken",
     "op10_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op11_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op12_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op13_turn_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
