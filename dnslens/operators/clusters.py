@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import log
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,10 @@ from .ranking import heaviest, row_numbers
 
 # Fixed value: probabilities are clipped this far from 0 and 1 before taking log odds.
 CLIP = 1e-6
+_ABSENT = log(CLIP / (1 - CLIP))
+
+VOTE_BATCH = 1024
+"""Domains of a component that VOTE replays in one task."""
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -44,25 +51,89 @@ def connected_components(domains: DataFrame, edges: DataFrame) -> DataFrame:
             return state
 
 
-def _vote(key, nodes: pd.DataFrame, sims: pd.DataFrame) -> pd.DataFrame:
-    """Greedy VOTE over one component: each domain joins the cluster it is most drawn to."""
-    names = np.sort(nodes["domain"].to_numpy())
-    code = {n: i for i, n in enumerate(names)}
-    p = np.full((len(names), len(names)), CLIP)
-    a = sims["a"].map(code).to_numpy(dtype=np.int64)
-    b = sims["b"].map(code).to_numpy(dtype=np.int64)
-    p[a, b] = p[b, a] = np.clip(sims["sim"].to_numpy(), CLIP, 1 - CLIP)
-    odds = np.log(p / (1 - p))
-    member = np.zeros(len(names), dtype=np.int64)
-    founders = []
-    for i, name in enumerate(names):
-        pull = np.bincount(member[:i], weights=odds[i, :i], minlength=len(founders))
-        if founders and pull.max() > 0:
-            member[i] = int(pull.argmax())
-        else:
-            member[i] = len(founders)
-            founders.append(name)
-    return pd.DataFrame({"domain": names, "leader": [founders[m] for m in member]})
+def _replay(rows: pa.Table) -> pa.Table:
+    """VOTE over one batch of a component, given what earlier batches weigh on it.
+
+    ``rows`` are of four kinds: members of the batch, gains between two of them, gains of a member with a
+    cluster of earlier batches, and the sizes of those clusters. A gain is the log odds of a
+    pair over those of a pair without similarity, so a cluster draws by its gains and its size.
+    """
+    kind = np.array(rows["kind"].to_pylist(), dtype=object)
+    d, peer, value = (np.array(rows[c].to_pylist(), dtype=object) for c in ("domain", "peer", "value"))
+    near: dict[str, list[tuple[str, float]]] = {}
+    drawn: dict[str, dict[str, float]] = {}
+    for at in np.flatnonzero(kind == "inside"):
+        near.setdefault(d[at], []).append((peer[at], value[at]))
+    for at in np.flatnonzero(kind == "cluster"):
+        drawn.setdefault(d[at], {})[peer[at]] = value[at]
+    size = {peer[at]: value[at] for at in np.flatnonzero(kind == "size")}
+    leader: dict[str, str] = {}
+    for name in sorted(d[kind == "member"]):
+        gains = dict(drawn.get(name, {}))
+        for other, gain in near.get(name, ()):
+            gains[leader[other]] = gains.get(leader[other], 0.0) + gain
+        pulls = {c: round(gain + _ABSENT * size.get(c, 0.0), 9) for c, gain in gains.items()}
+        best = min(pulls, key=lambda c: (-pulls[c], c), default=None)
+        leader[name] = best if best is not None and pulls[best] > 0 else name
+        size[leader[name]] = size.get(leader[name], 0.0) + 1
+    return pa.table({"domain": list(leader), "leader": list(leader.values())})
+
+
+def vote_clusters(domains: DataFrame, sim: DataFrame, batch: int = VOTE_BATCH) -> DataFrame:
+    """``domain, leader`` by VOTE in name order: a domain joins the cluster with the largest positive
+    sum of log odds over all its members so far, the first made of equal ones, or else founds one.
+
+    The members of a component of positive edges are numbered by name and cut into batches. Components
+    never draw each other's domains, so each round replays one batch of every component; what earlier
+    batches weigh on it is added up by domain and cluster before, and each pair of domains is
+    used once. A task holds one batch: its domains, the pairs between them and the clusters that can
+    still draw one of them. A cluster all of whose possible gains stay below zero is not among these.
+    """
+    sim = materialize(sim.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim"), "sim")
+    state = connected_components(domains, sim.filter("sim > 0.5").select("a", "b"))
+    turns = row_numbers(state, "domain", ["component"]).select(
+        "domain", "component", F.floor((F.col("rn") - 1) / batch).alias("turn")
+    )
+    turns = materialize(turns, "turns")
+    p = F.least(F.lit(1 - CLIP), F.greatest(F.lit(CLIP), F.col("sim")))
+    earlier = turns.select(F.col("domain").alias("a"), F.col("component").alias("c"), F.col("turn").alias("earlier"))
+    later = turns.select(F.col("domain").alias("b"), "component", "turn")
+    pairs = sim.join(earlier, "a").join(later, "b").filter("c = component")
+    pairs = pairs.select(
+        "component", "turn", "earlier", F.col("b").alias("domain"), F.col("a").alias("peer"),
+        (F.log(p / (1 - p)) - _ABSENT).alias("value"),
+    )
+    pairs = materialize(pairs, "pairs")
+    last = turns.agg(F.max("turn").alias("turn")).first().turn
+    done: list[DataFrame] = []
+    for turn in range(0 if last is None else last + 1):
+        now = pairs.filter(F.col("turn") == turn)
+        inside = now.filter(F.col("earlier") == turn)
+        parts = [
+            turns.filter(F.col("turn") == turn).select(
+                F.lit("member").alias("kind"), "component", "domain",
+                F.lit(None).cast("string").alias("peer"), F.lit(None).cast("double").alias("value"),
+            ),
+            inside.select(F.lit("inside").alias("kind"), "component", "domain", "peer", "value"),
+        ]
+        if done:
+            made = reduce(DataFrame.unionByName, done)
+            sizes = made.groupBy("leader").agg(F.count(F.lit(1)).cast("double").alias("size"))
+            joined = now.filter(F.col("earlier") < turn).join(made.withColumnRenamed("domain", "peer"), "peer")
+            gains = joined.groupBy("component", "domain", "leader").agg(F.sum("value").alias("gain"))
+            reach = inside.groupBy("domain").agg(F.sum("value").alias("reach"))
+            best = F.col("gain") + F.coalesce("reach", F.lit(0.0)) + F.col("size") * _ABSENT
+            drawing = gains.join(sizes, "leader").join(reach, "domain", "left").filter(best > -1e-6)
+            drawing = materialize(drawing, "drawing")
+            cluster = F.col("leader").alias("peer")
+            parts.append(drawing.select(F.lit("cluster").alias("kind"), "component", "domain", cluster, F.col("gain").alias("value")))
+            known = drawing.select("component", cluster, F.col("size").alias("value")).distinct()
+            parts.append(known.select(F.lit("size").alias("kind"), "component", F.lit(None).cast("string").alias("domain"), "peer", "value"))
+        replayed = reduce(DataFrame.unionByName, parts).groupBy("component").applyInArrow(_replay, "domain string, leader string")
+        done.append(materialize(replayed, "voted"))
+    if not done:
+        return domains.select("domain", F.col("domain").alias("leader"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def pivot_clusters(domains: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
@@ -113,28 +184,20 @@ def number_clusters(members: DataFrame) -> DataFrame:
 def correlation_cluster(
     domains: DataFrame, sim: DataFrame, method: str = "pivot", seed: int = 0
 ) -> DataFrame:
-    """Correlation clustering with log-odds weights: ``domain, cluster_id``.
+    """Correlation clustering: ``domain, cluster_id``. Every domain ends in one cluster.
 
-    ``pivot`` (seeded, distributed) takes any size. ``vote`` weighs all pairs of a component of
-    positive edges, which then has to fit one task; components repel each other, so each
-    is clustered alone. The caller chooses; sizes never do. Every domain ends in one cluster.
+    ``vote`` weighs all pairs by their log odds and visits domains by name. ``pivot`` (seeded) sees only
+    which pairs are above 0.5, and needs no others in ``sim``; it takes fewer rounds. Both take any size.
+    The caller chooses; sizes never do.
     """
-    if method not in ("pivot", "vote"):
+    if method == "vote":
+        members = vote_clusters(domains.select("domain").distinct(), sim)
+    elif method == "pivot":
+        attract = materialize(sim.filter("sim > 0.5").select("a", "b"), "attract")
+        members = pivot_clusters(domains, attract, seed)
+    else:
         raise ValueError(f"method is pivot or vote, not {method!r}")
-    sim = materialize(sim.select("a", "b", "sim"), "sim")
-    attract = sim.filter("sim > 0.5").select("a", "b")
-    if method == "pivot":
-        return number_clusters(materialize(pivot_clusters(domains, attract, seed), "members"))
-    state = materialize(connected_components(domains, attract), "components")
-    left = state.select(F.col("domain").alias("a"), F.col("component").alias("ca"))
-    right = state.select(F.col("domain").alias("b"), F.col("component").alias("cb"))
-    inside = sim.join(left, "a").join(right, "b").filter("ca = cb").drop("cb")
-    voted = (
-        state.groupBy("component")
-        .cogroup(inside.groupBy("ca"))
-        .applyInPandas(_vote, "domain string, leader string")
-    )
-    return number_clusters(materialize(voted, "members"))
+    return number_clusters(materialize(members, "members"))
 
 
 def domain_cluster_map(clusters: DataFrame) -> DataFrame:

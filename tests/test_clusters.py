@@ -82,10 +82,12 @@ def test_components_of_a_long_chain(spark):
     assert {r.component for r in got.collect()} == {"n000"}
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_vote_in_components_equals_a_global_run(spark, seed):
-    names, sim = random_graph(seed)
+@pytest.mark.parametrize("seed, batch", [(3, 1024), (4, 7), (5, 3)])
+def test_vote_equals_a_global_run_whatever_the_batch(spark, monkeypatch, seed, batch):
+    names, sim = random_graph(seed, n=40, p=0.15)
     df = domains_frame(spark, names)
+    whole = clusters.vote_clusters
+    monkeypatch.setattr(clusters, "vote_clusters", lambda d, s: whole(d, s, batch))
     got = clusters.correlation_cluster(df, sim_frame(spark, sim), "vote").collect()
     assert groups(got, "cluster_id") == sequential_vote(names, sim)
     sizes = {}
@@ -95,6 +97,34 @@ def test_vote_in_components_equals_a_global_run(spark, seed):
     assert sorted(sizes) == list(range(len(sizes))) and order == sorted(order)
 
 
+def test_vote_on_dense_components_and_either_order_of_pairs(spark):
+    rng = random.Random(9)
+    names = [f"n{i:03}" for i in range(60)]
+    sim = {(a, b): 0.9 if i % 3 == j % 3 else rng.random() * 0.7 for i, a in enumerate(names) for j, b in enumerate(names) if i < j}
+    turned = {(b, a) if i % 2 else (a, b): s for i, ((a, b), s) in enumerate(sim.items())}
+    got = clusters.vote_clusters(domains_frame(spark, names), sim_frame(spark, turned), batch=16).collect()
+    assert groups(got, "leader") == sequential_vote(names, sim)
+    assert clusters.correlation_cluster(domains_frame(spark, ["x"]).filter("false"), sim_frame(spark, {("a", "b"): 1.0}), "vote").count() == 0
+
+
+def test_vote_gathers_only_batches(spark):
+    """With batches of 8 no task gets more than 8 domains, their pairs and the clusters they may join."""
+    names, sim = random_graph(8, n=50, p=0.3)
+    seen = spark.sparkContext.accumulator(0)
+    replay = clusters._replay
+
+    def counted(rows):
+        seen.add(rows.num_rows > 8 + 28 + 8 * 51 + 51)
+        return replay(rows)
+
+    clusters._replay = counted
+    try:
+        got = clusters.vote_clusters(domains_frame(spark, names), sim_frame(spark, sim), batch=8).collect()
+    finally:
+        clusters._replay = replay
+    assert groups(got, "leader") == sequential_vote(names, sim) and seen.value == 0
+
+
 def test_pivot_rounds_equal_a_sequential_run(spark):
     names, sim = random_graph(6, n=40, p=0.12)
     edges = {e for e, s in sim.items() if s > 0.5}
