@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ip import is_reserved
 from ..session import materialize
 from .pairs import Grid, grid_for, neighbour_mass, pair_dots
 
+_MARGIN = 1e-9  # room for rounding in bounds
 
 def domain_norms(net_domain: DataFrame) -> DataFrame:
     """Length of each domain's count vector, stored: one small row per domain.
@@ -23,6 +24,21 @@ def domain_norms(net_domain: DataFrame) -> DataFrame:
     return materialize(norms, "norms")
 
 
+def _weighted(net_domain: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """Cells ``domain, e, y`` that count for similarity: ``n * (1 + w)``, without reserved networks and zeros."""
+    weighted = net_domain
+    if weights is None:
+        weighted = weighted.withColumn("w", F.lit(0.0))
+    else:
+        weighted = weighted.join(weights.select("domain", "net", "w"), ["domain", "net"], "left")
+    weight = F.coalesce("w", F.lit(0.0))
+    return (
+        weighted.filter(~is_reserved("net"))
+        .select("domain", F.col("net").alias("e"), (F.col("n") * (1 + weight)).alias("y"))
+        .filter("y <> 0")
+    )
+
+
 def domain_similarity(
     net_domain: DataFrame,
     weights: DataFrame | None = None,
@@ -35,17 +51,7 @@ def domain_similarity(
     have weight -1, so they add nothing, but they still count in a domain's norm.
     """
     grid = grid or grid_for(net_domain)
-    weighted = net_domain
-    if weights is None:
-        weighted = weighted.withColumn("w", F.lit(0.0))
-    else:
-        weighted = weighted.join(weights.select("domain", "net", "w"), ["domain", "net"], "left")
-    weight = F.coalesce("w", F.lit(0.0))
-    cells = (
-        weighted.filter(~is_reserved("net"))
-        .select("domain", F.col("net").alias("e"), (F.col("n") * (1 + weight)).alias("y"))
-        .filter("y <> 0")
-    )
+    cells = _weighted(net_domain, weights)
     norms = norms or domain_norms(net_domain)
     left = norms.select(F.col("domain").alias("a"), F.col("norm").alias("na"))
     right = norms.select(F.col("domain").alias("b"), F.col("norm").alias("nb"))
@@ -58,6 +64,67 @@ def domain_similarity(
     )
 
 
+def _indexed(cells: DataFrame, above: float) -> DataFrame:
+    """Cells ``domain, e, y, indexed, rest`` split by what a domain's commonest networks can reach.
+
+    Networks are put in one order for all domains, the ones with most domains first. From there on, a
+    domain's cells stay out of the index as long as the similarity they could give with *any* other
+    domain is not above the threshold: at most the sum of ``y`` times the largest value on each network, and at
+    most the length of those cells times the longest vector of all (lengths pass 1, as weights count
+    in ``y`` but not in the norm). ``rest`` is that bound. Two domains above the threshold share a network that
+    is indexed for both: were their least common shared network out of one's index, so were all.
+    """
+    networks = cells.groupBy("e").agg(F.count(F.lit(1)).alias("degree"), F.max("y").alias("top"))
+    lengths = cells.groupBy("domain").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
+    longest = lengths.agg(F.max("length").alias("longest")).first().longest or 0.0
+    commonest = Window.partitionBy("domain").orderBy(F.desc("degree"), "e")
+    by_network = F.sum(F.col("y") * F.col("top")).over(commonest)
+    by_length = F.sqrt(F.sum(F.col("y") * F.col("y")).over(commonest)) * longest
+    bounded = cells.join(networks, "e").withColumn("bound", F.least(by_network, by_length))
+    return bounded.select("domain", "e", "y", "bound", (F.col("bound") > above - _MARGIN).alias("indexed"))
+
+
+def similar_pairs(
+    net_domain: DataFrame,
+    above: float = 0.5,
+    weights: DataFrame | None = None,
+    grid: Grid | None = None,
+    norms: DataFrame | None = None,
+) -> DataFrame:
+    """The rows of ``domain_similarity`` with ``sim > above`` (above 0), without making the others.
+
+    Pairs meet on indexed cells only (see ``_indexed``); popular networks are indexed for hardly any domain. A
+    pair's sum over them plus what either domain has outside its index bounds its similarity, and the
+    pairs that can still pass are added up in full, from the domain with fewer cells.
+    """
+    if not above > 0:
+        raise ValueError("a threshold above 0 is needed; domain_similarity lists all pairs")
+    norms = norms or domain_norms(net_domain)
+    scaled = _weighted(net_domain, weights).join(norms, "domain")
+    scaled = materialize(scaled.select("domain", "e", (F.col("y") / F.col("norm")).alias("y")), "scaled")
+    split = materialize(_indexed(scaled, above), "indexed")
+    met = materialize(split.filter("indexed").select("domain", "e", "y"), "index")
+    outside = split.groupBy("domain").agg(
+        F.coalesce(F.max(F.when(~F.col("indexed"), F.col("bound"))), F.lit(0.0)).alias("rest"),
+        F.count(F.lit(1)).alias("cells"),
+    )
+    outside = materialize(outside, "outside")
+    left, right = (
+        outside.select(F.col("domain").alias(d), F.col("rest").alias(f"rest_{d}"), F.col("cells").alias(f"n_{d}"))
+        for d in "ab"
+    )
+    can_pass = F.col("dot") + F.col("rest_a") + F.col("rest_b") > above - _MARGIN
+    pairs = pair_dots(met, grid or grid_for(met)).join(left, "a").join(right, "b").filter(can_pass)
+    fewer = F.col("n_a") <= F.col("n_b")
+    asked = pairs.select(
+        "a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("z")
+    )
+    mine = scaled.select(F.col("domain").alias("x"), "e", F.col("y").alias("yx"))
+    theirs = scaled.select(F.col("domain").alias("z"), "e", F.col("y").alias("yz"))
+    dots = asked.join(mine, "x").join(theirs, ["z", "e"]).groupBy("a", "b").agg(F.sum(F.col("yx") * F.col("yz")).alias("dot"))
+    return dots.select("a", "b", F.least(F.lit(1.0), "dot").alias("sim")).filter(F.col("sim") > above)
+
+
 def reweight_networks(
     net_domain: DataFrame, sim: DataFrame, grid: Grid | None = None
 ) -> DataFrame:

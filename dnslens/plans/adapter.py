@@ -19,6 +19,7 @@ from ..session import materialize, scratch_path
 
 # Fixed values of the derivation: first public address used, planted answers, expected probe answer.
 FIRST_PUBLIC = 184549376
+FIRST_HOSTED = 1207959552
 PLANTED_RESERVED = 168436258
 PLANTED_LOCAL = 1007353857
 EXPECTED_IP = PLANTED_LOCAL
@@ -185,6 +186,21 @@ class Inputs:
     def net_domain(self) -> DataFrame:
         return network_domain_counts(self.obs)
 
+    def hosted(self, sites: int) -> DataFrame:
+        """Cells of many domains, ``sites`` for each brand: small groups on networks of their own, hosters
+        with many domains, for some of which they carry most, and two networks that all domains are on."""
+        site = F.col("seq") % 1048576 % sites
+        name = F.concat(F.lit("d"), F.col("k").cast("string"), F.lit("s"), site.cast("string"), F.lit(".example"))
+        place, r = F.col("k") * sites + site, F.col("r")
+        index = (
+            F.when(r < F.when(place % 5 == 0, 75).otherwise(25), 100000 + site % 40)
+            .when(r < 90, F.floor(place / 3))
+            .otherwise(200000 + r % 2)
+        )
+        net = F.when(r >= 97, F.lit(PLANTED_RESERVED - PLANTED_RESERVED % 256)).otherwise(FIRST_HOSTED + index * 256)
+        cells = self.obs_raw.select(name.alias("domain"), net.cast("bigint").alias("net"))
+        return materialize(cells.groupBy("domain", "net").agg(F.count(F.lit(1)).alias("n")), "hosted")
+
     @cached_property
     def domain_keys(self) -> DataFrame:
         k = F.regexp_extract("domain", r"^d(\d+)", 1).cast("bigint")

@@ -272,6 +272,25 @@ WHERE c.n * 10 >= t.total AND c.n * d.g_max > w.g * t.total
 )"""
 
 
+def hosted(sites: int) -> str:
+    """Cells of many domains and their similarities; see ``Inputs.hosted``."""
+    return f"""
+hosted AS MATERIALIZED (
+SELECT domain, CASE WHEN r >= 97 THEN 168436224
+       ELSE 1207959552 + 256 * (CASE WHEN r < CASE WHEN h % 5 = 0 THEN 75 ELSE 25 END THEN 100000 + site % 40
+                                     WHEN r < 90 THEN h // 3 ELSE 200000 + r % 2 END) END AS net, count(*) AS n
+FROM (SELECT k * {sites} + site AS h, site, r, 'd' || k || 's' || site || '.example' AS domain
+      FROM (SELECT k, r, seq % 1048576 % {sites} AS site FROM obs_raw) t) t GROUP BY ALL
+),
+hosted_norms AS (SELECT domain, sqrt(sum(CAST(n AS DOUBLE) * n)) AS norm FROM hosted GROUP BY 1),
+hosted_sim AS MATERIALIZED (
+SELECT a, b, dot / (x.norm * y.norm) AS sim
+FROM (SELECT p.domain AS a, q.domain AS b, sum(CAST(p.n AS DOUBLE) * q.n) AS dot, count(*) AS shared
+      FROM hosted p JOIN hosted q ON p.net = q.net AND p.domain < q.domain WHERE p.net <> 168436224 GROUP BY 1, 2) t
+JOIN hosted_norms x ON x.domain = a JOIN hosted_norms y ON y.domain = b
+)"""
+
+
 def with_common(select: str, rounds: int = 0, extra: str = "") -> str:
     """A full statement: the shared steps, ``rounds`` similarity rounds, then ``select``."""
     steps = "".join(_round(i) for i in range(rounds + 1))

@@ -25,7 +25,7 @@ from ..operators import (
 from ..session import materialize
 from ..sources import readers, sinks
 from .adapter import EXPECTED_IP, HTTP_SCANS, Inputs
-from .oracles import dotted, reserved, with_common
+from .oracles import dotted, hosted, reserved, with_common
 
 Query = Callable[[Inputs], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -33,6 +33,8 @@ _SQL: dict[str, str] = {}
 
 SCORE_CUT = 5.0
 SIMILARITY_ROUNDS = 6
+# Domains derived for each brand, for the queries over many domains; SQL replays VOTE one domain at a time.
+SITES, VOTED_SITES = 128, 8
 SCAN_PAIRS = [
     (HTTP_SCANS[0], HTTP_SCANS[1]),
     (HTTP_SCANS[2], HTTP_SCANS[3]),
@@ -811,6 +813,11 @@ def _(i: Inputs):
     return similarity.domain_similarity(_cells(i), grid=GRID).withColumn("sim", _r6("sim"))
 
 
+@query("similar_pairs", "SELECT a, b, round(sim, 6) AS sim FROM hosted_sim WHERE sim > 0.5", extra=hosted(SITES).strip())
+def _(i: Inputs):
+    return similarity.similar_pairs(i.hosted(SITES), 0.5).withColumn("sim", _r6("sim"))
+
+
 @query("reweight_networks", "SELECT domain, net, round(w, 6) AS w FROM weights1")
 def _(i: Inputs):
     cells = _cells(i)
@@ -862,6 +869,43 @@ def _(i: Inputs):
     return clusters.correlation_cluster(cells.select("domain").distinct(), sim)
 
 
+# VOTE one by one in the order of names; cells without a similarity count as 1e-6.
+_VOTE = """
+turn AS MATERIALIZED (SELECT domain, row_number() OVER (ORDER BY domain) AS i FROM (SELECT DISTINCT domain FROM hosted) t),
+odds AS MATERIALIZED (
+SELECT y.i, y.domain, list(ln(p / (1 - p)) ORDER BY x.i) AS odds
+FROM (SELECT x.i AS xi, y.i AS yi, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, coalesce(sim, 0.0::DOUBLE))) AS p
+      FROM turn x JOIN turn y ON x.i < y.i LEFT JOIN hosted_sim s ON s.a = x.domain AND s.b = y.domain) t
+JOIN turn x ON x.i = xi JOIN turn y ON y.i = yi GROUP BY 1, 2
+),
+voted AS (
+SELECT CAST(1 AS BIGINT) AS i, [domain] AS leaders FROM turn WHERE i = 1
+UNION ALL
+SELECT v.i + 1, list_append(v.leaders, coalesce((
+  SELECT leader FROM (SELECT leader, round(sum(w), 9) AS pull FROM (SELECT unnest(v.leaders) AS leader, unnest(o.odds) AS w) t GROUP BY 1) t
+  WHERE pull > 0 ORDER BY pull DESC, leader LIMIT 1), o.domain))
+FROM voted v JOIN odds o ON o.i = v.i + 1
+),
+placed AS (
+SELECT domain, leader FROM turn JOIN (
+  SELECT unnest(leaders) AS leader, generate_subscripts(leaders, 1) AS i FROM voted WHERE i = (SELECT max(i) FROM turn)) t USING (i)
+),
+numbered AS (
+SELECT leader, row_number() OVER (ORDER BY count(*) DESC, min(domain)) - 1 AS cluster_id FROM placed GROUP BY leader
+)"""
+
+
+@query(
+    "correlation_cluster_vote",
+    "SELECT domain, CAST(cluster_id AS INTEGER) AS cluster_id FROM placed JOIN numbered USING (leader)",
+    extra=hosted(VOTED_SITES).strip() + "," + _VOTE,
+)
+def _(i: Inputs):
+    cells = i.hosted(VOTED_SITES)
+    sim = similarity.domain_similarity(cells)
+    return clusters.correlation_cluster(cells.select("domain"), sim, "vote")
+
+
 @query("cluster_footprint_majority", "SELECT cluster_id, net FROM footprint")
 def _(i: Inputs):
     return clusters.cluster_footprint_majority(i.net_domain, i.clusters)

@@ -118,6 +118,53 @@ def test_similarity_and_reweighting_by_hand(spark):
     assert {(r.a, r.b): round(r.sim, 6) for r in again.collect()} == {("A", "B"): 0.864, ("A", "C"): 0.724077}
 
 
+def many_cells(seed, domains=60):
+    """Small groups on their own networks, a hoster, and two networks that everybody is on."""
+    rng = random.Random(seed)
+    cells = {}
+    for d in range(domains):
+        name = f"d{d:02}"
+        for _ in range(rng.randrange(1, 20)):
+            cells[(name, 335544320 + 256 * (d // 4 * 5 + rng.randrange(5)))] = rng.randrange(1, 30)
+        cells[(name, 335544320 + 256 * (900 + d % 3))] = rng.randrange(1, 40) if d % 5 else 200
+        cells[(name, 335544320 + 256 * (990 + d % 2))] = rng.randrange(1, 9)
+        cells[(name, 10 * 2**24)] = rng.randrange(1, 9)
+    return cells
+
+
+@pytest.mark.parametrize("above", [0.5, 0.05, 0.99])
+@pytest.mark.parametrize("reweighted", [False, True])
+def test_similar_pairs_are_the_full_table_above_the_threshold(spark, above, reweighted):
+    cells = many_cells(3)
+    df = cells_frame(spark, cells)
+    weights = None
+    if reweighted:
+        rng = random.Random(4)
+        rows = [(d, e, -1.0 if e == 10 * 2**24 else rng.uniform(-1, 1)) for d, e in cells]
+        weights = frame(spark, rows, "domain string, net bigint, w double")
+    full = {(r.a, r.b): r.sim for r in similarity.domain_similarity(df, weights).collect()}
+    got = {(r.a, r.b): r.sim for r in similarity.similar_pairs(df, above, weights, grid=pairs.Grid(2, 2)).collect()}
+    assert got == pytest.approx({pair: s for pair, s in full.items() if s > above})
+    assert got or above == 0.99
+
+
+def test_pairs_below_the_threshold_are_not_added_up(spark):
+    """All 400 domains meet on one network; only those of a group of four get as far as a sum."""
+    cells = {(f"d{d:03}", 335544320): 1 for d in range(400)}
+    cells |= {(f"d{d:03}", 335544320 + 256 * (1 + d // 4)): 20 for d in range(400)}
+    split = similarity._indexed(_scaled(cells_frame(spark, cells)), 0.5)
+    assert split.filter("indexed and e = 335544320").count() == 0
+    got = similarity.similar_pairs(cells_frame(spark, cells)).collect()
+    assert len(got) == 100 * 6
+    with pytest.raises(ValueError):
+        similarity.similar_pairs(cells_frame(spark, cells), 0.0)
+
+
+def _scaled(df):
+    cells = similarity._weighted(df, None).join(similarity.domain_norms(df), "domain")
+    return cells.selectExpr("domain", "e", "y / norm as y")
+
+
 def test_reserved_networks_count_in_the_norm_only(spark):
     ten = 10 * 2**24
     cells = frame(spark, [("A", ten, 3), ("A", 335544320, 4), ("B", ten, 5), ("B", 335544320, 1)], CELLS)
