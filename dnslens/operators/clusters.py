@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .joins import country_of_asn, lpm_join
-from .pairs import Grid, grid_for, neighbour_mass
+from .pairs import Tiling, neighbour_mass
 from .ranking import heaviest, row_numbers
 
 # Fixed value: probabilities are clipped this far from 0 and 1 before taking log odds.
@@ -237,16 +237,15 @@ def cluster_footprint_max(net_domain: DataFrame, clusters: DataFrame) -> DataFra
 
 
 def cluster_footprint_similarity(
-    net_domain: DataFrame, clusters: DataFrame, sim: DataFrame, grid: Grid | None = None
+    net_domain: DataFrame, clusters: DataFrame, sim: DataFrame, tiling: Tiling = Tiling()
 ) -> DataFrame:
     """Every network goes to the cluster with the largest similarity mass on it.
 
     Each pair of domains on a network credits ``sim * min(counts)`` to the clusters of both,
     so a cluster's mass is the sum over its domains of what their neighbours contribute.
     """
-    grid = grid or grid_for(net_domain)
     cells = net_domain.select("domain", F.col("net").alias("e"), F.col("n").cast("double").alias("y"))
-    mass = neighbour_mass(cells, sim, "overlap", grid).filter("num > 0")
+    mass = neighbour_mass(cells, sim, "overlap", tiling).filter("num > 0")
     credit = mass.join(clusters, "domain").groupBy(F.col("e").alias("net"), "cluster_id").agg(
         F.round(F.sum("num"), 9).alias("weight")
     )

@@ -1,132 +1,65 @@
 """Domain-pair arithmetic without listing the pairs of a group.
 
 Domains that share a network (or an address) interact pairwise, and a network of a large
-host carries very many domains. Instead of joining the table to itself on the network,
-domains are hashed into blocks and entities (networks, addresses) into buckets: a task
-gets the cells of two blocks in one bucket and combines them as arrays. An entity adds at
-most two blocks of cells to any task, however popular it is, and what leaves a task is
-already summed.
+host carries very many domains. Instead of joining the table to itself on the network, cells are
+dealt to tiles by what their pairs cost. An entity (network, address) of few domains goes whole to a
+tile that it shares with others, about as many as make a task's worth of pairs. The domains of
+a crowded entity are cut into blocks, and any two blocks meet in a tile of their own. A task combines the
+cells of a tile as arrays, and what leaves it is already summed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 512
-"""Domains per block (on average; blocks are filled by hash)."""
+from ..session import materialize
 
-CELLS_PER_TASK = 800_000
+TILE = ["pack", "lo", "hi"]
+"""Key of a tile; ``lo`` is -1 for entities that are dealt whole."""
 
-_CROWD = 48
-"""Entities with more domains in a task than this go through matrix products."""
-
-_CHUNK = 2048
-_FLUSH = 2_000_000
+_KEY_COLUMNS = "pack bigint, lo int, hi int"
 
 
 @dataclass(frozen=True)
-class Grid:
-    """Numbers of domain blocks and entity buckets a table of cells is cut into."""
-
-    blocks: int
-    buckets: int
-
-    def key(self, bi: Column, bj: Column, bucket: Column) -> Column:
-        """One number for a block pair and a bucket."""
-        return ((bi * self.blocks + bj) * self.buckets + bucket).cast("bigint")
-
-    def one_block(self, key: int) -> bool:
-        bi, bj = divmod(key // self.buckets, self.blocks)
-        return bi == bj
+class Tiling:
+    """An entity with more domains than ``block`` is cut into blocks; others fill tiles of ``products`` pairs."""
 
+    block: int = 1024
+    products: int = 2_000_000
 
-def grid_for(
-    cells: DataFrame, block: int = BLOCK, cells_per_task: int = CELLS_PER_TASK
-) -> Grid:
-    """Grid for a stored table of cells; counting it is one small aggregation."""
-    size = cells.agg(
-        F.count_distinct("domain").alias("domains"), F.count(F.lit(1)).alias("cells")
-    ).first()
-    blocks = max(1, ceil(size["domains"] / block))
-    # Every cell is sent to `blocks` of the blocks * (blocks + 1) / 2 block pairs.
-    return Grid(blocks, max(1, ceil(2 * size["cells"] / (cells_per_task * (blocks + 1)))))
 
+def deal(cells: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
+    """Cells (``domain, e``, others are kept) with their tiles and ``second``, the side of a tile of two blocks.
 
-def _block_of(domain: str, grid: Grid) -> Column:
-    return F.pmod(F.xxhash64(domain), F.lit(grid.blocks)).cast("int")
-
-
-def _spread(cells: DataFrame, grid: Grid) -> DataFrame:
-    """Send every cell to the block pairs that meet on its entity.
-
-    A cell is copied once per block present on its entity, which for the many entities
-    with few domains is far less than the number of blocks; an entity with a single domain
-    has no pairs and goes nowhere.
+    The degrees of the entities decide: light ones are packed by a hash, each at most a fraction of a tile, so
+    tiles cost much the same; of a heavy one a cell is copied once for each block. An entity with a
+    single domain has no pairs and goes nowhere.
     """
-    own = cells.withColumn("blk", _block_of("domain", grid)).withColumn(
-        "bucket", F.pmod(F.xxhash64("e", F.lit(1)), F.lit(grid.buckets))
-    )
-    if grid.blocks == 1:
-        met = own.withColumn("o", F.col("blk"))
-    else:
-        present = own.groupBy("e").agg(
-            F.collect_set("blk").alias("present"), F.count(F.lit(1)).alias("domains")
-        )
-        shared = present.filter("domains > 1").select("e", "present")
-        met = own.join(shared, "e").withColumn("o", F.explode("present"))
-    return met.select(
-        grid.key(F.least("blk", "o"), F.greatest("blk", "o"), F.col("bucket")).alias("g"),
-        (F.col("blk") > F.col("o")).alias("second"),
-        "domain",
-        "e",
-        "y",
+    degrees = materialize(cells.groupBy("e").agg(F.count(F.lit(1)).alias("degree")).filter("degree > 1"), "degrees")
+    k = F.col("degree")
+    light = k <= tiling.block
+    cost = degrees.filter(light).agg(F.sum(k * (k - 1) / 2).alias("cost")).first().cost or 0
+    packs = max(1, ceil(cost / tiling.products))
+    blocks = F.ceil(k / tiling.block).cast("int")
+    block = F.pmod(F.xxhash64("domain", "e"), blocks).cast("int")
+    other = F.when(light, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    met = cells.join(degrees, "e").withColumn("block", F.when(light, -1).otherwise(block))
+    return met.withColumn("other", F.explode(other)).select(
+        F.when(light, F.pmod(F.xxhash64("e"), F.lit(packs))).otherwise(F.col("e")).alias("pack"),
+        F.least("block", "other").alias("lo"),
+        F.greatest("block", "other").alias("hi"),
+        (F.col("block") > F.col("other")).alias("second"),
+        *cells.columns,
     )
 
 
-class _Group:
-    """Cells of one task as codes: domains in name order, entities grouped together."""
-
-    def __init__(self, cells: pa.Table, grid: Grid):
-        names, code = _codes(cells["domain"])
-        ent_values, ent = np.unique(cells["e"].to_numpy(), return_inverse=True)
-        order = np.argsort(ent, kind="stable")
-        self.names, self.entities = names, ent_values
-        self.dom, self.ent = code[order], ent[order]
-        self.y = cells["y"].to_numpy()[order]
-        self.one_block = grid.one_block(cells["g"][0].as_py())
-        self.second = np.zeros(len(names), dtype=bool)
-        self.second[code] = cells["second"].to_numpy()
-        crowd = np.bincount(ent)[self.ent] > _CROWD
-        self.few, self.many = np.flatnonzero(~crowd), np.flatnonzero(crowd)
-
-    def neighbours(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions of cells meeting on a small entity, one distance at a time."""
-        for step in range(1, _CROWD):
-            at, to = self.few[:-step], self.few[step:]
-            same = self.ent[at] == self.ent[to]
-            if not same.any():
-                return
-            yield at[same], to[same]
-
-    def matrices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Cells on crowded entities as dense domain x entity matrices, in bounded slices."""
-        ent = np.unique(self.ent[self.many], return_inverse=True)[1]
-        for base in range(0, int(ent[-1]) + 1 if ent.size else 0, _CHUNK):
-            lo, hi = np.searchsorted(ent, [base, base + _CHUNK])
-            rows, col = self.many[lo:hi], ent[lo:hi] - base
-            x = np.zeros((len(self.names), int(col[-1]) + 1))
-            x[self.dom[rows], col] = self.y[rows]
-            yield rows, col, x
-
-
-def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings in order, and the position of every value among them."""
     encoded = column.combine_chunks().dictionary_encode()
     if isinstance(encoded, pa.ChunkedArray):
@@ -138,155 +71,135 @@ def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return names[order], place[encoded.indices.to_numpy()]
 
 
-def _dot_block(grid: Grid):
-    def run(cells: pa.Table) -> pa.Table:
-        g = _Group(cells, grid)
-        size = len(g.names)
-        total, shared = np.zeros(size * size), np.zeros(size * size)
-        place, product = [], []
-
-        def flush() -> None:
-            if place:
-                at = np.concatenate(place)
-                np.add(total, np.bincount(at, np.concatenate(product), size * size), out=total)
-                np.add(shared, np.bincount(at, minlength=size * size), out=shared)
-                place.clear()
-                product.clear()
-
-        for at, to in g.neighbours():
-            place.append(np.minimum(g.dom[at], g.dom[to]) * size + np.maximum(g.dom[at], g.dom[to]))
-            product.append(g.y[at] * g.y[to])
-            if sum(map(len, place)) > _FLUSH:
-                flush()
-        flush()
-        total, shared = total.reshape(size, size), shared.reshape(size, size)
-        for _, _, x in g.matrices():
-            hit = (x != 0).astype(np.float64)
-            total += x @ x.T
-            shared += hit @ hit.T
-        upper = np.triu(shared > 0, 1)
-        if not g.one_block:
-            upper &= g.second[:, None] != g.second[None, :]
-        a, b = np.nonzero(upper)
-        names = pa.array(g.names, pa.string())
-        return pa.table(
-            {
-                "a": names.take(pa.array(a)),
-                "b": names.take(pa.array(b)),
-                "dot": total[a, b],
-                "shared": shared[a, b].astype(np.int64),
-            }
-        )
-
-    return run
-
-
-def pair_dots(cells: DataFrame, grid: Grid) -> DataFrame:
+class Tile:
+    """Cells of one tile as arrays, those of an entity together; ``at`` and ``to`` are the pairs of cells."""
+
+    def __init__(self, cells: pa.Table):
+        self.names, dom = codes(cells["domain"])
+        self.entities, ent = np.unique(cells["e"].to_numpy(), return_inverse=True)
+        self.order = np.argsort(ent, kind="stable")
+        self.dom, self.ent = dom[self.order], ent[self.order]
+        end = np.cumsum(np.bincount(ent))[self.ent]
+        later = end - np.arange(len(end)) - 1
+        first = np.repeat(np.cumsum(later) - later, later)
+        self.at = np.repeat(np.arange(len(end)), later)
+        self.to = self.at + 1 + np.arange(len(self.at)) - first
+        if cells["lo"][0].as_py() != cells["hi"][0].as_py():
+            second = cells["second"].to_numpy()[self.order]
+            across = second[self.at] != second[self.to]
+            self.at, self.to = self.at[across], self.to[across]
+        a, b = self.dom[self.at], self.dom[self.to]
+        self.pair = np.minimum(a, b) * len(self.names) + np.maximum(a, b)
+        self.key = [cells[c][0].as_py() for c in TILE]
+
+    def column(self, cells: pa.Table, name: str) -> np.ndarray:
+        return cells[name].to_numpy()[self.order]
+
+    def sums(self, *products: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The pairs of domains that meet, and sums over the pairs of their cells."""
+        met, which = np.unique(self.pair, return_inverse=True)
+        return met, [np.bincount(which, p, len(met)).astype(np.float64) for p in products]
+
+    def named(self, met: np.ndarray) -> dict[str, pa.Array]:
+        names = pa.array(self.names, pa.string())
+        key = {c: pa.array(np.full(len(met), v), t) for c, v, t in zip(TILE, self.key, (pa.int64(), pa.int32(), pa.int32()))}
+        return key | {"a": names.take(pa.array(met // len(self.names))), "b": names.take(pa.array(met % len(self.names)))}
+
+    def cells(self, **values: np.ndarray) -> pa.Table:
+        domain = pa.array(self.names, pa.string()).take(pa.array(self.dom))
+        return pa.table({"domain": domain, "e": self.entities[self.ent]} | values)
+
+    def similarity(self, sims: pa.Table) -> np.ndarray:
+        """The similarity of each pair of cells, 0 where ``sims`` doesn't have it."""
+        if sims.num_rows == 0:
+            return np.zeros(len(self.pair))
+        place = {name: i for i, name in enumerate(self.names)}
+        known_a, a = codes(sims["a"])
+        known_b, b = codes(sims["b"])
+        a = np.array([place.get(n, -1) for n in known_a], dtype=np.int64)[a]
+        b = np.array([place.get(n, -1) for n in known_b], dtype=np.int64)[b]
+        keep = (a >= 0) & (b >= 0)
+        pair = (np.minimum(a, b) * len(self.names) + np.maximum(a, b))[keep]
+        sim = sims["sim"].to_numpy()[keep]
+        order = np.argsort(pair)
+        pair, sim = np.append(pair[order], -1), np.append(sim[order], 0.0)
+        found = np.searchsorted(pair[:-1], self.pair)
+        return np.where(pair[found] == self.pair, sim[found], 0.0)
+
+    def neighbours(self, like: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each cell the sum of ``like`` times ``y`` of the cells it meets."""
+        there = np.bincount(self.at, like * y[self.to], len(self.dom))
+        return np.add(there, np.bincount(self.to, like * y[self.at], len(self.dom)), dtype=np.float64)
+
+
+def _dots(cells: pa.Table) -> pa.Table:
+    tile = Tile(cells)
+    y = tile.column(cells, "y")
+    met, (dot, shared) = tile.sums(y[tile.at] * y[tile.to], np.ones(len(tile.at)))
+    return pa.table(tile.named(met) | {"dot": dot, "shared": shared.astype(np.int64)})
+
+
+def _met(cells: pa.Table) -> pa.Table:
+    tile = Tile(cells)
+    return pa.table(tile.named(np.unique(tile.pair)))
+
+
+def pair_dots(cells: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
     """For domains sharing an entity: ``a, b, dot`` (sum of products) and ``shared`` entities.
 
     ``cells`` holds ``domain, e (bigint), y (double, not 0)``, one row per domain and entity.
     """
-    partial = (
-        _spread(cells, grid)
-        .groupBy("g")
-        .applyInArrow(_dot_block(grid), "a string, b string, dot double, shared bigint")
+    partial = deal(cells, tiling).groupBy(*TILE).applyInArrow(
+        _dots, f"{_KEY_COLUMNS}, a string, b string, dot double, shared bigint"
     )
     return partial.groupBy("a", "b").agg(F.sum("dot").alias("dot"), F.sum("shared").alias("shared"))
 
 
-def _similarity_matrix(names: np.ndarray, sims: pa.Table) -> np.ndarray:
-    """Dense symmetric similarities of the named domains, 0 on the diagonal."""
-    s = np.zeros((len(names), len(names)))
-    code = {name: i for i, name in enumerate(names)}
-    known_a, a = _codes(sims["a"])
-    known_b, b = _codes(sims["b"])
-    a = np.array([code.get(n, -1) for n in known_a], dtype=np.int64)[a]
-    b = np.array([code.get(n, -1) for n in known_b], dtype=np.int64)[b]
-    keep = (a >= 0) & (b >= 0)
-    s[a[keep], b[keep]] = s[b[keep], a[keep]] = sims["sim"].to_numpy()[keep]
-    return s
-
-
-def _mass_block(kind: str, grid: Grid):
+def _mass(kind: str):
     def run(cells: pa.Table, sims: pa.Table) -> pa.Table:
         if cells.num_rows == 0:
-            return pa.table(
-                {"domain": pa.array([], pa.string()), "e": pa.array([], pa.int64()), "num": np.empty(0), "den": np.empty(0)}
-            )
-        g = _Group(cells, grid)
-        s = _similarity_matrix(g.names, sims)
-        num, den = np.zeros(len(g.y)), np.zeros(len(g.y))
-        # A distance visits every position once per side, so plain indexed adds are safe.
-        for at, to in g.neighbours():
-            like = s[g.dom[at], g.dom[to]]
-            if kind == "product":
-                num[at] += like * g.y[to]
-                num[to] += like * g.y[at]
-            else:
-                overlap = np.minimum(g.y[at], g.y[to])
-                if not g.one_block:
-                    overlap = np.where(g.second[g.dom[at]] != g.second[g.dom[to]], overlap, 0.0)
-                num[at] += like * overlap
-                num[to] += like * overlap
-                den[at] += overlap
-                den[to] += overlap
-        for rows, col, x in g.matrices():
-            if kind == "product":
-                num[rows] += (s @ x)[g.dom[rows], col]
-                continue
-            for one in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(col)) + 1):
-                at = rows[one]
-                d, c = g.dom[at], g.y[at]
-                overlap = np.minimum.outer(c, c)
-                if g.one_block:
-                    np.fill_diagonal(overlap, 0.0)
-                else:
-                    overlap[g.second[d][:, None] == g.second[d][None, :]] = 0.0
-                num[at] += (s[np.ix_(d, d)] * overlap).sum(axis=1)
-                den[at] += overlap.sum(axis=1)
-        return pa.table(
-            {
-                "domain": pa.array(g.names, pa.string()).take(pa.array(g.dom)),
-                "e": g.entities[g.ent],
-                "num": num,
-                "den": den,
-            }
-        )
+            empty = {"domain": pa.array([], pa.string()), "e": pa.array([], pa.int64())}
+            return pa.table(empty | {"num": np.empty(0), "den": np.empty(0)})
+        tile = Tile(cells)
+        y, like = tile.column(cells, "y"), tile.similarity(sims)
+        if kind == "product":
+            return tile.cells(num=tile.neighbours(like, y), den=np.zeros(len(y)))
+        overlap = np.minimum(y[tile.at], y[tile.to])
+        one = np.ones(len(y))
+        return tile.cells(num=tile.neighbours(like * overlap, one), den=tile.neighbours(overlap, one))
 
     return run
 
 
 def neighbour_mass(
-    cells: DataFrame, sim: DataFrame, kind: str, grid: Grid
+    cells: DataFrame, sim: DataFrame, kind: str, tiling: Tiling = Tiling()
 ) -> DataFrame:
     """What the other domains on an entity contribute to each cell: ``domain, e, num, den``.
 
     ``kind='product'``: ``num`` = sum of similarity x count of the others (``den`` unused).
     ``kind='overlap'``: ``num`` = sum of similarity x min(counts), ``den`` = sum of min(counts).
-    Cells alone on their entity may be missing from the result.
+    Cells alone on their entity may be missing from the result. A similarity goes to the tiles where
+    its domains meet, and to no other.
     """
-    a, b = _block_of("a", grid), _block_of("b", grid)
-    copies = F.explode(F.sequence(F.lit(0), F.lit(grid.buckets - 1))).alias("bucket")
-    copied = sim.select("a", "b", "sim", F.least(a, b).alias("bi"), F.greatest(a, b).alias("bj"), copies)
-    key = grid.key(F.col("bi"), F.col("bj"), F.col("bucket"))
+    dealt = materialize(deal(cells, tiling), "dealt")
+    met = dealt.groupBy(*TILE).applyInArrow(_met, f"{_KEY_COLUMNS}, a string, b string")
+    near = met.join(sim.select("a", "b", "sim"), ["a", "b"])
     partial = (
-        _spread(cells, grid)
-        .groupBy("g")
-        .cogroup(copied.select(key.alias("g"), "a", "b", "sim").groupBy("g"))
-        .applyInArrow(_mass_block(kind, grid), "domain string, e bigint, num double, den double")
+        dealt.groupBy(*TILE)
+        .cogroup(near.groupBy(*TILE))
+        .applyInArrow(_mass(kind), "domain string, e bigint, num double, den double")
     )
     return partial.groupBy("domain", "e").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
 def self_pair_join(
-    net_domain: DataFrame, entity: str = "net", grid: Grid | None = None
+    net_domain: DataFrame, entity: str = "net", tiling: Tiling = Tiling()
 ) -> DataFrame:
     """Domain pairs that meet on at least one network, with the number of networks."""
-    grid = grid or grid_for(net_domain)
     cells = net_domain.select(
         "domain", F.col(entity).cast("bigint").alias("e"), F.lit(1.0).alias("y")
     ).distinct()
-    return pair_dots(cells, grid).select("a", "b", "shared")
+    return pair_dots(cells, tiling).select("a", "b", "shared")
 
 
 def pair_similarity_lookup(pairs: DataFrame, sim: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ip import is_reserved
-from .pairs import Grid, grid_for, neighbour_mass
+from .pairs import Tiling, neighbour_mass
 
 # Possessive, so that a text that does not fit is refused in one pass.
 _ALLOWED = re.compile(r"(?:\s|\d++(?:\.\d++)?+|\bn\b|\bm\b|[-+*/%(),])*+")
@@ -22,14 +22,13 @@ def user_threshold_expression(text: str) -> Column:
 
 
 def score_resolutions(
-    ip_domain: DataFrame, sim: DataFrame, grid: Grid | None = None
+    ip_domain: DataFrame, sim: DataFrame, tiling: Tiling = Tiling()
 ) -> DataFrame:
     """Score of each (domain, address): its count times the count-weighted mean similarity
     of all domains on that address, the domain itself included with similarity 1."""
-    grid = grid or grid_for(ip_domain)
     public = ip_domain.filter(~is_reserved("ip"))
     cells = public.select("domain", F.col("ip").alias("e"), F.col("n").cast("double").alias("y"))
-    mass = neighbour_mass(cells, sim, "product", grid).select("domain", F.col("e").alias("ip"), "num")
+    mass = neighbour_mass(cells, sim, "product", tiling).select("domain", F.col("e").alias("ip"), "num")
     totals = public.groupBy("ip").agg(F.sum("n").alias("total"))
     near = F.coalesce("num", F.lit(0.0)) + F.col("n")
     return (
@@ -80,17 +79,16 @@ def score_country_domains(country_domain_ip: DataFrame, scores: DataFrame, thres
 
 
 def score_asn_ips(
-    asn_ip_domain: DataFrame, sim: DataFrame, threshold: float = 1.0, grid: Grid | None = None
+    asn_ip_domain: DataFrame, sim: DataFrame, threshold: float = 1.0, tiling: Tiling = Tiling()
 ) -> DataFrame:
     """Overlap-weighted mean similarity of the domains one address serves to one ASN.
 
     Only scores up to ``threshold`` are kept; an address with a single domain has no score
     and is kept.
     """
-    grid = grid or grid_for(asn_ip_domain)
     packed = F.shiftleft(F.col("resolver_asn"), 32).bitwiseOR(F.col("answer_ip"))
     cells = asn_ip_domain.select("domain", packed.alias("e"), F.col("n").cast("double").alias("y"))
-    mass = neighbour_mass(cells, sim, "overlap", grid)
+    mass = neighbour_mass(cells, sim, "overlap", tiling)
     mass = mass.groupBy("e").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     per_ip = asn_ip_domain.groupBy("resolver_asn", "answer_ip", packed.alias("e")).agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("domains")

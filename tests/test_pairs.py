@@ -1,22 +1,18 @@
 from __future__ import annotations
 
 import random
+import statistics
 from collections import defaultdict
 from math import sqrt
 
 import pytest
+from pyspark.sql import functions as F
 
 from dnslens.operators import clusters, pairs, scoring, similarity
 
 CELLS = "domain string, net bigint, n bigint"
 SIM = "a string, b string, sim double"
-GRIDS = [pairs.Grid(1, 1), pairs.Grid(3, 1), pairs.Grid(4, 3)]
-
-
-@pytest.fixture(autouse=True, params=[48, 3], ids=["few", "crowded"])
-def crowd(request, monkeypatch):
-    """Run every test once with the small-entity path and once with the matrix path."""
-    monkeypatch.setattr(pairs, "_CROWD", request.param)
+TILINGS = [pairs.Tiling(), pairs.Tiling(4, 20), pairs.Tiling(9, 50)]
 
 
 def random_cells(seed=1, domains=17, nets=40):
@@ -54,8 +50,8 @@ def on_net(cells):
     return out
 
 
-@pytest.mark.parametrize("grid", GRIDS)
-def test_pair_dots_equal_brute_force(spark, grid):
+@pytest.mark.parametrize("tiling", TILINGS)
+def test_pair_dots_equal_brute_force(spark, tiling):
     cells = random_cells()
     want = defaultdict(lambda: [0.0, 0])
     for ds in on_net(cells).values():
@@ -65,13 +61,13 @@ def test_pair_dots_equal_brute_force(spark, grid):
                     want[(a, b)][0] += ds[a] * ds[b]
                     want[(a, b)][1] += 1
     df = cells_frame(spark, cells).selectExpr("domain", "net as e", "cast(n as double) as y")
-    got = {(r.a, r.b): [r.dot, r.shared] for r in pairs.pair_dots(df, grid).collect()}
+    got = {(r.a, r.b): [r.dot, r.shared] for r in pairs.pair_dots(df, tiling).collect()}
     assert got == dict(want)
 
 
-@pytest.mark.parametrize("grid", GRIDS)
+@pytest.mark.parametrize("tiling", TILINGS)
 @pytest.mark.parametrize("kind", ["product", "overlap"])
-def test_neighbour_mass_equals_brute_force(spark, grid, kind):
+def test_neighbour_mass_equals_brute_force(spark, tiling, kind):
     cells = random_cells()
     sim = random_sim(cells)
     want = {}
@@ -85,7 +81,7 @@ def test_neighbour_mass_equals_brute_force(spark, grid, kind):
                     den += part
             want[(a, e)] = (num, den)
     df = cells_frame(spark, cells).selectExpr("domain", "net as e", "cast(n as double) as y")
-    got = pairs.neighbour_mass(df, sim_frame(spark, sim), kind, grid).collect()
+    got = pairs.neighbour_mass(df, sim_frame(spark, sim), kind, tiling).collect()
     assert {(r.domain, r.e) for r in got} >= {key for key, (num, _) in want.items() if num > 0}
     for r in got:
         num, den = want[(r.domain, r.e)]
@@ -94,11 +90,72 @@ def test_neighbour_mass_equals_brute_force(spark, grid, kind):
             assert r.den == pytest.approx(den)
 
 
-def test_grid_keeps_tasks_small(spark):
-    cells = cells_frame(spark, random_cells())
-    grid = pairs.grid_for(cells, block=5, cells_per_task=20)
-    assert grid.blocks == 4 and grid.buckets > 1
-    assert pairs.grid_for(cells) == pairs.Grid(1, 1)
+def test_tiles_cost_much_the_same_beside_a_hot_network(spark):
+    """3,000 domains, one network that all are on: its blocks and the packs of the others are of like cost."""
+    cells = [(f"d{d:04}", 335544320, 1.0) for d in range(3000)]
+    cells += [(f"d{d:04}", 335544320 + 256 * (1 + (d * 7 + j * 31) % 400), 1.0) for d in range(3000) for j in range(4)]
+    df = frame(spark, list(set(cells)), "domain string, e bigint, y double")
+    dealt = pairs.deal(df, pairs.Tiling(block=150, products=11000))
+    cost = {}
+    for r in dealt.groupBy(*pairs.TILE, "e").agg(F.count_if("second").alias("s"), F.count(F.lit(1)).alias("k")).collect():
+        of = (r.k - r.s) * r.s if r.lo != r.hi else r.k * (r.k - 1) / 2
+        cost[r.pack, r.lo, r.hi] = cost.get((r.pack, r.lo, r.hi), 0) + of
+    assert len(cost) > 200 and sum(lo >= 0 for _, lo, _ in cost) == 20 * 21 / 2
+    assert sum(cost.values()) == sum(k * (k - 1) / 2 for k in degrees(cells).values())
+    assert max(cost.values()) < 3 * statistics.median(cost.values())
+
+
+def degrees(cells):
+    found = defaultdict(set)
+    for d, e, _ in cells:
+        found[e].add(d)
+    return {e: len(ds) for e, ds in found.items()}
+
+
+def rounds_by_force(cells, rounds):
+    """Similarities after each round, every one from scratch."""
+    norm = defaultdict(float)
+    for (d, _), n in cells.items():
+        norm[d] += n * n
+    reserved = {e for _, e in cells if e >> 24 == 10}
+    w = {c: -1.0 if c[1] in reserved else 0.0 for c in cells}
+    out = []
+    for _ in range(rounds + 1):
+        sim = defaultdict(float)
+        for e, ds in on_net(cells).items():
+            for a in ds:
+                for b in ds:
+                    if a < b and w[a, e] > -1 and w[b, e] > -1:
+                        sim[a, b] += ds[a] * (1 + w[a, e]) * ds[b] * (1 + w[b, e]) / sqrt(norm[a] * norm[b])
+        sim = {pair: min(1.0, s) for pair, s in sim.items()}
+        out.append(sim)
+        for e, ds in on_net(cells).items():
+            for a in ds:
+                others = sum(n for d, n in ds.items() if d != a)
+                near = sum(n * sim.get((min(a, b), max(a, b)), 0.0) for b, n in ds.items() if b != a)
+                w[a, e] = -1.0 if e in reserved else 2 * near / others - 1 if others else 0.0
+    return out
+
+
+@pytest.mark.parametrize("tiling", TILINGS)
+def test_rounds_equal_those_made_from_scratch(spark, tiling):
+    cells = many_cells(6, 30)
+    want = rounds_by_force(cells, 5)
+    rounds = similarity.similarity_rounds(cells_frame(spark, cells), 5, tiling)
+    for (sim, _), expected in zip(rounds, want, strict=True):
+        got = {(r.a, r.b): r.sim for r in sim.collect()}
+        assert {p: s for p, s in got.items() if s > 1e-9} == pytest.approx({p: s for p, s in expected.items() if s > 1e-9}, abs=1e-9)
+
+
+def test_settled_similarities_end_the_rounds(spark, monkeypatch):
+    """Two domains with the same counts settle at 1 at once; the rounds that are left make nothing."""
+    made = []
+    real = similarity._Rounds.advance
+    monkeypatch.setattr(similarity._Rounds, "advance", lambda self: (made.append(1), real(self)))
+    cells = frame(spark, [("a", 335544320, 3), ("b", 335544320, 3)], CELLS)
+    rounds = list(similarity.similarity_rounds(cells, 6))
+    assert len(rounds) == 7 and len(made) == 1
+    assert [tuple(r) for r in rounds[-1][0].collect()] == [("a", "b", 1.0)]
 
 
 HAND = [("A", 335544320, 3), ("A", 335544576, 4), ("B", 335544320, 3), ("C", 335544576, 1), ("C", 335544832, 1)]
@@ -143,7 +200,7 @@ def test_similar_pairs_are_the_full_table_above_the_threshold(spark, above, rewe
         rows = [(d, e, -1.0 if e == 10 * 2**24 else rng.uniform(-1, 1)) for d, e in cells]
         weights = frame(spark, rows, "domain string, net bigint, w double")
     full = {(r.a, r.b): r.sim for r in similarity.domain_similarity(df, weights).collect()}
-    got = {(r.a, r.b): r.sim for r in similarity.similar_pairs(df, above, weights, grid=pairs.Grid(2, 2)).collect()}
+    got = {(r.a, r.b): r.sim for r in similarity.similar_pairs(df, above, weights, tiling=pairs.Tiling(5, 40)).collect()}
     assert got == pytest.approx({pair: s for pair, s in full.items() if s > above})
     assert got or above == 0.99
 
@@ -152,7 +209,7 @@ def test_pairs_below_the_threshold_are_not_added_up(spark):
     """All 400 domains meet on one network; only those of a group of four get as far as a sum."""
     cells = {(f"d{d:03}", 335544320): 1 for d in range(400)}
     cells |= {(f"d{d:03}", 335544320 + 256 * (1 + d // 4)): 20 for d in range(400)}
-    split = similarity._indexed(_scaled(cells_frame(spark, cells)), 0.5)
+    split = similarity._indexed(similarity._scaled(cells_frame(spark, cells), None, None), 0.5)
     assert split.filter("indexed and e = 335544320").count() == 0
     got = similarity.similar_pairs(cells_frame(spark, cells)).collect()
     assert len(got) == 100 * 6
@@ -160,11 +217,6 @@ def test_pairs_below_the_threshold_are_not_added_up(spark):
         similarity.similar_pairs(cells_frame(spark, cells), 0.0)
 
 
-def _scaled(df):
-    cells = similarity._weighted(df, None).join(similarity.domain_norms(df), "domain")
-    return cells.selectExpr("domain", "e", "y / norm as y")
-
-
 def test_reserved_networks_count_in_the_norm_only(spark):
     ten = 10 * 2**24
     cells = frame(spark, [("A", ten, 3), ("A", 335544320, 4), ("B", ten, 5), ("B", 335544320, 1)], CELLS)
@@ -190,8 +242,8 @@ def test_pair_lookup(spark):
     assert got == {("b", "a"): 0.5, ("a", "b"): 0.5, ("a", "a"): 1.0, ("a", "c"): 0.0}
 
 
-@pytest.mark.parametrize("grid", GRIDS)
-def test_scores_equal_brute_force(spark, grid):
+@pytest.mark.parametrize("tiling", TILINGS)
+def test_scores_equal_brute_force(spark, tiling):
     cells = random_cells(8)
     sim = random_sim(cells)
     by_ip = cells_frame(spark, cells).withColumnRenamed("net", "ip")
@@ -200,12 +252,12 @@ def test_scores_equal_brute_force(spark, grid):
         for a, n in ds.items():
             near = sum(m * (1 if a == b else sim.get((min(a, b), max(a, b)), 0)) for b, m in ds.items())
             want[(a, e)] = near / sum(ds.values()) * n
-    got = scoring.score_resolutions(by_ip, sim_frame(spark, sim), grid).collect()
+    got = scoring.score_resolutions(by_ip, sim_frame(spark, sim), tiling).collect()
     assert {(r.domain, r.ip): pytest.approx(r.score) for r in got} == want
 
 
-@pytest.mark.parametrize("grid", GRIDS)
-def test_asn_ip_scores_equal_brute_force(spark, grid):
+@pytest.mark.parametrize("tiling", TILINGS)
+def test_asn_ip_scores_equal_brute_force(spark, tiling):
     cells = random_cells(11)
     sim = random_sim(cells)
     rng = random.Random(4)
@@ -220,7 +272,7 @@ def test_asn_ip_scores_equal_brute_force(spark, grid):
         overlaps = [(min(ds[a], ds[b]), sim.get((a, b), 0)) for i, a in enumerate(names) for b in names[i + 1 :]]
         den = sum(o for o, _ in overlaps)
         want[key] = (sum(o * s for o, s in overlaps) / den if den else None, sum(ds.values()), len(ds))
-    got = scoring.score_asn_ips(df, sim_frame(spark, sim), 1.0, grid).collect()
+    got = scoring.score_asn_ips(df, sim_frame(spark, sim), 1.0, tiling).collect()
     assert {(r.resolver_asn, r.ip) for r in got} == set(want)
     for r in got:
         score, total, domains = want[(r.resolver_asn, r.ip)]
@@ -228,8 +280,8 @@ def test_asn_ip_scores_equal_brute_force(spark, grid):
         assert (r.total, r.domains) == (total, domains)
 
 
-@pytest.mark.parametrize("grid", GRIDS)
-def test_similarity_footprint_equals_brute_force(spark, grid):
+@pytest.mark.parametrize("tiling", TILINGS)
+def test_similarity_footprint_equals_brute_force(spark, tiling):
     cells = random_cells(13)
     sim = random_sim(cells)
     cluster = {d: i % 4 for i, d in enumerate(sorted({d for d, _ in cells}))}
@@ -246,5 +298,5 @@ def test_similarity_footprint_equals_brute_force(spark, grid):
         if top[1] > 0:
             want[e] = (top[0], pytest.approx(top[1]))
     members = frame(spark, list(cluster.items()), "domain string, cluster_id int")
-    got = clusters.cluster_footprint_similarity(cells_frame(spark, cells), members, sim_frame(spark, sim), grid)
+    got = clusters.cluster_footprint_similarity(cells_frame(spark, cells), members, sim_frame(spark, sim), tiling)
     assert {r.net: (r.cluster_id, r.weight) for r in got.collect()} == want
