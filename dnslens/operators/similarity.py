@@ -14,7 +14,7 @@ from ..session import materialize
 from .pairs import TILE, Tile, Tiling, deal, neighbour_mass, pair_dots
 
 _MARGIN = 1e-9  # room for rounding in bounds
-_MOVED = 1e-12  # a similarity that changes by less has settled
+_MOVED = 1e-12  # a similarity that changes by a smaller part of it has settled
 
 def domain_norms(net_domain: DataFrame) -> DataFrame:
     """Length of each domain's count vector, stored: one small row per domain.
@@ -184,7 +184,8 @@ def _whole_round(cells: pa.Table, sims: pa.Table) -> pa.Table:
     n, x = tile.column(cells, "n"), tile.column(cells, "x")
     near = tile.neighbours(tile.similarity(sims), n)
     others = np.bincount(tile.ent, n)[tile.ent] - n
-    return _parts(tile, x * 2 * near / others, sims)
+    weight = 2 * near / others - 1
+    return _parts(tile, x * (1 + weight), sims)
 
 
 def _block_mass(cells: pa.Table, sims: pa.Table) -> pa.Table:
@@ -220,7 +221,7 @@ class _Rounds:
     def _settled(self, parts: DataFrame) -> DataFrame:
         pair = Window.partitionBy("a", "b")
         sim = F.least(F.lit(1.0), F.sum("part").over(pair))
-        moved = F.col("old").isNull() | F.isnan("old") | (F.abs(F.col("sim") - F.col("old")) > _MOVED)
+        moved = F.col("old").isNull() | F.isnan("old") | (F.abs(F.col("sim") - F.col("old")) > _MOVED * F.col("old"))
         summed = parts.withColumn("sim", sim).withColumn("listed", F.sum("shared").over(pair) > 0)
         return materialize(summed.withColumn("moved", moved), "similarity")
 
@@ -252,8 +253,8 @@ class _Rounds:
             # Each cell once: of an entity's blocks, those tiles that hold one block alone.
             totals = self.cut.filter("lo = hi").groupBy("e").agg(F.sum("n").alias("total"))
             weighted = self.cut.join(near, ["domain", "e"]).join(totals, "e")
-            doubled = F.col("x") * 2 * F.col("num") / (F.col("total") - F.col("n"))
-            weighted = weighted.withColumn("x", doubled).select(*self.cut.columns)
+            weight = 2 * F.col("num") / (F.col("total") - F.col("n")) - 1
+            weighted = weighted.withColumn("x", F.col("x") * (1 + weight)).select(*self.cut.columns)
             blocks = weighted.groupBy(*TILE).cogroup(self._state_of(self.cut).groupBy(*TILE))
             parts = parts.unionByName(blocks.applyInArrow(_block_round, _PARTS))
         self.state = self._settled(parts)
@@ -266,7 +267,7 @@ def similarity_rounds(
 
     Every round is one job whose result is written to the shared folder, so the plan does
     not grow with rounds and a lost executor only repeats the current one. Tiles in which no
-    similarity moved by more than 1e-12 keep their sums; when none moved at all, the rounds
+    similarity moved by more than a 1e-12th keep their sums; when none moved at all, the rounds
     that are left are the same as the last one.
     """
     state = _Rounds(net_domain, tiling)
