@@ -205,10 +205,21 @@ def domain_cluster_map(clusters: DataFrame) -> DataFrame:
     return clusters.select(F.explode("domains").alias("domain"), "cluster_id")
 
 
+_LIST = r"^\s*[\[,]\s*\[([\s\S]*)$"
+
+
 def read_clusters(spark, path: str) -> DataFrame:
-    """``[[domain, ...], ...]`` (position = id) to ``domain, cluster_id``."""
-    lists = spark.read.text(path).select(F.from_json("value", "array<array<string>>").alias("c"))
-    return domain_cluster_map(lists.select(F.posexplode("c").alias("cluster_id", "domains")))
+    """``[[domain, ...], ...]`` (position = id), formatted or not, to ``domain, cluster_id``.
+
+    The file is cut at closing brackets, so that many tasks read it; text that doesn't parse is an error.
+    """
+    pieces = spark.read.text(path, lineSep="]").filter("value rlike '[^\\\\s]'")
+    where = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    body = F.when(F.col("value").rlike(_LIST), F.concat(F.lit("["), F.regexp_extract("value", _LIST, 1), F.lit("]")))
+    said = F.concat(F.lit("not a list of lists: "), F.substring("value", 1, 200))
+    names = F.coalesce(F.from_json(body, "array<string>"), F.raise_error(said).cast("array<string>"))
+    numbered = row_numbers(pieces.select(names.alias("domains"), where.alias("at")), "at")
+    return domain_cluster_map(numbered.select("domains", (F.col("rn") - 1).cast("int").alias("cluster_id")))
 
 
 def cluster_footprint_majority(

@@ -49,7 +49,6 @@ REPORT_META = {
     "probe_ip": "127.0.0.1",
     "report_id": "run",
 }
-REPORT_LIMIT = 100
 
 
 def query(name: str, sql: str | None = None, rounds: int = 0, extra: str = ""):
@@ -146,7 +145,7 @@ def _(i: Inputs):
 @query("write_count_map", "SELECT net, domain, n FROM net_domain")
 def _(i: Inputs):
     path = i.scratch("domain-net")
-    sinks.write_count_map(i.net_domain, "domain", "net", "n", path, max_entries=50)
+    sinks.write_count_map(i.net_domain, "domain", "net", "n", path)
     rows = readers.read_count_map(i.spark, path, ("domain", "net", "n"))
     return rows.withColumn("net", F.col("net").cast("bigint"))
 
@@ -246,13 +245,16 @@ def _(i: Inputs):
 
 @query(
     "ooni_records",
-    "SELECT record_type, input, CAST(chunk AS BIGINT) AS chunk, CAST(n AS INTEGER) AS queries, first_resolver, addrs FROM ("
-    "SELECT 'entry' AS record_type, d.domain AS input, d.chunk, count(q.seq) AS n, min(q.rs) AS first_resolver, string_agg(q.addrs, ';' ORDER BY q.seq) AS addrs "
-    "FROM (SELECT domain, unnest(generate_series(0, CAST(floor(count(x.seq) / 101) AS BIGINT))) AS chunk FROM shards LEFT JOIN x USING (domain) GROUP BY domain) d "
-    "LEFT JOIN x q ON q.domain = d.domain AND floor((q.rn - 1) / 101) = d.chunk GROUP BY 1, 2, 3 "
-    "UNION ALL SELECT 'header', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'footer', NULL, NULL, NULL, NULL, NULL) t",
+    "SELECT record_type, input, CAST(chunk AS BIGINT) AS chunk, CAST(n AS INTEGER) AS queries, first_resolver, addrs, asked, CAST(start AS DOUBLE) AS start_time, "
+    "'dns' AS test_name, '1.0.0' AS test_version, 'dnslens' AS software_name, '1.0' AS software_version, 'AS0' AS probe_asn, 'ZZ' AS probe_cc, "
+    "'127.0.0.1' AS probe_ip, 'run' AS report_id FROM ("
+    "SELECT 'entry' AS record_type, d.domain AS input, d.chunk, any_value(t.start) AS start, count(q.seq) AS n, min(CASE WHEN q.seq IS NOT NULL THEN '53 A [Query(''<' || d.domain || '>'',1,1)]' END) AS asked, min(q.rs) AS first_resolver, string_agg(q.addrs, ';' ORDER BY q.seq) AS addrs "
+    "FROM (SELECT domain, unnest(generate_series(0, CAST(floor(count(x.seq) / 10001) AS BIGINT))) AS chunk FROM shards LEFT JOIN x USING (domain) GROUP BY domain) d "
+    "LEFT JOIN x q ON q.domain = d.domain AND floor((q.rn - 1) / 10001) = d.chunk JOIN starts t ON t.domain = d.domain GROUP BY 1, 2, 3 "
+    "UNION ALL SELECT 'header', NULL, NULL, 0, NULL, NULL, NULL, NULL UNION ALL SELECT 'footer', NULL, NULL, 1, NULL, NULL, NULL, NULL) t",
     extra=f"x AS (SELECT seq, domain, {dotted('resolver_ip')} AS rs, array_to_string(a_records, ',') AS addrs, "
-    "row_number() OVER (PARTITION BY domain ORDER BY seq) AS rn FROM responses WHERE ok AND len(a_records) > 0 AND qname = domain)",
+    "row_number() OVER (PARTITION BY domain ORDER BY seq) AS rn FROM responses WHERE ok AND len(a_records) > 0 AND qname = domain), "
+    "starts AS (SELECT domain, 1000 + min(k) OVER (PARTITION BY shard) AS start FROM shards JOIN domain_keys USING (domain))",
 )
 def _(i: Inputs):
     decoded = dns.response_fields(i.responses)
@@ -262,10 +264,10 @@ def _(i: Inputs):
     )
     addrs = F.transform("a_records", lambda x: x.cast("string"))
     rows = materialize(mine.withColumn("addrs", addrs).drop("a_records"), "answered")
-    records = sinks.ooni_records(
-        rows, i.shards, REPORT_META, run_time=0.0, scan_time=0.0, now=1.0, limit=REPORT_LIMIT
-    )
+    starts = i.shards.join(i.domain_keys, "domain").groupBy("shard").agg((1000 + F.min("k")).alias("start_time"))
+    records = sinks.ooni_records(rows, i.shards, REPORT_META, run_time=0.0, scan_time=starts, now=1.0)
     per_query = F.transform("queries", lambda q: F.array_join(q["addrs"], ","))
+    asked = lambda q: F.concat_ws(" ", q["resolver_port"], q["query_type"], q["query"])
     count = F.when(F.col("record_type") == "entry", F.coalesce(F.size("queries"), F.lit(0)))
     return records.select(
         "record_type",
@@ -274,6 +276,11 @@ def _(i: Inputs):
         F.when(count < 0, 0).otherwise(count).alias("queries"),
         F.array_min(F.col("queries.resolver_ip")).alias("first_resolver"),
         F.array_join(per_query, ";").alias("addrs"),
+        F.array_join(F.array_distinct(F.transform("queries", asked)), ";").alias("asked"),
+        "start_time",
+        "test_name",
+        "test_version",
+        *REPORT_META,
     )
 
 

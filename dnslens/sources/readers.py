@@ -1,6 +1,7 @@
 """Readers for the file formats a measurement run leaves behind.
 
-Every reader is line based, so files split across tasks; malformed lines are dropped.
+Readers take lines, or the pieces between closing braces, so files split across tasks. Malformed lines are
+dropped; a two-level object that doesn't parse is an error.
 """
 
 from __future__ import annotations
@@ -136,15 +137,37 @@ def read_failures(spark: SparkSession, path: str) -> DataFrame:
     return entries.groupBy("domain").agg(F.coalesce(F.sum(failed), F.lit(0)).alias("failed"))
 
 
+# A key and the start of its object, after what closes and separates the objects before it.
+_OBJECT = r'^[\s,{]*("(?:[^"\\]|\\.)*+")\s*:\s*\{([\s\S]*)$'
+
+
 def read_count_map(
-    spark: SparkSession, path: str, cols: tuple[str, str, str], value_type: str = "bigint"
+    spark: SparkSession,
+    path: str,
+    cols: tuple[str, str, str],
+    value_type: str = "bigint",
+    malformed: str = "fail",
 ) -> DataFrame:
-    """Two-level JSON objects, one or many per file, to ``(k1, k2, value)`` rows."""
+    """Two-level JSON objects, one or many per file, formatted or not, to ``(k1, k2, value)`` rows.
+
+    Files are cut at closing braces, not at lines: a task of any byte range goes on at the next inner
+    object, so one large object is read by many tasks, each holding one inner object at a time. Text that
+    doesn't parse ends the query, or with ``malformed="drop"`` is left out. A brace inside a string
+    must be escaped (``\\u007d``), as ``write_count_map`` does it.
+    """
+    if malformed not in ("fail", "drop"):
+        raise ValueError(f"malformed is fail or drop, not {malformed!r}")
     k1, k2, value = cols
-    outer = F.from_json("value", f"map<string,map<string,{value_type}>>")
-    return spark.read.text(path).select(F.explode(outer).alias(k1, "m")).select(
-        k1, F.explode("m").alias(k2, value)
-    )
+    pieces = spark.read.text(path, lineSep="}")
+    body = F.regexp_extract("value", _OBJECT, 2)
+    key = F.from_json(F.concat(F.lit("["), F.regexp_extract("value", _OBJECT, 1), F.lit("]")), "array<string>")
+    inner = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), f"map<string,{value_type}>")
+    found = pieces.select("value", key[0].alias(k1), F.when(F.col("value").rlike(_OBJECT), inner).alias("m"))
+    if malformed == "fail":
+        said = F.concat(F.lit("not a two-level object: "), F.substring("value", 1, 200))
+        checked = F.coalesce("m", F.raise_error(said).cast(f"map<string,{value_type}>"))
+        found = found.withColumn("m", F.when(~F.col("value").rlike(r"^[\s,{]*$"), checked))
+    return found.select(k1, F.explode("m").alias(k2, value))
 
 
 def distinct_keys(df: DataFrame, col: str) -> DataFrame:

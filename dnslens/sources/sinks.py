@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ip import format_ip
@@ -17,67 +17,67 @@ OONI_QUERY = "[Query('<%s>',1,1)]"
 OONI_ENTRY_LIMIT = 10_000
 
 
-def _chunked(df: DataFrame, key: str, parts: list[str], limit: int) -> DataFrame:
-    """Add ``_chunk``: rows of one key spread by hash over pieces of about ``limit`` rows."""
-    pieces = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / limit).alias("_pieces"))
-    return df.join(pieces, key).withColumn(
-        "_chunk", F.pmod(F.xxhash64(*parts), F.col("_pieces")).cast("bigint")
-    )
+def _quoted(value: Column) -> Column:
+    """A value as JSON. Braces in a string are escaped, so that readers can cut at those that are not."""
+    text = F.to_json(F.array(value))
+    inside = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.replace(F.replace(inside, F.lit("}"), F.lit("\\u007d")), F.lit("{"), F.lit("\\u007b"))
 
 
-def observation_lines(
-    obs: DataFrame, failures: DataFrame, domains: DataFrame, max_entries: int = 100_000
-) -> DataFrame:
-    """``{name, failed, asn: {ip: n}}`` lines, also for domains without answers.
+def _write_pieces(pieces: DataFrame, path: str) -> None:
+    """Writes text pieces one after the other, a blank between them; lines end where a piece says so.
 
-    A domain with more than ``max_entries`` counts continues on further lines (with
-    ``failed`` 0); readers add up the lines of a domain.
+    A task streams its sorted pieces into its file, so a line may be longer than any task's memory, and
+    Spark commits or drops the file of a task as a whole.
     """
+    pieces.select("value").write.option("lineSep", " ").text(path)
+
+
+def observation_pieces(obs: DataFrame, failures: DataFrame, domains: DataFrame) -> DataFrame:
+    """``{name, failed, asn: {ip: n}}`` in pieces, a line for each domain, also for those without answers."""
     answers = obs.select(
         "domain",
         F.coalesce(F.col("resolver_asn").cast("string"), F.lit(UNKNOWN)).alias("asn"),
         F.coalesce(format_ip("answer_ip"), F.lit(EMPTY)).alias("ip"),
         "n",
+        F.lit(None).cast("bigint").alias("failed"),
     )
-    per_asn = (
-        _chunked(answers, "domain", ["asn", "ip"], max_entries)
-        .groupBy("domain", "_chunk", "asn")
-        .agg(F.map_from_entries(F.collect_list(F.struct("ip", "n"))).alias("ips"))
-    )
-    field = F.concat(F.lit('"'), "asn", F.lit('":'), F.to_json("ips"))
-    bodies = per_asn.groupBy("domain", "_chunk").agg(
-        F.concat_ws(",", F.sort_array(F.collect_list(field))).alias("body")
+    named = domains.select("domain").unionByName(obs.select("domain")).distinct()
+    none = F.lit(None).cast("string")
+    heads = named.join(failures.select("domain", "failed"), "domain", "left").select(
+        "domain", none.alias("asn"), none.alias("ip"), F.lit(0).cast("bigint").alias("n"),
+        F.coalesce(F.col("failed").cast("bigint"), F.lit(0)).alias("failed"),
+    )
+    # The head of a domain has no ASN and comes first.
+    line = Window.partitionBy("domain").orderBy(F.col("asn").asc_nulls_first(), "ip")
+    rows = answers.unionByName(heads).select(
+        "*",
+        F.lag("asn").over(line).alias("before"),
+        F.lead("asn").over(line).alias("after"),
     )
-    first = domains.select("domain").distinct().withColumn("_chunk", F.lit(0).cast("bigint"))
-    lines = bodies.join(first, ["domain", "_chunk"], "full").join(
-        failures.withColumn("_chunk", F.lit(0).cast("bigint")), ["domain", "_chunk"], "left"
-    )
-    head = F.to_json(
-        F.struct(F.col("domain").alias("name"), F.coalesce("failed", F.lit(0)).alias("failed"))
-    )
-    # The open object of the head takes the answer fields before it is closed.
-    opened = F.substring(head, F.lit(1), F.length(head) - 1)
-    body = F.when(F.col("body").isNotNull(), F.concat(F.lit(","), "body")).otherwise("")
-    return lines.select(F.concat(opened, body, F.lit("}")).alias("value"))
+    head = F.concat(F.lit('{"name":'), _quoted(F.col("domain")), F.lit(',"failed":'), F.col("failed").cast("string"))
+    field = F.concat(F.lit(","), _quoted(F.col("asn")), F.lit(":{"))
+    opened = F.when(F.col("before").eqNullSafe(F.col("asn")), F.lit(",")).otherwise(field)
+    closed = F.when(F.col("after").eqNullSafe(F.col("asn")), F.lit("")).otherwise("}")
+    answer = F.concat(opened, _quoted(F.col("ip")), F.lit(":"), F.col("n").cast("string"), closed)
+    ended = F.when(F.col("after").isNull(), "}\n").otherwise("")
+    return rows.select(F.concat(F.when(F.col("asn").isNull(), head).otherwise(answer), ended).alias("value"))
 
 
-def write_observations(obs, failures, domains, path: str, max_entries: int = 100_000) -> None:
-    observation_lines(obs, failures, domains, max_entries).write.text(path)
+def write_observations(obs: DataFrame, failures: DataFrame, domains: DataFrame, path: str) -> None:
+    _write_pieces(observation_pieces(obs, failures, domains), path)
 
 
-def write_count_map(
-    df: DataFrame, k1: str, k2: str, value: str, path: str, max_entries: int = 100_000
-) -> None:
-    """``{k1: {k2: value}}`` lines; a key with more than ``max_entries`` gets several lines."""
-    rows = df.select(
-        F.col(k1).cast("string").alias("k1"), F.col(k2).cast("string").alias("k2"), F.col(value).alias("v")
-    )
-    inner = (
-        _chunked(rows, "k1", ["k2"], max_entries)
-        .groupBy("k1", "_chunk")
-        .agg(F.map_from_entries(F.collect_list(F.struct("k2", "v"))).alias("m"))
-    )
-    inner.select(F.to_json(F.create_map("k1", "m")).alias("value")).write.text(path)
+def write_count_map(df: DataFrame, k1: str, k2: str, value: str, path: str) -> None:
+    """``{k1: {k2: value}}`` lines, one for each ``k1`` however many values it has."""
+    rows = df.select(F.col(k1).cast("string").alias("k1"), F.col(k2).cast("string").alias("k2"), F.col(value).alias("v"))
+    line = Window.partitionBy("k1").orderBy("k2")
+    first, last = F.lag("k1").over(line).isNull(), F.lead("k1").over(line).isNull()
+    rows = rows.select("*", first.alias("first"), last.alias("last"))
+    opened = F.when(F.col("first"), F.concat(F.lit("{"), _quoted(F.col("k1")), F.lit(":{"))).otherwise(",")
+    entry = F.concat(opened, _quoted(F.col("k2")), F.lit(":"), _quoted(F.col("v")))
+    pieces = rows.select(F.concat(entry, F.when(F.col("last"), "}}\n").otherwise("")).alias("value"))
+    _write_pieces(pieces, path)
 
 
 def ooni_records(
@@ -85,7 +85,7 @@ def ooni_records(
     shard_domains: DataFrame,
     meta: dict[str, str],
     run_time: float,
-    scan_time: float,
+    scan_time: float | DataFrame,
     now: float,
     limit: int = OONI_ENTRY_LIMIT,
 ) -> DataFrame:
@@ -93,6 +93,7 @@ def ooni_records(
 
     ``responses`` holds ``shard, domain, seq, resolver_ip, addrs`` with at least one address
     each. Every domain of a shard ends with one entry, empty if nothing is left for it.
+    ``scan_time`` is the start of all scans, or rows of ``shard, start_time``.
     """
     size = limit + 1
     numbered = row_numbers(responses, "seq", ["shard", "domain"])
@@ -114,21 +115,27 @@ def ooni_records(
     slots = slots.select("shard", "domain", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk"))
     entries = slots.join(full, ["shard", "domain", "chunk"], "left").withColumn("part", F.lit(1))
 
-    def common(df: DataFrame, kind: str, start: float) -> DataFrame:
+    if isinstance(scan_time, DataFrame):
+        starts = scan_time.select("shard", F.col("start_time").cast("double"))
+        entries = entries.join(starts, "shard", "left")
+    else:
+        entries = entries.withColumn("start_time", F.lit(float(scan_time)))
+
+    def common(df: DataFrame, kind: str) -> DataFrame:
         return df.select(
             "part",
             "shard",
             "chunk",
             *[F.lit(v).alias(k) for k, v in meta.items()],
             F.lit(kind).alias("record_type"),
-            F.lit(float(start)).alias("start_time"),
+            "start_time",
             F.lit("dns").alias("test_name"),
             F.lit("1.0.0").alias("test_version"),
             F.col("domain").alias("input"),
             "queries",
         )
 
-    body = common(entries, "entry", scan_time)
+    body = common(entries, "entry")
     spark = responses.sparkSession
     edge = spark.range(1).select(
         F.lit(None).cast("string").alias("shard"),
@@ -136,8 +143,8 @@ def ooni_records(
         F.lit(None).cast("string").alias("domain"),
         F.lit(None).cast(body.schema["queries"].dataType).alias("queries"),
     )
-    header = common(edge.withColumn("part", F.lit(0)), "header", run_time)
-    footer = common(edge.withColumn("part", F.lit(2)), "footer", now)
+    header = common(edge.withColumns({"part": F.lit(0), "start_time": F.lit(float(run_time))}), "header")
+    footer = common(edge.withColumns({"part": F.lit(2), "start_time": F.lit(float(now))}), "footer")
     return header.unionByName(body).unionByName(footer)
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 from math import log
 
@@ -199,6 +200,15 @@ def test_cluster_files_and_stats(spark, tmp_path):
     path.write_text('[["a","b"],["c"]]')
     members = clusters.read_clusters(spark, str(path))
     assert {(r.domain, r.cluster_id) for r in members.collect()} == {("a", 0), ("b", 0), ("c", 1)}
+    many = [[f"c{i}d{j}" for j in range(i % 4)] for i in range(500)]
+    formatted = tmp_path / "formatted.json"
+    formatted.write_text(json.dumps(many, indent=2))
+    assert {(r.domain, r.cluster_id) for r in clusters.read_clusters(spark, str(formatted)).collect()} == {
+        (d, i) for i, c in enumerate(many) for d in c
+    }
+    formatted.write_text('[["a"],["b]"]]')
+    with pytest.raises(Exception, match="not a list of lists"):
+        clusters.read_clusters(spark, str(formatted)).collect()
     scores = frame(spark, [("a", 256, 1.0), ("b", 256, 0.5), ("a", 600, 0.4), ("c", 256, 3.0)], "domain string, ip bigint, score double")
     prefixes = frame(spark, [(0, 16, 7)], "network bigint, prefix_len int, asn bigint")
     listed = frame(spark, [(7, "AA")], "asn bigint, country string")

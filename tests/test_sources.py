@@ -60,29 +60,77 @@ def test_observations_and_failures(spark, tmp_path):
     assert rows(readers.read_failures(spark, path), "domain", "failed") == [("a.example", 3), ("b.example", 0)]
 
 
-def test_observation_lines_split_large_domains(spark, tmp_path):
-    obs = spark.range(100).select(
-        F.lit("a.example").alias("domain"), (F.col("id") % 3).alias("resolver_asn"),
+def test_observations_are_a_line_for_each_domain(spark, tmp_path):
+    obs = spark.range(20000).select(
+        F.when(F.col("id") % 50 == 0, 'b{"}.example').otherwise("a.example").alias("domain"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("resolver_asn"),
         (F.col("id") + 335544320).alias("answer_ip"), (F.col("id") + 1).alias("n"),
     )
     failures = spark.createDataFrame([("a.example", 7)], "domain string, failed bigint")
-    domains = spark.createDataFrame([("a.example",), ("quiet.example",)], "domain string")
+    domains = spark.createDataFrame([("a.example",), ("quiet.example",), ("quiet.example",)], "domain string")
     path = str(tmp_path / "out")
-    sinks.write_observations(obs, failures, domains, path, max_entries=10)
-    assert spark.read.text(path).count() > 5
+    sinks.write_observations(obs, failures, domains, path)
+    lines = [json.loads(r.value) for r in spark.read.text(path).collect() if r.value.strip()]
+    assert sorted(x["name"] for x in lines) == ["a.example", 'b{"}.example', "quiet.example"]
+    assert {x["name"]: sum(len(v) for k, v in x.items() if k not in ("name", "failed")) for x in lines} == {
+        "a.example": 19600, 'b{"}.example': 400, "quiet.example": 0
+    }
     back = readers.read_observations(spark, path)
     cols = ["domain", "resolver_asn", "answer_ip", "n"]
-    assert rows(back, *cols) == rows(obs, *cols)
-    assert rows(readers.read_failures(spark, path), "domain", "failed") == [("a.example", 7), ("quiet.example", 0)]
+    assert rows(back.na.fill(-1), *cols) == rows(obs.na.fill(-1), *cols)
+    assert rows(readers.read_failures(spark, path), "domain", "failed") == [("a.example", 7), ('b{"}.example', 0), ("quiet.example", 0)]
+
+
+COUNTS = ("ip", "domain", "n")
 
 
 def test_count_map_reads_one_object_or_many_lines(spark, tmp_path):
-    path = write(tmp_path, "m.json", '{"1":{"a":2,"b":3},"2":{"a":1}}', '{"3":{"c":1}}', "{bad")
-    assert rows(readers.read_count_map(spark, path, ("ip", "domain", "n")), "ip", "domain", "n") == [
-        ("1", "a", 2), ("1", "b", 3), ("2", "a", 1), ("3", "c", 1)
-    ]
+    lines = ['{"1":{"a":2,"b":3},"2":{"a":1}, "x":{}}', '{"3":{"c":1}}']
+    want = [("1", "a", 2), ("1", "b", 3), ("2", "a", 1), ("3", "c", 1)]
+    path = write(tmp_path, "m.json", *lines)
+    assert rows(readers.read_count_map(spark, path, COUNTS), *COUNTS) == want
+    whole = {k: v for line in lines for k, v in json.loads(line).items()}
+    for indent in (None, 1, 4):
+        path = write(tmp_path, f"f{indent}.json", json.dumps(whole, indent=indent))
+        assert rows(readers.read_count_map(spark, path, COUNTS), *COUNTS) == want
     weights = write(tmp_path, "w.json", '{"a":{"1":-0.5}}')
     assert readers.read_count_map(spark, weights, ("domain", "net", "w"), "double").first()["w"] == -0.5
+    assert readers.read_count_map(spark, write(tmp_path, "e.json", "{}"), COUNTS).count() == 0
+
+
+def test_count_map_that_does_not_parse_is_an_error(spark, tmp_path):
+    for i, bad in enumerate(["{bad", '{"1":{"a":2,"b', '{"1":{"a":x}}', '{"1":3}', '{"a}":{"b":1}}']):
+        path = write(tmp_path, f"bad{i}.json", '{"9":{"z":1}}', bad)
+        with pytest.raises(Exception, match="not a two-level object"):
+            readers.read_count_map(spark, path, COUNTS).collect()
+        assert ("9", "z", 1) in rows(readers.read_count_map(spark, path, COUNTS, malformed="drop"), *COUNTS)
+    with pytest.raises(ValueError):
+        readers.read_count_map(spark, path, COUNTS, malformed="keep")
+
+
+def test_one_large_object_is_read_by_many_tasks(spark, tmp_path):
+    whole = {f"d{i}": {str(j): i * j for j in range(i % 40)} for i in range(3000)}
+    want = sorted((k, x, n) for k, m in whole.items() for x, n in m.items())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        for indent in (None, 2):
+            path = write(tmp_path, f"big{indent}.json", json.dumps(whole, indent=indent))
+            df = readers.read_count_map(spark, path, COUNTS)
+            assert df.rdd.getNumPartitions() > 5
+            assert rows(df, *COUNTS) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_count_map_is_a_line_for_each_key(spark, tmp_path):
+    df = spark.range(5000).selectExpr("if(id % 10 = 0, 'q}{\"', 'hot') as k", "concat('n', id) as x", "id * 0.5 as v")
+    path = str(tmp_path / "map")
+    sinks.write_count_map(df, "k", "x", "v", path)
+    lines = [json.loads(r.value) for r in spark.read.text(path).collect() if r.value.strip()]
+    assert sorted((k, len(m)) for x in lines for k, m in x.items()) == [("hot", 4500), ('q}{"', 500)]
+    assert rows(readers.read_count_map(spark, path, ("k", "x", "v"), "double"), "k", "x", "v") == rows(df, "k", "x", "v")
+    empty = str(tmp_path / "empty")
+    sinks.write_count_map(df.filter("false"), "k", "x", "v", empty)
+    assert readers.read_count_map(spark, empty, ("k", "x", "v")).count() == 0
 
 
 def test_keyed_lines_last_wins(spark, tmp_path):
@@ -161,6 +209,14 @@ def test_ooni_entries_are_cut_and_framed(spark, tmp_path):
     assert ordered[0]["record_type"] == "header" and ordered[-1]["record_type"] == "footer"
 
 
+def test_report_entries_have_the_start_of_their_shard(spark):
+    answers = spark.createDataFrame([], "shard string, domain string, seq bigint, resolver_ip string, addrs array<string>")
+    shards = spark.createDataFrame([("s", 0, "a.example"), ("t", 0, "b.example")], "shard string, idx int, domain string")
+    times = spark.createDataFrame([("s", 5.0), ("t", 6.5)], "shard string, start_time double")
+    records = sinks.ooni_records(answers, shards, META, 1.0, times, 3.0)
+    assert rows(records, "record_type", "start_time") == [("entry", 5.0), ("entry", 6.5), ("footer", 3.0), ("header", 1.0)]
+
+
 def test_split_by_asn_keeps_known_addresses(spark, tmp_path):
     ips = spark.createDataFrame([("20.0.0.1",), ("20.0.1.1",), ("9.9.9.9",)], "t string").select(ip_to_long("t").alias("ip"))
     prefixes = spark.createDataFrame([(ip("20.0.0.0"), 24, 5), (ip("20.0.1.0"), 24, 6)], "network bigint, prefix_len int, asn bigint")
