@@ -6,11 +6,14 @@ below its threshold and otherwise shuffles, with adaptive skew splitting.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ip import class_c, prefix
 from ..functions.text import ptr_base_domain
+from ..session import materialize
 
 
 def lpm_table(
@@ -54,7 +57,7 @@ def lpm_join(
     Rows without an address match nothing; they get negative keys that spread them out.
     """
     table = lpm_table(df, prefixes, ip, min_len, max_len).withColumnRenamed("asn", out)
-    nowhere = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
+    nowhere = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))
     keyed = df.withColumn("_net", F.coalesce(prefix(ip, max_len), nowhere))
     return keyed.join(table, "_net", "left").drop("_net")
 
@@ -95,18 +98,39 @@ def surviving_resolvers(servers: DataFrame, probe: DataFrame, expected_ip: int)
     return servers.join(misdirected_resolvers(probe, expected_ip, False), "resolver_ip", "left_anti")
 
 
+def network_bitmaps(hosts: DataFrame, ip: str = "ip") -> DataFrame:
+    """The /24 networks of some hosts as ``bucket, bits``: at most 512 rows of 4 KB, whatever the hosts.
+
+    Stored, so that the planner knows this size.
+    """
+    net = F.shiftright(ip, 8)
+    marked = hosts.filter(F.col(ip).isNotNull()).select(
+        F.bitmap_bucket_number(net).alias("bucket"), F.bitmap_bit_position(net).alias("at")
+    )
+    return materialize(marked.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")), "networks")
+
+
+def _seen_before(now: DataFrame, before: DataFrame, ip: str) -> DataFrame:
+    """``now`` with ``_old``: whether a host's /24 is in the older run. Only bitmaps of the older run move."""
+    net = F.shiftright(ip, 8)
+    at = F.bitmap_bit_position(net)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.bit_get(byte, (at % 8).cast("int")) == 1
+    joined = now.withColumn("_bucket", F.bitmap_bucket_number(net)).join(
+        network_bitmaps(before, ip).withColumnRenamed("bucket", "_bucket"), "_bucket", "left"
+    )
+    return joined.withColumn("_old", F.coalesce(bit, F.lit(False))).select(*now.columns, "_old")
+
+
 def historic_intersection(now: DataFrame, before: DataFrame, ip: str = "ip") -> DataFrame:
     """Hosts whose /24 already appeared in an older run."""
-    old = before.select(class_c(ip).alias("_net")).distinct()
-    return now.withColumn("_net", class_c(ip)).join(old, "_net", "left_semi").drop("_net")
+    return _seen_before(now, before, ip).filter("_old").drop("_old")
 
 
 def historic_share(now: DataFrame, before: DataFrame, ip: str = "ip") -> DataFrame:
     """How many hosts there are, how many are kept, and the share, in one pass."""
-    old = before.select(class_c(ip).alias("_net")).distinct().withColumn("_old", F.lit(1))
-    marked = now.withColumn("_net", class_c(ip)).join(old, "_net", "left")
-    return marked.agg(
-        F.count(F.lit(1)).alias("total"), F.count("_old").alias("kept")
+    return _seen_before(now, before, ip).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("_old").alias("kept")
     ).withColumn("share", F.col("kept") / F.col("total"))
 
 
@@ -114,6 +138,28 @@ def usable_headers(servers: DataFrame) -> DataFrame:
     return servers.filter((F.col("status") < 500) & (F.length("server") > 0)).select("ip", "server")
 
 
+def address_facts(
+    ptrs: DataFrame | None = None, servers: DataFrame | None = None, whois: DataFrame | None = None
+) -> DataFrame | None:
+    """One row an address, ``ip`` and those of ``ptr, server, org`` that are asked for.
+
+    The sources are put under each other and added up by address, so none of them is joined. Of several
+    values for an address the last by name counts.
+    """
+    sides = {}
+    if ptrs is not None:
+        sides["ptr"] = ptrs.select("ip", ptr_base_domain(F.try_element_at("names", F.lit(1))).alias("ptr"))
+    if servers is not None:
+        sides["server"] = usable_headers(servers)
+    if whois is not None:
+        sides["org"] = whois.select("ip", "org")
+    if not sides:
+        return None
+    parts = [s.filter(F.col(c).isNotNull()).withColumn("_fact", F.lit(c)).withColumnRenamed(c, "_value") for c, s in sides.items()]
+    facts = reduce(DataFrame.unionByName, parts).groupBy("ip")
+    return facts.agg(*[F.max(F.when(F.col("_fact") == c, F.col("_value"))).alias(c) for c in sides])
+
+
 def attach_ip_metadata(
     df: DataFrame,
     ip: str,
@@ -122,22 +168,23 @@ def attach_ip_metadata(
     servers: DataFrame | None = None,
     whois: DataFrame | None = None,
 ) -> DataFrame:
-    """Add what is known of an address: ``asn``, ``ptr``, ``server``, ``org``."""
-    out = df
+    """Add what is known of an address: ``asn``, ``ptr``, ``server``, ``org``.
+
+    All of it is looked up for distinct addresses and joined once, so rows of ``df`` move at most once. Rows
+    without an address get keys that spread them out.
+    """
+    known = df.select(F.col(ip).alias("ip")).filter("ip is not null").distinct()
     if prefixes is not None:
-        out = lpm_join(out, prefixes, ip, "asn")
-    sides = []
-    if ptrs is not None:
-        label = ptr_base_domain(F.try_element_at("names", F.lit(1)))
-        sides.append(ptrs.select("ip", label.alias("ptr")).filter("ptr is not null"))
-    if servers is not None:
-        sides.append(usable_headers(servers))
-    if whois is not None:
-        sides.append(whois.select("ip", "org").filter("org is not null"))
-    for side in sides:
-        out = out.join(side.withColumnRenamed("ip", "_ip"), F.col(ip) == F.col("_ip"), "left")
-        out = out.drop("_ip")
-    return out
+        known = lpm_join(known, prefixes, "ip", "asn")
+    facts = address_facts(ptrs, servers, whois)
+    if facts is not None:
+        known = known.join(facts, "ip", "left")
+    if len(known.columns) == 1:
+        return df
+    # Addresses are not negative.
+    nowhere = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))
+    keyed = df.withColumn("_ip", F.coalesce(F.col(ip).cast("bigint"), nowhere))
+    return keyed.join(known.withColumnRenamed("ip", "_ip"), "_ip", "left").drop("_ip")
 
 
 def new_network_redirects(redirects: DataFrame, domain_ips: DataFrame) -> DataFrame:

@@ -98,10 +98,18 @@ def read_domain_scan(
 
 
 def domain_scan_rows(text: DataFrame, shard_domains: DataFrame) -> DataFrame:
-    """Parse scan lines of a batch or streaming text source and attach the asked domain."""
+    """Parse scan lines of a text source and attach the asked domain."""
+    return asked_domains(scan_fields(text), shard_domains)
+
+
+def scan_fields(text: DataFrame) -> DataFrame:
+    """``shard, resolver_ip, probe, ts, data_hex`` of the scan lines of a batch or streaming text source."""
     lines = text.select("value", _shard_name("csv").alias("shard"))
     rows = _csv_fields(lines, ["resolver_ip", "probe", "ts", "data_hex"])
-    rows = rows.withColumn("probe", F.col("probe").try_cast("int"))
+    return rows.withColumn("probe", F.col("probe").try_cast("int"))
+
+
+def asked_domains(rows: DataFrame, shard_domains: DataFrame) -> DataFrame:
     return rows.join(shard_domains.withColumnRenamed("idx", "probe"), ["shard", "probe"]).select(
         "shard", "resolver_ip", "probe", "ts", "domain", "data_hex"
     )

@@ -88,6 +88,44 @@ def test_collapse_hosts_and_thresholds(spark):
     assert rows(filters.asns_above_threshold(asns, 1), "asn", "n") == [(1, 2)]
 
 
+def test_networks_of_an_older_run_are_bitmaps_of_fixed_size(spark):
+    import random
+
+    draw = random.Random(4)
+    before = [draw.randrange(1 << 32) for _ in range(3000)] + [0, 255, 256, (1 << 32) - 1, None]
+    now = [draw.randrange(1 << 32) for _ in range(3000)] + [n ^ 7 for n in before[:500]] + [1, 511, 512, (1 << 32) - 200, None]
+    old = {n >> 8 for n in before if n is not None}
+    df, run = (frame(spark, [(n,) for n in x], "ip bigint") for x in (now, before))
+    kept = joins.historic_intersection(df, run)
+    assert rows(kept, "ip") == sorted((n,) for n in now if n is not None and n >> 8 in old)
+    assert joins.network_bitmaps(run).count() <= 512
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert joins.historic_intersection(df, run.filter("false")).count() == 0
+
+
+def test_rows_move_once_to_what_is_known_of_their_address(spark):
+    df = spark.createDataFrame([(5, {"a": 1}), (5, {"b": 2}), (None, {}), (9, None)], "ip bigint, m map<string,int>")
+    prefixes = frame(spark, [(0, 24, 7)], "network bigint, prefix_len int, asn bigint")
+    ptrs = frame(spark, [(5, ["x.cdn.net"]), (9, [])], "ip bigint, names array<string>")
+    servers = frame(spark, [(5, 504, "no"), (9, 200, "nginx")], "ip bigint, status int, server string")
+    whois = frame(spark, [(5, "ACME"), (9, None)], "ip bigint, org string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.attach_ip_metadata(df, "ip", prefixes, ptrs, servers, whois)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(out.select("ip", "asn", "ptr", "server", "org").collect(), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [tuple(r) for r in got] == sorted(
+        [(5, 7, "cdn", None, "ACME")] * 2 + [(9, 7, None, "nginx", None), (None, None, None, None, None)], key=repr
+    )
+    lines = plan.split("\n")
+    moved = [lines[at + 1] for at, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert sum("m#" in line for line in moved) == 1
+    assert joins.lpm_join(df, prefixes).count() == 4 and joins.attach_ip_metadata(df, "ip").columns == ["ip", "m"]
+
+
 def test_historic(spark):
     now = frame(spark, [(256,), (512,), (769,)], "ip bigint")
     before = frame(spark, [(300,), (301,), (800,)], "ip bigint")

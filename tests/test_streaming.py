@@ -20,14 +20,12 @@ def test_files_arriving_later_add_up_to_the_batch_result(spark, tmp_path):
     good, empty = packet(a_record("08080808")), packet()
     (scans / "0a.json").write_text(json.dumps(["d0.example", "d1.example"]))
     (scans / "0a.csv").write_text(f"8.8.8.8,1,t,{good}\n8.8.8.8,0,t,{empty}\n9.9.9.9,1,t,{good}\n")
-    domains = readers.read_shard_domains(spark, str(scans))
     prefixes = spark.createDataFrame([(ip("8.8.8.0"), 24, 7)], "network bigint, prefix_len int, asn bigint")
     whitelist = spark.createDataFrame([(ip("8.8.8.8"),), (ip("8.8.4.4"),)], "ip bigint")
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
 
     def drain():
-        domains = readers.read_shard_domains(spark, str(scans))
-        q = stream_scan_counts(spark, str(scans), domains, prefixes, whitelist, out, state)
+        q = stream_scan_counts(spark, str(scans), prefixes, whitelist, out, state)
         assert q.awaitTermination(120)
 
     drain()
@@ -41,3 +39,36 @@ def test_files_arriving_later_add_up_to_the_batch_result(spark, tmp_path):
     whole = aggregate_responses(batch, readers.read_shard_domains(spark, str(scans)))
     assert counts(read_scan_counts(spark, out)) == counts(whole)
     assert (True, "d1.example", 0, 0, 1) in counts(whole)
+
+
+def test_a_list_that_arrives_after_its_scan_in_a_running_query(spark, tmp_path):
+    scans = tmp_path / "scan"
+    scans.mkdir()
+    good = packet(a_record("08080808"))
+    # The list has as many entries as a scan line has fields.
+    names = ["d0.example", "d1.example", "d2.example", "d3.example"]
+    (scans / "0a.csv").write_text(f"8.8.8.8,1,t,{good}\n8.8.8.8,1,u,{good}\n9.9.9.9,1,t,{good}\n")
+    (scans / "0b.csv").write_text(f"8.8.8.8,1,t,{good}\n")
+    (scans / "0b.json").write_text(json.dumps(names))
+    prefixes = spark.createDataFrame([(ip("8.8.8.0"), 24, 7)], "network bigint, prefix_len int, asn bigint")
+    whitelist = spark.createDataFrame([(ip("8.8.8.8"),)], "ip bigint")
+    out = str(tmp_path / "out")
+    q = stream_scan_counts(
+        spark, str(scans), prefixes, whitelist, out, str(tmp_path / "state"), processingTime="200 milliseconds"
+    )
+    try:
+        q.processAllAvailable()
+        assert counts(read_scan_counts(spark, out)) == [(False, "d1.example", 7, ip("8.8.8.8"), 1)]
+        (scans / "0a.json").write_text(json.dumps(names))
+        q.processAllAvailable()
+        assert counts(read_scan_counts(spark, out)) == [(False, "d1.example", 7, ip("8.8.8.8"), 3)]
+        (scans / "0a.csv.more.csv").write_text(f"8.8.8.8,1,t,{good}\n")
+        q.processAllAvailable()
+        assert counts(read_scan_counts(spark, out)) == [(False, "d1.example", 7, ip("8.8.8.8"), 3)]
+    finally:
+        q.stop()
+    batch = aggregate_responses(
+        with_resolver_asn(readers.read_domain_scan(spark, str(scans)), prefixes, whitelist),
+        readers.read_shard_domains(spark, str(scans)),
+    )
+    assert counts(batch) == counts(read_scan_counts(spark, out))
