@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from .common import spread, stored
 
 TILE = 1024
 ROWS = 256  # of a tile, compared at once
+HELD = 4096  # rows of tiles that a task reads at a time
 PERCENT = 80  # of the union of two sets, in common
 BROADCAST_ROWS = 1_000_000
 
@@ -114,6 +114,32 @@ class Relation:
         """``matches`` for each of ``some``, a row each."""
         return np.array([self.matches(prepared, one, others) for one in some], dtype=bool).reshape(len(some), len(others))
 
+    def beside_hubs(self, hubs: np.ndarray, hub_bodies: list, bodies: list) -> np.ndarray:
+        """Which rows are linked with their hub."""
+        linked = np.zeros(len(hubs), dtype=bool)
+        order = np.argsort(hubs, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(hubs[order])) + 1):
+            if len(rows):
+                held = self.prepare([hub_bodies[rows[0]]] + [bodies[r] for r in rows])
+                linked[rows] = self.matches(held, 0, np.arange(1, len(rows) + 1))
+        return linked
+
+    def inside_tiles(self, ids: np.ndarray, flagged: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
+        """Linked pairs of a flagged row and another one of its tile; tiles begin at 0 and at ``cuts``."""
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for first, last in zip([0, *cuts], [*cuts, len(ids)]):
+            here = slice(first, last)
+            others, asked = np.flatnonzero(~flagged[here]), np.flatnonzero(flagged[here])
+            if not len(asked) or not len(others):
+                continue
+            held = self.prepare(bodies[here])
+            for part in (asked[i : i + ROWS] for i in range(0, len(asked), ROWS)):
+                i, j = np.nonzero(self.table(held, part, others))
+                pairs = np.stack([ids[here][part[i]], ids[here][others[j]]], axis=1)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                found.append(pairs[spanning(pairs)])
+        return np.concatenate(found)
+
 
 def linked_sizes(common, a, b):
     return 100 * common >= PERCENT * (a + b - common)
@@ -216,13 +242,7 @@ def _verified(pairs: DataFrame, payload: DataFrame, relation: Relation) -> DataF
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hubs, ids = batch.column("hub").to_numpy(), batch.column("id").to_numpy()
-            bodies = batch.column("body").to_pylist()
-            linked = np.zeros(len(ids), dtype=bool)
-            order = np.argsort(hubs, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(hubs[order])) + 1):
-                if len(rows):
-                    held = relation.prepare([batch.column("hub_body")[int(rows[0])].as_py()] + [bodies[r] for r in rows])
-                    linked[rows] = relation.matches(held, 0, np.arange(1, len(rows) + 1))
+            linked = relation.beside_hubs(hubs, batch.column("hub_body").to_pylist(), batch.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(hubs), pa.array(ids), pa.array(linked)], names=["hub", "id", "linked"])
 
     heads = payload.select(F.col("id").alias("hub"), F.col("body").alias("hub_body"))
@@ -248,32 +268,32 @@ def connect(members: DataFrame, payload: DataFrame, relation: Relation) -> DataF
     marked = members.join(differ, ["group", "id"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
     tiled = tiles(stored(marked, "marked"), "group", F.xxhash64("id"), relation.tile).join(payload, "id")
 
-    def compare(ids: np.ndarray, flagged: np.ndarray, bodies: list) -> np.ndarray:
-        held = relation.prepare(bodies)
-        others, asked = np.flatnonzero(~flagged), np.flatnonzero(flagged)
-        found = []
-        for part in (asked[i : i + ROWS] for i in range(0, len(asked), ROWS)):
-            i, j = np.nonzero(relation.table(held, part, others))
-            pairs = np.stack([ids[part[i]], ids[others[j]]], axis=1)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            found.append(pairs[spanning(pairs)])
-        return np.concatenate(found)
-
-    def compare_tiles(rows: pd.DataFrame) -> pd.DataFrame:
-        """All tiles of one deal, one after the other; most groups are too small for a call each."""
-        rows = rows.sort_values(["group", "i", "j"], ignore_index=True)
-        place = rows[["group", "i", "j"]].to_numpy()
-        ids, flagged, bodies = rows["id"].to_numpy(), rows["as_flagged"].to_numpy(dtype=bool), list(rows["body"])
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        place = np.stack([table[c].to_numpy() for c in ("group", "i", "j")], axis=1)
         cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        for first, last in zip([0, *cuts], [*cuts, len(rows)]):
-            if flagged[first:last].any():
-                found.append(compare(ids[first:last], flagged[first:last], bodies[first:last]))
-        pairs = np.concatenate(found)
-        return pd.DataFrame(pairs[spanning(pairs)], columns=["a", "b"])
-
-    deal = F.pmod(F.xxhash64("group", "i", "j"), F.lit(spread(members.sparkSession, 4))).alias("deal")
-    tiled = tiled.select(deal, "group", "i", "j", "id", "as_flagged", "body")
-    inside = tiled.groupBy("deal").applyInPandas(compare_tiles, "a long, b long")
+        flagged = table["as_flagged"].to_numpy().astype(bool)
+        pairs = relation.inside_tiles(table["id"].to_numpy(), flagged, table["body"].to_pylist(), cuts.tolist())
+        pairs = pairs[spanning(pairs)]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], names=["a", "b"])
+
+    def compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole tiles of a sorted partition, some thousand rows at a time; most tiles are small."""
+        held: pa.Table | None = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, HELD):
+                part = pa.Table.from_batches([batch.slice(at, HELD)])
+                held = part if held is None else pa.concat_tables([held, part])
+                last = [held[c][held.num_rows - 1].as_py() for c in ("group", "i", "j")]
+                same = np.all([held[c].to_numpy() == v for c, v in zip(("group", "i", "j"), last)], axis=0)
+                whole = int(np.argmax(same))  # rows before the tile that may go on
+                if whole:
+                    yield compare(held.slice(0, whole))
+                    held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    place = ["group", "i", "j"]
+    dealt = tiled.select(*place, "id", "as_flagged", "body").repartition(spread(members.sparkSession, 4), *place)
+    inside = dealt.sortWithinPartitions(*place).mapInArrow(compare_tiles, "a long, b long")
     direct = known.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     return direct.unionByName(inside)

@@ -86,56 +86,44 @@ class AlikeDocuments(AlikeSets):
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, id``: equal sets have equal ids; no words, no id."""
+    """``doc_id, text_hash, n_shingles, id, tokens``: equal sets have equal ids; no words, no id.
+
+    ``tokens`` are the first shingles of the set, once a batch for equal sets.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            ids = [signature(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(ids, pa.int64())], names=["doc_id", "text_hash", "n_shingles", "id"],
-            )
+            done: set[int] = set()
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                ids, sizes, tokens = [], [], []
+                for text in part.column("text").to_pylist():
+                    found = shingles(text)
+                    own = signature(found) if len(found) else None
+                    fresh = own is not None and own not in done
+                    done.add(own)
+                    ids.append(own)
+                    sizes.append(len(found))
+                    tokens.append(found[: prefix_size(len(found)) if fresh else 0])
+                ends = np.cumsum([0, *map(len, tokens)])
+                flat = pa.array(np.concatenate(tokens).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
+                    names=["doc_id", "text_hash", "n_shingles", "id", "tokens"],
+                )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, id long")
-
+    return keyed.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, id long, tokens array<long>")
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """``token, id, n``: the first shingles of every set, once a batch for equal sets."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
-        for batch in batches:
-            done: set[int] = set()
-            for i in range(0, batch.num_rows, ROWS):
-                tokens, ids, sizes = [], [], []
-                for text in batch.column("text").slice(i, ROWS).to_pylist():
-                    found = shingles(text)
-                    if len(found) and (own := signature(found)) not in done:
-                        done.add(own)
-                        tokens.append(found[: prefix_size(len(found))])
-                        ids.append(own)
-                        sizes.append(len(found))
-                if ids:
-                    lengths = [len(t) for t in tokens]
-                    cells = [
-                        np.concatenate(tokens).astype(np.int64), np.repeat(np.array(ids, np.int64), lengths),
-                        np.repeat(np.array(sizes, np.int32), lengths),
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["token", "id", "n"])
-
-    return docs.select("text").mapInArrow(first, "token long, id long, n int")
-
-
-def banded_groups(docs: DataFrame) -> DataFrame:
+def banded_groups(sets: DataFrame) -> DataFrame:
     """``group, id``: ids that share a token of their prefixes and are in the same or the next band of sizes.
 
     Group k of a token has bands k - 1 and k; sizes that may be linked differ by one band at most.
     """
-    rows = prefixes(docs).repartition(spread(docs.sparkSession), "token")
-    rows = rows.groupBy("token", "id").agg(F.first("n").alias("n"))
+    rows = sets.select("id", F.col("n_shingles").alias("n"), F.explode("tokens").alias("token"))
+    rows = rows.repartition(spread(sets.sparkSession), "token").groupBy("token", "id").agg(F.first("n").alias("n"))
     shared = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("k > 1")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(_BAND))
     twice = stored(shared.select("token", "id", band.alias("band")), "shared")
@@ -174,7 +162,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the text). Null ids are never the smallest. An empty table gives an empty result.
     """
     sets = stored(document_sets(docs), "sets")
-    groups = stored(banded_groups(docs).distinct(), "banded")
+    groups = stored(banded_groups(sets).distinct(), "banded")
     maybe = stored(groups.select("id").distinct(), "maybe")
     rough = connect(groups, stored(bodies(docs, sets, maybe, "bitmap"), "bitmaps"), BitmapBound())
     clusters = stored(components(rough).select(F.col("root").alias("group"), "id"), "clusters")
