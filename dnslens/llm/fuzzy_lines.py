@@ -1,11 +1,10 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines get signatures over their runs of eight characters, and lines of up to 100 characters also over their runs of
-four, as a single change spoils eight of the longer runs and leaves a short line too few. Lines are alike if the
-Jaccard similarity of either is 0.8. Bands of the signatures bring lines together that may
-be alike, at a recall of over 0.998 for a similarity of 0.8 and more above. Candidates are verified
-by the exact similarity, distributed union-find makes components of the links, and of all
-occurrences of a component's lines the first stays.
+Lines get signatures over their runs of four characters, of which a change spoils four at most, so that short
+lines are found as well as long ones. Lines are alike if the Jaccard similarity of their sets of runs is
+0.8. Bands of the signatures bring lines together that may be alike, at a recall of over 0.998 for
+a similarity of 0.8 and more above. Candidates are verified by the exact similarity, distributed
+union-find makes components of the links, and of all occurrences of a component's lines the first stays.
 """
 
 from __future__ import annotations
@@ -20,11 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spread, stored
-from .links import AlikeSets, Relation, bounded, components, connect
+from .links import Relation, bounded, components, connect, linked_sizes, spanning
 
-SHINGLE = 8
-SHORT = 100  # characters of a line that is compared by short runs too
-SHORT_SHINGLE = 4
+SHINGLE = 4
+BITS = 512  # of a bitmap that bounds overlaps
+PAIRS = 1 << 16  # compared at once
+CODES = 1 << 20  # of pairs that are counted at once
 BANDS = 16
 BAND_ROWS = 5
 ROWS = 512
@@ -63,7 +63,7 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size:
     factors, masks = permutations(bands * rows)
     keys = np.empty((len(lines), bands), dtype=np.uint64)
     for band in range(bands):
-        key = np.full(len(lines), band + 1 + bands * (SHINGLE - size), dtype=np.uint64)
+        key = np.full(len(lines), band + 1, dtype=np.uint64)
         for at in range(band * rows, (band + 1) * rows):
             least = np.minimum.reduceat((seen ^ masks[at]) * factors[at], first)
             key = (key ^ least) * _MIX
@@ -72,40 +72,75 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size:
     return keys
 
 
-class AlikeRuns(AlikeSets):
-    """Exact Jaccard similarity of the sets of runs of ``size`` characters. A body is the line."""
-
-    def __init__(self, size: int):
-        self.size = size
-
-    def sets(self, bodies: list[str]) -> list[np.ndarray]:
-        gram, counts = shingle_hashes(bodies, self.size)
-        return [np.unique(g) for g in np.split(gram, np.cumsum(counts)[:-1])]
+class LineSets:
+    """The sets of runs of some lines: codes in one array, sizes, and bitmaps that bound overlaps."""
+
+    def __init__(self, lines: list[str]):
+        gram, counts = shingle_hashes(lines)
+        code = np.unique(gram, return_inverse=True)[1].ravel()
+        keys = np.unique(np.repeat(np.arange(len(lines)) << 32, counts) | code)
+        row, self.codes = keys >> 32, keys & 0xFFFFFFFF
+        self.sizes = np.bincount(row, minlength=len(lines))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        flags = np.zeros((len(lines), BITS), dtype=np.uint8)
+        flags[row, self.codes * 2654435761 >> 7 & (BITS - 1)] = 1
+        self.bits = np.packbits(flags, axis=1).view(np.uint64)
+        self.n_bits = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+
+    def _spread(self, lines: np.ndarray) -> np.ndarray:
+        """The codes of some lines, each with the number of its place in ``lines`` above it."""
+        sizes = self.sizes[lines]
+        start = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat(self.first[lines] - start, sizes)
+        return np.repeat(np.arange(len(lines)) << 32, sizes) | self.codes[at]
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs have a similarity of 0.8; runs in common are counted where bitmaps allow that many."""
+        both = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(self.sizes[a] - (self.n_bits[a] - both), self.sizes[b] - (self.n_bits[b] - both))
+        out = linked_sizes(most, self.sizes[a], self.sizes[b])
+        left = np.flatnonzero(out)
+        some = max(1, CODES // max(1, int(self.sizes.mean())))
+        for at in (left[k : k + some] for k in range(0, len(left), some)):
+            keys = np.sort(np.concatenate([self._spread(a[at]), self._spread(b[at])]))
+            common = np.bincount(keys[1:][keys[1:] == keys[:-1]] >> 32, minlength=len(at))
+            out[at] = linked_sizes(common, self.sizes[a[at]], self.sizes[b[at]])
+        return out
 
 
 class AlikeLines(Relation):
-    """Alike by runs of eight characters, or by runs of four where both lines are short."""
-
-    whole, fine = AlikeRuns(SHINGLE), AlikeRuns(SHORT_SHINGLE)
-
-    def prepare(self, bodies: list[str]) -> tuple:
-        short = np.array([len(b) <= SHORT for b in bodies])
-        return short, self.whole.prepare(bodies), self.fine.prepare([b if s else " " for b, s in zip(bodies, short)])
-
-    def matches(self, prepared: tuple, one: int, others: np.ndarray) -> np.ndarray:
-        short, whole, fine = prepared
-        linked = self.whole.matches(whole, one, others)
-        if short[one] and len(at := np.flatnonzero(short[others] & ~linked)):
-            linked[at] = self.fine.matches(fine, one, others[at])
-        return linked
-
-    def table(self, prepared: tuple, some: np.ndarray, others: np.ndarray) -> np.ndarray:
-        short, whole, fine = prepared
-        linked = self.whole.table(whole, some, others)
-        i, j = np.flatnonzero(short[some]), np.flatnonzero(short[others])
-        if len(i) and len(j):
-            linked[np.ix_(i, j)] |= self.fine.table(fine, some[i], others[j])
-        return linked
+    """Exact Jaccard similarity of the sets of runs of characters. A body is the line."""
+
+    def beside_hubs(self, hubs: np.ndarray, hub_bodies: list, bodies: list) -> np.ndarray:
+        _, first, which = np.unique(hubs, return_index=True, return_inverse=True)
+        held = LineSets([hub_bodies[k] for k in first] + bodies)
+        return held.linked(which.ravel(), len(first) + np.arange(len(bodies)))
+
+    def inside_tiles(self, ids: np.ndarray, flagged: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
+        names, first, which = np.unique(ids, return_index=True, return_inverse=True)
+        which, held = which.ravel(), LineSets([bodies[k] for k in first])
+        found, some, n_some = [np.zeros((0, 2), dtype=np.int64)], [], 0
+
+        def flush() -> None:
+            pairs = np.unique(np.concatenate(some), axis=0)
+            pairs = pairs[held.linked(pairs[:, 0], pairs[:, 1])]
+            found.append(names[pairs[spanning(pairs)]])
+            some.clear()
+
+        for begin, end in zip([0, *cuts], [*cuts, len(ids)]):
+            here = which[begin:end]
+            asked, others = here[flagged[begin:end]], here[~flagged[begin:end]]
+            step = max(1, PAIRS // max(1, len(others)))
+            for part in (asked[k : k + step] for k in range(0, len(asked) if len(others) else 0, step)):
+                pairs = np.stack([np.repeat(part, len(others)), np.tile(others, len(part))], axis=1)
+                some.append(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1))
+                n_some += len(pairs)
+                if n_some >= PAIRS:
+                    flush()
+                    n_some = 0
+        if some:
+            flush()
+        return np.concatenate(found)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -123,14 +158,9 @@ def candidates(lines: DataFrame) -> DataFrame:
             ids, first = np.unique(batch.column("id").to_numpy(), return_index=True)
             texts = batch.column("line").take(pa.array(first)).to_pylist()
             for i in range(0, len(ids), ROWS):
-                some, part = ids[i : i + ROWS], texts[i : i + ROWS]
-                short = [k for k, line in enumerate(part) if len(line) <= SHORT]
-                found = [(some, band_keys(part))]
-                if short:
-                    found.append((some[short], band_keys([part[k] for k in short], size=SHORT_SHINGLE)))
-                for own, keys in found:
-                    cells = [keys.astype(np.int64).ravel(), np.repeat(own, keys.shape[1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["group", "id"])
+                keys = band_keys(texts[i : i + ROWS])
+                cells = [keys.astype(np.int64).ravel(), np.repeat(ids[i : i + ROWS], keys.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["group", "id"])
 
     rows = lines.select("id", "line").mapInArrow(bands, "group long, id long")
     rows = rows.repartition(spread(lines.sparkSession), "group").groupBy("group", "id").agg(F.lit(1).alias("one"))
@@ -158,7 +188,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     placed = stored(placed, "placed")
     at = F.struct("doc_id", "line_no")
     first = placed.groupBy("root").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = placed.join(first, "root").filter(at != F.col("first"))
+    later = placed.join(bounded(stored(first, "firsts")), "root").filter(at != F.col("first"))
     return later.select("doc_id", "line_no", "id")
 
 
