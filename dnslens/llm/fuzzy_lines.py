@@ -73,38 +73,53 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size:
 
 
 class LineSets:
-    """The sets of runs of some lines: codes in one array, sizes, and bitmaps that bound overlaps."""
+    """The sets of runs of some lines: sorted hashes in one array, sizes, and bitmaps that bound overlaps."""
 
     def __init__(self, lines: list[str]):
-        gram, counts = shingle_hashes(lines)
-        code = np.unique(gram, return_inverse=True)[1].ravel()
-        keys = np.unique(np.repeat(np.arange(len(lines)) << 32, counts) | code)
-        row, self.codes = keys >> 32, keys & 0xFFFFFFFF
-        self.sizes = np.bincount(row, minlength=len(lines))
+        ends = np.cumsum([len(line) + SHINGLE for line in lines])
+        parts, sizes, bits = [np.zeros(0, np.uint64)], [], []
+        for at in np.split(np.arange(len(lines)), np.searchsorted(ends, np.arange(CODES, ends[-1], CODES))):
+            if len(at):
+                gram, counts = shingle_hashes([lines[k] for k in at])
+                found = [np.unique(g) for g in np.split(gram, np.cumsum(counts)[:-1])]
+                sizes += map(len, found)
+                parts.append(np.concatenate(found))
+                flags = np.zeros((len(at), BITS), dtype=np.uint8)
+                flags[np.repeat(np.arange(len(at)), sizes[-len(at) :]), parts[-1].astype(np.int64) >> 20 & (BITS - 1)] = 1
+                bits.append(np.packbits(flags, axis=1).view(np.uint64))
+        self.runs, self.sizes, self.bits = np.concatenate(parts), np.array(sizes), np.concatenate(bits)
         self.first = np.cumsum(self.sizes) - self.sizes
-        flags = np.zeros((len(lines), BITS), dtype=np.uint8)
-        flags[row, self.codes * 2654435761 >> 7 & (BITS - 1)] = 1
-        self.bits = np.packbits(flags, axis=1).view(np.uint64)
         self.n_bits = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
 
-    def _spread(self, lines: np.ndarray) -> np.ndarray:
-        """The codes of some lines, each with the number of its place in ``lines`` above it."""
+    def _marked(self, lines: np.ndarray) -> np.ndarray:
+        """The hashes of some lines, cut to 44 bits, each with the place of its line in ``lines`` above them."""
         sizes = self.sizes[lines]
         start = np.cumsum(sizes) - sizes
         at = np.arange(sizes.sum()) + np.repeat(self.first[lines] - start, sizes)
-        return np.repeat(np.arange(len(lines)) << 32, sizes) | self.codes[at]
+        return np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(44), sizes) | self.runs[at] >> np.uint64(20)
+
+    def _set(self, line: int) -> np.ndarray:
+        return self.runs[self.first[line] : self.first[line] + self.sizes[line]]
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which pairs have a similarity of 0.8; runs in common are counted where bitmaps allow that many."""
+        """Which pairs have a similarity of 0.8; runs in common are counted where bitmaps allow that many.
+
+        Cut hashes may agree by chance, so pairs that few runs decide are counted by whole ones.
+        """
         both = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64)
         most = np.minimum(self.sizes[a] - (self.n_bits[a] - both), self.sizes[b] - (self.n_bits[b] - both))
         out = linked_sizes(most, self.sizes[a], self.sizes[b])
         left = np.flatnonzero(out)
-        some = max(1, CODES // max(1, int(self.sizes.mean())))
-        for at in (left[k : k + some] for k in range(0, len(left), some)):
-            keys = np.sort(np.concatenate([self._spread(a[at]), self._spread(b[at])]))
-            common = np.bincount(keys[1:][keys[1:] == keys[:-1]] >> 32, minlength=len(at))
-            out[at] = linked_sizes(common, self.sizes[a[at]], self.sizes[b[at]])
+        cost = np.cumsum(self.sizes[a[left]] + self.sizes[b[left]])
+        for at in np.split(left, np.searchsorted(cost, np.arange(CODES, cost[-1], CODES))) if len(left) else ():
+            one, two = self.sizes[a[at]], self.sizes[b[at]]
+            keys = np.sort(np.concatenate([self._marked(a[at]), self._marked(b[at])]))
+            twice = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(44)
+            common = np.bincount(twice.astype(np.int64), minlength=len(at))
+            out[at] = linked_sizes(common, one, two)
+            for k in np.flatnonzero(out[at] & ~linked_sizes(common - 4, one, two)):
+                exact = len(np.intersect1d(self._set(a[at[k]]), self._set(b[at[k]]), assume_unique=True))
+                out[at[k]] = linked_sizes(exact, one[k], two[k])
         return out
 
 
@@ -117,12 +132,28 @@ class AlikeLines(Relation):
         return held.linked(which.ravel(), len(first) + np.arange(len(bodies)))
 
     def inside_tiles(self, ids: np.ndarray, flagged: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
+        """Small tiles at once, as many as have ``CODES`` characters; a larger one alone."""
+        found, begin, held = [np.zeros((0, 2), dtype=np.int64)], 0, 0
+        edges = [0, *cuts, len(ids)]
+        for k, (first, last) in enumerate(zip(edges, edges[1:])):
+            size = sum(map(len, bodies[first:last]))
+            if held and held + size > CODES:
+                inner = slice(edges[begin], first)
+                found.append(self._some_tiles(ids[inner], flagged[inner], bodies[inner], [c - edges[begin] for c in edges[begin + 1 : k]]))
+                begin, held = k, 0
+            held += size
+        inner = slice(edges[begin], len(ids))
+        found.append(self._some_tiles(ids[inner], flagged[inner], bodies[inner], [c - edges[begin] for c in edges[begin + 1 : -1]]))
+        return np.concatenate(found)
+
+    def _some_tiles(self, ids: np.ndarray, flagged: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
         names, first, which = np.unique(ids, return_index=True, return_inverse=True)
         which, held = which.ravel(), LineSets([bodies[k] for k in first])
         found, some, n_some = [np.zeros((0, 2), dtype=np.int64)], [], 0
 
         def flush() -> None:
-            pairs = np.unique(np.concatenate(some), axis=0)
+            pairs = np.concatenate(some)
+            pairs = np.stack(np.divmod(np.unique(pairs[:, 0] * len(names) + pairs[:, 1]), len(names)), axis=1)
             pairs = pairs[held.linked(pairs[:, 0], pairs[:, 1])]
             found.append(names[pairs[spanning(pairs)]])
             some.clear()

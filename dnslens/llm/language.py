@@ -29,6 +29,7 @@ SAMPLE_ROWS = 2000
 LANDMARKS = 256
 RIDGE = 0.1
 ROWS = 64
+SLICE = 512  # rows of a batch whose texts are held as strings at a time
 UNKNOWN = "und"
 MIN_SCORE = 0.1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -145,7 +146,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMP
     model = Model(training_sample(docs, per_language, rows).collect())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             label, best = model.classify(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(label, pa.string()), pa.array(best)],
@@ -166,7 +167,7 @@ def identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     text = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             label, best = model.classify(batch.column(text).to_pylist())
             yield batch.filter(pa.array((label != UNKNOWN) & (best >= min_score)))
 
