@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines get signatures over their runs of four characters, of which a change spoils four at most, so that short
+Lines get signatures over their runs of five characters, of which a change spoils five at most, so that short
 lines are found as well as long ones. Lines are alike if the Jaccard similarity of their sets of runs is
 0.8. Bands of the signatures bring lines together that may be alike, at a recall of over 0.998 for
 a similarity of 0.8 and more above. Candidates are verified by the exact similarity, distributed
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import spread, stored
 from .links import Relation, bounded, components, connect, linked_sizes, spanning
 
-SHINGLE = 4
+SHINGLE = 5
 BITS = 512  # of a bitmap that bounds overlaps
 PAIRS = 1 << 16  # compared at once
 CODES = 1 << 20  # of pairs that are counted at once

