@@ -170,7 +170,7 @@ def read_count_map(
     body = F.regexp_extract("value", _OBJECT, 2)
     key = F.from_json(F.concat(F.lit("["), F.regexp_extract("value", _OBJECT, 1), F.lit("]")), "array<string>")
     inner = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), f"map<string,{value_type}>")
-    found = pieces.select("value", key[0].alias(k1), F.when(F.col("value").rlike(_OBJECT), inner).alias("m"))
+    found = pieces.select("value", F.get(key, F.lit(0)).alias(k1), F.when(F.col("value").rlike(_OBJECT), inner).alias("m"))
     if malformed == "fail":
         said = F.concat(F.lit("not a two-level object: "), F.substring("value", 1, 200))
         checked = F.coalesce("m", F.raise_error(said).cast(f"map<string,{value_type}>"))
