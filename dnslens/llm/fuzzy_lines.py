@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread, stored
@@ -81,9 +81,13 @@ class LineSets:
         for at in np.split(np.arange(len(lines)), np.searchsorted(ends, np.arange(CODES, ends[-1], CODES))):
             if len(at):
                 gram, counts = shingle_hashes([lines[k] for k in at])
-                found = [np.unique(g) for g in np.split(gram, np.cumsum(counts)[:-1])]
-                sizes += map(len, found)
-                parts.append(np.concatenate(found))
+                first = np.cumsum(counts) - counts
+                for begin, n in zip(first.tolist(), counts.tolist()):
+                    gram[begin : begin + n].sort()
+                new = np.append(True, gram[1:] != gram[:-1])
+                new[first] = True
+                sizes += np.add.reduceat(new, first, dtype=np.int64).tolist()
+                parts.append(gram[new])
                 flags = np.zeros((len(at), BITS), dtype=np.uint8)
                 flags[np.repeat(np.arange(len(at)), sizes[-len(at) :]), parts[-1].astype(np.int64) >> 20 & (BITS - 1)] = 1
                 bits.append(np.packbits(flags, axis=1).view(np.uint64))
@@ -193,10 +197,23 @@ def candidates(lines: DataFrame) -> DataFrame:
                 cells = [keys.astype(np.int64).ravel(), np.repeat(ids[i : i + ROWS], keys.shape[1])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["group", "id"])
 
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different rows of groups with two ids; the last row waits for what follows it."""
+        last, met = np.zeros((0, 2), dtype=np.int64), np.zeros(1, dtype=bool)
+        for batch in batches:
+            rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in ("group", "id")], axis=1)])
+            if len(rows):
+                rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+                same = rows[1:, 0] == rows[:-1, 0]
+                met = np.append(met[-1], same) | np.append(same, False)
+                found, last = rows[:-1][met[:-1]], rows[-1:]
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in (0, 1)], names=["group", "id"])
+        if met[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array(last[:, k]) for k in (0, 1)], names=["group", "id"])
+
     rows = lines.select("id", "line").mapInArrow(bands, "group long, id long")
-    rows = rows.repartition(spread(lines.sparkSession), "group").groupBy("group", "id").agg(F.lit(1).alias("one"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("group"))
-    return rows.select("group", "id", n.alias("n")).filter("n > 1").select("group", "id")
+    rows = rows.repartition(spread(lines.sparkSession), "group").sortWithinPartitions("group", "id")
+    return rows.mapInArrow(shared, "group long, id long")
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
