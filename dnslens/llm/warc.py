@@ -82,12 +82,12 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _inflated(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file of any number of members, in steps."""
+    """The bytes of a gzip file of any number of members, in steps of at most ``STEP``, however well they compress."""
     inflate = zlib.decompressobj(31)
     while data := stream.read(STEP):
         while data:
-            yield inflate.decompress(data)
-            data = inflate.unused_data
+            yield inflate.decompress(data, STEP)
+            data = inflate.unconsumed_tail or inflate.unused_data
             if inflate.eof:
                 inflate = zlib.decompressobj(31)
 

@@ -480,6 +480,28 @@ def test_archives_are_normalised_record_by_record(spark, tmp_path):
             assert gzip.decompress(archive.read(size)).startswith(b"WARC/1.1\r\nWARC-Type: response")
 
 
+def test_archives_inflate_in_bounded_steps():
+    import gzip
+    import io
+
+    parts = [b"a" * (5 * warc.STEP + 7), b"", bytes(range(256)) * 3, np.random.default_rng(7).bytes(3 * warc.STEP), b"b" * (40 * warc.STEP)]
+    for file in (b"".join(map(gzip.compress, parts)), gzip.compress(b"".join(parts))):
+        steps = list(warc._inflated(io.BytesIO(file)))
+        assert max(map(len, steps)) <= warc.STEP and b"".join(steps) == b"".join(parts)
+
+
+def test_archives_hold_payloads_beyond_a_step(spark):
+    long, odd = "é" * (2 * warc.STEP), "".join(chr(33 + i * i % 89) for i in range(warc.STEP + 1))
+    rows = [(1, "u", long), (2, "u", odd), (3, "u", long), (4, "u", "x" * 20 * warc.STEP)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    for r in got:
+        body = rows[r.page_id - 1][2].encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(body), hashlib.sha1(body).hexdigest())
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [
+        (1, "revisit", 3), (2, "response", None), (3, "response", None), (4, "response", None)
+    ]
+
+
 def test_a_cut_archive_is_an_error():
     with pytest.raises(ValueError):
         list(warc.records(iter([b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc"])))
@@ -497,6 +519,49 @@ def test_languages_are_recognised_when_held_out(spark):
     assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in ids)
 
 
+def places_by_force(text: str) -> set:
+    """Places of the runs of 1 to 4 characters, one run at a time."""
+    text, found = text.lower(), set()
+    for size in range(1, 5):
+        for at in range(len(text) - size + 1):
+            gram = 0
+            for c in text[at : at + size]:
+                gram = (gram + ord(c)) * 0x9E3779B97F4A7C15 % (1 << 64)
+                gram ^= gram >> 29
+            found.add(gram >> 48)
+    return found
+
+
+def test_scores_are_those_of_kernels_between_texts(spark):
+    docs = spark.read.parquet(DOCS).filter(F.length("text").between(1, 600) & F.col("lang").isNotNull()).limit(60)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    learnt = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and any(map(str.isalpha, r.text))]
+    assert len(learnt) < language.LANDMARKS and len({r.lang for r in learnt}) > 1  # so all of them are landmarks
+    sets = [places_by_force(r.text) for r in learnt]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    near = np.array([[kernel(a, b) for b in sets] for a in sets])
+    values, vectors = np.linalg.eigh(near)
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    sizes = Counter(r.lang for r in learnt)
+    share = np.array([1 / sizes[r.lang] for r in learnt])
+    share = np.sqrt(share / share.mean())[:, None]
+    names = sorted(sizes)
+    wanted = np.array([[float(r.lang == name) for name in names] for r in learnt])
+    # Ridge regression as least squares with a row for each penalty.
+    left = np.concatenate([near @ root * share, math.sqrt(language.RIDGE) * np.eye(root.shape[1])])
+    right = np.concatenate([wanted * share, np.zeros((root.shape[1], len(names)))])
+    weights = root @ np.linalg.lstsq(left, right, rcond=None)[0]
+    found = {r.doc_id: r for r in language.identify(docs).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        if not any(map(str.isalpha, r.text)):
+            assert (found[r.doc_id].lang_pred, found[r.doc_id].score) == ("und", 0)
+            continue
+        score = np.array([kernel(places_by_force(r.text), s) for s in sets]) @ weights
+        assert found[r.doc_id].lang_pred == names[int(score.argmax())]
+        assert found[r.doc_id].score == pytest.approx(min(1, max(0, score.max())), abs=1e-4)
+
+
 def test_language_takes_odd_rows(odd, nothing, spark):
     rows = language.identify(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
