@@ -363,6 +363,26 @@ def test_connect_loses_no_link(spark):
     assert all(found.get(i, i) == wanted[i] for i in wanted)
 
 
+def test_shared_bands_are_found_over_cut_batches(spark):
+    words = ["alpha beta gamma delta", "alpha beta gamma delta!", "one two three four five six", "x", "y" * 50, "y" * 51]
+    rows = [(f"{words[i % 6]} {'' if i % 4 else i}", i) for i in range(400)]
+    lines = spark.createDataFrame(rows, "line string, n long").withColumn("id", F.xxhash64("line")).repartition(5)
+    wanted = defaultdict(set)
+    for r in lines.select("id", "line").distinct().collect():
+        for key in fuzzy_lines.band_keys([r.line])[0]:
+            wanted[int(key.astype(np.int64))].add(r.id)
+    wanted = sorted((g, i) for g, ids in wanted.items() if len(ids) > 1 for i in ids)
+    assert len(wanted) > 100
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (1, 2, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert sorted(map(tuple, fuzzy_lines.candidates(lines).collect())) == wanted
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert fuzzy_lines.candidates(lines.limit(0)).count() == 0
+
+
 # --- 5 ---------------------------------------------------------------------------------
 
 
