@@ -22,7 +22,7 @@ from .common import spread, stored
 from .links import Relation, bounded, components, connect, linked_sizes, spanning
 
 SHINGLE = 5
-BITS = 512  # of a bitmap that bounds overlaps
+BITS = 2048  # of a bitmap that bounds overlaps
 PAIRS = 1 << 16  # compared at once
 CODES = 1 << 20  # of pairs that are counted at once
 BANDS = 16
@@ -61,12 +61,13 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size:
     first = np.cumsum(counts) - counts
     seen = (gram >> np.uint64(32)).astype(np.uint32)
     factors, masks = permutations(bands * rows)
-    keys = np.empty((len(lines), bands), dtype=np.uint64)
+    keys, drawn = np.empty((len(lines), bands), dtype=np.uint64), np.empty_like(seen)
     for band in range(bands):
         key = np.full(len(lines), band + 1, dtype=np.uint64)
         for at in range(band * rows, (band + 1) * rows):
-            least = np.minimum.reduceat((seen ^ masks[at]) * factors[at], first)
-            key = (key ^ least) * _MIX
+            np.bitwise_xor(seen, masks[at], out=drawn)
+            np.multiply(drawn, factors[at], out=drawn)
+            key = (key ^ np.minimum.reduceat(drawn, first)) * _MIX
             key ^= key >> np.uint64(29)
         keys[:, band] = key
     return keys
@@ -117,7 +118,8 @@ class LineSets:
         cost = np.cumsum(self.sizes[a[left]] + self.sizes[b[left]])
         for at in np.split(left, np.searchsorted(cost, np.arange(CODES, cost[-1], CODES))) if len(left) else ():
             one, two = self.sizes[a[at]], self.sizes[b[at]]
-            keys = np.sort(np.concatenate([self._marked(a[at]), self._marked(b[at])]))
+            keys = np.concatenate([self._marked(a[at]), self._marked(b[at])])
+            keys.sort(kind="stable")  # two sorted runs are merged
             twice = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(44)
             common = np.bincount(twice.astype(np.int64), minlength=len(at))
             out[at] = linked_sizes(common, one, two)
@@ -135,7 +137,7 @@ class AlikeLines(Relation):
         held = LineSets([hub_bodies[k] for k in first] + bodies)
         return held.linked(which.ravel(), len(first) + np.arange(len(bodies)))
 
-    def inside_tiles(self, ids: np.ndarray, flagged: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
+    def inside_tiles(self, ids: np.ndarray, flagged: np.ndarray, other: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
         """Small tiles at once, as many as have ``CODES`` characters; a larger one alone."""
         found, begin, held = [np.zeros((0, 2), dtype=np.int64)], 0, 0
         edges = [0, *cuts, len(ids)]
@@ -143,14 +145,14 @@ class AlikeLines(Relation):
             size = sum(map(len, bodies[first:last]))
             if held and held + size > CODES:
                 inner = slice(edges[begin], first)
-                found.append(self._some_tiles(ids[inner], flagged[inner], bodies[inner], [c - edges[begin] for c in edges[begin + 1 : k]]))
+                found.append(self._some_tiles(ids[inner], flagged[inner], other[inner], bodies[inner], [c - edges[begin] for c in edges[begin + 1 : k]]))
                 begin, held = k, 0
             held += size
         inner = slice(edges[begin], len(ids))
-        found.append(self._some_tiles(ids[inner], flagged[inner], bodies[inner], [c - edges[begin] for c in edges[begin + 1 : -1]]))
+        found.append(self._some_tiles(ids[inner], flagged[inner], other[inner], bodies[inner], [c - edges[begin] for c in edges[begin + 1 : -1]]))
         return np.concatenate(found)
 
-    def _some_tiles(self, ids: np.ndarray, flagged: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
+    def _some_tiles(self, ids: np.ndarray, flagged: np.ndarray, other: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
         names, first, which = np.unique(ids, return_index=True, return_inverse=True)
         which, held = which.ravel(), LineSets([bodies[k] for k in first])
         found, some, n_some = [np.zeros((0, 2), dtype=np.int64)], [], 0
@@ -164,7 +166,7 @@ class AlikeLines(Relation):
 
         for begin, end in zip([0, *cuts], [*cuts, len(ids)]):
             here = which[begin:end]
-            asked, others = here[flagged[begin:end]], here[~flagged[begin:end]]
+            asked, others = here[flagged[begin:end]], here[other[begin:end]]
             step = max(1, PAIRS // max(1, len(others)))
             for part in (asked[k : k + step] for k in range(0, len(asked) if len(others) else 0, step)):
                 pairs = np.stack([np.repeat(part, len(others)), np.tile(others, len(part))], axis=1)

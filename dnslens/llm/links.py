@@ -65,9 +65,10 @@ def tiles(members: DataFrame, group: str, order: Column, size: int = TILE) -> Da
     """Deals the pairs of a flagged member with any other of its group to tiles of bounded size.
 
     ``members`` has ``group``, ``id`` and ``flagged``. The result repeats its rows with ``i, j`` and
-    ``as_flagged``: tile (i, j) holds the i-th part of the flagged members and the j-th part of all members,
-    so each such pair meets in one tile, and a group without flagged members is in none. Parts are cut by
-    ``order`` (a hash, or a size band first): no group is sorted or gathered whole.
+    ``as_flagged``, ``as_other``: tile (i, j) holds the i-th part of the flagged members and the j-th part of
+    all members, so each such pair meets in one tile, and a group without flagged members is in none. In a
+    group of one tile a row stands for both. Parts are cut by ``order`` (a hash, or a size band first): no
+    group is sorted or gathered whole.
     """
     totals = members.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_all"), F.sum(F.col("flagged").cast("long")).alias("n_flagged")
@@ -75,11 +76,15 @@ def tiles(members: DataFrame, group: str, order: Column, size: int = TILE) -> Da
     totals = stored(totals.filter("n_flagged > 0 and n_all > 1"), "tile-counts")
     part = lambda n: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(n) / size))
     sized = members.join(totals, group).withColumn("parts_all", part("n_all")).withColumn("parts_flagged", part("n_flagged"))
+    one, zero = F.col("parts_all") == 1, F.lit(0).cast("long")
+    whole = sized.filter(one).withColumns({"i": zero, "j": zero, "as_flagged": F.col("flagged"), "as_other": F.lit(True)})
+    sized = sized.filter(~one)
     every = sized.withColumn("j", F.pmod(order, F.col("parts_all")))
-    every = every.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_flagged") - 1))).withColumn("as_flagged", F.lit(False))
+    every = every.withColumn("i", F.explode(F.sequence(zero, F.col("parts_flagged") - 1)))
     asked = sized.filter("flagged").withColumn("i", F.pmod(order, F.col("parts_flagged")))
-    asked = asked.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_all") - 1))).withColumn("as_flagged", F.lit(True))
-    return every.unionByName(asked).drop("n_all", "n_flagged", "parts_all", "parts_flagged")
+    asked = asked.withColumn("j", F.explode(F.sequence(zero, F.col("parts_all") - 1)))
+    role = lambda df, asks: df.withColumns({"as_flagged": F.lit(asks), "as_other": F.lit(not asks)})
+    return whole.unionByName(role(every, False)).unionByName(role(asked, True)).drop("n_all", "n_flagged", "parts_all", "parts_flagged")
 
 
 def spanning(pairs: np.ndarray) -> np.ndarray:
@@ -124,12 +129,12 @@ class Relation:
                 linked[rows] = self.matches(held, 0, np.arange(1, len(rows) + 1))
         return linked
 
-    def inside_tiles(self, ids: np.ndarray, flagged: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
-        """Linked pairs of a flagged row and another one of its tile; tiles begin at 0 and at ``cuts``."""
+    def inside_tiles(self, ids: np.ndarray, flagged: np.ndarray, other: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
+        """Linked pairs of a flagged row and an other one of its tile; tiles begin at 0 and at ``cuts``."""
         found = [np.zeros((0, 2), dtype=np.int64)]
         for first, last in zip([0, *cuts], [*cuts, len(ids)]):
             here = slice(first, last)
-            others, asked = np.flatnonzero(~flagged[here]), np.flatnonzero(flagged[here])
+            others, asked = np.flatnonzero(other[here]), np.flatnonzero(flagged[here])
             if not len(asked) or not len(others):
                 continue
             held = self.prepare(bodies[here])
@@ -255,9 +260,10 @@ def connect(members: DataFrame, payload: DataFrame, relation: Relation) -> DataF
 
     ``members`` (``group, id``, distinct) says which ids may be linked, ``payload`` (``id, body``) what they
     are. First every member is compared with the smallest of its group, so a group of near copies, however
-    large, takes one comparison a member. Those that differ from it are then compared with all of their
-    group in tiles, where only edges that join two trees leave a task. Two members either are both linked
-    with the smallest, or one of them is compared with the other: no link is lost.
+    large, takes one comparison a member. Those that differ from it are then compared with all others of
+    their group in tiles, where only edges that join two trees leave a task; the smallest itself, and so a
+    group of two, is in no tile. Two members either are both linked with the smallest, or one of them is
+    compared with the other: no link is lost.
     """
     members = stored(distinct_groups(members), "members")
     hubs = members.groupBy("group").agg(F.min("id").alias("hub"))
@@ -265,14 +271,14 @@ def connect(members: DataFrame, payload: DataFrame, relation: Relation) -> DataF
     known = stored(_verified(star.select("hub", "id").distinct(), payload, relation), "known")
     differ = star.join(known.filter("not linked"), ["hub", "id"], "left_semi")
     differ = differ.select("group", "id", F.lit(True).alias("flagged"))
-    marked = members.join(differ, ["group", "id"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+    marked = star.select("group", "id").join(differ, ["group", "id"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
     tiled = tiles(stored(marked, "marked"), "group", F.xxhash64("id"), relation.tile).join(payload, "id")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         place = np.stack([table[c].to_numpy() for c in ("group", "i", "j")], axis=1)
         cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
-        flagged = table["as_flagged"].to_numpy().astype(bool)
-        pairs = relation.inside_tiles(table["id"].to_numpy(), flagged, table["body"].to_pylist(), cuts.tolist())
+        flagged, other = (table[c].to_numpy().astype(bool) for c in ("as_flagged", "as_other"))
+        pairs = relation.inside_tiles(table["id"].to_numpy(), flagged, other, table["body"].to_pylist(), cuts.tolist())
         pairs = pairs[spanning(pairs)]
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], names=["a", "b"])
 
@@ -293,7 +299,7 @@ def connect(members: DataFrame, payload: DataFrame, relation: Relation) -> DataF
             yield compare(held)
 
     place = ["group", "i", "j"]
-    dealt = tiled.select(*place, "id", "as_flagged", "body").repartition(spread(members.sparkSession, 4), *place)
+    dealt = tiled.select(*place, "id", "as_flagged", "as_other", "body").repartition(spread(members.sparkSession, 4), *place)
     inside = dealt.sortWithinPartitions(*place).mapInArrow(compare_tiles, "a long, b long")
     direct = known.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     return direct.unionByName(inside)
