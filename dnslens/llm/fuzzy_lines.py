@@ -28,6 +28,8 @@ CODES = 1 << 20  # of pairs that are counted at once
 BANDS = 16
 BAND_ROWS = 5
 ROWS = 512
+CELLS = 1 << 20  # pairs of a band and a line that are dealt or looked at once
+PART = 1 << 25  # bytes of such pairs in a part
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -187,40 +189,90 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("line"))
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """``group, id``: ids that share a band with another id."""
+class FirstOwners:
+    """Names each band's lines as they come: the first line of a band waits until another one shares the band.
+
+    Only different bands are held, 17 bytes each, however many lines share one.
+    """
+
+    def __init__(self):
+        self.keys, self.ids, self.told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bands and lines that are known to be shared with ``keys`` and ``ids`` added; some may come again."""
+        keys, ids = np.concatenate([self.keys, keys]), np.concatenate([self.ids, ids])
+        order = np.argsort(keys, kind="stable")  # the owner before those that come later
+        told = np.append(self.told, np.zeros(len(keys) - len(self.told), bool))[order]
+        keys, ids = keys[order], ids[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        lengths = np.diff(np.append(first, len(keys)))
+        others = ids != np.repeat(ids[first], lengths)
+        shared = np.logical_or.reduceat(others, first) if len(first) else others
+        others[first] = shared & ~told[first]
+        self.keys, self.ids, self.told = keys[first], ids[first], told[first] | shared
+        return keys[others], ids[others]
+
+
+def candidates(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
+    """``group, id``: ids that share a band with another id. ``n_lines`` is the number of rows, if known.
+
+    Bands move as numbers in pieces of many, dealt by the band into as many parts as ``PART`` bytes each need.
+    """
+    n_lines = lines.count() if n_lines is None else n_lines
+    parts = max(spread(lines.sparkSession), -(-n_lines * BANDS * 16 // PART))
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.concatenate(held)
+        part = (cells[:, 0] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, cells = part[order], cells[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = np.append(first, len(part)).astype(np.int32) * np.int32(16)
+        packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(cells)])
+        return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), packed], names=["part", "cells"])
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
         for batch in batches:
             ids, first = np.unique(batch.column("id").to_numpy(), return_index=True)
             texts = batch.column("line").take(pa.array(first)).to_pylist()
             for i in range(0, len(ids), ROWS):
                 keys = band_keys(texts[i : i + ROWS])
-                cells = [keys.astype(np.int64).ravel(), np.repeat(ids[i : i + ROWS], keys.shape[1])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["group", "id"])
+                names = np.repeat(ids[i : i + ROWS].astype(np.int64).view(np.uint64), keys.shape[1])
+                held.append(np.stack([keys.ravel(), names], axis=1))
+                n_held += len(names)
+                if n_held >= CELLS:
+                    yield dealt(held)
+                    held, n_held = [], 0
+        if held:
+            yield dealt(held)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different rows of groups with two ids; the last row waits for what follows it."""
-        last, met = np.zeros((0, 2), dtype=np.int64), np.zeros(1, dtype=bool)
+        owners, held, n_held = FirstOwners(), [], 0
+
+        def found() -> pa.RecordBatch:
+            cells = np.concatenate(held)
+            keys, ids = owners.add(cells[:, 0], cells[:, 1].view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], names=["group", "id"])
+
         for batch in batches:
-            rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in ("group", "id")], axis=1)])
-            if len(rows):
-                rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
-                same = rows[1:, 0] == rows[:-1, 0]
-                met = np.append(met[-1], same) | np.append(same, False)
-                found, last = rows[:-1][met[:-1]], rows[-1:]
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in (0, 1)], names=["group", "id"])
-        if met[-1]:
-            yield pa.RecordBatch.from_arrays([pa.array(last[:, k]) for k in (0, 1)], names=["group", "id"])
-
-    rows = lines.select("id", "line").mapInArrow(bands, "group long, id long")
-    rows = rows.repartition(spread(lines.sparkSession), "group").sortWithinPartitions("group", "id")
-    return rows.mapInArrow(shared, "group long, id long")
-
-
-def line_classes(lines: DataFrame) -> DataFrame:
+            for piece in batch.column("cells"):
+                held.append(np.frombuffer(piece.as_buffer(), np.uint64).reshape(-1, 2))
+                n_held += len(held[-1])
+                if n_held >= CELLS:
+                    yield found()
+                    held, n_held = [], 0
+        if held:
+            yield found()
+
+    pieces = lines.select("id", "line").mapInArrow(bands, "part int, cells binary")
+    met = pieces.repartitionById(parts, F.col("part")).select("cells").mapInArrow(shared, "group long, id long")
+    return met.distinct()
+
+
+def line_classes(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
     """``id, root`` for the lines that are like another; the others are alone."""
-    members = stored(candidates(lines), "buckets")
+    members = stored(candidates(lines, n_lines), "buckets")
     wanted = stored(members.select("id").distinct(), "wanted")
     texts = lines.select("id", "line").join(bounded(wanted), "id").groupBy("id").agg(F.min("line").alias("body"))
     return components(connect(members, stored(texts, "texts"), AlikeLines()))
@@ -233,7 +285,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     lines = lines_of(docs)
     places = stored(lines.select("doc_id", "line_no", "id"), "places")
-    classes = line_classes(lines)
+    classes = line_classes(lines, places.count())
     placed = places.join(bounded(classes), "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = stored(placed, "placed")
     at = F.struct("doc_id", "line_no")

@@ -364,6 +364,29 @@ def test_connect_loses_no_link(spark):
     assert all(found.get(i, i) == wanted[i] for i in wanted)
 
 
+def test_owners_of_bands_tell_all_that_share_one():
+    draw = np.random.default_rng(6)
+    owners, seen, told = fuzzy_lines.FirstOwners(), defaultdict(set), defaultdict(set)
+    for size in (0, 50, 1, 400, 0, 300):
+        keys, ids = draw.integers(0, 90, size).astype(np.uint64), draw.integers(-40, 40, size)
+        keys[: size // 4] = 7  # a crowded band
+        for key, own in zip(keys.tolist(), ids.tolist()):
+            seen[key].add(own)
+        for key, own in zip(*map(np.ndarray.tolist, owners.add(keys, ids))):
+            told[key].add(own)
+        assert told == {key: some for key, some in seen.items() if len(some) > 1}
+    assert len(owners.keys) == len(seen)
+
+
+def test_bands_in_many_small_pieces_are_those_of_one(spark, monkeypatch):
+    words = [" ".join(f"w{(i * 7 + k) % 40}" for k in range(12)) for i in range(60)]
+    lines = spark.createDataFrame([(w, i) for i, w in enumerate(words * 2)], "line string, n long").withColumn("id", F.xxhash64("line"))
+    one = sorted(map(tuple, fuzzy_lines.candidates(lines, 120).collect()))
+    monkeypatch.setattr(fuzzy_lines, "CELLS", 64)
+    monkeypatch.setattr(fuzzy_lines, "PART", 1024)
+    assert one and sorted(map(tuple, fuzzy_lines.candidates(lines).collect())) == one
+
+
 def test_shared_bands_are_found_over_cut_batches(spark):
     words = ["alpha beta gamma delta", "alpha beta gamma delta!", "one two three four five six", "x", "y" * 50, "y" * 51]
     rows = [(f"{words[i % 6]} {'' if i % 4 else i}", i) for i in range(400)]
