@@ -98,6 +98,7 @@ def _(i: Inputs):
 
 
 def _domain_scan(i: Inputs) -> DataFrame:
+    i.store_raw()
     scans, lists = i.domain_scan_files()
     return readers.read_domain_scan(i.spark, scans, lists, "*.txt", "*.txt")
 
@@ -257,6 +258,7 @@ def _(i: Inputs):
     "starts AS (SELECT domain, 1000 + min(k) OVER (PARTITION BY shard) AS start FROM shards JOIN domain_keys USING (domain))",
 )
 def _(i: Inputs):
+    i.store_raw()
     decoded = dns.response_fields(i.responses)
     mine = decoded.filter((F.size("a_records") > 0) & (F.col("qname") == F.col("domain")))
     mine = mine.join(i.shards.select("shard", "domain"), "domain").select(
@@ -579,8 +581,9 @@ def _(i: Inputs):
     "WHERE failed OR (shard, domain) IN (SELECT shard, domain FROM shards) GROUP BY 1, 2, 3, 4",
 )
 def _(i: Inputs):
+    scan = _domain_scan(i)
     whitelist = i.stored_resolvers.filter("ip % 5 <> 0")
-    return rollups.aggregate_listed_responses(_domain_scan(i), i.shards, i.resolver_prefixes, whitelist)
+    return rollups.aggregate_listed_responses(scan, i.shards, i.resolver_prefixes, whitelist)
 
 
 @query(

@@ -93,3 +93,22 @@ def test_library_never_forces_a_broadcast_or_a_local_cut():
         text = path.read_text().replace(checked, "")
         for banned in ("broadcast(", "localCheckpoint", "crossJoin", ".toPandas(", ".collect()", ".rdd.map"):
             assert banned not in text, f"{path.name}: {banned}"
+
+
+def test_scan_files_take_the_joins_once_and_no_sort(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    seen, write, setting = [], DataFrameWriter.text, "spark.sql.maxConcurrentOutputFileWriters"
+
+    def text(self, *args, **kwargs):
+        plan = self._df._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((plan.count("Join "), int(spark.conf.get(setting, "0"))))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "text", text)
+    before = spark.conf.get(setting, None)
+    rows = entry.queries()["read_domain_scan"](spark, SF)
+    joins, writers = seen[0]
+    assert joins == 1 and writers > 0  # the shards only; the order tables were joined and stored before
+    assert spark.conf.get(setting, None) == before
+    assert rows.count() > 0
