@@ -33,33 +33,30 @@ def _listed(prefixes: DataFrame, whitelist: DataFrame) -> DataFrame:
 
 
 def _decoded(scan: DataFrame, origin: str) -> DataFrame:
-    """Packets to ``shard, failed, domain, <origin>, answer_ip, n``, added up map-side first.
+    """Packets to ``shard, failed, domain, <origin>, answer_ip``, a row for each answer.
 
     Every A record counts once for the name in the packet; a response without A records counts
     as empty; an undecodable one as failed for the asked domain.
     """
     d = scan.withColumn("d", decode_dns_responses("data_hex"))
     bad = ~F.col("d.ok") | F.col("d.qname").isNull()
-    rows = d.select(
+    return d.select(
         "shard",
         bad.alias("failed"),
         F.when(bad, F.lower("domain")).otherwise(F.col("d.qname")).alias("domain"),
         origin,
         F.explode_outer(F.when(~bad, F.col("d.a_records"))).alias("answer_ip"),
     )
-    return rows.groupBy("shard", "failed", "domain", origin, "answer_ip").agg(
-        F.count(F.lit(1)).alias("n")
-    )
 
 
-def _of_shards(counts: DataFrame, shard_domains: DataFrame) -> DataFrame:
+def _of_shards(rows: DataFrame, shard_domains: DataFrame) -> DataFrame:
     names = shard_domains.select("shard", F.lower("domain").alias("domain")).distinct()
+    return rows.join(names, ["shard", "domain"], "left_semi").drop("shard")
+
+
+def _counted(rows: DataFrame, n: Column) -> DataFrame:
     asn = F.when(~F.col("failed"), F.col("resolver_asn")).alias("resolver_asn")
-    return (
-        counts.join(names, ["shard", "domain"], "left_semi")
-        .groupBy("failed", "domain", asn, "answer_ip")
-        .agg(F.sum("n").alias("n"))
-    )
+    return rows.groupBy("failed", "domain", asn, "answer_ip").agg(n.alias("n"))
 
 
 def aggregate_responses(scan: DataFrame, shard_domains: DataFrame) -> DataFrame:
@@ -68,7 +65,9 @@ def aggregate_responses(scan: DataFrame, shard_domains: DataFrame) -> DataFrame:
     ``scan`` holds ``shard, domain (asked), resolver_asn, data_hex``. Names outside the
     shard's list fall away. Decoding and counting happen once for both kinds of row.
     """
-    return _of_shards(_decoded(scan, "resolver_asn"), shard_domains)
+    keys = ["shard", "failed", "domain", "resolver_asn", "answer_ip"]
+    counts = _decoded(scan, "resolver_asn").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return _counted(_of_shards(counts, shard_domains), F.sum("n"))
 
 
 def aggregate_listed_responses(
@@ -78,13 +77,14 @@ def aggregate_listed_responses(
 
     Packets never move. A list of proven size is broadcast with its ASNs, two numbers a
     resolver, and filters the scan before anything is decoded. Beyond that size the packets are decoded
-    and added up by resolver where they lie, and only the counts meet the list.
+    where they lie, and their names and answers meet the list; a resolver has few equal ones to add up before.
     """
     listed = materialize(_listed(prefixes, whitelist), "listed")
     keyed = scan.withColumn("_resolver", ip_to_long("resolver_ip"))
     if listed.count() <= _BROADCAST_RESOLVERS:
         return aggregate_responses(keyed.join(F.broadcast(listed), "_resolver"), shard_domains)
-    return _of_shards(_decoded(keyed, "_resolver").join(listed, "_resolver"), shard_domains)
+    answers = _of_shards(_decoded(keyed, "_resolver"), shard_domains)
+    return _counted(answers.join(listed, "_resolver"), F.count(F.lit(1)))
 
 
 def observations_of(counts: DataFrame) -> DataFrame:

@@ -112,3 +112,16 @@ def test_scan_files_take_the_joins_once_and_no_sort(spark, monkeypatch):
     assert joins == 1 and writers > 0  # the shards only; the order tables were joined and stored before
     assert spark.conf.get(setting, None) == before
     assert rows.count() > 0
+
+
+def test_answers_meet_a_large_list_without_a_count_by_resolver(spark, monkeypatch):
+    from dnslens.operators import rollups
+
+    monkeypatch.setattr(rollups, "_BROADCAST_RESOLVERS", -1)
+    scan = spark.createDataFrame([("s", "1.2.3.4", "d.example", "00")] * 2, "shard string, resolver_ip string, domain string, data_hex string")
+    shards = spark.createDataFrame([("s", "d.example")], "shard string, domain string")
+    prefixes = spark.createDataFrame([(16777216, 8, 7)], "network long, prefix_len int, asn int")
+    listed = spark.createDataFrame([(16909060,)], "ip long")
+    df = rollups.aggregate_listed_responses(scan, shards, prefixes, listed)
+    assert "_resolver" not in "".join(line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line)
+    assert [tuple(r) for r in df.collect()] == [(True, "d.example", None, None, 2)]
