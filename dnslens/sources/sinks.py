@@ -97,18 +97,21 @@ def ooni_records(
     """
     size = limit + 1
     numbered = row_numbers(responses, "seq", ["shard", "domain"])
-    query = F.struct(
-        F.col("rn").alias("rn"),
-        F.col("resolver_ip"),
-        F.lit(53).alias("resolver_port"),
-        F.lit("A").alias("query_type"),
-        F.format_string(OONI_QUERY, "domain").alias("query"),
-        F.col("addrs"),
-    )
     chunk = F.floor((F.col("rn") - 1) / size)
     full = numbered.groupBy("shard", "domain", chunk.alias("chunk")).agg(
-        F.sort_array(F.collect_list(query)).alias("queries")
+        F.sort_array(F.collect_list(F.struct("rn", "resolver_ip", "addrs"))).alias("queries")
+    )
+    # What all queries of an entry share is added once they are together.
+    full = full.withColumn("asked", F.format_string(OONI_QUERY, "domain"))
+    query = lambda q: F.struct(
+        q["rn"].alias("rn"),
+        q["resolver_ip"].alias("resolver_ip"),
+        F.lit(53).alias("resolver_port"),
+        F.lit("A").alias("query_type"),
+        F.col("asked").alias("query"),
+        q["addrs"].alias("addrs"),
     )
+    full = full.withColumn("queries", F.transform("queries", query)).drop("asked")
     counts = responses.groupBy("shard", "domain").agg(F.count(F.lit(1)).alias("c"))
     last = F.floor(F.coalesce("c", F.lit(0)) / size)
     slots = shard_domains.select("shard", "domain").join(counts, ["shard", "domain"], "left")

@@ -125,3 +125,14 @@ def test_answers_meet_a_large_list_without_a_count_by_resolver(spark, monkeypatc
     df = rollups.aggregate_listed_responses(scan, shards, prefixes, listed)
     assert "_resolver" not in "".join(line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line)
     assert [tuple(r) for r in df.collect()] == [(True, "d.example", None, None, 2)]
+
+
+def test_report_queries_move_without_what_their_entry_shares(spark):
+    from dnslens.sources import sinks
+
+    rows = spark.createDataFrame([("s", "d.example", 1, "1.2.3.4", ["5.6.7.8"])], "shard string, domain string, seq long, resolver_ip string, addrs array<string>")
+    shards = spark.createDataFrame([("s", "d.example")], "shard string, domain string")
+    df = sinks.ooni_records(rows, shards, {}, 0.0, 0.0, 1.0)
+    collected = re.findall(r"collect_list\(struct\(([^()]*)", df._jdf.queryExecution().optimizedPlan().toString())
+    assert collected and not any("query" in fields for fields in collected)
+    assert [q["query"] for q in df.filter("record_type = 'entry'").first()["queries"]] == ["[Query('<d.example>',1,1)]"]
