@@ -3,8 +3,9 @@
 Lines get signatures over their runs of five characters, of which a change spoils five at most, so that short
 lines are found as well as long ones. Lines are alike if the Jaccard similarity of their sets of runs is
 0.8. Bands of the signatures bring lines together that may be alike, at a recall of over 0.998 for
-a similarity of 0.8 and more above. Candidates are verified by the exact similarity, distributed
-union-find makes components of the links, and of all occurrences of a component's lines the first stays.
+a similarity of 0.8 and more above. Pairs whose sketches are far apart are no candidates; the others are
+verified by the exact similarity, distributed union-find makes components of the links, and of all
+occurrences of a component's lines the first stays.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,12 @@ CODES = 1 << 20  # of pairs that are counted at once
 BANDS = 16
 BAND_ROWS = 5
 ROWS = 512
-CELLS = 1 << 20  # pairs of a band and a line that are dealt or looked at once
-PART = 1 << 25  # bytes of such pairs in a part
+CELLS = 1 << 19  # cells (a band, a line and its sketch) that are dealt or looked at once
+PART = 1 << 24  # bytes of cells in a part
+SKETCH = 64  # bits, one of each of so many minima
+FAR = 19  # bits in which sketches differ; at a similarity of 0.8 each does with a probability of 0.1
+CROWD = 128  # lines of one band that are compared two by two
+BLANKS = " \t\n\v\f\r"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,22 +62,33 @@ def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     return gram[places], counts
 
 
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE) -> np.ndarray:
-    """Lines by bands: hashes of ``rows`` minima each."""
+def signatures(
+    lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Lines by bands: hashes of ``rows`` minima each. And sketches: a bit of each of the first minima."""
     gram, counts = shingle_hashes(lines, size)
     first = np.cumsum(counts) - counts
     seen = (gram >> np.uint64(32)).astype(np.uint32)
     factors, masks = permutations(bands * rows)
     keys, drawn = np.empty((len(lines), bands), dtype=np.uint64), np.empty_like(seen)
+    sketches = np.zeros(len(lines), dtype=np.uint64)
     for band in range(bands):
         key = np.full(len(lines), band + 1, dtype=np.uint64)
         for at in range(band * rows, (band + 1) * rows):
             np.bitwise_xor(seen, masks[at], out=drawn)
             np.multiply(drawn, factors[at], out=drawn)
-            key = (key ^ np.minimum.reduceat(drawn, first)) * _MIX
+            least = np.minimum.reduceat(drawn, first)
+            key = (key ^ least) * _MIX
             key ^= key >> np.uint64(29)
+            if at < SKETCH:
+                sketches |= (least >> np.uint32(3) & np.uint32(1)).astype(np.uint64) << np.uint64(at)
         keys[:, band] = key
-    return keys
+    return keys, sketches
+
+
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE) -> np.ndarray:
+    """Lines by bands: hashes of ``rows`` minima each."""
+    return signatures(lines, bands, rows, size)[0]
 
 
 class LineSets:
@@ -213,21 +229,56 @@ class FirstOwners:
         return keys[others], ids[others]
 
 
-def candidates(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
-    """``group, id``: ids that share a band with another id. ``n_lines`` is the number of rows, if known.
+class SharedBands:
+    """The different cells of a part. A band of more than ``CROWD`` lines is told as it grows, not held."""
 
-    Bands move as numbers in pieces of many, dealt by the band into as many parts as ``PART`` bytes each need.
+    def __init__(self):
+        self.cells, self.crowded = np.zeros((0, 3), np.uint64), np.zeros(0, np.uint64)
+
+    def _bands(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.append(True, cells[1:, 0] != cells[:-1, 0])[: len(cells)])
+        return first, np.diff(np.append(first, len(cells)))
+
+    def add(self, cells: np.ndarray) -> np.ndarray:
+        """Takes ``cells`` in and gives back those of crowded bands; some may come again."""
+        told = np.isin(cells[:, 0], self.crowded)
+        more, cells = cells[told], np.concatenate([self.cells, cells[~told]])
+        cells = cells[np.lexsort((cells[:, 1], cells[:, 0]))]
+        cells = cells[np.append(True, (cells[1:, :2] != cells[:-1, :2]).any(axis=1))[: len(cells)]]
+        first, lengths = self._bands(cells)
+        crowd = np.repeat(lengths > CROWD, lengths)
+        self.crowded = np.append(self.crowded, cells[first[lengths > CROWD], 0])
+        self.cells = cells[~crowd]
+        return np.concatenate([more, cells[crowd]])
+
+    def near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of lines that share a held band and have sketches that are not far apart."""
+        first, lengths = self._bands(self.cells)
+        ids, sketches = self.cells[:, 1].view(np.int64) if len(self.cells) else np.zeros(0, np.int64), self.cells[:, 2]
+        for n in np.unique(lengths[lengths > 1]).tolist():
+            i, j = np.triu_indices(n, 1)
+            begins, step = first[lengths == n], max(1, CELLS // len(i))
+            for some in (begins[k : k + step, None] for k in range(0, len(begins), step)):
+                a, b = (some + i).ravel(), (some + j).ravel()
+                close = np.bitwise_count(sketches[a] ^ sketches[b]) < FAR
+                yield ids[a[close]], ids[b[close]]
+
+
+def _dealt_cells(lines: DataFrame, n_lines: int | None) -> DataFrame:
+    """``cells``: rows of three numbers (band, line, sketch), all those of a band in one partition.
+
+    Cells move as numbers in pieces of many, dealt by the band into as many parts as ``PART`` bytes each need.
     """
     n_lines = lines.count() if n_lines is None else n_lines
-    parts = max(spread(lines.sparkSession), -(-n_lines * BANDS * 16 // PART))
+    parts = max(spread(lines.sparkSession), -(-n_lines * BANDS * 24 // PART))
 
     def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
         cells = np.concatenate(held)
-        part = (cells[:, 0] % np.uint64(parts)).astype(np.int64)
+        part = (cells[:, 0] % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         part, cells = part[order], cells[order]
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        ends = np.append(first, len(part)).astype(np.int32) * np.int32(16)
+        ends = np.append(first, len(part)).astype(np.int32) * np.int32(24)
         packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(cells)])
         return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), packed], names=["part", "cells"])
 
@@ -235,47 +286,108 @@ def candidates(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
         held, n_held = [], 0
         for batch in batches:
             ids, first = np.unique(batch.column("id").to_numpy(), return_index=True)
-            texts = batch.column("line").take(pa.array(first)).to_pylist()
             for i in range(0, len(ids), ROWS):
-                keys = band_keys(texts[i : i + ROWS])
-                names = np.repeat(ids[i : i + ROWS].astype(np.int64).view(np.uint64), keys.shape[1])
-                held.append(np.stack([keys.ravel(), names], axis=1))
-                n_held += len(names)
+                keys, sketches = signatures(batch.column("line").take(pa.array(first[i : i + ROWS])).to_pylist())
+                names = ids[i : i + ROWS].astype(np.int64).view(np.uint64)
+                each = [np.repeat(x, keys.shape[1]) for x in (names, sketches)]
+                held.append(np.stack([keys.ravel(), *each], axis=1))
+                n_held += keys.size
                 if n_held >= CELLS:
                     yield dealt(held)
                     held, n_held = [], 0
         if held:
             yield dealt(held)
 
+    pieces = lines.select("id", "line").mapInArrow(bands, "part int, cells binary")
+    return pieces.repartitionById(parts, F.col("part")).select("cells")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The cells of a part, ``CELLS`` or a little more at a time."""
+    held, n_held = [], 0
+    for batch in batches:
+        for piece in batch.column("cells"):
+            held.append(np.frombuffer(piece.as_buffer(), np.uint64).reshape(-1, 3))
+            n_held += len(held[-1])
+            if n_held >= CELLS:
+                yield np.concatenate(held)
+                held, n_held = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def candidates(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
+    """``group, id``: ids that share a band with another id. ``n_lines`` is the number of rows, if known."""
+
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, held, n_held = FirstOwners(), [], 0
+        owners = FirstOwners()
+        for cells in _gathered(batches):
+            keys, ids = owners.add(cells[:, 0], np.ascontiguousarray(cells[:, 1]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], names=["group", "id"])
 
-        def found() -> pa.RecordBatch:
-            cells = np.concatenate(held)
-            keys, ids = owners.add(cells[:, 0], cells[:, 1].view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], names=["group", "id"])
+    return _dealt_cells(lines, n_lines).mapInArrow(shared, "group long, id long").distinct()
 
-        for batch in batches:
-            for piece in batch.column("cells"):
-                held.append(np.frombuffer(piece.as_buffer(), np.uint64).reshape(-1, 2))
-                n_held += len(held[-1])
-                if n_held >= CELLS:
-                    yield found()
-                    held, n_held = [], 0
-        if held:
-            yield found()
 
-    pieces = lines.select("id", "line").mapInArrow(bands, "part int, cells binary")
-    met = pieces.repartitionById(parts, F.col("part")).select("cells").mapInArrow(shared, "group long, id long")
-    return met.distinct()
+def near_candidates(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
+    """``a, b, crowded``: pairs of ids that share a band and are not far apart by their sketches.
+
+    Unlike lines that share a band by chance, whose number grows with the square of the lines, so never leave
+    the task that sees them. At a similarity of 0.8 one pair in 100,000 is far apart, above it fewer. Bands
+    of more than ``CROWD`` ids are not paired: they come as ``a`` the band and ``b`` each id, ``crowded``.
+    """
+
+    def rows(a: np.ndarray, b: np.ndarray, crowded: bool) -> pa.RecordBatch:
+        which = pa.array(np.full(len(a), crowded))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), which], names=["a", "b", "crowded"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = SharedBands()
+        for cells in _gathered(batches):
+            told = held.add(cells)
+            if len(told):
+                yield rows(*(np.ascontiguousarray(told[:, k]).view(np.int64) for k in (0, 1)), True)
+        for a, b in held.near():
+            yield rows(a, b, False)
+
+    return _dealt_cells(lines, n_lines).mapInArrow(shared, "a long, b long, crowded boolean").distinct()
+
+
+def alike_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``a, b`` of ``pairs`` whose lines (``id, body``) are alike; a batch is looked at in pieces of bounded length."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            length = sum(pc.binary_length(whole.column(c)).to_numpy().astype(np.int64) for c in ("body_a", "body_b"))
+            piece = (np.cumsum(length) - length) // CODES
+            edges = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(length)]
+            for begin, end in zip(edges, edges[1:]):
+                if end > begin:
+                    batch = whole.slice(begin, end - begin)
+                    ids = np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")])
+                    _, first, which = np.unique(ids, return_index=True, return_inverse=True)
+                    bodies = pa.concat_arrays([batch.column("body_a"), batch.column("body_b")]).take(pa.array(first))
+                    a, b = which.reshape(2, -1)
+                    linked = LineSets(bodies.to_pylist()).linked(a, b)
+                    yield batch.select(["a", "b"]).filter(pa.array(linked))
+
+    named = lambda end: texts.select(F.col("id").alias(end), F.col("body").alias(f"body_{end}"))
+    joined = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "body_a", "body_b")
+    return joined.mapInArrow(check, "a long, b long")
 
 
 def line_classes(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
     """``id, root`` for the lines that are like another; the others are alone."""
-    members = stored(candidates(lines, n_lines), "buckets")
-    wanted = stored(members.select("id").distinct(), "wanted")
+    met = stored(near_candidates(lines, n_lines), "near")
+    pairs = met.filter("not crowded").select("a", "b")
+    crowds = met.filter("crowded").select(F.col("a").alias("group"), F.col("b").alias("id"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowds.select("id"))
+    wanted = stored(wanted.distinct(), "wanted")
     texts = lines.select("id", "line").join(bounded(wanted), "id").groupBy("id").agg(F.min("line").alias("body"))
-    return components(connect(members, stored(texts, "texts"), AlikeLines()))
+    texts = stored(texts, "texts")
+    edges = alike_pairs(pairs, texts)
+    if crowds.take(1):
+        edges = edges.unionByName(connect(crowds, texts, AlikeLines()))
+    return components(edges)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -294,18 +406,29 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return later.select("doc_id", "line_no", "id")
 
 
-def _without(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, removed in zip(texts, gone):
-        lines = (text or "").split("\n")
-        # Rows of one id and different texts have different lines at one place.
-        marks = {(r["line_no"], r["id"] % (1 << 64)) for r in removed} if removed is not None else set()
-        places = {line_no for line_no, _ in marks}
-        unsigned = lambda line: xxhash.xxh64_intdigest(line.encode(), seed=42)  # noqa: E731  as Spark's xxhash64
-        kept = [x for i, x in enumerate(lines) if i not in places or (i, unsigned(x)) not in marks]
-        worded = sum(1 for x in lines if x.encode().split())
-        rows.append((None if text is None else "\n".join(kept), worded, len(lines) - len(kept)))
-    return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
+def _cut(text: str | None, removed: list[dict] | None) -> tuple[str | None, int, int]:
+    """The text left of a document, its lines with a word, and how many lines went."""
+    lines = (text or "").split("\n")
+    worded = sum(1 for x in lines if x.strip(BLANKS))
+    if not removed:
+        return text, worded, 0
+    # Rows of one id and different texts have different lines at one place.
+    marks = {(r["line_no"], r["id"] % (1 << 64)) for r in removed}
+    places = {line_no for line_no, _ in marks}
+    unsigned = lambda line: xxhash.xxh64_intdigest(line.encode(), seed=42)  # noqa: E731  as Spark's xxhash64
+    kept = [x for i, x in enumerate(lines) if i not in places or (i, unsigned(x)) not in marks]
+    return None if text is None else "\n".join(kept), worded, len(lines) - len(kept)
+
+
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """``_cut`` of each row; ``ROWS`` texts are held as strings at a time."""
+    kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
+    parts = [pa.array([], kind)]
+    for at in range(0, len(texts), ROWS):
+        some = zip(texts.slice(at, ROWS).to_pylist(), gone.slice(at, ROWS).to_pylist())
+        columns = zip(*(_cut(text, removed) for text, removed in some))
+        parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind)))
+    return pa.concat_arrays(parts)
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -319,7 +442,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     )
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     joined = whole.join(stored(gone, "gone"), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("of")), "left")
-    cut = F.pandas_udf(_without, "text string, n_lines long, n_removed long")
+    cut = F.arrow_udf(_without, "text string, n_lines long, n_removed long")
     return joined.select("doc", cut("doc.text", "gone").alias("c")).select("doc", "c.*")
 
 

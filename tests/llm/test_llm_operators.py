@@ -378,6 +378,56 @@ def test_owners_of_bands_tell_all_that_share_one():
     assert len(owners.keys) == len(seen)
 
 
+def test_only_lines_of_near_sketches_are_paired(monkeypatch):
+    """Lines that share a band by chance leave no task, and a crowded band isn't paired at all."""
+    monkeypatch.setattr(fuzzy_lines, "CROWD", 5)
+    draw = np.random.default_rng(7)
+    sketches = draw.integers(0, 1 << 62, 80).astype(np.uint64)
+    sketches[1::2] = sketches[::2] ^ np.uint64(0b1011)
+    held, seen, crowded = fuzzy_lines.SharedBands(), defaultdict(set), defaultdict(set)
+    for size in (0, 30, 1, 200, 0, 150):
+        keys, ids = draw.integers(0, 60, size).astype(np.uint64), draw.integers(0, 80, size).astype(np.uint64)
+        keys[: size // 4] = 7
+        for key, own in zip(keys.tolist(), ids.tolist()):
+            seen[key].add(own)
+        for key, own, _ in held.add(np.stack([keys, ids, sketches[ids.astype(int)]], axis=1)).tolist():
+            crowded[key].add(own)
+    assert crowded == {key: some for key, some in seen.items() if len(some) > 5} and 7 in crowded
+    near = sorted((a, b) for x, y in held.near() for a, b in zip(x.tolist(), y.tolist()))
+    pairs = [(a, b) for key, some in seen.items() if key not in crowded for a in some for b in some if a < b]
+    assert near and near == sorted(p for p in pairs if (sketches[p[0]] ^ sketches[p[1]]).item().bit_count() < fuzzy_lines.FAR)
+    assert len(near) < len(pairs)
+
+
+def test_sketches_of_alike_lines_are_near_and_others_far():
+    draw = np.random.default_rng(9)
+    lines = ["".join(map(chr, draw.integers(97, 123, 200))) for _ in range(300)]
+    changed = [x[:60] + "#" + x[61:150] + "#" + x[151:] for x in lines]
+    one, two = (fuzzy_lines.signatures(x)[1] for x in (lines, changed))
+    assert (np.bitwise_count(one ^ two) < fuzzy_lines.FAR).all()
+    assert (np.bitwise_count(one[1:] ^ one[:-1]) < fuzzy_lines.FAR).mean() < 0.01
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 128])
+def test_crowded_bands_lose_no_link(spark, docs, monkeypatch, crowd):
+    monkeypatch.setattr(fuzzy_lines, "CROWD", crowd)
+    some = docs.filter("doc_id < 60")
+    got = {r.doc.doc_id: r.text for r in fuzzy_lines.without_repeated_lines(some).collect()}
+    assert got == kept_by_force(texts_of(some))
+
+
+def test_long_lines_are_verified_in_pieces(spark, monkeypatch):
+    draw = np.random.default_rng(11)
+    lines = ["".join(map(chr, draw.integers(97, 123, 300))) for _ in range(20)]
+    lines += [x[:100] + "#" + x[101:] for x in lines]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, body string")
+    pairs = spark.createDataFrame([(i, j) for i in range(20) for j in range(20, 40)], "a long, b long")
+    for codes in (1, 1000, 1 << 20):
+        monkeypatch.setattr(fuzzy_lines, "CODES", codes)
+        found = sorted(map(tuple, fuzzy_lines.alike_pairs(pairs, texts).collect()))
+        assert found == [(i, i + 20) for i in range(20)]
+
+
 def test_bands_in_many_small_pieces_are_those_of_one(spark, monkeypatch):
     words = [" ".join(f"w{(i * 7 + k) % 40}" for k in range(12)) for i in range(60)]
     lines = spark.createDataFrame([(w, i) for i, w in enumerate(words * 2)], "line string, n long").withColumn("id", F.xxhash64("line"))
