@@ -164,11 +164,13 @@ def identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     a short clean text scores well above it.
     """
     model = Model(training_sample(docs).collect())
-    text = docs.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            label, best = model.classify(batch.column(text).to_pylist())
-            yield batch.filter(pa.array((label != UNKNOWN) & (best >= min_score)))
+    def keep(texts: pa.Array) -> pa.Array:
+        """Only texts go to Python, ``SLICE`` as strings at a time; rows stay where they are."""
+        parts = [np.zeros(0, dtype=bool)]
+        for at in range(0, len(texts), SLICE):
+            label, best = model.classify(texts.slice(at, SLICE).to_pylist())
+            parts.append((label != UNKNOWN) & (best >= min_score))
+        return pa.array(np.concatenate(parts))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.filter(F.arrow_udf(keep, "boolean")("text"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dnslens.llm import language
+import numpy as np
+import pyarrow as pa
+import xxhash
+from dnslens.llm import fuzzy_lines, language
 
 import corpus_pipeline
 
@@ -35,3 +38,23 @@ def test_no_clean_document_is_rejected_for_its_language(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     lost = docs.join(language.identified(docs).select("doc_id"), "doc_id", "left_anti")
     assert all(not language.has_letter(r.text) for r in lost.collect())
+
+
+def test_language_sends_only_texts_to_python(odd):
+    """The other columns, and the rows that stay, don't pass through Python's batches."""
+    kept = language.identified(odd)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    scored = {r.doc_id: r.lang_pred != language.UNKNOWN and r.score >= language.MIN_SCORE for r in language.identify(odd.filter("doc_id < 9")).collect()}
+    assert {r.doc_id for r in kept.collect()} >= {i for i in (6, 7, 8) if scored[i]}
+
+
+def test_texts_are_cut_some_at_a_time(monkeypatch):
+    texts = pa.array([None, "", "one\ntwo\n \n", "one"] * 3)
+    two = [{"line_no": 1, "id": int(np.uint64(xxhash.xxh64_intdigest(b"two", seed=42)).astype(np.int64))}]
+    gone = pa.array([None, None, two, None] * 3)
+    want = [(None, 0, 0), ("", 0, 0), ("one\n \n", 2, 1), ("one", 1, 0)] * 3
+    for rows in (1, 5, 512):
+        monkeypatch.setattr(fuzzy_lines, "ROWS", rows)
+        assert [tuple(r.values()) for r in fuzzy_lines._without(texts, gone).to_pylist()] == want
+    assert len(fuzzy_lines._without(texts[:0], gone[:0])) == 0
