@@ -26,23 +26,29 @@ SHINGLE = 5
 BITS = 2048  # of a bitmap that bounds overlaps
 PAIRS = 1 << 16  # compared at once
 CODES = 1 << 20  # of pairs that are counted at once
+BLOCK = 1 << 16  # characters that are hashed at once, few enough for a processor's cache
 BANDS = 16
 BAND_ROWS = 5
 ROWS = 512
 CELLS = 1 << 19  # cells (a band, a line and its sketch) that are dealt or looked at once
 PART = 1 << 24  # bytes of cells in a part
-SKETCH = 64  # bits, one of each of so many minima
+SKETCH = 64  # bits, one of each of so many minima and maxima
 FAR = 19  # bits in which sketches differ; at a similarity of 0.8 each does with a probability of 0.1
 CROWD = 128  # lines of one band that are compared two by two
 BLANKS = " \t\n\v\f\r"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and masks of the hash functions, from a fixed seed."""
-    draw = np.random.default_rng(4)
-    factors = draw.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
-    return factors, draw.integers(0, 1 << 32, n, dtype=np.uint32)
+def permutations(n: int) -> np.ndarray:
+    """Odd factors of the hash functions, from a fixed seed."""
+    return np.random.default_rng(4).integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
+
+
+def pieces(lines: list[str], size: int) -> list[tuple[int, int]]:
+    """Bounds of pieces of ``lines`` that have less than ``size`` characters behind their first line."""
+    ends = np.cumsum([len(line) + SHINGLE for line in lines])
+    cuts = (np.flatnonzero(np.diff(ends // size)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(lines)])) if lines else []
 
 
 def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -50,40 +56,50 @@ def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
 
     A line under ``size`` characters is one run.
     """
-    codes = [np.frombuffer((line + "\0" * (size - 1)).encode("utf-32-le", "surrogatepass"), "<u4") for line in lines]
-    lengths = np.array([len(c) for c in codes])
+    gap = "\0" * (size - 1)
+    every = np.frombuffer((gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines)) + size - 1
     counts = np.maximum(lengths - 2 * (size - 1), 1)
-    every = np.concatenate(codes).astype(np.uint64)
     gram = np.zeros(len(every) - size + 1, dtype=np.uint64)
-    for k in range(size):
-        gram = (gram + every[k : k + len(gram)]) * _MIX
-        gram ^= gram >> np.uint64(31)
-    places = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - np.cumsum(counts) + counts, counts)
+    held = np.empty_like(gram)
+    for k in range(size):  # three characters have 63 bits
+        gram += np.left_shift(every[k : k + len(gram)], np.uint64(21 * (k % 3)), out=held)
+        if k % 3 == 2 or k == size - 1:
+            gram *= _MIX
+            gram ^= np.right_shift(gram, np.uint64(31), out=held)
+    places = np.arange(counts.sum())
+    places += np.repeat(np.cumsum(lengths) - lengths - np.cumsum(counts) + counts, counts)
     return gram[places], counts
 
 
 def signatures(
     lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Lines by bands: hashes of ``rows`` minima each. And sketches: a bit of each of the first minima."""
-    gram, counts = shingle_hashes(lines, size)
-    first = np.cumsum(counts) - counts
-    seen = (gram >> np.uint64(32)).astype(np.uint32)
-    factors, masks = permutations(bands * rows)
-    keys, drawn = np.empty((len(lines), bands), dtype=np.uint64), np.empty_like(seen)
+    """Lines by bands: hashes of ``rows`` minima each. And sketches: a bit of each of the first minima.
+
+    The later half of the bands takes the maxima of the permutations whose minima the first half has. Both
+    agree with the probability of the similarity; those of one permutation are never in the same band.
+    """
+    factors = permutations(-(-bands // 2) * rows)
+    ends = np.empty((2 * len(factors), len(lines)), dtype=np.uint32)
+    for begin, end in pieces(lines, BLOCK):
+        gram, counts = shingle_hashes(lines[begin:end], size)
+        first = np.cumsum(counts) - counts
+        seen = (gram >> np.uint64(32)).astype(np.uint32)
+        drawn = np.empty_like(seen)
+        for at, factor in enumerate(factors):
+            np.multiply(seen, factor, out=drawn)
+            np.minimum.reduceat(drawn, first, out=ends[at, begin:end])
+            np.maximum.reduceat(drawn, first, out=ends[at + len(factors), begin:end])
+    ends = ends[: bands * rows]
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+    for at in range(rows):
+        keys = (keys ^ ends[at::rows]) * _MIX
+        keys ^= keys >> np.uint64(29)
     sketches = np.zeros(len(lines), dtype=np.uint64)
-    for band in range(bands):
-        key = np.full(len(lines), band + 1, dtype=np.uint64)
-        for at in range(band * rows, (band + 1) * rows):
-            np.bitwise_xor(seen, masks[at], out=drawn)
-            np.multiply(drawn, factors[at], out=drawn)
-            least = np.minimum.reduceat(drawn, first)
-            key = (key ^ least) * _MIX
-            key ^= key >> np.uint64(29)
-            if at < SKETCH:
-                sketches |= (least >> np.uint32(3) & np.uint32(1)).astype(np.uint64) << np.uint64(at)
-        keys[:, band] = key
-    return keys, sketches
+    for at, end in enumerate(ends[:SKETCH]):
+        sketches |= (end * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64) << np.uint64(at)
+    return np.ascontiguousarray(keys.T), sketches
 
 
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE) -> np.ndarray:
@@ -95,22 +111,22 @@ class LineSets:
     """The sets of runs of some lines: sorted hashes in one array, sizes, and bitmaps that bound overlaps."""
 
     def __init__(self, lines: list[str]):
-        ends = np.cumsum([len(line) + SHINGLE for line in lines])
-        parts, sizes, bits = [np.zeros(0, np.uint64)], [], []
-        for at in np.split(np.arange(len(lines)), np.searchsorted(ends, np.arange(CODES, ends[-1], CODES))):
-            if len(at):
-                gram, counts = shingle_hashes([lines[k] for k in at])
-                first = np.cumsum(counts) - counts
-                for begin, n in zip(first.tolist(), counts.tolist()):
-                    gram[begin : begin + n].sort()
-                new = np.append(True, gram[1:] != gram[:-1])
-                new[first] = True
-                sizes += np.add.reduceat(new, first, dtype=np.int64).tolist()
-                parts.append(gram[new])
-                flags = np.zeros((len(at), BITS), dtype=np.uint8)
-                flags[np.repeat(np.arange(len(at)), sizes[-len(at) :]), parts[-1].astype(np.int64) >> 20 & (BITS - 1)] = 1
-                bits.append(np.packbits(flags, axis=1).view(np.uint64))
-        self.runs, self.sizes, self.bits = np.concatenate(parts), np.array(sizes), np.concatenate(bits)
+        parts, sizes, bits = [], [], []
+        for start, stop in pieces(lines, BLOCK):
+            gram, counts = shingle_hashes(lines[start:stop])
+            first = np.cumsum(counts) - counts
+            for begin, n in zip(first.tolist(), counts.tolist()):
+                gram[begin : begin + n].sort()
+            new = np.append(True, gram[1:] != gram[:-1])
+            new[first] = True
+            sizes.append(np.add.reduceat(new, first, dtype=np.int64))
+            parts.append(gram[new])
+            flags = np.zeros((stop - start, BITS), dtype=np.uint8)
+            places = np.repeat(np.arange(0, flags.size, BITS), sizes[-1])
+            places += (parts[-1] >> np.uint64(20) & np.uint64(BITS - 1)).view(np.int64)
+            flags.ravel()[places] = 1
+            bits.append(np.packbits(flags, axis=1).view(np.uint64))
+        self.runs, self.sizes, self.bits = np.concatenate(parts), np.concatenate(sizes), np.concatenate(bits)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.n_bits = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
 
@@ -243,8 +259,12 @@ class SharedBands:
         """Takes ``cells`` in and gives back those of crowded bands; some may come again."""
         told = np.isin(cells[:, 0], self.crowded)
         more, cells = cells[told], np.concatenate([self.cells, cells[~told]])
-        cells = cells[np.lexsort((cells[:, 1], cells[:, 0]))]
-        cells = cells[np.append(True, (cells[1:, :2] != cells[:-1, :2]).any(axis=1))[: len(cells)]]
+        order = np.argsort(keys := np.ascontiguousarray(cells[:, 0]))
+        same = (keys := keys[order])[1:] == keys[:-1]
+        met = np.flatnonzero(np.append(same, False) | np.append(False, same))[: len(cells)]  # most lines are alone in a band
+        order[met] = order[met][np.lexsort((cells[order[met], 1], keys[met]))]
+        cells = cells[order]
+        cells = cells[np.append(True, ~same | (cells[1:, 1] != cells[:-1, 1]))[: len(cells)]]
         first, lengths = self._bands(cells)
         crowd = np.repeat(lengths > CROWD, lengths)
         self.crowded = np.append(self.crowded, cells[first[lengths > CROWD], 0])

@@ -408,6 +408,30 @@ def test_sketches_of_alike_lines_are_near_and_others_far():
     assert (np.bitwise_count(one[1:] ^ one[:-1]) < fuzzy_lines.FAR).mean() < 0.01
 
 
+def test_lines_are_hashed_in_blocks_that_fit_a_cache(monkeypatch):
+    draw = np.random.default_rng(5)
+    lines = ["".join(map(chr, draw.integers(97, 123, n))) for n in draw.integers(1, 400, 500)] + ["x" * 300_000, "é"]
+    whole, sizes, hashes = fuzzy_lines.signatures(lines), [], fuzzy_lines.shingle_hashes
+    monkeypatch.setattr(fuzzy_lines, "shingle_hashes", lambda x, *size: sizes.append((len(x), sum(map(len, x[1:])))) or hashes(x, *size))
+    for block in (1, 5000, 1 << 16):
+        monkeypatch.setattr(fuzzy_lines, "BLOCK", block)
+        sizes.clear()
+        assert all((a == b).all() for a, b in zip(whole, fuzzy_lines.signatures(lines)))
+        fuzzy_lines.LineSets(lines)
+        assert sum(n for n, _ in sizes) == 2 * len(lines) and all(size <= block for _, size in sizes)
+
+
+def test_bands_agree_as_often_as_similarity_says():
+    """Minima and maxima alike, and those of one permutation no more often together than apart."""
+    draw = np.random.default_rng(6)
+    lines = ["".join(map(chr, draw.integers(97, 123, 50))) for _ in range(4000)]
+    one, two = fuzzy_lines.band_keys(lines), fuzzy_lines.band_keys([x[:25] + "#" + x[26:] for x in lines])
+    alike, want = one == two, (41 / 51) ** 5
+    assert np.abs(alike.mean(axis=0) - want).max() < 0.04
+    assert np.abs((alike[:, :8] & alike[:, 8:]).mean(axis=0) - want**2).max() < 0.04
+    assert alike.any(axis=1).mean() > 0.997
+
+
 @pytest.mark.parametrize("crowd", [1, 3, 128])
 def test_crowded_bands_lose_no_link(spark, docs, monkeypatch, crowd):
     monkeypatch.setattr(fuzzy_lines, "CROWD", crowd)
