@@ -30,6 +30,7 @@ LANDMARKS = 256
 RIDGE = 0.1
 ROWS = 64
 SLICE = 512  # rows of a batch whose texts are held as strings at a time
+STRIP = 256  # bytes of bitmaps, unpacked at once
 UNKNOWN = "und"
 MIN_SCORE = 0.1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -58,19 +59,30 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _strips(*maps: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Bitmaps as rows of 0 and 1, ``STRIP`` bytes of each at a time."""
+    for at in range(0, PLACES // 8, STRIP):
+        yield [np.unpackbits(m[:, at : at + STRIP], axis=1).astype(np.float32) for m in maps]
+
+
+def _roots(maps: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(np.bitwise_count(maps).sum(axis=1, dtype=np.float64), 1))
+
+
 def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    own = lambda m: np.sqrt(np.maximum(m.sum(axis=1, dtype=np.float64), 1))
-    return (a @ b.T) / own(a)[:, None] / own(b)[None, :]
+    """Of two sets of bitmaps; they are never unpacked whole."""
+    common = np.zeros((len(a), len(b)))
+    for one, two in _strips(a, b):
+        common += one @ two.T
+    return common / _roots(a)[:, None] / _roots(b)[None, :]
 
 
 def fit(bits: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the table of weights, n-grams by languages."""
     names = sorted(set(langs))
     rows = np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), PLACES // 8)
-    dense = lambda part: np.unpackbits(part, axis=1).astype(np.float32)
-    marks = dense(rows[:LANDMARKS])
-    blocks = [_kernel(dense(rows[i : i + LANDMARKS]), marks) for i in range(0, len(rows), LANDMARKS)]
-    near = np.concatenate(blocks).astype(np.float64)
+    marks = rows[:LANDMARKS]
+    near = _kernel(rows, marks)
     values, vectors = np.linalg.eigh(near[: len(marks)])
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -79,9 +91,8 @@ def fit(bits: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
     share = 1 / wanted.sum(axis=0)[wanted.argmax(axis=1)]  # each language weighs the same
     share = (share / share.mean())[:, None]
     gram = features.T @ (features * share) + RIDGE * np.eye(features.shape[1])
-    weights = root @ np.linalg.solve(gram, features.T @ (wanted * share))
-    scale = np.sqrt(np.maximum(marks.sum(axis=1, dtype=np.float64), 1))
-    return names, (marks.T @ (weights / scale[:, None])).astype(np.float32)
+    weights = root @ np.linalg.solve(gram, features.T @ (wanted * share)) / _roots(marks)[:, None]
+    return names, np.concatenate([(strip.T @ weights).astype(np.float32) for (strip,) in _strips(marks)])
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -114,10 +125,10 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int
 
 
 class Model:
-    """A fitted table; ``None`` names nothing."""
+    """A fitted table; without one nothing is named."""
 
-    def __init__(self, sample: list):
-        self.names, self.weights = fit([bytes(r.bits) for r in sample], [r.lang for r in sample]) if sample else ([], None)
+    def __init__(self, names: list[str], weights: np.ndarray | None):
+        self.names, self.weights = names, weights
 
     def classify(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Language and score of each text, in matrix products of ``ROWS`` texts."""
@@ -134,16 +145,32 @@ class Model:
         return label, best
 
 
+def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> Model:
+    """The model of ``docs``, fitted by the task that has the sample; only names and weights come to the driver."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else []
+        if len(sample):
+            names, weights = fit(sample["bits"].to_pylist(), sample["lang"].to_pylist())
+            columns = [pa.array(names), pa.array([np.ascontiguousarray(w).tobytes() for w in weights.T], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "weights"])
+
+    sample = training_sample(docs, per_language, rows).select("lang", "bits")
+    schema = pa.schema([("lang", pa.string()), ("bits", pa.binary())])
+    learnt = sorted(sample.mapInArrow(learn, "name string, weights binary").collect())
+    return Model([r.name for r in learnt], np.stack([np.frombuffer(r.weights, np.float32) for r in learnt], axis=1) if learnt else None)
+
+
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``, a row for each input row; texts are scored whole.
 
     A text that is null or has no letter is ``und`` with score 0, and so is all if nothing can be
     learnt from. The score is the winning regression's value, cut to 0..1; ties go to the first
     language by name. The model is one table of 2^16 rows, fitted on a sample of bounded
-    size (``training_sample``) whose bitmaps, 8 KB a row, come to the driver. An empty table
+    size (``training_sample``), whose bitmaps are 8 KB a row, by one task. An empty table
     gives an empty result; columns other than ``doc_id, text, lang`` are not read.
     """
-    model = Model(training_sample(docs, per_language, rows).collect())
+    model = fitted(docs, per_language, rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
@@ -163,7 +190,7 @@ def identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     Rejected are texts without a letter and those that fit no language (a score under ``min_score``);
     a short clean text scores well above it.
     """
-    model = Model(training_sample(docs).collect())
+    model = fitted(docs)
 
     def keep(texts: pa.Array) -> pa.Array:
         """Only texts go to Python, ``SLICE`` as strings at a time; rows stay where they are."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -49,6 +51,30 @@ def test_language_sends_only_texts_to_python(odd):
     assert {r.doc_id for r in kept.collect()} >= {i for i in (6, 7, 8) if scored[i]}
 
 
+def test_the_language_model_is_fitted_outside_the_driver(odd, nothing, monkeypatch):
+    """Only names and weights come to the driver, not the sample."""
+    sample = language.training_sample(odd).collect()
+    names, weights = language.fit([bytes(r.bits) for r in sample], [r.lang for r in sample])
+    frame, came = type(odd), []
+    whole = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: came.append(whole(self)) or came[-1])
+    language.identified(odd)
+    assert max(sum(len(x) for row in rows for x in row if isinstance(x, (bytes, bytearray))) for rows in came) <= weights.nbytes
+    model = language.fitted(odd)
+    assert model.names == names and np.allclose(model.weights, weights, atol=1e-6)
+    assert language.fitted(nothing).names == []
+
+
+def test_the_language_model_is_fitted_in_little_memory():
+    draw = np.random.default_rng(1)
+    bits = [draw.integers(0, 256, language.PLACES // 8, dtype=np.uint8).tobytes() for _ in range(400)]
+    tracemalloc.start()
+    language.fit(bits, ["a", "b"] * 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
 def test_texts_are_cut_some_at_a_time(monkeypatch):
     texts = pa.array([None, "", "one\ntwo\n \n", "one"] * 3)
     two = [{"line_no": 1, "id": int(np.uint64(xxhash.xxh64_intdigest(b"two", seed=42)).astype(np.int64))}]
