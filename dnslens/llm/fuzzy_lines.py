@@ -11,6 +11,7 @@ occurrences of a component's lines the first stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +26,23 @@ from .links import Relation, bounded, components, connect, linked_sizes, spannin
 SHINGLE = 5
 BITS = 2048  # of a bitmap that bounds overlaps
 PAIRS = 1 << 16  # compared at once
+SEEN = 1 << 10  # bitmaps that are compared at once, few enough for a processor's cache
 CODES = 1 << 20  # of pairs that are counted at once
 BLOCK = 1 << 16  # characters that are hashed at once, few enough for a processor's cache
 BANDS = 16
 BAND_ROWS = 5
 ROWS = 512
-CELLS = 1 << 19  # cells (a band, a line and its sketch) that are dealt or looked at once
+CELLS = 1 << 19  # cells (a band, a line and its sketch) that are dealt at once, and pairs that are made
 PART = 1 << 24  # bytes of cells in a part
 SKETCH = 64  # bits, one of each of so many minima and maxima
 FAR = 19  # bits in which sketches differ; at a similarity of 0.8 each does with a probability of 0.1
 CROWD = 128  # lines of one band that are compared two by two
 BLANKS = " \t\n\v\f\r"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX_SHORT = np.uint32(0x9E3779B1)
 
 
+@lru_cache
 def permutations(n: int) -> np.ndarray:
     """Odd factors of the hash functions, from a fixed seed."""
     return np.random.default_rng(4).integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
@@ -51,25 +55,49 @@ def pieces(lines: list[str], size: int) -> list[tuple[int, int]]:
     return list(zip([0, *cuts], [*cuts, len(lines)])) if lines else []
 
 
-def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def _mixed(codes: np.ndarray, n: int, size: int, held: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ``n`` runs of ``size`` codes: three at once have 63 bits."""
+    codes = codes.astype(np.uint64)
+    gram = codes[:n].copy()
+    for k in range(size):
+        if k:
+            more = codes[k : k + n]
+            gram += np.left_shift(more, np.uint64(21 * (k % 3)), out=held) if k % 3 else more
+        if k % 3 == 2 or k == size - 1:
+            gram *= _MIX
+            gram ^= np.right_shift(gram, np.uint64(31), out=held)
+    return gram
+
+
+def _mixed_short(codes: np.ndarray, n: int, size: int, held: np.ndarray) -> np.ndarray:
+    """32-bit hashes: a polynomial, whose bits are mixed."""
+    gram = codes[:n] * _MIX_SHORT
+    for k in range(1, size):
+        gram += codes[k : k + n]
+        gram *= _MIX_SHORT
+    for shift in (15, 13):
+        gram ^= np.right_shift(gram, np.uint32(shift), out=held)
+        gram *= _MIX_SHORT
+    gram ^= np.right_shift(gram, np.uint32(16), out=held)
+    return gram
+
+
+def shingle_hashes(lines: list[str], size: int = SHINGLE, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``size`` characters of all lines, and each line's number of them.
 
-    A line under ``size`` characters is one run.
+    A line under ``size`` characters is one run. A line's first run comes again in place of those beyond its
+    end. 64 bits tell runs apart; 32 do where a few that agree by chance don't matter.
     """
     gap = "\0" * (size - 1)
-    every = np.frombuffer((gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines)) + size - 1
-    counts = np.maximum(lengths - 2 * (size - 1), 1)
-    gram = np.zeros(len(every) - size + 1, dtype=np.uint64)
-    held = np.empty_like(gram)
-    for k in range(size):  # three characters have 63 bits
-        gram += np.left_shift(every[k : k + len(gram)], np.uint64(21 * (k % 3)), out=held)
-        if k % 3 == 2 or k == size - 1:
-            gram *= _MIX
-            gram ^= np.right_shift(gram, np.uint64(31), out=held)
-    places = np.arange(counts.sum())
-    places += np.repeat(np.cumsum(lengths) - lengths - np.cumsum(counts) + counts, counts)
-    return gram[places], counts
+    codes = np.frombuffer((gap.join(lines) + 2 * gap).encode("utf-32-le", "surrogatepass"), "<u4")
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    counts = lengths + size - 1
+    n = counts.sum()
+    gram = (_mixed if kind is np.uint64 else _mixed_short)(codes, n, size, np.empty(n, kind))
+    first = np.cumsum(counts) - counts
+    beyond = np.maximum(lengths - size + 1, 1)[:, None] + np.arange(2 * (size - 1))
+    gram[first[:, None] + np.minimum(beyond, counts[:, None] - 1)] = gram[first][:, None]
+    return gram, counts
 
 
 def signatures(
@@ -77,29 +105,30 @@ def signatures(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Lines by bands: hashes of ``rows`` minima each. And sketches: a bit of each of the first minima.
 
-    The later half of the bands takes the maxima of the permutations whose minima the first half has. Both
-    agree with the probability of the similarity; those of one permutation are never in the same band.
+    A quarter of the bands takes the minima of some permutations, the others the maxima, and minima and maxima
+    with the sign bit turned, of the same ones. All agree with the probability of the similarity; those of one
+    permutation are never in the same band.
     """
-    factors = permutations(-(-bands // 2) * rows)
-    ends = np.empty((2 * len(factors), len(lines)), dtype=np.uint32)
+    factors = permutations(-(-bands // 4) * rows)
+    ends = np.empty((4 * len(factors), len(lines)), dtype=np.uint32)
+    quarters = [x.reshape(4, len(factors), len(lines)) for x in (ends, ends.view(np.int32))]
     for begin, end in pieces(lines, BLOCK):
-        gram, counts = shingle_hashes(lines[begin:end], size)
+        seen, counts = shingle_hashes(lines[begin:end], size, np.uint32)
         first = np.cumsum(counts) - counts
-        seen = (gram >> np.uint64(32)).astype(np.uint32)
         drawn = np.empty_like(seen)
         for at, factor in enumerate(factors):
             np.multiply(seen, factor, out=drawn)
-            np.minimum.reduceat(drawn, first, out=ends[at, begin:end])
-            np.maximum.reduceat(drawn, first, out=ends[at + len(factors), begin:end])
+            for k, (values, out) in enumerate(zip((drawn, drawn.view(np.int32)), quarters)):
+                np.minimum.reduceat(values, first, out=out[2 * k, at, begin:end])
+                np.maximum.reduceat(values, first, out=out[2 * k + 1, at, begin:end])
     ends = ends[: bands * rows]
     keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
     for at in range(rows):
         keys = (keys ^ ends[at::rows]) * _MIX
         keys ^= keys >> np.uint64(29)
-    sketches = np.zeros(len(lines), dtype=np.uint64)
-    for at, end in enumerate(ends[:SKETCH]):
-        sketches |= (end * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64) << np.uint64(at)
-    return np.ascontiguousarray(keys.T), sketches
+    flags = np.zeros((len(lines), SKETCH), dtype=np.uint8)
+    flags[:, : len(ends)] = (ends[:SKETCH] * _MIX_SHORT >> np.uint32(31)).T
+    return np.ascontiguousarray(keys.T), np.packbits(flags, axis=1).view(np.uint64).ravel()
 
 
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE) -> np.ndarray:
@@ -145,9 +174,13 @@ class LineSets:
 
         Cut hashes may agree by chance, so pairs that few runs decide are counted by whole ones.
         """
-        both = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(self.sizes[a] - (self.n_bits[a] - both), self.sizes[b] - (self.n_bits[b] - both))
-        out = linked_sizes(most, self.sizes[a], self.sizes[b])
+        one, two = self.sizes[a], self.sizes[b]
+        out = linked_sizes(np.minimum(one, two), one, two)
+        near = np.flatnonzero(out)
+        for at in (near[k : k + SEEN] for k in range(0, len(near), SEEN)):
+            both = np.bitwise_count(self.bits[a[at]] & self.bits[b[at]]).sum(axis=1, dtype=np.int64)
+            most = both + np.minimum(one[at] - self.n_bits[a[at]], two[at] - self.n_bits[b[at]])
+            out[at] = linked_sizes(most, one[at], two[at])
         left = np.flatnonzero(out)
         cost = np.cumsum(self.sizes[a[left]] + self.sizes[b[left]])
         for at in np.split(left, np.searchsorted(cost, np.arange(CODES, cost[-1], CODES))) if len(left) else ():
@@ -163,6 +196,48 @@ class LineSets:
         return out
 
 
+class Forest:
+    """The links found between the lines of ``sets``, as far as they unite anything."""
+
+    def __init__(self, sets: LineSets):
+        self.sets, self.roots = sets, np.arange(len(sets.sizes))
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Positions of pairs that unite all that the pairs ``a, b`` link and was apart.
+
+        Each line is compared with one partner first, with two next and so on: what earlier links unite
+        needs no comparison.
+        """
+        left, found, some = np.arange(len(a)), [np.zeros(0, dtype=np.int64)], 1
+        left = left[np.lexsort((a, b))]
+        while len(left := left[self.roots[a[left]] != self.roots[b[left]]]):
+            first = np.flatnonzero(np.append(True, b[left[1:]] != b[left[:-1]]))
+            now = np.arange(len(left)) - np.repeat(first, np.diff(np.append(first, len(left)))) < some
+            asked, left, some = left[now], left[~now], 2 * some
+            asked = asked[self.sets.linked(a[asked], b[asked])]
+            ends = np.stack([self.roots[a[asked]], self.roots[b[asked]]], axis=1)
+            joins = spanning(ends)
+            found.append(asked[joins])
+            if len(joins):
+                self._join(ends[joins])
+        return np.concatenate(found)
+
+    def _join(self, trees: np.ndarray) -> None:
+        up = {}
+
+        def top(x: int) -> int:
+            while (higher := up.get(x, x)) != x:
+                up[x] = x = up.get(higher, higher)
+            return x
+
+        for one, two in trees.tolist():
+            one, two = top(one), top(two)
+            up[max(one, two)] = min(one, two)
+        moved = np.arange(len(self.roots))
+        moved[list(up)] = [top(x) for x in up]
+        self.roots = moved[self.roots]
+
+
 class AlikeLines(Relation):
     """Exact Jaccard similarity of the sets of runs of characters. A body is the line."""
 
@@ -188,14 +263,13 @@ class AlikeLines(Relation):
 
     def _some_tiles(self, ids: np.ndarray, flagged: np.ndarray, other: np.ndarray, bodies: list, cuts: list[int]) -> np.ndarray:
         names, first, which = np.unique(ids, return_index=True, return_inverse=True)
-        which, held = which.ravel(), LineSets([bodies[k] for k in first])
+        which, held = which.ravel(), Forest(LineSets([bodies[k] for k in first]))
         found, some, n_some = [np.zeros((0, 2), dtype=np.int64)], [], 0
 
         def flush() -> None:
             pairs = np.concatenate(some)
             pairs = np.stack(np.divmod(np.unique(pairs[:, 0] * len(names) + pairs[:, 1]), len(names)), axis=1)
-            pairs = pairs[held.linked(pairs[:, 0], pairs[:, 1])]
-            found.append(names[pairs[spanning(pairs)]])
+            found.append(names[pairs[held.unite(pairs[:, 0], pairs[:, 1])]])
             some.clear()
 
         for begin, end in zip([0, *cuts], [*cuts, len(ids)]):
@@ -204,8 +278,8 @@ class AlikeLines(Relation):
             step = max(1, PAIRS // max(1, len(others)))
             for part in (asked[k : k + step] for k in range(0, len(asked) if len(others) else 0, step)):
                 pairs = np.stack([np.repeat(part, len(others)), np.tile(others, len(part))], axis=1)
-                some.append(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1))
-                n_some += len(pairs)
+                some.append(np.sort(pairs[held.roots[pairs[:, 0]] != held.roots[pairs[:, 1]]], axis=1))
+                n_some += len(some[-1])
                 if n_some >= PAIRS:
                     flush()
                     n_some = 0
@@ -255,16 +329,19 @@ class SharedBands:
         first = np.flatnonzero(np.append(True, cells[1:, 0] != cells[:-1, 0])[: len(cells)])
         return first, np.diff(np.append(first, len(cells)))
 
-    def add(self, cells: np.ndarray) -> np.ndarray:
-        """Takes ``cells`` in and gives back those of crowded bands; some may come again."""
+    def add(self, cells: np.ndarray, last: bool = False) -> np.ndarray:
+        """Takes ``cells`` in and gives back those of crowded bands; some may come again.
+
+        With the ``last`` ones, lines that are alone in a band go.
+        """
         told = np.isin(cells[:, 0], self.crowded)
         more, cells = cells[told], np.concatenate([self.cells, cells[~told]])
         order = np.argsort(keys := np.ascontiguousarray(cells[:, 0]))
         same = (keys := keys[order])[1:] == keys[:-1]
         met = np.flatnonzero(np.append(same, False) | np.append(False, same))[: len(cells)]  # most lines are alone in a band
         order[met] = order[met][np.lexsort((cells[order[met], 1], keys[met]))]
-        cells = cells[order]
-        cells = cells[np.append(True, ~same | (cells[1:, 1] != cells[:-1, 1]))[: len(cells)]]
+        cells = cells[order[met] if last else order]
+        cells = cells[np.append(True, (cells[1:, :2] != cells[:-1, :2]).any(axis=1))[: len(cells)]]
         first, lengths = self._bands(cells)
         crowd = np.repeat(lengths > CROWD, lengths)
         self.crowded = np.append(self.crowded, cells[first[lengths > CROWD], 0])
@@ -273,15 +350,33 @@ class SharedBands:
 
     def near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of lines that share a held band and have sketches that are not far apart."""
+        ids = self.ids()
+        for a, b in self._near_places():
+            yield ids[a], ids[b]
+
+    def near_with_hubs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Those pairs, each with the smallest line of the band that either is near to, or is itself."""
+        ids = self.ids()
+        least = ids.copy()
+        for a, b in self._near_places():
+            np.minimum.at(least, a, ids[b])
+            np.minimum.at(least, b, ids[a])
+            yield ids[a], ids[b], np.minimum(least[a], least[b])
+
+    def ids(self) -> np.ndarray:
+        return np.ascontiguousarray(self.cells[:, 1]).view(np.int64)
+
+    def _near_places(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Whole bands at a time."""
         first, lengths = self._bands(self.cells)
-        ids, sketches = self.cells[:, 1].view(np.int64) if len(self.cells) else np.zeros(0, np.int64), self.cells[:, 2]
+        sketches = np.ascontiguousarray(self.cells[:, 2])
         for n in np.unique(lengths[lengths > 1]).tolist():
             i, j = np.triu_indices(n, 1)
             begins, step = first[lengths == n], max(1, CELLS // len(i))
             for some in (begins[k : k + step, None] for k in range(0, len(begins), step)):
                 a, b = (some + i).ravel(), (some + j).ravel()
                 close = np.bitwise_count(sketches[a] ^ sketches[b]) < FAR
-                yield ids[a[close]], ids[b[close]]
+                yield a[close], b[close]
 
 
 def _dealt_cells(lines: DataFrame, n_lines: int | None) -> DataFrame:
@@ -323,13 +418,13 @@ def _dealt_cells(lines: DataFrame, n_lines: int | None) -> DataFrame:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The cells of a part, ``CELLS`` or a little more at a time."""
+    """The cells of a part, at once unless it has one and a half of ``PART``."""
     held, n_held = [], 0
     for batch in batches:
         for piece in batch.column("cells"):
             held.append(np.frombuffer(piece.as_buffer(), np.uint64).reshape(-1, 3))
             n_held += len(held[-1])
-            if n_held >= CELLS:
+            if n_held * 16 >= PART:
                 yield np.concatenate(held)
                 held, n_held = [], 0
     if held:
@@ -349,56 +444,98 @@ def candidates(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
 
 
 def near_candidates(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
-    """``a, b, crowded``: pairs of ids that share a band and are not far apart by their sketches.
+    """``a, b, crowded, hub``: pairs of ids that share a band and are not far apart by their sketches.
 
     Unlike lines that share a band by chance, whose number grows with the square of the lines, so never leave
     the task that sees them. At a similarity of 0.8 one pair in 100,000 is far apart, above it fewer. Bands
     of more than ``CROWD`` ids are not paired: they come as ``a`` the band and ``b`` each id, ``crowded``.
+    A pair's ``hub`` is an id near to it that shares a band with it, the same one for most pairs of near copies;
+    as it is in ``BANDS`` bands, it has less than ``BANDS * CROWD`` ids.
     """
 
-    def rows(a: np.ndarray, b: np.ndarray, crowded: bool) -> pa.RecordBatch:
+    def rows(a: np.ndarray, b: np.ndarray, hub: np.ndarray, crowded: bool) -> pa.RecordBatch:
         which = pa.array(np.full(len(a), crowded))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), which], names=["a", "b", "crowded"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), which, pa.array(hub)], names=["a", "b", "crowded", "hub"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = SharedBands()
-        for cells in _gathered(batches):
-            told = held.add(cells)
+        held, gathered = SharedBands(), _gathered(batches)
+        cells = next(gathered, None)
+        while cells is not None:
+            more = next(gathered, None)
+            told, cells = held.add(cells, more is None), more
             if len(told):
-                yield rows(*(np.ascontiguousarray(told[:, k]).view(np.int64) for k in (0, 1)), True)
-        for a, b in held.near():
-            yield rows(a, b, False)
+                group, id = (np.ascontiguousarray(told[:, k]).view(np.int64) for k in (0, 1))
+                yield rows(group, id, group, True)
+        for a, b, hub in held.near_with_hubs():
+            yield rows(a, b, hub, False)
 
-    return _dealt_cells(lines, n_lines).mapInArrow(shared, "a long, b long, crowded boolean").distinct()
+    met = _dealt_cells(lines, n_lines).mapInArrow(shared, "a long, b long, crowded boolean, hub long")
+    return met.groupBy("a", "b", "crowded").agg(F.min("hub").alias("hub"))
+
+
+def _pieces_of_pairs(hubs: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of pieces of pairs, sorted by hub, whose lines have ``CODES`` characters or few more.
+
+    Hubs of no more than that count each line once; pairs of others count the lines of each.
+    """
+    _, which, n = np.unique(hubs, return_inverse=True, return_counts=True)
+    lines = np.unique(np.stack([np.tile(which, 2), np.concatenate([a, b])], axis=1), axis=0)
+    whole = np.bincount(lines[:, 0], lengths[lines[:, 1]])
+    cost = np.where(whole[which] <= CODES, whole[which] / n[which], lengths[a] + lengths[b])
+    cuts = (np.flatnonzero(np.diff((np.cumsum(cost) - cost) // CODES)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(hubs)]))
 
 
 def alike_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``a, b`` of ``pairs`` whose lines (``id, body``) are alike; a batch is looked at in pieces of bounded length."""
+    """Edges ``a, b`` that unite the ids of ``pairs`` (``a, b, hub``) whose lines (``id, body``) are alike, and nothing else.
+
+    The pairs of a hub come together with the lines they need, so that a line is sent and hashed once a hub
+    and not once a pair. They are looked at in pieces of bounded length. Without ``hub`` it is ``a``.
+    """
+    pairs = pairs if "hub" in pairs.columns else pairs.withColumn("hub", F.col("a"))
+
+    def looked_at(table: pa.Table) -> pa.RecordBatch:
+        asked = table["b"].is_valid().to_numpy()
+        bodies = table.filter(pa.array(~asked))
+        ids, first = np.unique(bodies["id"].to_numpy(), return_index=True)
+        bodies = bodies["body"].take(pa.array(first)).combine_chunks()
+        lengths = pc.binary_length(bodies).to_numpy(zero_copy_only=False).astype(np.int64)
+        table = table.filter(pa.array(asked))
+        hubs, a, b = (table[c].to_numpy() for c in ("hub", "id", "b"))
+        a, b = np.sort(np.searchsorted(ids, np.stack([a, b])), axis=0)
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for begin, end in _pieces_of_pairs(hubs, a, b, lengths) if len(hubs) else ():
+            some, which = np.unique(np.stack([a[begin:end], b[begin:end]]), return_inverse=True)
+            one, two = which.reshape(2, -1)
+            at = begin + Forest(LineSets(bodies.take(pa.array(some)).to_pylist())).unite(one, two)
+            found.append(np.stack([ids[a[at]], ids[b[at]]], axis=1))
+        edges = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, k])) for k in (0, 1)], names=["a", "b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            length = sum(pc.binary_length(whole.column(c)).to_numpy().astype(np.int64) for c in ("body_a", "body_b"))
-            piece = (np.cumsum(length) - length) // CODES
-            edges = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(length)]
-            for begin, end in zip(edges, edges[1:]):
-                if end > begin:
-                    batch = whole.slice(begin, end - begin)
-                    ids = np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")])
-                    _, first, which = np.unique(ids, return_index=True, return_inverse=True)
-                    bodies = pa.concat_arrays([batch.column("body_a"), batch.column("body_b")]).take(pa.array(first))
-                    a, b = which.reshape(2, -1)
-                    linked = LineSets(bodies.to_pylist()).linked(a, b)
-                    yield batch.select(["a", "b"]).filter(pa.array(linked))
-
-    named = lambda end: texts.select(F.col("id").alias(end), F.col("body").alias(f"body_{end}"))
-    joined = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "body_a", "body_b")
-    return joined.mapInArrow(check, "a long, b long")
+        held: pa.Table | None = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            hubs = held["hub"].to_numpy()
+            whole = int(np.searchsorted(hubs, hubs[-1])) if len(hubs) else 0  # the last one may go on
+            if whole:
+                yield looked_at(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield looked_at(held)
+
+    members = pairs.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct()
+    members = members.join(texts, "id").select("hub", "id", F.lit(None).cast("long").alias("b"), "body")
+    asked = pairs.select("hub", F.col("a").alias("id"), "b", F.lit(None).cast("string").alias("body"))
+    dealt = members.unionByName(asked).repartition("hub").sortWithinPartitions("hub")
+    return dealt.mapInArrow(check, "a long, b long")
 
 
 def line_classes(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
     """``id, root`` for the lines that are like another; the others are alone."""
     met = stored(near_candidates(lines, n_lines), "near")
-    pairs = met.filter("not crowded").select("a", "b")
+    pairs = met.filter("not crowded").select("a", "b", "hub")
     crowds = met.filter("crowded").select(F.col("a").alias("group"), F.col("b").alias("id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowds.select("id"))
     wanted = stored(wanted.distinct(), "wanted")

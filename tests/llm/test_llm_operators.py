@@ -452,6 +452,78 @@ def test_long_lines_are_verified_in_pieces(spark, monkeypatch):
         assert found == [(i, i + 20) for i in range(20)]
 
 
+def near_copies(draw, groups: int, copies: int, length: int) -> list[str]:
+    """Copies of some lines, each with a character changed; and lines like those, not alike enough."""
+    lines = []
+    for _ in range(groups):
+        line = "".join(map(chr, draw.integers(97, 123, length)))
+        for at in draw.choice(length, copies, replace=False).tolist():
+            lines.append(line[:at] + "#" + line[at + 1 :])
+        lines.append(line[: length // 2] + "".join(map(chr, draw.integers(97, 123, length - length // 2))))
+    return lines
+
+
+def test_lines_that_are_united_are_not_compared_again(monkeypatch):
+    lines = near_copies(np.random.default_rng(13), 3, 40, 150)
+    sets, compared, linked = fuzzy_lines.LineSets(lines), [], fuzzy_lines.LineSets.linked
+    a, b = np.triu_indices(len(lines), 1)
+    close = linked(sets, a, b)
+    monkeypatch.setattr(fuzzy_lines.LineSets, "linked", lambda self, a, b: compared.append(len(a)) or linked(self, a, b))
+    kept = fuzzy_lines.Forest(sets).unite(a, b)
+    pairs = list(zip(a.tolist(), b.tolist()))
+    roots = united(range(len(lines)), [p for p, c in zip(pairs, close) if c])
+    assert close[kept].all() and united(range(len(lines)), [pairs[k] for k in kept]) == roots
+    assert len(kept) == len(lines) - len(set(roots.values())) and len(set(roots.values())) == 6
+    assert sum(compared) < len(pairs) and close.sum() - close[kept].sum() > 2000
+
+    compared.clear()  # in a tile, copies that are united don't meet two by two
+    one = [x for x in lines[:40]]
+    found = fuzzy_lines.AlikeLines().inside_tiles(np.arange(40), np.ones(40, bool), np.ones(40, bool), one, [])
+    assert len(found) == 39 and sum(compared) < 40 * 39 // 4
+
+
+def test_pairs_of_near_copies_have_a_hub_of_their_band():
+    draw = np.random.default_rng(14)
+    held, groups = fuzzy_lines.SharedBands(), draw.integers(0, 1 << 62, 6).astype(np.uint64)
+    ids = np.arange(90, dtype=np.uint64)
+    sketches = groups[(ids % np.uint64(6)).astype(int)] ^ (np.uint64(1) << (ids % np.uint64(60)))
+    cells = [np.stack([np.full(90, band, np.uint64) + ids % np.uint64(3), ids, sketches], axis=1) for band in (100, 200, 300)]
+    lonely = np.stack([np.arange(50, dtype=np.uint64) + np.uint64(1000), ids[:50], sketches[:50]], axis=1)
+    held.add(np.concatenate(cells[:2]))
+    held.add(np.concatenate([cells[2], lonely]), True)
+    assert not (held.cells[:, 0] >= 1000).any()
+    near = [set(zip(a.tolist(), b.tolist())) for a, b in held.near()]
+    seen = [tuple(x.tolist()) for part in held.near_with_hubs() for x in np.stack(part, axis=1)]
+    assert {(a, b) for a, b, _ in seen} == set().union(*near) and seen
+    assert all(hub == a % 6 == b % 6 for a, b, hub in seen)
+
+
+def test_quarters_of_the_bands_share_permutations(monkeypatch):
+    asked, drawn = [], fuzzy_lines.permutations
+    monkeypatch.setattr(fuzzy_lines, "permutations", lambda n: asked.append(n) or drawn(n))
+    fuzzy_lines.signatures(["a line of some words"])
+    assert asked == [fuzzy_lines.BANDS * fuzzy_lines.BAND_ROWS // 4]
+
+
+@pytest.mark.parametrize("codes, batch", [(1, 3), (2000, 10_000), (1 << 20, 7), (1 << 20, 10_000)])
+def test_pairs_of_a_hub_are_united_over_batches_and_pieces(spark, monkeypatch, codes, batch):
+    lines = near_copies(np.random.default_rng(15), 4, 12, 120)
+    pairs = [(i, j, k % 3 * 100 if k % 7 else -5) for k, (i, j) in enumerate((i, j) for i in range(len(lines)) for j in range(i))]
+    runs = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    want = united(range(len(lines)), [(i, j) for i, j, _ in pairs if 5 * len(runs[i] & runs[j]) >= 4 * len(runs[i] | runs[j])])
+    monkeypatch.setattr(fuzzy_lines, "CODES", codes)
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, body string")
+    df = spark.createDataFrame(pairs, "a long, b long, hub long").repartition(4)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        found = [tuple(r) for r in fuzzy_lines.alike_pairs(df, texts).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert united(range(len(lines)), found) == want
+    assert codes < 1 << 20 or len(found) < 4 * len(lines)
+
+
 def test_bands_in_many_small_pieces_are_those_of_one(spark, monkeypatch):
     words = [" ".join(f"w{(i * 7 + k) % 40}" for k in range(12)) for i in range(60)]
     lines = spark.createDataFrame([(w, i) for i, w in enumerate(words * 2)], "line string, n long").withColumn("id", F.xxhash64("line"))
