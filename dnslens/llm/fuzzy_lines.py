@@ -26,6 +26,7 @@ from .links import Relation, bounded, components, connect, linked_sizes, spannin
 SHINGLE = 5
 BITS = 2048  # of a bitmap that bounds overlaps
 PAIRS = 1 << 16  # compared at once
+HUB_PAIRS = 1 << 11  # of a hub that come together
 SEEN = 1 << 10  # bitmaps that are compared at once, few enough for a processor's cache
 CODES = 1 << 20  # of pairs that are counted at once
 BLOCK = 1 << 16  # characters that are hashed at once, few enough for a processor's cache
@@ -490,9 +491,14 @@ def alike_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges ``a, b`` that unite the ids of ``pairs`` (``a, b, hub``) whose lines (``id, body``) are alike, and nothing else.
 
     The pairs of a hub come together with the lines they need, so that a line is sent and hashed once a hub
-    and not once a pair. They are looked at in pieces of bounded length. Without ``hub`` it is ``a``.
+    and not once a pair. Those of a hub with more than ``HUB_PAIRS`` are cut by a hash of ``b``. They are looked
+    at in pieces of bounded length. Without ``hub`` it is ``a``.
     """
     pairs = pairs if "hub" in pairs.columns else pairs.withColumn("hub", F.col("a"))
+    large = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB_PAIRS)
+    cut = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HUB_PAIRS))
+    pairs = pairs.join(bounded(stored(large, "large-hubs")), "hub", "left")
+    pairs = pairs.select(F.when(F.col("n").isNull(), F.col("hub")).otherwise(F.xxhash64("hub", cut)).alias("hub"), "a", "b")
 
     def looked_at(table: pa.Table) -> pa.RecordBatch:
         asked = table["b"].is_valid().to_numpy()

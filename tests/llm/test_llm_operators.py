@@ -524,6 +524,19 @@ def test_pairs_of_a_hub_are_united_over_batches_and_pieces(spark, monkeypatch, c
     assert codes < 1 << 20 or len(found) < 4 * len(lines)
 
 
+def test_pairs_of_a_large_hub_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "HUB_PAIRS", 50)
+    lines = near_copies(np.random.default_rng(16), 1, 60, 120)[:60]
+    pairs = spark.createDataFrame([(i, j, 7) for i in range(60) for j in range(i)], "a long, b long, hub long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, body string")
+    dealt, whole = [], type(pairs).sortWithinPartitions
+    monkeypatch.setattr(type(pairs), "sortWithinPartitions", lambda self, *c, **k: dealt.append(self) or whole(self, *c, **k))
+    found = [tuple(r) for r in fuzzy_lines.alike_pairs(pairs, texts).collect()]
+    assert set(united(range(60), found).values()) == {0}
+    sizes = [r.n for r in dealt[0].filter("b is not null").groupBy("hub").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 60 * 59 // 2 and len(sizes) > 20 and max(sizes) < 250
+
+
 def test_bands_in_many_small_pieces_are_those_of_one(spark, monkeypatch):
     words = [" ".join(f"w{(i * 7 + k) % 40}" for k in range(12)) for i in range(60)]
     lines = spark.createDataFrame([(w, i) for i, w in enumerate(words * 2)], "line string, n long").withColumn("id", F.xxhash64("line"))
